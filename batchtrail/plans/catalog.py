@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 from batchtrail.plans import q_performance  # noqa: F401
+from batchtrail.plans import q_scalars  # noqa: F401
