@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 ID_BUCKET_WIDTH = 1 << 16
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
                     out: str = "seq") -> DataFrame:
     """1-based position of each row inside its ``keys`` group in ``order``.
@@ -37,7 +33,7 @@ def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], b
     offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__kb"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     cond = reduce(lambda a, c: a & c, [local[k].eqNullSafe(offsets[f"__k_{k}"]) for k in keys],
-                  local["__bucket"] == offsets["__kb"])
+                  local["__bucket"].eqNullSafe(offsets["__kb"]))
     joined = local.join(offsets, cond, "inner")
     return (joined.withColumn(out, (F.col("__local") + F.col("__offset")).cast("int"))
             .drop("__local", "__offset", "__bucket", "__kb", *[f"__k_{k}" for k in keys]))
