@@ -1,12 +1,11 @@
-"""Positions within groups that may be hot (O-SCL-29, O-WIN-10, O-STATE-1/6).
+"""Positions and running sums within groups that may be hot (O-SCL-29, O-WIN-10, O-STATE-1/6).
 
 ``row_number().over(partitionBy(key))`` numbers a whole group in one task.
-When one key may hold a third of all rows, ``sequence_within`` splits each
-group by a bucket column that is monotone in the order column (an id range, a
-day), numbers rows inside (key, bucket), and adds the row count of the
-earlier buckets of the same key.  The result equals the plain row number, but
-the largest unit of work is one bucket, and the offset table (one row per key
-and bucket) is small.
+When one key may hold a third of all rows, the group is split by a bucket
+column that is monotone in the order (an id range, a day): the running value
+is computed inside (key, bucket) and the totals of the earlier buckets of the
+same key are added.  Results equal the plain window, but the largest unit of
+work is one bucket, and the offset table (one row per key and bucket) is small.
 """
 
 from __future__ import annotations
@@ -19,24 +18,34 @@ from pyspark.sql import functions as F
 ID_BUCKET_WIDTH = 1 << 16
 
 
-def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
-                    out: str = "seq") -> DataFrame:
-    """1-based position of each row inside its ``keys`` group in ``order``.
+def running_sum_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
+                       value: Column, out: str, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` inside each ``keys`` group along ``order``.
 
-    ``bucket`` must be non-decreasing along ``order`` within a group (for
-    example ``floor(id / width)`` for order ``id``).
+    ``bucket`` must be non-decreasing along ``order`` within a group.  With
+    ``inclusive=False`` the current row is not counted (sum of the rows before).
+    With no keys the offsets window runs over the bucket totals only (one row
+    per bucket), never over the data.
     """
-    b = df.withColumn("__bucket", bucket)
-    local = b.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)))
-    counts = b.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    b = df.withColumn("__bucket", bucket).withColumn("__v", value.cast("long"))
+    upto = Window.currentRow if inclusive else -1
+    w = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    local = b.withColumn("__local", F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    totals = b.groupBy(*keys, "__bucket").agg(F.sum("__v").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__kb"),
+    offsets = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__kb"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     cond = reduce(lambda a, c: a & c, [local[k].eqNullSafe(offsets[f"__k_{k}"]) for k in keys],
                   local["__bucket"].eqNullSafe(offsets["__kb"]))
     joined = local.join(offsets, cond, "inner")
-    return (joined.withColumn(out, (F.col("__local") + F.col("__offset")).cast("int"))
-            .drop("__local", "__offset", "__bucket", "__kb", *[f"__k_{k}" for k in keys]))
+    return (joined.withColumn(out, F.col("__local") + F.col("__offset"))
+            .drop("__local", "__offset", "__bucket", "__kb", "__v", *[f"__k_{k}" for k in keys]))
+
+
+def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
+                    out: str = "seq") -> DataFrame:
+    """1-based position of each row inside its ``keys`` group in ``order``."""
+    return running_sum_within(df, keys, order, bucket, F.lit(1), out).withColumn(out, F.col(out).cast("int"))
 
 
 def id_bucket(id_col: str, width: int = ID_BUCKET_WIDTH) -> Column:
@@ -49,3 +58,9 @@ def unique_names(df: DataFrame, name_col: str, id_col: str) -> DataFrame:
     name = F.when(F.col("__seq") == 1, F.col(name_col)).otherwise(
         F.concat(F.col(name_col), F.lit("-"), F.col("__seq").cast("string")))
     return seq.withColumn("unique_name", name).drop("__seq")
+
+
+def assign_ids(df: DataFrame, order: list[Column | str], bucket: Column, base: int, out: str = "id") -> DataFrame:
+    """Contiguous ids ``base+1, base+2, ...`` in ``order`` (O-STATE-6), computed per bucket."""
+    seq = running_sum_within(df, [], order, bucket, F.lit(1), "__seq")
+    return seq.withColumn(out, (F.col("__seq") + F.lit(int(base))).cast("long")).drop("__seq")

@@ -4,3 +4,4 @@ from batchtrail.plans import q_performance  # noqa: F401
 from batchtrail.plans import q_scalars  # noqa: F401
 from batchtrail.plans import q_runs  # noqa: F401
 from batchtrail.plans import q_feeds  # noqa: F401
+from batchtrail.plans import q_lifecycle  # noqa: F401
