@@ -146,6 +146,24 @@ SELECT event_id AS request_id, user_id AS run_id,
  CASE WHEN event_id % 2 = 0 THEN 'review' ELSE 'quick' END AS path,
  concat('E', cast(user_id % 40 as string)) AS employee,
  replace(substr(cast(ts as string),1,19),' ','T') AS requested_at
+FROM events WHERE event_type = 'purchase'""",
+    # Submitted forms as JSON text: control keys, header fields, dynamic
+    # filtration cycle cells (one of them at a varying cycle/row), cycle
+    # summaries and the three evaporation rows.
+    "fx_forms": """
+SELECT event_id AS form_id, replace(substr(cast(ts as string),1,19),' ','T') AS submitted_at,
+ concat('{"__session_signature_pad":"x","__change__entry_date":"OP', cast(user_id % 9 as string),
+  '","save_mode":"', CASE WHEN event_id % 3 = 0 THEN 'Complete' ELSE 'Draft' END,
+  '","entry_date":"', substr(cast(ts as string),1,10), '","entry_time":"', substr(cast(ts as string),12,5),
+  '","location":"', CASE WHEN event_id % 4 = 0 THEN '' ELSE 'Pile 2' END,
+  '","time_on_pipe_or_pile":"', cast(event_id % 30 as string), '","notes":"n', cast(event_id as string),
+  '","comments":"', CASE WHEN event_id % 5 = 0 THEN 'c' ELSE '' END,
+  '","psf1_speed":"', cast(cast(floor(value) as int) as string), ' rpm","cycle1_1_time":"', substr(cast(ts as string),12,5),
+  '","cycle1_1_fic1_gpm":"', cast(event_id % 40 as string), '","cycle1_2_tit1":"', CASE WHEN event_id % 2 = 0 THEN '' ELSE '41' END,
+  '","cycle', cast(event_id % 6 + 1 as string), '_', cast(user_id % 12 + 1 as string), '_dpt":"', cast(user_id % 7 as string),
+  '","cycle1_cycle_number":"1","cycle2_ri_to_sewer":"', CASE WHEN event_id % 3 = 0 THEN '0.5' ELSE '' END,
+  '","row1_time":"09:00","row1_feed_rate":"', cast(event_id % 11 as string), '","row2_vacuum":"22","row3_concentrate_ri":"',
+  CASE WHEN event_id % 2 = 0 THEN '' ELSE '31' END, '"}') AS form_json
 FROM events WHERE event_type = 'purchase'""",
     # The four entry tables and the users table in their own shapes (stored
     # state after the status backfill of O-SRC-3).

@@ -116,10 +116,16 @@ CONTROL_PREFIXES = ("__session_signature_", "__change__", "__original__", "__cor
 
 
 def form_fields(form: ColumnOrName) -> Column:
-    """Keep all submitted keys except control keys (prefix ``__``) and the reason field."""
-    return F.map_filter(col(form), lambda k, _v: ~k.startswith("__") & (k != "correction_reason"))
+    """Keep the submitted data keys: control keys (prefix ``__``), the save mode and the
+    correction reason are dropped."""
+    return F.map_filter(col(form), lambda k, _v: ~k.startswith("__") & ~k.isin("correction_reason", "save_mode"))
 
 
 def form_events(df: DataFrame, form_col: str = "form_json") -> DataFrame:
-    """Submitted forms as input records: JSON text -> map of fields (last duplicate wins)."""
-    return df.withColumn("fields", form_fields(parse_payload(form_col)))
+    """Submitted forms as input records: JSON text -> map of fields (last duplicate wins).
+
+    ``save_mode`` is Complete only when the form says so, else Draft.
+    """
+    m = parse_payload(form_col)
+    mode = F.when(m.getItem("save_mode") == "Complete", F.lit("Complete")).otherwise(F.lit("Draft"))
+    return df.withColumn("save_mode", mode).withColumn("fields", form_fields(m))
