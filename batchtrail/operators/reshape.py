@@ -98,7 +98,7 @@ def cycle_summaries(payloads: DataFrame, id_col: str, payload_col: str = "payloa
     grid = F.array(*[F.struct(F.lit(c).alias("cycle"), F.lit(f).alias("field"), F.lit(f"cycle{c}_{f}").alias("key"))
                      for c in range(1, CYCLES + 1) for f in CYCLE_SUMMARY_FIELDS])
     ex = payloads.select(id_col, m.alias("m"), F.explode(grid).alias("g"))
-    return ex.select(id_col, "g.cycle", "g.field", F.col("m").getItem(F.col("g.key")).alias("value")) \
+    return ex.select(id_col, "g.cycle", "g.field", F.col("m")[F.col("g.key")].alias("value")) \
         .filter(F.col("value").isNotNull())
 
 
@@ -112,7 +112,7 @@ def cycle_view(entries: DataFrame, rows: DataFrame) -> DataFrame:
     m = parse_payload("payload_json")
     summary = F.lit(False)
     for f in CYCLE_SUMMARY_FIELDS:
-        summary = summary | (F.coalesce(m.getItem(F.concat(F.col("row_group"), F.lit("_" + f))), F.lit("")) != "")
+        summary = summary | (F.coalesce(m[F.concat(F.col("row_group"), F.lit("_" + f))], F.lit("")) != "")
     j = g.withColumn("has_summary", summary).join(counts, ["entry_id", "row_group"], "left")
     n = F.coalesce(F.col("n_rows"), F.lit(0))
     return j.filter((n > 0) | F.col("has_summary")).select("entry_id", "cycle", n.alias("n_rows"), "has_summary")
@@ -178,7 +178,7 @@ def sheet_header_values(spark: SparkSession, sheets: DataFrame, runs: DataFrame)
                    .when(F.col("field") == "run_blend_number",
                          F.when(F.col("r_id").isNotNull(), F.coalesce(F.nullif(clean("r_blend_number"), F.lit("")), label))))
     default = F.coalesce(F.nullif(F.col("default"), F.lit("")), run_default, F.lit(""))
-    saved = parse_payload("payload_json").getItem(F.col("field"))
+    saved = parse_payload("payload_json")[F.col("field")]
     return j.select(F.col("id").alias("entry_id"), "stage_key", "header_no", "field", "label",
                     F.coalesce(saved, F.lit("")).alias("saved_value"), default.alias("default_value"),
                     F.coalesce(F.nullif(saved, F.lit("")), default).alias("shown_value"))
