@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchtrail.functions.text import ColumnOrName, clean, col, nonblank
@@ -34,6 +34,24 @@ def point_time(entry_date: ColumnOrName, entry_time: ColumnOrName, created_at: C
             .otherwise(F.coalesce(F.nullif(created, F.lit("")), date_text)))
 
 
+def with_point_time(df: DataFrame, entry_date: ColumnOrName, entry_time: ColumnOrName, created_at: ColumnOrName,
+                    out: str = "point_time") -> DataFrame:
+    """``point_time`` as staged columns: each cleaned piece is computed once per row.
+
+    Catalyst keeps a projection separate when its result is used more than
+    once, so the staged form avoids re-evaluating the nested pieces.
+    """
+    staged = (df.withColumn("__pt_c", clean(created_at))
+              .withColumn("__pt_d", F.coalesce(nonblank(entry_date), F.substring(F.col("__pt_c"), 1, 10)))
+              .withColumn("__pt_t0", clean(entry_time))
+              .withColumn("__pt_t", F.when(F.length("__pt_t0") == 5, F.concat(F.col("__pt_t0"), F.lit(":00")))
+                          .otherwise(F.col("__pt_t0"))))
+    value = (F.when((F.col("__pt_d") != "") & (F.col("__pt_t") != ""),
+                    F.concat(F.col("__pt_d"), F.lit("T"), F.col("__pt_t")))
+             .otherwise(F.coalesce(F.nullif(F.col("__pt_c"), F.lit("")), F.col("__pt_d"))))
+    return staged.withColumn(out, value).drop("__pt_c", "__pt_d", "__pt_t0", "__pt_t")
+
+
 def date_prefix(*cols: ColumnOrName) -> Column:
     """First non-blank of the columns, cut to 10 chars; ``undated`` if none."""
     return F.coalesce(*[F.substring(nonblank(c), 1, 10) for c in cols], F.lit("undated"))

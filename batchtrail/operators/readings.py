@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchtrail.functions.text import clean, nonblank, parse_numeric, title_case
-from batchtrail.functions.time import effective_date, point_time
+from batchtrail.functions.time import effective_date, with_point_time
 from batchtrail.sources.stages import NON_METRIC_FIELDS, STAGES, stage_columns
 from batchtrail.sources.tables import parse_payload
 
@@ -88,6 +88,14 @@ def _row_no_text(c: Column) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit("")).otherwise(c.cast("string"))
 
 
+def _title_of_group(c: str) -> Column:
+    # row groups are a handful of distinct values; the title is a literal lookup
+    # for the configured ones and the general rule otherwise
+    known = F.create_map(*[x for n in range(1, 7) for x in (F.lit(f"cycle{n}"), F.lit(f"Cycle{n}"))])
+    g = clean(c)
+    return F.coalesce(F.try_element_at(known, g), title_case(g))
+
+
 def filtration_readings(entries: DataFrame, rows: DataFrame, fields: list[str], start: str = "",
                         end: str = "") -> DataFrame:
     """Filtration entry INNER JOIN child rows (O-JOIN-2) as point-tagged wide rows.
@@ -99,13 +107,12 @@ def filtration_readings(entries: DataFrame, rows: DataFrame, fields: list[str],
         F.col("id").alias("entry_id"), "entry_date", "created_at")
     r = rows.select(F.col("filtration_entry_id").alias("entry_id"), F.col("id").alias("row_id"),
                     "row_group", "row_no", "row_time", *fields)
-    j = e.join(r, "entry_id")
-    x = point_time("entry_date", "row_time", "created_at")
-    label = F.rtrim(F.concat(_label_time(x), F.lit(" | "), title_case(clean("row_group")), F.lit(" row "),
-                             _row_no_text(F.col("row_no"))))
+    j = with_point_time(e.join(r, "entry_id"), "entry_date", "row_time", "created_at")
+    label = F.rtrim(F.concat(_label_time(F.col("point_time")), F.lit(" | "), _title_of_group("row_group"),
+                             F.lit(" row "), _row_no_text(F.col("row_no"))))
     order = F.struct(effective_date(), F.col("row_time"), F.col("created_at"), F.col("row_group"),
                      F.col("row_no"), F.col("entry_id"), F.col("row_id"))
-    return j.select(F.lit("filtration").alias("machine"), x.alias("point_time"), label.alias("point_label"),
+    return j.select(F.lit("filtration").alias("machine"), "point_time", label.alias("point_label"),
                     "entry_id", F.col("row_group").alias("table_prefix"), F.col("row_no").cast("int").alias("row_no"),
                     order.alias("ord"), *fields)
 
@@ -118,13 +125,12 @@ def evaporation_readings(entries: DataFrame, rows: DataFrame, runs: DataFrame, f
     e = join_runs(e, runs, ["run_number"]).withColumnRenamed("id", "entry_id")
     r = rows.select(F.col("evaporation_entry_id").alias("entry_id"), F.col("id").alias("row_id"),
                     "row_no", "row_time", *fields)
-    j = e.join(r, "entry_id")
-    x = point_time("entry_date", "row_time", "created_at")
+    j = with_point_time(e.join(r, "entry_id"), "entry_date", "row_time", "created_at")
     who = F.coalesce(nonblank("run_number"), F.concat(F.lit("Entry "), F.col("entry_id").cast("string")))
-    label = F.concat(_label_time(x), F.lit(" | "), who, F.lit(" row "), _row_no_text(F.col("row_no")))
+    label = F.concat(_label_time(F.col("point_time")), F.lit(" | "), who, F.lit(" row "), _row_no_text(F.col("row_no")))
     order = F.struct(effective_date(), F.col("row_time"), F.col("created_at"), F.col("row_no"),
                      F.col("entry_id"), F.col("row_id"))
-    return j.select(F.lit("evaporation").alias("machine"), x.alias("point_time"), label.alias("point_label"),
+    return j.select(F.lit("evaporation").alias("machine"), "point_time", label.alias("point_label"),
                     "entry_id", F.lit(None).cast("string").alias("table_prefix"),
                     F.col("row_no").cast("int").alias("row_no"), order.alias("ord"), *fields)
 
@@ -136,11 +142,11 @@ def extraction_readings(entries: DataFrame, runs: DataFrame, fields: list[str],
     e = readings_date_range(entries, start, end).select("id", "run_id", "entry_date", "entry_time",
                                                         "created_at", *fields)
     e = join_runs(e, runs, ["run_number"]).withColumnRenamed("id", "entry_id")
-    x = point_time("entry_date", "entry_time", "created_at")
+    e = with_point_time(e, "entry_date", "entry_time", "created_at")
     who = F.coalesce(nonblank("run_number"), F.concat(F.lit("Entry "), F.col("entry_id").cast("string")))
-    label = F.concat(_label_time(x), F.lit(" | "), who)
+    label = F.concat(_label_time(F.col("point_time")), F.lit(" | "), who)
     order = F.struct(effective_date(), F.col("entry_time"), F.col("created_at"), F.col("entry_id"))
-    return e.select(F.lit("extraction").alias("machine"), x.alias("point_time"), label.alias("point_label"),
+    return e.select(F.lit("extraction").alias("machine"), "point_time", label.alias("point_label"),
                     "entry_id", F.lit(None).cast("string").alias("table_prefix"),
                     F.lit(None).cast("int").alias("row_no"), order.alias("ord"), *fields)
 
@@ -185,11 +191,10 @@ def stage_metric_catalog(spark: SparkSession) -> DataFrame:
 
 def _sheet_entries(sheets: DataFrame, stage_key: str, start: str, end: str) -> DataFrame:
     s = readings_date_range(sheets.filter(F.col("stage_key") == stage_key), start, end)
-    payload = parse_payload("payload_json")
-    date_src = F.coalesce(F.nullif(payload.getItem("entry_date"), F.lit("")), F.col("entry_date"))
-    return s.select(F.col("id").alias("entry_id"), "created_at", date_src.alias("date_src"),
-                    payload.alias("payload"),
-                    F.struct(effective_date(), F.col("created_at"), F.col("id")).alias("ord"))
+    staged = s.select(F.col("id").alias("entry_id"), "entry_date", "created_at", parse_payload("payload_json").alias("payload"))
+    date_src = F.coalesce(F.nullif(F.col("payload")["entry_date"], F.lit("")), F.col("entry_date"))
+    return staged.select("entry_id", "created_at", date_src.alias("date_src"), "payload",
+                         F.struct(effective_date(), F.col("created_at"), F.col("entry_id")).alias("ord"))
 
 
 def _row_times(payload: Column) -> Column:
@@ -200,23 +205,32 @@ def _row_times(payload: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
+def _titles(stage_key: str) -> Column:
+    return F.create_map(*[x for p, t, _n in stage_tables(stage_key) for x in (F.lit(p), F.lit(t))])
+
+
+def _generic_label(stage_key: str) -> Column:
+    return F.concat(_label_time(F.col("point_time")), F.lit(" | "), F.try_element_at(_titles(stage_key), F.col("table_prefix")),
+                    F.lit(" "), F.col("row_no").cast("string"))
+
+
 def generic_points(sheets: DataFrame, stage_key: str, start: str = "", end: str = "") -> DataFrame:
-    """Every configured row of every entry becomes a point (T11), keyed by time + row (T10)."""
-    tables = stage_tables(stage_key)
-    grid = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(t).alias("title"), F.lit(n).alias("rows"))
-                     for p, t, n in tables])
+    """Every configured row of every entry becomes a point (T11), keyed by time + row (T10).
+
+    Points are deduplicated on their key before the label (a function of the
+    key) is built, so the shuffle carries three short columns.
+    """
+    grid = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(n).alias("rows")) for p, _t, n in stage_tables(stage_key)])
     e = _sheet_entries(sheets, stage_key, start, end).withColumn("times", _row_times(F.col("payload")))
     cells = F.flatten(F.transform(grid, lambda t: F.transform(
         F.sequence(F.lit(1), t["rows"]),
-        lambda r: F.struct(t["prefix"].alias("table_prefix"), t["title"].alias("title"), r.alias("row_no")))))
-    exploded = e.select("entry_id", "created_at", "date_src", "times", "ord", F.inline(cells))
-    row_time = F.try_element_at(F.col("times"),
-                                F.concat(F.col("table_prefix"), F.lit("_"), F.col("row_no").cast("string")))
-    x = point_time(F.col("date_src"), row_time, F.col("created_at"))
-    label = F.concat(_label_time(x), F.lit(" | "), F.col("title"), F.lit(" "), F.col("row_no").cast("string"))
-    return exploded.select(F.lit(stage_key).alias("machine"), x.alias("point_time"), label.alias("point_label"),
-                           F.lit(None).cast("long").alias("entry_id"), "table_prefix",
-                           F.col("row_no").cast("int").alias("row_no"), "ord").filter(F.col("point_time") != "")
+        lambda r: F.struct(t["prefix"].alias("table_prefix"), r.alias("row_no"),
+                           F.try_element_at(F.col("times"), F.concat(t["prefix"], F.lit("_"), r.cast("string"))).alias("row_time")))))
+    exploded = e.select("created_at", "date_src", F.inline(cells))
+    timed = with_point_time(exploded, "date_src", "row_time", "created_at").filter(F.col("point_time") != "")
+    keys = timed.select("point_time", "table_prefix", F.col("row_no").cast("int").alias("row_no")).distinct()
+    return keys.select(F.lit(stage_key).alias("machine"), "point_time", _generic_label(stage_key).alias("point_label"),
+                       F.lit(None).cast("long").alias("entry_id"), "table_prefix", "row_no")
 
 
 def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str = "") -> DataFrame:
@@ -225,7 +239,6 @@ def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str
     metrics = stage_metric_fields(stage_key)
     allowed = F.array(*[F.lit(f"{p}::{f}") for p, f, _k, _l in metrics])
     max_rows = F.create_map(*[x for p, (_t, n) in tables.items() for x in (F.lit(p), F.lit(n))])
-    titles = F.create_map(*[x for p, (t, _n) in tables.items() for x in (F.lit(p), F.lit(t))])
     e = _sheet_entries(sheets, stage_key, start, end).withColumn("times", _row_times(F.col("payload")))
 
     def parse(entry):
@@ -233,23 +246,21 @@ def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str
         return F.struct(F.regexp_extract(k, CELL_KEY, 1).alias("table_prefix"),
                         F.regexp_extract(k, CELL_KEY, 2).alias("row_text"),
                         F.regexp_extract(k, CELL_KEY, 3).alias("field"),
-                        parse_numeric(entry["value"]).alias("value"))
+                        entry["value"].alias("text"))
 
     parsed = F.transform(F.map_entries(F.col("payload")), parse)
     kept = F.filter(parsed, lambda c: F.array_contains(allowed, F.concat(c["table_prefix"], F.lit("::"), c["field"]))
-                    & c["value"].isNotNull()
-                    & (c["row_text"].cast("int") <= F.try_element_at(max_rows, c["table_prefix"])))
+                    & (c["row_text"].try_cast("int") <= F.try_element_at(max_rows, c["table_prefix"])))
     with_time = F.transform(kept, lambda c: F.struct(
-        c["table_prefix"].alias("table_prefix"), c["row_text"].cast("int").alias("row_no"),
-        F.concat(c["table_prefix"], F.lit("::"), c["field"]).alias("field"), c["value"].alias("value"),
+        c["table_prefix"].alias("table_prefix"), c["row_text"].try_cast("int").alias("row_no"),
+        F.concat(c["table_prefix"], F.lit("::"), c["field"]).alias("field"), c["text"].alias("text"),
         F.try_element_at(F.col("times"), F.concat(c["table_prefix"], F.lit("_"), c["row_text"])).alias("row_time")))
-    cells = e.select("entry_id", "created_at", "date_src", "ord", F.inline(with_time))
-    x = point_time(F.col("date_src"), F.col("row_time"), F.col("created_at"))
-    label = F.concat(_label_time(x), F.lit(" | "), F.try_element_at(titles, F.col("table_prefix")), F.lit(" "),
-                     F.col("row_no").cast("string"))
-    return cells.select(F.lit(stage_key).alias("machine"), x.alias("point_time"), label.alias("point_label"),
+    cells = e.select("created_at", "date_src", "ord", F.inline(with_time))
+    valued = cells.withColumn("value", parse_numeric("text")).filter(F.col("value").isNotNull())
+    timed = with_point_time(valued, "date_src", "row_time", "created_at").filter(F.col("point_time") != "")
+    return timed.select(F.lit(stage_key).alias("machine"), "point_time", _generic_label(stage_key).alias("point_label"),
                         F.lit(None).cast("long").alias("entry_id"), "table_prefix", "row_no", "ord",
-                        "field", "value").filter(F.col("point_time") != "")
+                        "field", "value")
 
 
 def cells_long(sheets: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ registered query has an independent answer to be compared with.
 
 from __future__ import annotations
 
+from batchtrail.functions.text import WHITESPACE_CODES
+
 NUM = r"-?\d+(?:\.\d+)?"
+_WS = " || ".join(f"chr({c})" for c in WHITESPACE_CODES)
 
 
 def clean(x: str) -> str:
-    return rf"coalesce(regexp_replace(CAST({x} AS VARCHAR), '^\s+|\s+$', '', 'g'), '')"
+    return f"coalesce(trim(CAST({x} AS VARCHAR), {_WS}), '')"
 
 
 def nonblank(x: str) -> str:

@@ -236,8 +236,31 @@ def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
     _REGISTERED[key] = sf_dir
 
 
+_MATERIALIZED: dict[tuple[int, str], str] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture view as a Spark DataFrame (analysed against ``sf_dir``)."""
+    """One fixture view as a Spark DataFrame (analysed against ``sf_dir``).
+
+    When the views of ``sf_dir`` were materialised (``materialize_fixtures``),
+    the stored table is read instead of deriving it again.
+    """
+    stored = _MATERIALIZED.get((id(spark._jsparkSession), sf_dir))
+    if stored:
+        return spark.read.parquet(f"{stored}/{name}")
     sql = with_fixtures(f"SELECT * FROM {name}")
     register_base_tables(spark, sf_dir)
     return spark.sql(sql)
+
+
+def materialize_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
+    """Write every fixture view of ``sf_dir`` once as Parquet under ``out_dir`` (shared storage).
+
+    Later ``fixture`` calls read the stored tables, the way deployed process
+    tables are read; the derivation cost is paid once.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    _MATERIALIZED.pop(key, None)
+    for name in FIXTURE_SQL:
+        fixture(spark, sf_dir, name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
+    _MATERIALIZED[key] = out_dir
