@@ -52,6 +52,12 @@ def with_point_time(df: DataFrame, entry_date: ColumnOrName, entry_time: ColumnO
     return staged.withColumn(out, value).drop("__pt_c", "__pt_d", "__pt_t0", "__pt_t")
 
 
+def has_point_time(entry_date: ColumnOrName, created_at: ColumnOrName) -> Column:
+    """``point_time(...) != ''`` for any time value: false only when both the date and
+    ``created_at`` are blank.  Entry-level, so it filters before rows are exploded."""
+    return (clean(created_at) != "") | (clean(entry_date) != "")
+
+
 def date_prefix(*cols: ColumnOrName) -> Column:
     """First non-blank of the columns, cut to 10 chars; ``undated`` if none."""
     return F.coalesce(*[F.substring(nonblank(c), 1, 10) for c in cols], F.lit("undated"))

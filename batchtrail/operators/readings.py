@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchtrail.functions.text import clean, nonblank, parse_numeric, title_case
-from batchtrail.functions.time import effective_date, with_point_time
+from batchtrail.functions.time import effective_date, has_point_time, with_point_time
 from batchtrail.sources.stages import NON_METRIC_FIELDS, STAGES, stage_columns
 from batchtrail.sources.tables import parse_payload
 
@@ -103,7 +103,7 @@ def filtration_readings(entries: DataFrame, rows: DataFrame, fields: list[str],
     The reference also left-joins the run only to project a column the chart
     never reads; that join cannot change the points, so it is not planned.
     """
-    e = readings_date_range(entries, start, end).select(
+    e = readings_date_range(entries, start, end).filter(has_point_time("entry_date", "created_at")).select(
         F.col("id").alias("entry_id"), "entry_date", "created_at")
     r = rows.select(F.col("filtration_entry_id").alias("entry_id"), F.col("id").alias("row_id"),
                     "row_group", "row_no", "row_time", *fields)
@@ -121,7 +121,8 @@ def evaporation_readings(entries: DataFrame, rows: DataFrame, runs: DataFrame, f
                          start: str = "", end: str = "") -> DataFrame:
     """Evaporation entry INNER JOIN rows LEFT JOIN run (O-JOIN-3)."""
     from batchtrail.operators.joins import join_runs
-    e = readings_date_range(entries, start, end).select("id", "run_id", "entry_date", "created_at")
+    e = readings_date_range(entries, start, end).filter(has_point_time("entry_date", "created_at")).select(
+        "id", "run_id", "entry_date", "created_at")
     e = join_runs(e, runs, ["run_number"]).withColumnRenamed("id", "entry_id")
     r = rows.select(F.col("evaporation_entry_id").alias("entry_id"), F.col("id").alias("row_id"),
                     "row_no", "row_time", *fields)
@@ -139,8 +140,8 @@ def extraction_readings(entries: DataFrame, runs: DataFrame, fields: list[str],
                         end: str = "") -> DataFrame:
     """Extraction entries LEFT JOIN run; one point per entry."""
     from batchtrail.operators.joins import join_runs
-    e = readings_date_range(entries, start, end).select("id", "run_id", "entry_date", "entry_time",
-                                                        "created_at", *fields)
+    e = readings_date_range(entries, start, end).filter(has_point_time("entry_date", "created_at")).select(
+        "id", "run_id", "entry_date", "entry_time", "created_at", *fields)
     e = join_runs(e, runs, ["run_number"]).withColumnRenamed("id", "entry_id")
     e = with_point_time(e, "entry_date", "entry_time", "created_at")
     who = F.coalesce(nonblank("run_number"), F.concat(F.lit("Entry "), F.col("entry_id").cast("string")))
@@ -220,14 +221,16 @@ def generic_points(sheets: DataFrame, stage_key: str, start: str = "", end: str
     Points are deduplicated on their key before the label (a function of the
     key) is built, so the shuffle carries three short columns.
     """
-    grid = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(n).alias("rows")) for p, _t, n in stage_tables(stage_key)])
-    e = _sheet_entries(sheets, stage_key, start, end).withColumn("times", _row_times(F.col("payload")))
-    cells = F.flatten(F.transform(grid, lambda t: F.transform(
-        F.sequence(F.lit(1), t["rows"]),
-        lambda r: F.struct(t["prefix"].alias("table_prefix"), r.alias("row_no"),
-                           F.try_element_at(F.col("times"), F.concat(t["prefix"], F.lit("_"), r.cast("string"))).alias("row_time")))))
-    exploded = e.select("created_at", "date_src", F.inline(cells))
-    timed = with_point_time(exploded, "date_src", "row_time", "created_at").filter(F.col("point_time") != "")
+    grid = F.array(*[F.struct(F.lit(p).alias("table_prefix"), F.lit(n).alias("rows")) for p, _t, n in stage_tables(stage_key)])
+    e = _sheet_entries(sheets, stage_key, start, end).filter(has_point_time("date_src", "created_at")).select(
+        "created_at", "date_src", _row_times(F.col("payload")).alias("times"))
+    # two plain explodes (table, then row number) stay in generated code
+    per_table = e.select("created_at", "date_src", "times", F.inline(grid))
+    exploded = per_table.select("created_at", "date_src", "times", "table_prefix",
+                                F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row_no"))
+    row_time = F.try_element_at(F.col("times"), F.concat(F.col("table_prefix"), F.lit("_"), F.col("row_no").cast("string")))
+    exploded = exploded.select("created_at", "date_src", "table_prefix", "row_no", row_time.alias("row_time"))
+    timed = with_point_time(exploded, "date_src", "row_time", "created_at")
     keys = timed.select("point_time", "table_prefix", F.col("row_no").cast("int").alias("row_no")).distinct()
     return keys.select(F.lit(stage_key).alias("machine"), "point_time", _generic_label(stage_key).alias("point_label"),
                        F.lit(None).cast("long").alias("entry_id"), "table_prefix", "row_no")
@@ -239,7 +242,8 @@ def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str
     metrics = stage_metric_fields(stage_key)
     allowed = F.array(*[F.lit(f"{p}::{f}") for p, f, _k, _l in metrics])
     max_rows = F.create_map(*[x for p, (_t, n) in tables.items() for x in (F.lit(p), F.lit(n))])
-    e = _sheet_entries(sheets, stage_key, start, end).withColumn("times", _row_times(F.col("payload")))
+    e = (_sheet_entries(sheets, stage_key, start, end).filter(has_point_time("date_src", "created_at"))
+         .withColumn("times", _row_times(F.col("payload"))))
 
     def parse(entry):
         k = entry["key"]
@@ -257,7 +261,7 @@ def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str
         F.try_element_at(F.col("times"), F.concat(c["table_prefix"], F.lit("_"), c["row_text"])).alias("row_time")))
     cells = e.select("created_at", "date_src", "ord", F.inline(with_time))
     valued = cells.withColumn("value", parse_numeric("text")).filter(F.col("value").isNotNull())
-    timed = with_point_time(valued, "date_src", "row_time", "created_at").filter(F.col("point_time") != "")
+    timed = with_point_time(valued, "date_src", "row_time", "created_at")
     return timed.select(F.lit(stage_key).alias("machine"), "point_time", _generic_label(stage_key).alias("point_label"),
                         F.lit(None).cast("long").alias("entry_id"), "table_prefix", "row_no", "ord",
                         "field", "value")

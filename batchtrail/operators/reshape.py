@@ -93,13 +93,16 @@ def cycle_summary_payload(forms: DataFrame, fields: str = "fields") -> DataFrame
 
 
 def cycle_summaries(payloads: DataFrame, id_col: str, payload_col: str = "payload_json") -> DataFrame:
-    """Read side of O-RSH-4: (entry, cycle, field, value) for every summary key present."""
-    m = parse_payload(payload_col)
-    grid = F.array(*[F.struct(F.lit(c).alias("cycle"), F.lit(f).alias("field"), F.lit(f"cycle{c}_{f}").alias("key"))
-                     for c in range(1, CYCLES + 1) for f in CYCLE_SUMMARY_FIELDS])
-    ex = payloads.select(id_col, m.alias("m"), F.explode(grid).alias("g"))
-    return ex.select(id_col, "g.cycle", "g.field", F.col("m")[F.col("g.key")].alias("value")) \
-        .filter(F.col("value").isNotNull())
+    """Read side of O-RSH-4: (entry, cycle, field, value) for every summary key present.
+
+    The payload's entries are exploded once and matched by pattern, so no map
+    is carried along the exploded rows.
+    """
+    pat = rf"^cycle([1-{CYCLES}])_({'|'.join(CYCLE_SUMMARY_FIELDS)})$"
+    cells = payloads.select(id_col, F.explode(parse_payload(payload_col)).alias("key", "value"))
+    hits = cells.filter(F.col("key").rlike(pat) & F.col("value").isNotNull())
+    return hits.select(id_col, F.regexp_extract("key", pat, 1).cast("int").alias("cycle"),
+                       F.regexp_extract("key", pat, 2).alias("field"), "value")
 
 
 def cycle_view(entries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -169,8 +172,8 @@ def sheet_header_values(spark: SparkSession, sheets: DataFrame, runs: DataFrame)
     run label, run / blend number -> blend label or run label.
     """
     from batchtrail.operators.joins import join_runs
-    s = join_runs(sheets.select("id", "run_id", "stage_key", "payload_json"), runs,
-                  ["id", "run_number", "batch_number", "blend_number"], prefix="r_")
+    parsed = sheets.select("id", "run_id", "stage_key", parse_payload("payload_json").alias("m"))
+    s = join_runs(parsed, runs, ["id", "run_number", "batch_number", "blend_number"], prefix="r_")
     h = F.broadcast(stage_headers(spark).select("stage_key", "header_no", "field", "label", "default"))
     j = s.join(h, "stage_key")
     label = F.when(F.col("r_id").isNotNull(), run_label("r_run_number", "r_batch_number", "r_id"))
@@ -178,7 +181,7 @@ def sheet_header_values(spark: SparkSession, sheets: DataFrame, runs: DataFrame)
                    .when(F.col("field") == "run_blend_number",
                          F.when(F.col("r_id").isNotNull(), F.coalesce(F.nullif(clean("r_blend_number"), F.lit("")), label))))
     default = F.coalesce(F.nullif(F.col("default"), F.lit("")), run_default, F.lit(""))
-    saved = parse_payload("payload_json")[F.col("field")]
+    saved = F.col("m")[F.col("field")]
     return j.select(F.col("id").alias("entry_id"), "stage_key", "header_no", "field", "label",
                     F.coalesce(saved, F.lit("")).alias("saved_value"), default.alias("default_value"),
                     F.coalesce(F.nullif(saved, F.lit("")), default).alias("shown_value"))

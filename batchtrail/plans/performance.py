@@ -39,7 +39,7 @@ def machine_performance(tables: ProcessTables, machine: str, start: str = "", en
         values = R.generic_values(tables.sheets, key, start, end)
     else:
         rows, fields = _typed_rows(tables, key, start, end)
-        values = R.readings_long(rows.filter(F.col("point_time") != ""), R.POINT_COLUMNS + ["ord"], fields)
+        values = R.readings_long(rows, R.POINT_COLUMNS + ["ord"], fields)
     return R.point_merge(values, R.POINT_COLUMNS).select(*OUTPUT_COLUMNS)
 
 
@@ -51,7 +51,6 @@ def performance_points(tables: ProcessTables, machine: str, start: str = "", end
         pts = R.generic_points(tables.sheets, key, start, end)
     else:
         pts, _fields = _typed_rows(tables, key, start, end)
-        pts = pts.filter(F.col("point_time") != "")
     return pts.select(*R.POINT_COLUMNS).dropDuplicates(R.POINT_COLUMNS)
 
 
