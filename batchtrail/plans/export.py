@@ -70,7 +70,8 @@ def export_scope(spark: SparkSession, t: ProcessTables, voided: DataFrame, scope
     docs = packet_documents(t, runs, voided)
     out = f"{root}/{safe_export_name(export_name)}"
     sinks.write_packets(docs, f"{out}/packets")
-    written = spark.read.json(f"{out}/packets")
+    # the written documents are the checkpoint: later steps read them, not the lineage
+    written = spark.read.schema(docs.schema).json(f"{out}/packets")
     count = written.count()
     label = scope if scope in SCOPE_KEYS else "all"
     summary = spark.createDataFrame([(label, as_of, count)], "scope string, generated string, run_count long") \

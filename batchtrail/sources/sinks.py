@@ -50,7 +50,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def write_packets(packets: DataFrame, path: str) -> None:
     """One JSON document per run under ``export_month=YYYY-MM`` (O-SNK-5)."""
-    overwrite_partitions(packets, path, ["export_month"])
+    packets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("export_month").json(path)
 
 
 def write_manifest(manifest: DataFrame, summary: DataFrame, path: str) -> None:

@@ -6,8 +6,8 @@ entry tables are streams of appended files:
 * ``activity_stream`` (O-STR-1): the four entry streams unioned, event time
   from ``created_at``, a 12-hour watermark, duplicate deliveries dropped
   within the watermark, a stream-static left join to runs, appended to a sink.
-* ``machine_status_stream`` (O-STR-2): latest activity per section in
-  update mode; the state is one row per section.
+* ``machine_status_stream`` (O-STR-2): latest activity per section; the
+  state is one row per section.
 * ``draft_fold_stream`` (O-STR-3): each micro-batch of submits is appended to
   the submit log and the fold is recomputed for the key buckets it touched,
   rewritten by dynamic partition overwrite - idempotent when a batch is
@@ -26,11 +26,11 @@ from batchtrail.operators.lifecycle import fold_drafts
 from batchtrail.sources.tables import SCHEMAS
 
 ENTRY_STREAMS = {
-    # table -> (section expression, stage key expression, start label, end label)
-    "extraction_entries": (F.lit("Extraction"), F.lit(""), "start_time", "stop_time"),
-    "filtration_entries": (F.lit("Filtration"), F.lit(""), "startup_time", "shutdown_time"),
-    "evaporation_entries": (F.lit("Evaporation"), F.lit(""), "startup_time", "shutdown_time"),
-    "sheet_entries": (F.col("stage_title"), F.col("stage_key"), None, None),
+    # table -> (section literal or None = stage title, start label column, end label column)
+    "extraction_entries": ("Extraction", "start_time", "stop_time"),
+    "filtration_entries": ("Filtration", "startup_time", "shutdown_time"),
+    "evaporation_entries": ("Evaporation", "startup_time", "shutdown_time"),
+    "sheet_entries": (None, None, None),
 }
 
 FOLD_BUCKETS = 64
@@ -44,8 +44,10 @@ def entry_stream(spark: SparkSession, root: str, table: str) -> DataFrame:
 def activity_events(spark: SparkSession, root: str) -> DataFrame:
     """The four entry streams in the feed's shape with an event-time column."""
     parts = []
-    for table, (section, stage_key, start, end) in ENTRY_STREAMS.items():
+    for table, (section_name, start, end) in ENTRY_STREAMS.items():
         s = entry_stream(spark, root, table)
+        section = F.lit(section_name) if section_name else F.col("stage_title")
+        stage_key = F.lit("") if section_name else F.col("stage_key")
         parts.append(s.select(
             F.col("id").alias("record_id"), F.col("run_id").alias("entry_run_id"), F.lit(table).alias("entry_table"),
             F.col("created_at").alias("activity_time"), section.alias("section"), stage_key.alias("stage_key"),
@@ -73,7 +75,11 @@ def activity_stream(spark: SparkSession, root: str, runs: DataFrame, sink: str,
 
 
 def machine_status_stream(spark: SparkSession, root: str, checkpoint: str, query_name: str = "machine_status"):
-    """Start O-STR-2: latest activity per section, update mode, to an in-memory table."""
+    """Start O-STR-2: latest activity per section to an in-memory table.
+
+    The state is one row per section, so the complete table is re-emitted each
+    trigger (the memory sink takes complete mode).
+    """
     ev = activity_events(spark, root)
     latest = ev.groupBy("section").agg(
         F.max_by(F.struct("activity_time", "entry_table", "record_id", "end_label"),
