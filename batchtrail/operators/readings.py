@@ -236,6 +236,54 @@ def generic_points(sheets: DataFrame, stage_key: str, start: str = "", end: str
                        F.lit(None).cast("long").alias("entry_id"), "table_prefix", "row_no")
 
 
+def generic_point_count(sheets: DataFrame, stage_key: str, start: str = "", end: str = "") -> DataFrame:
+    """Exact number of distinct chart points of a sheet machine without listing them (O-AGG-7).
+
+    A row with a time cell gives point (date T time, row) - set A.  Every other
+    configured row of an entry gives (fallback, row), the fallback being the
+    entry's created_at (else its date) - set B.  With n(f) entries sharing the
+    fallback f, a row r of table p is missing from B only if all n(f) entries
+    time it, so |B| = |fallbacks| x (configured rows) - #(f, p, r) timed n(f)
+    times, and |A u B| = |A| + |B| - |A n B|.  Only timed rows are ever
+    expanded; the plain listing (``generic_points``) grows with every
+    configured row of every entry.
+    """
+    tables = stage_tables(stage_key)
+    total_rows = sum(n for _p, _t, n in tables)
+    max_rows = F.create_map(*[x for p, _t, n in tables for x in (F.lit(p), F.lit(n))])
+    e = _sheet_entries(sheets, stage_key, start, end).filter(has_point_time("date_src", "created_at"))
+    e = with_point_time(e.withColumn("__no_time", F.lit("")), "date_src", "__no_time", "created_at", out="fallback")
+    pat = r"^(.+)_([1-9][0-9]*)_time$"
+    timed = (e.select("entry_id", "date_src", "created_at", "fallback", F.explode("payload").alias("key", "t"))
+             .filter(F.col("key").rlike(pat))
+             .select("entry_id", "date_src", "created_at", "fallback", "t",
+                     F.regexp_extract("key", pat, 1).alias("table_prefix"),
+                     F.regexp_extract("key", pat, 2).try_cast("int").alias("row_no"))
+             .filter((F.col("row_no") <= F.try_element_at(max_rows, F.col("table_prefix"))) & (clean("t") != "")))
+    timed = with_point_time(timed, "date_src", "t", "created_at")
+    n_f = e.groupBy("fallback").agg(F.count(F.lit(1)).alias("n_f"))
+    tc = timed.groupBy("fallback", "table_prefix", "row_no").agg(F.count(F.lit(1)).alias("tc"))
+    full = tc.join(n_f, "fallback").filter(F.col("tc") == F.col("n_f")).agg(F.count(F.lit(1)).alias("full"))
+    fallbacks = n_f.agg(F.count(F.lit(1)).alias("nf"))
+    a = timed.select("point_time", "table_prefix", "row_no").distinct()
+    a_in_b = (a.join(n_f, a["point_time"] == n_f["fallback"])
+              .join(tc.withColumnRenamed("fallback", "point_time"), ["point_time", "table_prefix", "row_no"], "left")
+              .filter(F.coalesce(F.col("tc"), F.lit(0)) < F.col("n_f")).agg(F.count(F.lit(1)).alias("ab")))
+    size_a = a.agg(F.count(F.lit(1)).alias("na"))
+    # four one-row counts combined by a tagged union and one aggregate (no join)
+    tagged = (size_a.select(F.lit("na").alias("t"), F.col("na").alias("v"))
+              .unionByName(fallbacks.select(F.lit("nf").alias("t"), F.col("nf").alias("v")))
+              .unionByName(full.select(F.lit("full").alias("t"), F.col("full").alias("v")))
+              .unionByName(a_in_b.select(F.lit("ab").alias("t"), F.col("ab").alias("v"))))
+
+    def part(tag: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("t") == tag, F.col("v"))), F.lit(0))
+
+    count = part("na") + part("nf") * F.lit(total_rows) - part("full") - part("ab")
+    return tagged.agg(count.cast("long").alias("point_count")).select(
+        F.lit(stage_key).alias("machine"), "point_count").filter(F.col("point_count") > 0)
+
+
 def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str = "") -> DataFrame:
     """Numeric cells of the stage's chartable fields, tagged with their point."""
     tables = {p: (t, n) for p, t, n in stage_tables(stage_key)}
@@ -267,20 +315,19 @@ def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str
                         "field", "value")
 
 
-def cells_long(sheets: DataFrame, catalogue: DataFrame) -> DataFrame:
+def cells_long(sheets: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """Payload cells -> (entry, stage, prefix, row_no, field, text) for configured table cells.
 
-    The key split is a regex, and the catalogue match an equi-join on
-    (stage_key, prefix, field) with the broadcast catalogue (a few hundred rows).
+    Payload keys are matched by an equi-join on (stage_key, key) with the
+    broadcast table of every configured cell key (bounded by configuration),
+    so no regex runs per cell; unknown keys and rows beyond ``max_rows`` drop out.
     """
-    payload = parse_payload("payload_json")
-    cells = sheets.select(F.col("id").alias("entry_id"), "stage_key", F.explode(payload).alias("key", "text"))
-    parsed = cells.select("entry_id", "stage_key", "key", "text",
-                          F.regexp_extract("key", CELL_KEY, 1).alias("table_prefix"),
-                          F.regexp_extract("key", CELL_KEY, 2).alias("row_text"),
-                          F.regexp_extract("key", CELL_KEY, 3).alias("field")).filter(F.col("row_text") != "")
-    cat = F.broadcast(catalogue.select("stage_key", "table_prefix", "field", "max_rows", "table_title", "label"))
-    joined = parsed.join(cat, ["stage_key", "table_prefix", "field"])
-    return (joined.withColumn("row_no", F.col("row_text").cast("int"))
-            .filter(F.col("row_no") <= F.col("max_rows"))
-            .select("entry_id", "stage_key", "table_prefix", "table_title", "row_no", "field", "label", "key", "text"))
+    from batchtrail.sources.stages import stage_cell_keys
+    spark = sheets.sparkSession
+    cells = sheets.select(F.col("id").alias("entry_id"), "stage_key",
+                          F.explode(parse_payload("payload_json")).alias("key", "text"))
+    keys = F.broadcast(stage_cell_keys(spark).select("stage_key", "key", "table_prefix", "table_title", "row_no",
+                                                     "field", "label"))
+    return cells.join(keys, ["stage_key", "key"]).select(
+        "entry_id", "stage_key", "table_prefix", "table_title", F.col("row_no").cast("int").alias("row_no"),
+        "field", "label", "key", "text")

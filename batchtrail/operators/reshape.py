@@ -130,11 +130,11 @@ def filtration_render_rows(rows: DataFrame) -> DataFrame:
     key_cols = ["filtration_entry_id", "row_group", "row_no"]
     names = ["row_time"] + [f for f in FILTRATION_ROW_FIELDS if f not in ("time",) and f in rows.columns
                             and f not in ("feed_ri",)]
-    latest = rows.groupBy(*key_cols).agg(F.max_by(F.struct(*names), F.col("id")).alias("r"))
     filled = F.lit(False)
     for n in names:
-        filled = filled | ~is_blank(F.col("r." + n))
-    pop = latest.withColumn("populated", filled)
+        filled = filled | ~is_blank(n)
+    # only the flag of the row that wins its key travels through the shuffle
+    pop = rows.groupBy(*key_cols).agg(F.max_by(filled, F.col("id")).alias("populated"))
     grid = pop.select("filtration_entry_id").distinct().select(
         "filtration_entry_id", F.explode(F.sequence(F.lit(1), F.lit(CYCLES))).alias("cycle"))
     per = (pop.filter("populated").groupBy("filtration_entry_id", "row_group")

@@ -151,9 +151,9 @@ SELECT 'concentration' AS machine, count(*) AS point_count FROM x WHERE point_ti
 
 @query("performance_point_count", _POINTS_SQL)
 def q_point_count(spark, t, sf_dir):
-    """O-AGG-7: points of the concentration chart, empty rows included (T11)."""
-    pts = P.performance_points(t, "concentration")
-    return pts.groupBy("machine").agg(F.count(F.lit(1)).alias("point_count"))
+    """O-AGG-7: points of the concentration chart, empty rows included (T11), counted exactly
+    without listing every configured row."""
+    return R.generic_point_count(t.sheets, "concentration")
 
 
 _FILT_POINTS_SQL = f"""

@@ -135,3 +135,21 @@ def test_void_state_auto_unvoid(spark):
 def test_date_args_swap_and_validate():
     assert _date_args("2024-02-01", "2024-01-01") == ("2024-01-01", "2024-02-01")
     assert _date_args("yesterday", "2024-01-01") == ("", "2024-01-01")
+
+
+def test_exact_point_count_equals_listing(spark):
+    # two entries share a created_at (same fallback); row times overlap partly, and one timed
+    # point falls exactly on the other entries' fallback time
+    rows = [
+        (1, 1, "centrifuge", "2024-05-01", "2024-05-01T09:00:00", '{"centrifuge_1_time":"08:00","centrifuge_2_time":" "}', "Complete"),
+        (2, 1, "centrifuge", "2024-05-01", "2024-05-01T09:00:00", '{"centrifuge_1_time":"08:00","centrifuge_3_time":"08:30"}', "Complete"),
+        (3, 2, "centrifuge", "2024-05-01", "2024-05-01T10:00:00", '{"centrifuge_4_time":"09:00","centrifuge_60_time":"07:00"}', "Complete"),
+        (4, 2, "centrifuge", "", "", '{"centrifuge_1_time":"08:00"}', "Complete"),
+        (5, 3, "centrifuge", None, "2024-05-02T11:00:00", "not json", "Draft"),
+        # its fallback equals entries 1/2's timed point 2024-05-01T08:00:00 on row 1
+        (6, 3, "centrifuge", "2024-05-01", "2024-05-01T08:00:00", '{"centrifuge_2_time":"08:00"}', "Complete"),
+    ]
+    s = sheets_df(spark, rows)
+    listed = R.generic_points(s, "centrifuge").count()
+    counted = R.generic_point_count(s, "centrifuge").first().point_count
+    assert counted == listed
