@@ -1,11 +1,13 @@
-"""Joins of entries to runs, users and the stage catalogue (O-JOIN-*).
-
-``join_runs`` is the one left join every feed needs.  Standalone entries carry a
-NULL run id (T16); hash partitioning would send all of them to one reducer, so
-the join key is widened with a salt that is non-zero only on NULL-key rows.
-The salt is a hash of the row's own id, so a retried task reproduces exactly
-the same partitioning.  Catalyst/AQE still choose broadcast when the run side
-is small at runtime; a hot non-NULL run is split by AQE's skew-join rule.
+"""Joins of entries to runs and users (O-JOIN-1/5).
+
+Standalone entries carry a NULL run id (T16), and entries may lack an
+employee number; hash partitioning sends every NULL key to one reducer.  The
+left joins here widen the key with a salt that is non-zero only on NULL-key
+rows (they can never match anyway), so those rows spread over
+``NULL_KEY_SALTS`` partitions.  The salt is a hash of the row's own id, so a
+retried task reproduces exactly the same partitioning.  Catalyst/AQE still
+choose a broadcast join when the right side is small at runtime; a hot
+non-NULL key is split by AQE's skew-join rule.
 """
 
 from __future__ import annotations
@@ -16,18 +18,27 @@ from pyspark.sql import functions as F
 NULL_KEY_SALTS = 64
 
 
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                           row_id: str) -> DataFrame:
+    """``left LEFT JOIN right ON left.left_key = right.right_key`` with NULL left keys spread.
+
+    ``right`` must not have a column named like a left column other than the key.
+    """
+    salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(F.col(row_id)), F.lit(NULL_KEY_SALTS))).otherwise(F.lit(0))
+    lhs = left.withColumn("__salt_l", salt.cast("int"))
+    rhs = right.withColumn("__salt_r", F.lit(0))
+    cond = (lhs[left_key] == rhs[right_key]) & (lhs["__salt_l"] == rhs["__salt_r"])
+    return lhs.join(rhs, cond, "left").drop("__salt_l", "__salt_r")
+
+
 def join_runs(df: DataFrame, runs: DataFrame, columns, key: str = "run_id", row_id: str = "id",
-              prefix: str = "", how: str = "left") -> DataFrame:
+              prefix: str = "") -> DataFrame:
     """``df LEFT JOIN runs ON runs.id = df.key``, bringing ``columns`` (renamed with ``prefix``)."""
-    picked = runs.select(F.col("id").alias("__run_id"), F.lit(0).alias("__salt"),
-                         *[F.col(c).alias(prefix + c) for c in columns])
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(F.col(row_id)), F.lit(NULL_KEY_SALTS))).otherwise(F.lit(0))
-    left = df.withColumn("__salt", salt.cast("int"))
-    cond = (left[key] == picked["__run_id"]) & (left["__salt"] == picked["__salt"])
-    return left.join(picked, cond, how).drop("__run_id", "__salt")
+    picked = runs.select(F.col("id").alias("__run_id"), *[F.col(c).alias(prefix + c) for c in columns])
+    return left_join_spread_nulls(df, picked, key, "__run_id", row_id).drop("__run_id")
 
 
-def join_users(df: DataFrame, users: DataFrame, employee_col: str = "employee") -> DataFrame:
+def join_users(df: DataFrame, users: DataFrame, employee_col: str = "employee", row_id: str = "record_id") -> DataFrame:
     """LEFT JOIN users on employee number (O-JOIN-5), bringing name and initials.
 
     Users is a dimension; AQE turns this into a broadcast join at runtime when
@@ -35,4 +46,5 @@ def join_users(df: DataFrame, users: DataFrame, employee_col: str = "employee")
     """
     u = users.select(F.col("employee_number").alias("__emp"), F.col("full_name").alias("employee_name"),
                      F.col("initials").alias("user_initials"))
-    return df.join(u, df[employee_col] == u["__emp"], "left").drop("__emp")
+    rid = row_id if row_id in df.columns else "id"
+    return left_join_spread_nulls(df, u, employee_col, "__emp", rid).drop("__emp")

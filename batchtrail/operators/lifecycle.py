@@ -2,7 +2,7 @@
 
 The reference mutates rows one request at a time.  Here each rule is a
 deterministic function of an ordered log, computed with partitioned windows
-and aggregations; hot keys are split by day buckets (``running_sum_within``).
+and aggregations; hot keys are split by minute buckets (``running_sum_within``).
 Checks that the reference makes against the live database are made against
 the snapshot given to the job.
 """
@@ -16,23 +16,19 @@ from batchtrail.functions.labels import run_label
 from batchtrail.functions.text import clean, nonblank
 from batchtrail.operators.latest import latest_by
 from batchtrail.operators.runs import GROUP_COLUMNS, resolve_labels
-from batchtrail.operators.sequence import assign_ids, running_sum_within
+from batchtrail.operators.sequence import assign_ids, running_sum_within, time_bucket
 from batchtrail.sources.stages import RUN_STAGE_KEYS, stage_titles
 from batchtrail.sources.tables import parse_payload
 
 COMPLETE, DRAFT = "Complete", "Draft"
 
 
-def _day(c: str) -> Column:
-    return F.substring(F.col(c), 1, 10)
-
-
 # ------------------------------------------------------------- O-STATE-1/2
 
 def submit_islands(submits: DataFrame, keys: list[str], ts: str = "submitted_at", seq: str = "event_id") -> DataFrame:
     """Tag each submit with its entry number: Completes strictly before it in the key (gaps and islands)."""
     is_complete = (F.col("save_mode") == COMPLETE).cast("int")
-    return running_sum_within(submits, keys, [F.col(ts), F.col(seq)], _day(ts), is_complete, "entry_no",
+    return running_sum_within(submits, keys, [F.col(ts), F.col(seq)], time_bucket(ts), is_complete, "entry_no",
                               inclusive=False)
 
 
@@ -218,7 +214,7 @@ def derived_runs(runs: DataFrame, checked: DataFrame, base_id: int) -> DataFrame
     src = runs.select(F.col("id").alias("__sid"), "product_name", "shift_name", "notes")
     heads = first.join(src, F.col("f.source_run_id") == src["__sid"], "left")
     heads = assign_ids(heads, [F.col("f.requested_at"), F.col("f.request_id")],
-                       F.substring(F.col("f.requested_at"), 1, 10), base_id, "id")
+                       time_bucket("f.requested_at"), base_id, "id")
     lab = F.col("group_label")
     return heads.select(
         "id", lab.alias("batch_number"), F.when(F.col("action") == "split", lab).otherwise(F.lit("")).alias("split_batch_number"),
@@ -299,7 +295,7 @@ def create_or_reuse_runs(runs: DataFrame, requests: DataFrame, base_id: int) ->
     order = F.struct("requested_at", "request_id")
     fresh = (r.filter(F.col("existing_id").isNull()).groupBy("key")
              .agg(F.min_by(F.struct("request_id", "requested_at"), order).alias("f")))
-    fresh = assign_ids(fresh, [F.col("f.requested_at"), F.col("f.request_id")], F.substring(F.col("f.requested_at"), 1, 10),
+    fresh = assign_ids(fresh, [F.col("f.requested_at"), F.col("f.request_id")], time_bucket("f.requested_at"),
                        base_id, "new_id").select("key", "new_id", F.col("f.request_id").alias("creating_request"))
     out = r.join(fresh, "key", "left")
     action = (F.when(F.col("existing_id").isNotNull(), "reuse")

@@ -48,6 +48,13 @@ def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], b
     return running_sum_within(df, keys, order, bucket, F.lit(1), out).withColumn(out, F.col(out).cast("int"))
 
 
+def time_bucket(stamp_col: str) -> Column:
+    """Minute of a ``YYYY-MM-DDTHH:MM:SS`` stamp: monotone in the stamp, so it can split
+    a group ordered by time; a hot group spreads over its minutes, and the offset
+    table has one row per (key, minute)."""
+    return F.substring(F.col(stamp_col), 1, 16)
+
+
 def id_bucket(id_col: str, width: int = ID_BUCKET_WIDTH) -> Column:
     return F.floor(F.col(id_col) / F.lit(width))
 
