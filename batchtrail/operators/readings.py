@@ -76,6 +76,19 @@ def metric_range(values: DataFrame, by: list[str] | None = None) -> DataFrame:
                       F.when(same, F.col("hi") + 1).otherwise(F.col("hi")).alias("axis_max"))
 
 
+def metric_summary(values: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """O-AGG-6 and O-AGG-8 in one aggregation: count, then the finite range widened when flat."""
+    by = by or []
+    v = F.col("value")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    agg = values.filter(v.isNotNull()).groupBy(*by, "field").agg(
+        F.count(v).alias("value_count"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"))
+    same = F.col("lo") == F.col("hi")
+    return agg.select(*by, "field", "value_count",
+                      F.when(same, F.col("lo") - 1).otherwise(F.col("lo")).alias("axis_min"),
+                      F.when(same, F.col("hi") + 1).otherwise(F.col("hi")).alias("axis_max"))
+
+
 # ---------------------------------------------------------------------------
 # typed machines
 # ---------------------------------------------------------------------------

@@ -57,9 +57,7 @@ def performance_points(tables: ProcessTables, machine: str, start: str = "", end
 def performance_summary(tables: ProcessTables, machine: str, start: str = "", end: str = "") -> DataFrame:
     """One row per metric: non-NULL count and chart axis range."""
     merged = machine_performance(tables, machine, start, end)
-    counts = R.metric_counts(merged, ["machine"])
-    ranges = R.metric_range(merged, ["machine"])
-    return counts.join(ranges, ["machine", "field"], "left")
+    return R.metric_summary(merged, ["machine"])
 
 
 def _date_args(start: str, end: str) -> tuple[str, str]:
