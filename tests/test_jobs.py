@@ -112,3 +112,21 @@ def test_stage_metric_catalog(spark):
 def test_scratch_dirs_are_fresh():
     a, b = _scratch(), _scratch()
     assert a != b and os.path.isdir(a)
+
+
+def test_append_entries_prunes_months_and_replace_children(spark):
+    from batchtrail.sources import sinks
+    root = _scratch()
+    t = from_fixtures(spark, SMALL)
+    sinks.append_entries(t.filtration, f"{root}/filtration")
+    back = spark.read.parquet(f"{root}/filtration")
+    assert back.count() == t.filtration.count()
+    jan = back.filter(F.col("entry_month") == "2024-01")
+    plan = jan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(entry_month" in plan
+    rows = t.filtration_rows
+    edited = rows.select("filtration_entry_id").distinct().orderBy("filtration_entry_id").limit(3)
+    new = rows.join(edited, "filtration_entry_id", "left_semi").filter("row_no = 1")
+    out = sinks.replace_children(rows, edited, new)
+    kept = rows.join(edited, "filtration_entry_id", "left_anti").count()
+    assert out.count() == kept + new.count()
