@@ -26,7 +26,11 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
     """
     salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(F.col(row_id)), F.lit(NULL_KEY_SALTS))).otherwise(F.lit(0))
     lhs = left.withColumn("__salt_l", salt.cast("int"))
-    rhs = right.withColumn("__salt_r", F.lit(0))
+    # 0 on every right row, written as a hash expression the optimizer cannot
+    # evaluate at plan time: a literal 0 (or isnull(key), once the join implies
+    # the key is not null) is folded, the salt leaves the join keys and becomes a
+    # post-join filter, and every NULL-key row would go to one partition again
+    rhs = right.withColumn("__salt_r", F.pmod(F.xxhash64(F.col(right_key)), F.lit(1)).cast("int"))
     cond = (lhs[left_key] == rhs[right_key]) & (lhs["__salt_l"] == rhs["__salt_r"])
     return lhs.join(rhs, cond, "left").drop("__salt_l", "__salt_r")
 

@@ -41,3 +41,30 @@ def test_flagship_pushes_filters_and_prunes(spark):
     df = QUERIES["machine_performance"](spark, SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in text or "DataFilters" in text
+
+
+def test_null_run_keys_are_spread_in_sort_merge_joins(spark):
+    """Without broadcast, the NULL-key salt must be a partitioning key of the run join."""
+    from pyspark.sql import functions as F
+    from batchtrail.operators.joins import join_runs
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("run_id"))
+        runs = spark.range(50).select("id", F.col("id").cast("string").alias("run_number"))
+        j = join_runs(left, runs, ["run_number"])
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [run_id" in plan and "__salt_l" in plan.split("SortMergeJoin", 1)[1].splitlines()[0]
+        # the NULL-key third of the rows lands in many partitions, not one
+        sizes = j.filter(F.col("run_id").isNull()).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(sizes) > 1
+        assert j.count() == 3000
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
