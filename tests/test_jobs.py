@@ -130,3 +130,17 @@ def test_append_entries_prunes_months_and_replace_children(spark):
     out = sinks.replace_children(rows, edited, new)
     kept = rows.join(edited, "filtration_entry_id", "left_anti").count()
     assert out.count() == kept + new.count()
+
+
+def test_dashboard_shares_one_feed(spark):
+    from batchtrail.plans.dashboard import activity_dashboard
+    from batchtrail.operators import feeds as FD
+    t = from_fixtures(spark, SMALL)
+    d = activity_dashboard(spark, t, "2024-01-30T23:59:59", 48)
+    try:
+        assert d.feed.is_cached
+        assert d.machine_status.count() == 3
+        assert d.run_groups.count() == FD.run_groups(FD.activity_feed(t, "2024-01-30T23:59:59", 48, None)).count()
+        assert d.in_use.count() <= 10
+    finally:
+        d.release()
