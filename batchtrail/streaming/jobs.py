@@ -99,20 +99,25 @@ def _bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("key_bucket", F.pmod(F.xxhash64("run_id", "stage_key"), F.lit(FOLD_BUCKETS)).cast("int"))
 
 
-def draft_fold_stream(spark: SparkSession, submits_dir: str, log_path: str, entries_path: str, checkpoint: str):
+def draft_fold_stream(spark: SparkSession, submits_dir: str, log_path: str, entries_path: str, checkpoint: str,
+                      max_files_per_trigger: int | None = None):
     """Start O-STR-3: keep the folded sheet entries current as submits arrive."""
-    stream = spark.readStream.schema(SUBMIT_SCHEMA).parquet(submits_dir)
+    reader = spark.readStream.schema(SUBMIT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(submits_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         b = _bucket(batch)
-        # idempotent log append: a replayed batch rewrites its own folder
+        # idempotent log append: a replayed batch rewrites only its own (bucket, batch) folders
         b.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(log_path)
+            .partitionBy("key_bucket", "batch_id").parquet(log_path)
         touched = b.select("key_bucket").distinct()
-        log = _bucket(spark.read.parquet(log_path).drop("batch_id")).join(touched, "key_bucket", "left_semi")
-        folded = fold_drafts(log.drop("key_bucket"), ["run_id", "stage_key"])
+        # the log is partitioned by key bucket, so the semi join prunes to the touched folders
+        log = spark.read.parquet(log_path).join(touched, "key_bucket", "left_semi")
+        folded = fold_drafts(log.drop("key_bucket", "batch_id"), ["run_id", "stage_key"])
         _bucket(folded).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("key_bucket").parquet(entries_path)
 

@@ -62,8 +62,10 @@ def test_draft_fold_stream_equals_batch(spark):
     root = _scratch()
     submits = fixture(spark, SMALL, "fx_submits")
     submits.repartition(3).write.parquet(f"{root}/submits")
-    q = ST.draft_fold_stream(spark, f"{root}/submits", f"{root}/_log", f"{root}/_entries", f"{root}/_ckpt_fold")
+    q = ST.draft_fold_stream(spark, f"{root}/submits", f"{root}/_log", f"{root}/_entries", f"{root}/_ckpt_fold",
+                             max_files_per_trigger=1)
     q.awaitTermination(300)
+    assert len(q.recentProgress) >= 3  # one micro-batch per file: the merge is incremental
     got = spark.read.parquet(f"{root}/_entries").drop("key_bucket")
     want = LC.fold_drafts(submits)
     assert got.count() == want.count()
