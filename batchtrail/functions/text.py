@@ -70,7 +70,13 @@ def safe_filename(c: ColumnOrName, fallback: str = "item") -> Column:
 
 
 def photo_refs(c: ColumnOrName) -> Column:
-    """Upload references in a free-text photo field, ordered and distinct."""
+    """Upload references in a free-text photo field, ordered and distinct.
+
+    Text without ``static/uploads/`` cannot hold a reference, so the array
+    functions (evaluated outside generated code) only run on the rest.
+    """
     parts = F.transform(F.split(clean(c), r"[\r\n,]+"), lambda p: clean(p))
     rooted = F.transform(parts, lambda p: F.when(p.startswith("static/uploads/"), F.concat(F.lit("/"), p)).otherwise(p))
-    return F.array_distinct(F.filter(rooted, lambda p: p.startswith("/static/uploads/")))
+    refs = F.array_distinct(F.filter(rooted, lambda p: p.startswith("/static/uploads/")))
+    return F.when(F.coalesce(col(c), F.lit("")).contains("static/uploads/"), refs).otherwise(
+        F.array().cast("array<string>"))
