@@ -155,7 +155,7 @@ def group_label_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
     the source run is missing, when the target is the source itself, or when
     the target is not already a run of that kind carrying that label.
     """
-    req = requests.select("request_id", "action", F.trim("group_label").alias("group_label"), "source_run_id",
+    req = requests.select("request_id", "action", clean("group_label").alias("group_label"), "source_run_id",
                           "requested_at")
     src = runs.select(F.col("id").alias("__sid"))
     req = req.join(src, req["source_run_id"] == src["__sid"], "left")

@@ -56,7 +56,7 @@ def resolve_labels(runs: DataFrame, labels: DataFrame, label_col: str = "label")
     The reference's ``run_number = ? OR batch_number = ?`` becomes two
     equi-joins (a disjunctive join would be a nested loop), deduplicated.
     """
-    want = labels.select(F.trim(F.col(label_col)).alias("label")).filter(F.col("label") != "").distinct()
+    want = labels.select(clean(label_col).alias("label")).filter(F.col("label") != "").distinct()
     cand = runs.select("id", "run_number", "batch_number", "status", "updated_at")
     by_run = want.join(cand, want["label"] == cand["run_number"])
     by_batch = want.join(cand, want["label"] == cand["batch_number"])

@@ -44,7 +44,7 @@ def q_fold_standalone(spark, t, sf_dir):
 
 @query("fold_drafts_global", _fold_sql([]))
 def q_fold_global(spark, t, sf_dir):
-    """O-STATE-1 filtration rule: one global latest draft (day-bucketed, no single-task window)."""
+    """O-STATE-1 filtration rule: one global latest draft (minute-bucketed, no single-task window)."""
     return LC.fold_drafts(fixture(spark, sf_dir, "fx_submits"), [])
 
 
@@ -133,7 +133,7 @@ def q_finalize_runs(spark, t, sf_dir):
     return LC.finalize_runs(t.runs, fixture(spark, sf_dir, "fx_finalize_requests"), t.sheets)
 
 
-_CHECKED_SQL = """req AS (SELECT request_id, action, trim(group_label) AS group_label, source_run_id, requested_at FROM fx_group_requests),
+_CHECKED_SQL = """req AS (SELECT request_id, action, """ + Q.clean("group_label") + """ AS group_label, source_run_id, requested_at FROM fx_group_requests),
 lbl AS (SELECT DISTINCT group_label AS label FROM req WHERE group_label <> ''),
 cand AS (SELECT l.label, r.id, r.status, r.updated_at FROM lbl l JOIN fx_runs r ON r.run_number = l.label OR r.batch_number = l.label),
 tgt AS (SELECT label, id AS target_run_id FROM (SELECT *, row_number() OVER (PARTITION BY label

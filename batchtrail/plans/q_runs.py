@@ -67,7 +67,7 @@ def q_runs_by_ids(spark, t, sf_dir):
     return RU.runs_by_ids(t.runs, req, "source_run_id").select("id", run_label().alias("run_label"), "updated_at")
 
 
-@query("resolve_labels", """WITH w AS (SELECT DISTINCT trim(run_label) AS label FROM fx_run_requests WHERE trim(run_label) <> ''),
+@query("resolve_labels", f"""WITH w AS (SELECT DISTINCT {Q.clean('run_label')} AS label FROM fx_run_requests WHERE {Q.clean('run_label')} <> ''),
 c AS (SELECT w.label, r.id, r.run_number, r.batch_number, r.status, r.updated_at FROM w JOIN fx_runs r
       ON r.run_number = w.label OR r.batch_number = w.label),
 k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (status = 'Open') DESC, updated_at DESC NULLS LAST, id DESC) AS rn FROM c)
