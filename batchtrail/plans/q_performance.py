@@ -103,8 +103,8 @@ def _generic_cat(stage: str) -> str:
     return f"(SELECT * FROM {stage_columns_sql()} c WHERE c.stage_key = '{stage}' AND c.field NOT IN ({excluded}))"
 
 
-def _sheet_base(stage: str, start: str = "", end: str = "") -> str:
-    return f"""s AS (SELECT id AS entry_id, entry_date, created_at, {Q.payload_map()} AS m FROM fx_sheets
+def _sheet_base(stage: str, start: str = "", end: str = "", view: str = "fx_sheets") -> str:
+    return f"""s AS (SELECT id AS entry_id, entry_date, created_at, {Q.payload_map()} AS m FROM {view}
         WHERE stage_key = '{stage}' AND {Q.date_between(start, end)}),
 s2 AS (SELECT *, coalesce(nullif(m['entry_date'], ''), entry_date) AS date_src, {Q.eff_date()} AS eff FROM s)"""
 
@@ -112,9 +112,9 @@ s2 AS (SELECT *, coalesce(nullif(m['entry_date'], ''), entry_date) AS date_src,
 _CELL = r"^(.+?)_([1-9][0-9]*)_(.+)$"
 
 
-def _generic_sql(stage: str, start: str = "", end: str = "") -> str:
+def _generic_sql(stage: str, start: str = "", end: str = "", view: str = "fx_sheets") -> str:
     return f"""
-WITH {_sheet_base(stage, start, end)},
+WITH {_sheet_base(stage, start, end, view)},
 cells AS (SELECT entry_id, created_at, date_src, eff, m, unnest(map_keys(m)) AS k, unnest(map_values(m)) AS v FROM s2),
 parsed AS (SELECT *, regexp_extract(k, '{_CELL}', 1) AS table_prefix, regexp_extract(k, '{_CELL}', 2) AS row_text,
                   regexp_extract(k, '{_CELL}', 3) AS fld FROM cells),
@@ -138,17 +138,21 @@ def q_perf_concentration(spark, t, sf_dir):
     return P.machine_performance(t, "concentration")
 
 
-_POINTS_SQL = f"""
-WITH {_sheet_base('concentration')},
-grid AS (SELECT DISTINCT table_prefix, table_title, max_rows FROM {stage_columns_sql()} c WHERE c.stage_key = 'concentration'),
+def _points_sql(stage: str, view: str = "fx_sheets") -> str:
+    return f"""
+WITH {_sheet_base(stage, view=view)},
+grid AS (SELECT DISTINCT table_prefix, table_title, max_rows FROM {stage_columns_sql()} c WHERE c.stage_key = '{stage}'),
 pts AS (SELECT s2.entry_id, s2.created_at, s2.date_src, g.table_prefix, gs.row_no,
                s2.m[g.table_prefix || '_' || CAST(gs.row_no AS VARCHAR) || '_time'] AS row_time
         FROM s2 CROSS JOIN grid g CROSS JOIN LATERAL (SELECT unnest(generate_series(1, g.max_rows)) AS row_no) gs),
 x AS (SELECT DISTINCT {Q.point_time('date_src', 'row_time', 'created_at')} AS point_time, table_prefix, row_no FROM pts)
-SELECT 'concentration' AS machine, count(*) AS point_count FROM x WHERE point_time <> ''
+SELECT '{stage}' AS machine, count(*) AS point_count FROM x WHERE point_time <> ''
 """
 
 
+_POINTS_SQL = _points_sql("concentration")
+
+
 @query("performance_point_count", _POINTS_SQL)
 def q_point_count(spark, t, sf_dir):
     """O-AGG-7: points of the concentration chart, empty rows included (T11), counted exactly
@@ -217,3 +221,31 @@ WHERE p.row_text <> '' AND CAST(p.row_text AS INTEGER) <= c.max_rows
 def q_cells_long(spark, t, sf_dir):
     """O-RSH-1: sheet payloads exploded to configured table cells."""
     return R.cells_long(t.sheets, stage_columns(spark))
+
+
+# ---- every sheet machine over sheets carrying cells of all stages ----
+
+def _stage_sheet_tables(spark, sf_dir):
+    from batchtrail.sources.fixtures import fixture
+    from batchtrail.sources.process_tables import ProcessTables
+    from batchtrail.sources.tables import reconcile_schema
+    sheets = reconcile_schema(fixture(spark, sf_dir, "fx_stage_sheets"), "sheet_entries")
+    return ProcessTables(lambda name: sheets)
+
+
+def _register_stage_chart(stage: str) -> None:
+    def build(spark, t, sf_dir):
+        return P.machine_performance(_stage_sheet_tables(spark, sf_dir), stage)
+    build.__doc__ = f"O-RSH-8 for the {stage} sheet machine (generic path, T10/T13, rows past the table ignored)."
+    query(f"sheet_chart_{stage}", _generic_sql(stage, view="fx_stage_sheets"))(build)
+
+
+for _stage in ["clarifier", "concentration", "reconcentration", "h2o2_koh_decolorizing", "h2o2_calcium_decolorizing",
+               "centrifuge", "anion_exchange", "resistaid_anion_exchange", "carbon_treatment"]:
+    _register_stage_chart(_stage)
+
+
+@query("performance_point_count_clarifier", _points_sql("clarifier", "fx_stage_sheets"))
+def q_point_count_clarifier(spark, t, sf_dir):
+    """O-AGG-7 for a two-table stage (50 + 50 configured rows), exact count without listing."""
+    return R.generic_point_count(_stage_sheet_tables(spark, sf_dir).sheets, "clarifier")

@@ -165,6 +165,33 @@ SELECT event_id AS form_id, replace(substr(cast(ts as string),1,19),' ','T') AS
   '","row1_time":"09:00","row1_feed_rate":"', cast(event_id % 11 as string), '","row2_vacuum":"22","row3_concentrate_ri":"',
   CASE WHEN event_id % 2 = 0 THEN '' ELSE '31' END, '"}') AS form_json
 FROM events WHERE event_type = 'purchase'""",
+    # Sheets of every run-linked stage with cells of two chartable fields of one
+    # of its tables: a timed row, a second row (sometimes past the table's row
+    # count, which must be ignored), a payload date on some, and for resistaid /
+    # carbon a per-row `date` column that parses as a number (T13).
+    "fx_stage_sheets": """
+SELECT o_orderkey AS id, o_custkey % 150 AS run_id, st.stage_key, st.stage_title,
+ concat('E', cast(o_custkey % 40 as string)) AS employee,
+ CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('op', cast(o_custkey % 9 as string)) END AS operator_initials,
+ CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE substr(cast(o_orderdate as string),1,10) END AS entry_date,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'note' ELSE '' END AS comments,
+ concat('{"', st.prefix, '_', cast(o_orderkey % 12 + 1 as string), '_time":"', lpad(cast(o_custkey % 24 as string),2,'0'), ':', lpad(cast(o_orderkey % 60 as string),2,'0'),
+  '","', st.prefix, '_', cast(o_orderkey % 12 + 1 as string), '_', st.f1, '":"', CASE WHEN st.f1 = 'date' THEN substr(cast(o_orderdate as string),1,10) ELSE concat(cast(cast(floor(o_totalprice) as bigint) % 100 as string), ' %') END,
+  '","', st.prefix, '_', cast(CASE WHEN o_orderkey % 17 = 0 THEN 99 ELSE o_orderkey % 12 + 2 END as string), '_', st.f2, '":"', CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE concat('1,', lpad(cast(o_custkey % 1000 as string),3,'0')) END, '"',
+  CASE WHEN o_orderkey % 3 = 0 THEN concat(',"entry_date":"', substr(cast(o_orderdate as string),1,10), '"') ELSE '' END, '}') AS payload_json,
+ CASE WHEN o_orderstatus = 'O' THEN 'Draft' ELSE 'Complete' END AS completion_status,
+ concat(substr(cast(o_orderdate as string),1,10), 'T', lpad(cast(o_orderkey % 24 as string),2,'0'), ':', lpad(cast(o_custkey % 60 as string),2,'0'), ':00') AS created_at
+FROM orders JOIN (VALUES
+ (0, 'clarifier', 'Clarifier', 'clarifier_dia', 'feed_ri', 'retentate_ri'),
+ (1, 'concentration', 'Concentration', 'concentration', 'product_ri', 'gcv'),
+ (2, 'reconcentration', 'Reconcentration', 'reconcentration', 'product_ri', 'h2o2_ppm'),
+ (3, 'h2o2_koh_decolorizing', 'H2O2 - KOH Decolorizing', 'koh_h2o2', 'totalizer', 'net_add'),
+ (4, 'h2o2_calcium_decolorizing', 'H2O2 - Calcium Decolorizing', 'calcium_additions', 'scale_before', 'net_add_liquid_lb'),
+ (5, 'centrifuge', 'Centrifuge', 'centrifuge', 'h2o2_added', 'back_pressure'),
+ (6, 'anion_exchange', 'Anion Exchange', 'anion_exchange', 'product_ri', 'output_ri'),
+ (7, 'resistaid_anion_exchange', 'ResistAid Anion Exchange', 'resistaid', 'date', 'product_ri'),
+ (8, 'carbon_treatment', 'Carbon Treatment', 'carbon_monitoring', 'date', 'vessel_a_ri')
+) AS st(k, stage_key, stage_title, prefix, f1, f2) ON st.k = o_orderkey % 9""",
     # The four entry tables and the users table in their own shapes (stored
     # state after the status backfill of O-SRC-3).
     "fx_extraction": """
