@@ -29,7 +29,8 @@ def test_plan_shape(spark, key):
 # k rows); contiguous id assignment runs its offsets window over per-day bucket
 # totals (one row per day).  Everything else must stay distributed.
 _SINGLE_ROW_OK = {
-    "run_stats", "search_total", "performance_point_count", "performance_point_count_filtration", "media_counts",
+    "run_stats", "search_total", "performance_point_count", "performance_point_count_filtration",
+    "performance_point_count_clarifier", "media_counts",
     "correction_counts", "latest_drafts", "fold_drafts_global", "derived_runs", "create_or_reuse_runs",
     "recent_runs", "recent_open_runs", "runs_page", "recent_blend_labels", "recent_split_labels", "activity_feed",
     "in_use_items", "extraction_listing", "filtration_listing", "clarifier_listing", "change_history",
