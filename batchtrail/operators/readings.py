@@ -298,31 +298,26 @@ def generic_point_count(sheets: DataFrame, stage_key: str, start: str = "", end:
 
 
 def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str = "") -> DataFrame:
-    """Numeric cells of the stage's chartable fields, tagged with their point."""
-    tables = {p: (t, n) for p, t, n in stage_tables(stage_key)}
-    metrics = stage_metric_fields(stage_key)
-    allowed = F.array(*[F.lit(f"{p}::{f}") for p, f, _k, _l in metrics])
-    max_rows = F.create_map(*[x for p, (_t, n) in tables.items() for x in (F.lit(p), F.lit(n))])
+    """Numeric cells of the stage's chartable fields, tagged with their point.
+
+    Payload cells are exploded once and matched by an equi-join with the
+    broadcast table of the stage's chartable cell keys (bounded by
+    configuration: rows x columns of its tables), so no regex or array
+    function runs per cell; keys past a table's row count never match.
+    """
+    from batchtrail.sources.stages import stage_cell_keys
+    spark = sheets.sparkSession
     e = (_sheet_entries(sheets, stage_key, start, end).filter(has_point_time("date_src", "created_at"))
          .withColumn("times", _row_times(F.col("payload"))))
-
-    def parse(entry):
-        k = entry["key"]
-        return F.struct(F.regexp_extract(k, CELL_KEY, 1).alias("table_prefix"),
-                        F.regexp_extract(k, CELL_KEY, 2).alias("row_text"),
-                        F.regexp_extract(k, CELL_KEY, 3).alias("field"),
-                        entry["value"].alias("text"))
-
-    parsed = F.transform(F.map_entries(F.col("payload")), parse)
-    kept = F.filter(parsed, lambda c: F.array_contains(allowed, F.concat(c["table_prefix"], F.lit("::"), c["field"]))
-                    & (c["row_text"].try_cast("int") <= F.try_element_at(max_rows, c["table_prefix"])))
-    with_time = F.transform(kept, lambda c: F.struct(
-        c["table_prefix"].alias("table_prefix"), c["row_text"].try_cast("int").alias("row_no"),
-        F.concat(c["table_prefix"], F.lit("::"), c["field"]).alias("field"), c["text"].alias("text"),
-        F.try_element_at(F.col("times"), F.concat(c["table_prefix"], F.lit("_"), c["row_text"])).alias("row_time")))
-    cells = e.select("created_at", "date_src", "ord", F.inline(with_time))
-    valued = cells.withColumn("value", parse_numeric("text")).filter(F.col("value").isNotNull())
-    timed = with_point_time(valued, "date_src", "row_time", "created_at")
+    cells = e.select("created_at", "date_src", "ord", "times", F.explode("payload").alias("key", "text"))
+    keys = F.broadcast(stage_cell_keys(spark)
+                       .filter((F.col("stage_key") == stage_key) & ~F.col("field").isin(NON_METRIC_FIELDS))
+                       .select("key", "table_prefix", F.col("row_no").cast("int").alias("row_no"),
+                               F.concat_ws("::", "table_prefix", "field").alias("field")))
+    matched = cells.join(keys, "key")
+    valued = matched.withColumn("value", parse_numeric("text")).filter(F.col("value").isNotNull())
+    row_time = F.try_element_at(F.col("times"), F.concat(F.col("table_prefix"), F.lit("_"), F.col("row_no").cast("string")))
+    timed = with_point_time(valued.withColumn("row_time", row_time), "date_src", "row_time", "created_at")
     return timed.select(F.lit(stage_key).alias("machine"), "point_time", _generic_label(stage_key).alias("point_label"),
                         F.lit(None).cast("long").alias("entry_id"), "table_prefix", "row_no", "ord",
                         "field", "value")
