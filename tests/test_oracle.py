@@ -3,15 +3,17 @@
 import pytest
 
 import __spark_entry__ as entry
+from batchtrail.plans.registry import all_oracle_sql, all_queries
 from tests.conftest import SMALL
 from tests.util import canon
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = all_queries()
+ORACLE = all_oracle_sql()
 
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
