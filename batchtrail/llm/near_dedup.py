@@ -34,8 +34,12 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 36
 ROWS = 7
-#: A pair is verified if its signatures agree this much less than the threshold (4 standard deviations of the estimate).
+#: Registers added to the signatures of texts that share a bucket, so that fewer pairs need their texts.
+REFINED = 768
+#: A pair is out if its signatures agree this much less than the threshold: 4 standard deviations of the
+#: estimate from the band registers alone, and from all registers.
 MARGIN = 0.1
+REFINED_MARGIN = 0.05
 #: Members of a bucket that one tile holds on a side.
 TILE = 1024
 
@@ -110,9 +114,10 @@ def _blocks(sizes: np.ndarray, most: int = 100_000, texts: int = 512) -> Iterato
         start = stop
 
 
-def text_registers(texts: pa.Array, m: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(registers, whether the text has any shingle)."""
+def text_registers(texts: pa.Array, m: int, words: int = WORDS, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, whether the text has any shingle); another ``salt`` gives independent registers."""
     group, shingle, weight = weighted_shingles(texts, words)
+    shingle = mix64(shingle ^ _U(salt)) if salt else shingle
     sizes = np.bincount(group, minlength=len(texts))
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     out = np.zeros((len(texts), m), dtype=_U)
@@ -156,6 +161,20 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     return docs.select("id", "sha", "text").mapInArrow(run, "id long, sha binary, sig binary, keys array<long>")
 
 
+def refined(rows: DataFrame, words: int = WORDS, more: int = REFINED) -> DataFrame:
+    """``rows(node, text, sig)`` with ``more`` registers added to ``sig``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column("text")):
+                part = batch.slice(start, stop - start)
+                regs = (text_registers(part.column("text"), more, words, salt=1)[0] >> _U(56)).astype(np.uint8)
+                sigs = [s + r.tobytes() for s, r in zip(part.column("sig").to_pylist(), regs)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), pa.array(sigs, pa.binary())],
+                                                 names=["node", "text", "sig"])
+
+    return rows.select("node", "text", "sig").mapInArrow(run, "node long, text string, sig binary")
+
+
 # ------------------------------------------------------------------ similarity
 
 def shingle_counts(text: str, words: int = WORDS) -> Counter:
@@ -220,7 +239,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float,
 
     left, right = both(sigs, "sig")
     near = (pairs.join(left, "a").join(right, "b")
-            .where(agreement("x", "y") >= F.lit(least - MARGIN)).select("a", "b"))
+            .where(agreement("x", "y") >= F.lit(least - REFINED_MARGIN)).select("a", "b"))
     left, right = both(texts, "text")
     return near.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
 
@@ -242,11 +261,11 @@ def _central_pairs(shared: DataFrame) -> DataFrame:
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
-def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, every: bool) -> DataFrame:
+def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, m: int, every: bool) -> DataFrame:
     """Pairs of one bucket in different components whose signatures agree.
 
     A bucket is cut into blocks of about ``TILE`` members, and two blocks meet in
-    one tile.  ``every=False`` gives each component its best pair of the tile
+    one tile; the ``m`` band registers of all pairs are compared, all registers of those that pass.  ``every=False`` gives each component its best pair of the tile
     (linear output), ``every=True`` all pairs.
     """
     now = (shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -260,8 +279,6 @@ def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: fl
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                     "block", "node", "label")
             .join(sigs.select("node", "sig"), "node"))
-    floor = least - MARGIN
-
     def tile(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
         node, label, block = part["node"].to_numpy(), part["label"].to_numpy(), part["block"].to_numpy()
@@ -273,16 +290,20 @@ def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: fl
         for start in range(0, len(left), 64):
             rows_ = left[start:start + 64]
             agree = np.zeros((len(rows_), len(right)), dtype=np.int32)
-            for k in range(0, sig.shape[1], 36):
-                agree += (sig[rows_][:, None, k:k + 36] == sig[right][None, :, k:k + 36]).sum(axis=2, dtype=np.int32)
-            near = _agreement(agree / sig.shape[1])
-            ok = (near >= floor) & (label[rows_][:, None] != label[right][None, :])
+            for k in range(0, m, 36):
+                agree += (sig[rows_][:, None, k:min(m, k + 36)] == sig[right][None, :, k:min(m, k + 36)]).sum(axis=2, dtype=np.int32)
+            ok = (_agreement(agree / m) >= least - MARGIN) & (label[rows_][:, None] != label[right][None, :])
             if not split:
                 ok &= node[rows_][:, None] < node[right][None, :]
             x, y = np.nonzero(ok)
+            near = np.zeros(len(x))
+            for k in range(0, len(x), 4096):
+                near[k:k + 4096] = _agreement((sig[rows_[x[k:k + 4096]]] == sig[right[y[k:k + 4096]]]).mean(axis=1))
+            fine = near >= least - REFINED_MARGIN
+            x, y, near = x[fine], y[fine], near[fine]
             if not len(x):
                 continue
-            found = pd.DataFrame({"p": label[rows_[x]], "q": label[right[y]], "s": near[x, y],
+            found = pd.DataFrame({"p": label[rows_[x]], "q": label[right[y]], "s": near,
                                   "a": node[rows_[x]], "b": node[right[y]]})
             if not every:
                 one = found.sort_values("s", ascending=False).drop_duplicates("p")
@@ -345,17 +366,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(members.join(sizes, "key"), "shared")
-    sigs = nodes.select("node", "sig")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", _row_key("sha", "id"))
-    texts = stored(base.select("text", _row_key("sha", "id")).join(wanted, "row").dropDuplicates(["row"])
-                   .select("node", "text"), "texts")
+    wanted = (nodes.join(shared.select("node").distinct(), "node", "left_semi")
+              .select("node", "sig", _row_key("sha", "id")))
+    full = stored(refined(base.select("text", _row_key("sha", "id")).join(wanted, "row").dropDuplicates(["row"]), words),
+                  "full")
+    sigs, texts = full.select("node", "sig"), full.select("node", "text")
 
     pairs = stored(_central_pairs(shared), "pairs")
     links = stored(_verified(pairs, sigs, texts, least, words), "links")
     labels = components(links)
     tried = pairs
     for every in (False, True):
-        more = stored(_tile_pairs(shared, labels, sigs, least, every).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = stored(_tile_pairs(shared, labels, sigs, least, bands * rows, every).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             if every:
                 break
