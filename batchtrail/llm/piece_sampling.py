@@ -18,12 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 from sentencepiece import SentencePieceProcessor
 
 from batchtrail.llm.common import mix64, slices, text_of, unit_floats
@@ -35,7 +34,7 @@ _U = np.uint64
 _BASE = _U(0x100000001B3)
 _SLOTS = 18  # bits of a hash that lead to its place in a table
 _BYTE = 0x110000  # symbols from here on are bytes
-_SLICE = 6 << 20
+_SLICE = 4 << 20
 
 
 class Pieces:
@@ -76,7 +75,7 @@ class Pieces:
                 begun.add(h)  # beginnings of pieces: a substring that begins no piece is not grown further
             hashes[k] = h
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.logs = hashes[order], ids[order], logs[order]
+        self.hashes, self.ids, self.logs = hashes[order], ids[order].astype(np.int32), logs[order].astype(np.float32)
         self.begun, self._slots = np.array(sorted(begun), dtype=_U), {}
         for name, table in (("begun", self.begun), ("hashes", self.hashes)):
             self._slots[name] = np.searchsorted(table, np.arange((1 << _SLOTS) + 1, dtype=np.float64) * 2.0 ** (64 - _SLOTS)).astype(np.int32)
@@ -135,35 +134,34 @@ class Lattice:
     """Edges of the lattices of many units, with the forward weights filtered."""
 
     def __init__(self, pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray):
-        self.lengths = lengths
-        self.states = np.concatenate(([0], np.cumsum(lengths + 1)))  # state of (unit, 0)
-        unit = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(symbols)) - (np.cumsum(lengths) - lengths)[unit]
-        left = lengths[unit] - place
+        self.states = np.concatenate(([0], np.cumsum(lengths + 1))).astype(np.int32)  # state of (unit, 0)
+        starts = np.cumsum(lengths) - lengths
+        place = (np.arange(len(symbols)) - np.repeat(starts, lengths)).astype(np.int32)
+        state = place + np.repeat(self.states[:-1], lengths)
+        left = np.repeat(lengths, lengths).astype(np.int32) - place
         mixed = mix64(symbols.astype(_U) + _U(1))
         h = np.zeros(len(symbols), dtype=_U)
-        begin, size, ids, logs = [], [], [], []
-        alive = np.arange(len(symbols))
+        source, target, end, ids, logs = [], [], [], [], []
+        alive = np.arange(len(symbols), dtype=np.int32)
         for n in range(1, pieces.longest + 1):
             alive = alive[left[alive] >= n]
             if not len(alive):
                 break
-            h[alive] = h[alive] * _BASE + mixed[alive + n - 1]
-            at = pieces.find("hashes", h[alive])
-            hit = at >= 0
-            begin.append(alive[hit])
-            size.append(np.full(int(hit.sum()), n, dtype=np.int32))
-            ids.append(pieces.ids[at[hit]])
-            logs.append(pieces.logs[at[hit]])
-            alive = alive[pieces.find("begun", h[alive]) >= 0]
-        begin, size = np.concatenate(begin or [np.zeros(0, np.int64)]), np.concatenate(size or [np.zeros(0, np.int64)])
-        ids, logs = np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(logs or [np.zeros(0)])
-        source = self.states[unit[begin]] + place[begin]
-        target = source + size
-        end = place[begin] + size
+            grown = h[alive] * _BASE + mixed[alive + (n - 1)]
+            h[alive] = grown
+            at = pieces.find("hashes", grown)
+            hit = np.flatnonzero(at >= 0)
+            at, begin = at[hit], alive[hit]
+            source.append(state[begin])
+            target.append(source[-1] + np.int32(n))
+            end.append(place[begin] + np.int32(n))
+            ids.append(pieces.ids[at])
+            logs.append(pieces.logs[at])
+            alive = alive[pieces.find("begun", grown) >= 0]
+        source, target, end, ids, logs = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(
+            (source, target, end, ids, logs), (np.int32, np.int32, np.int32, np.int32, np.float32)))
         order = np.argsort(target, kind="stable")  # incoming edges of a state side by side
-        self.source, self.ids, into, end = source[order], ids[order], target[order], end[order]
-        logs = logs[order]
+        self.source, self.ids, into, end, logs = source[order], ids[order], target[order], end[order], logs[order]
         # all units advance together, position by position
         turn = np.argsort(end.astype(np.uint16) if end.max(initial=0) < 1 << 16 else end, kind="stable")
         source, target, end, logs = self.source[turn], into[turn], end[turn], logs[turn]
@@ -176,37 +174,40 @@ class Lattice:
                 continue
             weight = forward[source[a:b]] + logs[a:b]
             first = np.flatnonzero(np.concatenate(([True], target[a + 1:b] != target[a:b - 1])))
+            width = np.diff(np.concatenate((first, [b - a])))
             top = np.maximum.reduceat(weight, first)
-            group = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [b - a]))))
-            grown = np.exp(weight - top[group])
+            grown = np.exp(weight - np.repeat(top, width))
             total = np.add.reduceat(grown, first)
             forward[target[a:b][first]] = top + np.log(total)
-            chance[a:b] = grown / total[group]
-        self.total = forward[self.states[1:] - 1]
-        # the chances of a state's incoming edges, cumulated above the state's number
+            chance[a:b] = grown / np.repeat(total, width)
+        # the chances of a state's incoming edges, cumulated; the last one is reached by any draw
         cumulated = np.empty(len(chance))
         cumulated[turn] = chance
-        target, chance = into, cumulated
-        first = np.searchsorted(target, np.arange(len(forward) + 1))
-        run = np.cumsum(chance)
-        base = np.concatenate(([0.0], run))[first[target]]
-        self.ceiling = target + np.minimum(run - base, 1.0)
-        if len(target):
-            self.ceiling[first[1:][np.diff(first) > 0] - 1] = target[first[1:][np.diff(first) > 0] - 1] + 1.0
+        self.first = np.searchsorted(into, np.arange(len(forward) + 1, dtype=np.int32)).astype(np.int32)
+        run = np.concatenate(([0.0], np.cumsum(cumulated)))
+        self.ceiling = (run[1:] - run[self.first[into]]).astype(np.float32)
+        self.ceiling[self.first[1:][np.diff(self.first) > 0] - 1] = 2.0
 
     def sample(self, units: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all occurrences in order, number of pieces of each) for occurrences of ``units``."""
-        state = self.states[units + 1] - 1
-        floor = self.states[units]
+        order = np.argsort(units, kind="stable")  # occurrences of a unit side by side: neighbours in memory
+        floor = self.states[units[order]]
+        state = self.states[units[order] + 1] - 1
+        seeds = seeds[order]
         on = np.flatnonzero(state > floor)
         count = np.zeros(len(units), dtype=np.int64)
         who, drawn, step = [], [], 0
         while len(on):
-            u = unit_floats(mix64(seeds[on] + _U((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-            edge = np.searchsorted(self.ceiling, state[on] + u, side="right")
-            who.append(on)
+            u = unit_floats(mix64(seeds[on] + _U((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))).astype(np.float32)
+            edge = self.first[state[on]]
+            more = np.flatnonzero(self.ceiling[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[self.ceiling[edge[more]] <= u[more]]
+            rows = order[on]
+            who.append(rows.astype(np.int32))
             drawn.append(self.ids[edge])
-            count[on] += 1
+            count[rows] += 1
             state[on] = self.source[edge]
             on = on[state[on] > floor[on]]
             step += 1
@@ -264,9 +265,18 @@ def encode(docs: DataFrame, model: bytes, key_col: str = "doc_id", text_col: str
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text that the ids spell, ``out``; null ids are none.  Bytes that are no UTF-8 become U+FFFD."""
-    @pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        table = _pieces(model, ALPHA).bytes
-        return ids.map(lambda x: b"".join([table[i] for i in x]).decode("utf-8", "replace")).astype(object)
+    kept = rows.drop(out)
+    schema = StructType([*kept.schema.fields, StructField(out, StringType())])
 
-    return rows.withColumn(out, text(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.array(_pieces(model, ALPHA).bytes, dtype=object)
+        for whole in batches:
+            for start in range(0, len(whole), 1024):
+                batch = whole.slice(start, 1024)
+                texts = []
+                for ids in batch.column(ids_col):
+                    ids = np.zeros(0, np.int32) if not ids.is_valid else ids.values.to_numpy()
+                    texts.append(b"".join(table[ids].tolist()).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+
+    return kept.mapInArrow(run, schema)
