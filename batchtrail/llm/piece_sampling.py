@@ -15,6 +15,7 @@ normalised, so decoding gives back the text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,7 @@ class Pieces:
                 h = (h * int(_BASE) + mixed[int(x)]) & 0xFFFFFFFFFFFFFFFF
                 begun.add(h)  # beginnings of pieces: a substring that begins no piece is not grown further
             hashes[k] = h
+        self.table = np.array(self.bytes, dtype=object)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.logs = hashes[order], ids[order].astype(np.int32), logs[order].astype(np.float32)
         self.begun, self._slots = np.array(sorted(begun), dtype=_U), {}
@@ -240,6 +242,11 @@ def sampled_ids(pieces: Pieces, texts: pa.Array, keys: np.ndarray) -> tuple[np.n
     return ids, np.bincount(row, count, minlength=len(sizes)).astype(np.int64)
 
 
+def _keyed(docs: DataFrame, key_col: str, text_col: str, seed: int) -> DataFrame:
+    return docs.select(F.col(key_col).alias("key"), F.xxhash64(F.col(key_col), F.lit(seed)).alias("seed"),
+                       text_of(text_col).alias("text"))
+
+
 def encode(docs: DataFrame, model: bytes, key_col: str = "doc_id", text_col: str = "text", seed: int = 0,
            alpha: float = ALPHA) -> DataFrame:
     """``(key, text, ids)`` per row of ``docs``: one sampled segmentation of the whole text.
@@ -259,8 +266,38 @@ def encode(docs: DataFrame, model: bytes, key_col: str = "doc_id", text_col: str
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("text"), lists], names=["key", "text", "ids"])
 
-    return (docs.select(F.col(key_col).alias("key"), F.xxhash64(F.col(key_col), F.lit(seed)).alias("seed"), text_of(text_col).alias("text"))
-            .mapInArrow(run, f"key {kind}, text string, ids array<int>"))
+    return _keyed(docs, key_col, text_col, seed).mapInArrow(run, f"key {kind}, text string, ids array<int>")
+
+
+def spelled(pieces: Pieces, ids: np.ndarray) -> str:
+    """The text of a run of ids; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(pieces.table[ids].tolist()).decode("utf-8", "replace")
+
+
+def round_trip(docs: DataFrame, model: bytes, key_col: str = "doc_id", text_col: str = "text", seed: int = 0,
+               alpha: float = ALPHA) -> DataFrame:
+    """``(key, n_pieces, ids_sha256, lossless)`` per row: size and digest (little-endian 32-bit ids) of what ``encode``
+    gives, and whether decoding spells the text.  The ids are decoded where they are sampled and don't leave the task."""
+    kind = docs.schema[key_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(model, alpha)
+        for batch in batches:
+            for start, stop in slices(batch.column("text"), _SLICE):
+                part = batch.slice(start, stop - start)
+                keys = part.column("seed").to_numpy(zero_copy_only=False).view(_U)
+                ids, sizes = sampled_ids(pieces, part.column("text"), keys)
+                digests, lossless, at = [], [], 0
+                for n, text in zip(sizes.tolist(), part.column("text")):
+                    own = ids[at:at + n]
+                    digests.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
+                    lossless.append(spelled(pieces, own) == text.as_py())
+                    at += n
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
+                                                  pa.array(lossless, pa.bool_())],
+                                                 names=["key", "n_pieces", "ids_sha256", "lossless"])
+
+    return _keyed(docs, key_col, text_col, seed).mapInArrow(run, f"key {kind}, n_pieces long, ids_sha256 string, lossless boolean")
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -269,14 +306,14 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "deco
     schema = StructType([*kept.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(_pieces(model, ALPHA).bytes, dtype=object)
+        pieces = _pieces(model, ALPHA)
         for whole in batches:
             for start in range(0, len(whole), 1024):
                 batch = whole.slice(start, 1024)
                 texts = []
                 for ids in batch.column(ids_col):
                     ids = np.zeros(0, np.int32) if not ids.is_valid else ids.values.to_numpy()
-                    texts.append(b"".join(table[ids].tolist()).decode("utf-8", "replace"))
+                    texts.append(spelled(pieces, ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)

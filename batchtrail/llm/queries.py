@@ -154,11 +154,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every document: its size, a digest of its ids and whether they spell the text."""
-    model = _file("piece_bpe_32k.model")
-    rows = piece_sampling.decode(piece_sampling.encode(_read(spark, sf_dir, "documents"), model), model)
-    return rows.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                       (F.col("decoded") == F.col("text")).alias("lossless"))
+    rows = piece_sampling.round_trip(_read(spark, sf_dir, "documents"), _file("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("key", "doc_id")
 
 
 def op10_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
