@@ -92,8 +92,13 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         lists = lists.combine_chunks()
     offsets = lists.offsets.to_numpy().astype(np.int64)
     words = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # the kernel gives an empty word at either end
+    if not some.all():
+        offsets = np.concatenate(([0], np.cumsum(some)))[offsets]
+        words = words.filter(pa.array(some))
     coded = words.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False), offsets, coded.dictionary
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -152,10 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__y").dropDuplicates(["__id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        table = table.sort_by("__id")
+        table = pa.Table.from_batches(held).sort_by("__id")
         model = fit(table.column("__text").to_pylist(), table.column("__y").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
