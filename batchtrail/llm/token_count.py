@@ -28,7 +28,7 @@ from batchtrail.llm.common import ranges, slices, stored, text_of
 #: Pre-tokens whose piece counts are sent to every task (about 5 MB).
 HEAD = 200_000
 LIMIT = 2048
-_SLICE = 8 << 20
+_SLICE = 6 << 20
 
 
 @lru_cache(maxsize=2)
@@ -51,27 +51,54 @@ def _pre_tokens(tokenizer: Tokenizer, special: list[str], word: str) -> list[str
     return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
 
+def _all_pre_tokens(tokenizer: Tokenizer, words: list[str]) -> tuple[list[str], np.ndarray]:
+    """(pre-tokens of all words in order, number of pre-tokens of each).
+
+    Words are joined by a space and cut together, which saves a call per word; a chunk
+    in which that would not keep the words apart (special tokens, rarer white space
+    inside a word, another number of words after normalising) is cut word by word.
+    """
+    special = _special(tokenizer)
+    flat: list[str] = []
+    sizes = np.zeros(len(words), dtype=np.int64)
+    for start in range(0, len(words), 2048):
+        chunk = words[start:start + 2048]
+        joined = " ".join(chunk)
+        if tokenizer.normalizer is not None:
+            joined = tokenizer.normalizer.normalize_str(joined)
+        parts = joined.split(" ")
+        found = None
+        if len(parts) == len(chunk) and "" not in parts and not any(t in joined or t in " ".join(chunk) for t in special):
+            found = tokenizer.pre_tokenizer.pre_tokenize_str(joined)
+            begin = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
+            first = np.fromiter((o[0] for _, o in found), dtype=np.int64, count=len(found))
+            last = np.fromiter((o[1] for _, o in found), dtype=np.int64, count=len(found))
+            of = np.searchsorted(begin, first, side="right") - 1
+            if (last < begin[of + 1]).all():
+                flat.extend(p for p, _ in found)
+                sizes[start:start + len(chunk)] = np.bincount(of, minlength=len(chunk))
+                continue
+        for k, word in enumerate(chunk, start):
+            own = _pre_tokens(tokenizer, special, word) if word else []
+            flat.extend(own)
+            sizes[k] = len(own)
+    return flat, sizes
+
+
 class _PreTokens:
     """Distinct pre-tokens of some texts and, per text, which of them stand where."""
 
     def __init__(self, spec: str, texts: pa.Array):
-        tokenizer = _tokenizer(spec)
-        special = _special(tokenizer)
         lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        names: dict[str, int] = {}
-        flat: list[int] = []
-        sizes = np.zeros(len(words.dictionary), dtype=np.int64)
-        for k, word in enumerate(words.dictionary.to_pylist()):
-            found = _pre_tokens(tokenizer, special, word) if word else []
-            sizes[k] = len(found)
-            flat.extend(names.setdefault(p, len(names)) for p in found)
+        flat, sizes = _all_pre_tokens(_tokenizer(spec), words.dictionary.to_pylist())
+        coded = pa.array(flat, pa.string()).dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
-        self.names = list(names)
-        self.code = np.asarray(flat, dtype=np.int64)[ranges(starts[codes], sizes[codes])]
+        starts = np.cumsum(sizes) - sizes
+        self.names = coded.dictionary
+        self.code = coded.indices.to_numpy(zero_copy_only=False)[ranges(starts[codes], sizes[codes])].astype(np.int64)
         per_word = np.concatenate(([0], np.cumsum(sizes[codes])))
         self.offsets = per_word[offsets]
 
@@ -84,7 +111,7 @@ def corpus_frequencies(docs: DataFrame, spec: str) -> DataFrame:
             for start, stop in slices(texts, _SLICE):
                 got = _PreTokens(spec, texts.slice(start, stop - start))
                 n = np.bincount(got.code, minlength=len(got.names))
-                yield pa.RecordBatch.from_arrays([pa.array(got.names, pa.string()), pa.array(n, pa.int64())],
+                yield pa.RecordBatch.from_arrays([got.names, pa.array(n, pa.int64())],
                                                  names=["pre_token", "n"])
 
     return (docs.select("text").mapInArrow(run, "pre_token string, n long")
@@ -125,7 +152,7 @@ def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str
             for start, stop in slices(batch.column("text"), _SLICE):
                 part = batch.slice(start, stop - start)
                 got = _PreTokens(spec, part.column("text"))
-                place = pc.index_in(pa.array(got.names, pa.string()), names)
+                place = pc.index_in(got.names, names)
                 place = place.fill_null(len(pieces) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(len(part)), np.diff(got.offsets))
                 where = place[got.code] if len(got.code) else np.zeros(0, np.int64)
@@ -135,7 +162,7 @@ def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str
                 of, code = np.divmod(key, max(len(got.names), 1))
                 ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part))))).astype(np.int32)
                 rare = pa.StructArray.from_arrays(
-                    [pa.array(got.names, pa.string()).take(pa.array(code)), pa.array(times, pa.int64())], ["pre_token", "times"])
+                    [got.names.take(pa.array(code)), pa.array(times, pa.int64())], ["pre_token", "times"])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("n_bytes"), pa.array(resolved, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), rare),
