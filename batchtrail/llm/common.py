@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a re-read, not the work before."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/batchtrail/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -188,7 +188,20 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Of the edited text's fingerprint only the root and what follows the beginning it shares are written between the steps.
+_ROW = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_root string, shared int, edited_rest string, "
+        "near_edited double, near_next double")
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+_ROOT = 32
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
 
 
 class _Compared:
@@ -207,8 +220,9 @@ class _Compared:
         own = self._print(text)
         changed = edited_text(text, following)
         after = own if changed == text else self._made.fingerprint(changed)
-        return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, after,
-                likeness(own, after), likeness(own, self._print(following)))
+        same = _shared(own[_ROOT:], after[_ROOT:])
+        return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own,
+                after[:_ROOT], same, after[_ROOT + same:], likeness(own, after), likeness(own, self._print(following)))
 
 
 def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,8 +245,7 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(),
-                                                            *[pa.string()] * 3, pa.float64(), pa.float64()])],
+                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.string(), pa.string(), *_TYPES])],
                 names=["part", "role", "text", *names])
 
         none = (None,) * (len(names) - 1)
@@ -254,7 +267,7 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one number per range goes through the driver
     parts = sorted(r["part"] for r in done.where("role = 'first'").select("part").collect())
     if not parts:
-        return done.select(*names)
+        return _whole(done)
     follows = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next int")
     firsts = done.where("role = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     lasts = (done.where("role = 'last'").select("part", "doc_id", "text").join(follows, "part").join(firsts, "next")
@@ -265,7 +278,11 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = [_Compared().row(*r.values()) for r in batch.to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(),
-                                                                pa.float64()])], names=names)
+                    [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=names)
+
+    return _whole(done.where("role = 'row'").select(*names).unionByName(lasts.mapInArrow(close, _ROW)))
+
 
-    return done.where("role = 'row'").select(*names).unionByName(lasts.mapInArrow(close, _ROW))
+def _whole(rows: DataFrame) -> DataFrame:
+    edited = F.concat("edited_root", F.substring("fingerprint", F.lit(_ROOT + 1), F.col("shared")), "edited_rest")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", edited.alias("edited_fingerprint"), "near_edited", "near_next")
