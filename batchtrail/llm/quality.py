@@ -28,19 +28,17 @@ THRESHOLD = 0.5
 def measures(text: Column) -> list[Column]:
     """Length-free measures of a text, all 0 for the empty text."""
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    words = F.split(text, " ")
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
 
     def share(chars: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, chars, ""))) / size
+        return F.regexp_count(text, F.lit(chars)) / size
 
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / size
+    odd, loud, bars, upper = share(r"[#$%&*@^~<>{}\[\]\\=_+]"), share("[!?]"), share("[|]"), share(r"\p{Lu}")
+    distinct = F.size(F.array_distinct(words)) / n
     return [
-        share("#$%&*@^~<>{}[]\\=_+"), share("!?"), share("|"), share("0123456789"), share(" \t\n\r"),
-        upper, share(".,;:"), F.size(F.array_distinct(words)) / n,
-        F.log1p(n) / 10.0, F.log1p(size / n) / 5.0,
-        F.sqrt(share("#$%&*@^~<>{}[]\\=_+")), F.sqrt(share("!?")), F.sqrt(share("|")), F.sqrt(upper),
-        (F.size(F.array_distinct(words)) / n) * F.log1p(n) / 10.0,
+        odd, loud, bars, share("[0-9]"), share("[ \t\n\r]"), upper, share("[.,;:]"), distinct, F.log1p(n) / 10.0,
+        F.log1p(size / n) / 5.0, F.sqrt(odd), F.sqrt(loud), F.sqrt(bars), F.sqrt(upper), distinct * F.log1p(n) / 10.0,
     ]
 
 
