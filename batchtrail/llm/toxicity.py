@@ -28,7 +28,7 @@ BITS = 20
 #: Least number of sample texts that hold an n-gram for it to be a feature.
 LEAST_TEXTS = 3
 #: Features kept: the n-grams whose log-count ratio, weighted by the root of their number of texts, is largest.
-FEATURES = 1 << 13
+FEATURES = 1 << 12
 PENALTY = 1e-4
 STEPS = 120
 
@@ -96,7 +96,10 @@ def fit(texts: list[str], toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bit
     # a text's features have unit length, so that long texts don't outweigh short ones
     size = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, minlength=len(texts)))
     value /= np.maximum(size, 1e-9)[row].astype(np.float32)
-    weight, intercept = _logistic(row, bucket, value, toxic, 1 << bits)
+    kept, column = np.unique(bucket, return_inverse=True)
+    found, intercept = _logistic(row, column.astype(np.int32), value, toxic, len(kept))
+    weight = np.zeros(1 << bits)
+    weight[kept] = found
     return {"weight": (weight * ratio).astype(np.float32), "ratio": ratio.astype(np.float32),
             "intercept": intercept, "sizes": sizes, "bits": bits}
 
@@ -107,10 +110,15 @@ def _logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray
     w, b = np.zeros(dims), float(np.log(y.mean() / (1 - y.mean())))
     v, c = w.copy(), b
     rate = 1.0 / (0.25 * 2 + PENALTY)  # features have unit length, plus the constant
+    parts = [slice(k, k + (1 << 20)) for k in range(0, len(row), 1 << 20)]  # so that no copy of all features is made
     for k in range(STEPS):
-        z = np.bincount(row, value * v[col], minlength=n) + c
+        z = np.full(n, c)
+        for part in parts:
+            z += np.bincount(row[part], value[part] * v[col[part]], minlength=n)
         miss = 1 / (1 + np.exp(-z)) - y
-        step = np.bincount(col, value * miss[row], minlength=dims) / n + PENALTY * v
+        step = PENALTY * v
+        for part in parts:
+            step += np.bincount(col[part], value[part] * miss[row[part]], minlength=dims) / n
         w2, b2 = v - rate * step, c - rate * miss.mean()
         pull = k / (k + 3)
         v, c = w2 + pull * (w2 - w), b2 + pull * (b2 - b)
