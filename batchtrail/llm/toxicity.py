@@ -29,6 +29,8 @@ BITS = 20
 LEAST_TEXTS = 3
 #: Features kept: the n-grams whose log-count ratio, weighted by the root of their number of texts, is largest.
 FEATURES = 1 << 12
+#: Text bytes whose n-grams are held at once.
+_SLICE = 1 << 19
 PENALTY = 1e-4
 STEPS = 120
 
@@ -73,8 +75,9 @@ def fit(texts: list[str], toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bit
         return {"weight": np.zeros(1 << bits, np.float32), "intercept": float(np.log(rate / (1 - rate))),
                 "sizes": sizes, "bits": bits}
     held, p = np.zeros(1 << bits), np.zeros(1 << bits)
-    for start in range(0, len(texts), 256):
-        r, b = _once(*ngram_features(texts[start:start + 256], sizes, bits), bits)
+    chunks = list(slices(pa.array(texts, pa.string()), _SLICE))
+    for start, stop in chunks:
+        r, b = _once(*ngram_features(texts[start:stop], sizes, bits), bits)
         held += np.bincount(b, minlength=1 << bits)
         p += np.bincount(b, toxic[r + start], minlength=1 << bits)
     q = held - p + 1.0
@@ -85,8 +88,8 @@ def fit(texts: list[str], toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bit
         strength[strength < np.partition(strength, -FEATURES)[-FEATURES]] = 0.0
     ratio = np.where(strength > 0, ratio, 0.0)
     rows, buckets = [], []
-    for start in range(0, len(texts), 256):  # a second reading, so that only the kept features are held
-        r, b = ngram_features(texts[start:start + 256], sizes, bits)
+    for start, stop in chunks:  # a second reading, so that only the kept features are held
+        r, b = ngram_features(texts[start:stop], sizes, bits)
         kept = ratio[b] != 0
         r, b = _once(r[kept], b[kept], bits)
         rows.append(r + np.int32(start))
@@ -178,7 +181,7 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text", out: str = "sco
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        parts = [score_texts(shared.value, texts.iloc[a:b].tolist()) for a, b in slices(pa.array(texts, pa.string()))]
+        parts = [score_texts(shared.value, texts.iloc[a:b].tolist()) for a, b in slices(pa.array(texts, pa.string()), _SLICE)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(out, score(text_of(text_col)))
