@@ -57,6 +57,11 @@ def parse_numeric(c: ColumnOrName) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("double")
 
 
+def contains_pattern(search: str) -> str:
+    """LIKE pattern for a substring search: ``%`` and ``_`` stay wildcards, a backslash is an ordinary character."""
+    return "%" + search.replace("\\", "\\\\") + "%"
+
+
 def comment_label(c: ColumnOrName) -> Column:
     """``rinse_comments`` -> ``Rinse``; nothing left -> ``Comments``."""
     stem = F.regexp_replace(F.regexp_replace(F.lower(clean(c)), r"_?comments?$", ""), r"^_+|_+$", "")

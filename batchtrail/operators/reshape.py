@@ -50,19 +50,28 @@ def extraction_from_form(forms: DataFrame, fields: str = "fields") -> DataFrame:
                         _or(m, "comments", "notes").alias("comments"))
 
 
+def refused_row_keys(forms: DataFrame, fields: str = "fields") -> DataFrame:
+    """Keys that look like row cells but whose row number is beyond an int: ``(form_id, key)``."""
+    cells = forms.select("form_id", F.explode(F.col(fields)).alias("key", "value"))
+    number = F.regexp_extract("key", rf"^cycle[1-{CYCLES}]_(0|[1-9][0-9]*)_.+$", 1)
+    return cells.filter((number != "") & number.try_cast("int").isNull()).select("form_id", "key")
+
+
 def filtration_rows_from_form(forms: DataFrame, fields: str = "fields") -> DataFrame:
     """Dynamic ``cycleN_R_field`` cells -> child rows; all-blank rows dropped (O-RSH-2).
 
-    Only canonical row numbers are read (the form's keys for row R are
-    ``cycleN_R_*``); ``feed_ri`` and the perm flows are always empty.
+    Only canonical row numbers are read, 0 among them (the form's keys for row R
+    are ``cycleN_R_*``); a number beyond an int is not a row (see
+    ``refused_row_keys``).  ``feed_ri`` and the perm flows are always empty.
     """
     cells = forms.select("form_id", F.explode(F.col(fields)).alias("key", "value"))
-    pat = rf"^(cycle[1-{CYCLES}])_([1-9][0-9]*)_(.+)$"
+    pat = rf"^(cycle[1-{CYCLES}])_(0|[1-9][0-9]*)_(.+)$"
     parsed = cells.select("form_id", F.regexp_extract("key", pat, 1).alias("row_group"),
                           F.regexp_extract("key", pat, 2).alias("row_text"),
                           F.regexp_extract("key", pat, 3).alias("field"), "value")
-    parsed = parsed.filter((F.col("row_group") != "") & F.col("field").isin(FILTRATION_ROW_FIELDS))
-    grouped = parsed.groupBy("form_id", "row_group", F.col("row_text").cast("int").alias("row_no")).agg(
+    parsed = parsed.filter((F.col("row_group") != "") & F.col("field").isin(FILTRATION_ROW_FIELDS)
+                           & F.col("row_text").try_cast("int").isNotNull())
+    grouped = parsed.groupBy("form_id", "row_group", F.col("row_text").try_cast("int").alias("row_no")).agg(
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias("row_time" if f == "time" else f)
           for f in FILTRATION_ROW_FIELDS])
     names = ["row_time" if f == "time" else f for f in FILTRATION_ROW_FIELDS]

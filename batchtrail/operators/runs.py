@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchtrail.functions.labels import normalize_batch_type, run_label
-from batchtrail.functions.text import clean, nonblank
+from batchtrail.functions.text import clean, contains_pattern, nonblank
 from batchtrail.operators.sequence import sequence_within, time_bucket
 
 GROUP_COLUMNS = {"blend": "blend_number", "split": "split_batch_number"}
@@ -34,7 +34,7 @@ def runs_search(runs: DataFrame, search: str = "", status: str = "all", batch_ty
     Rows whose three columns are all NULL never match, even with an empty search (T4).
     """
     s = search.strip()
-    like = f"%{s}%" if s else "%"
+    like = contains_pattern(s) if s else "%"
     hit = F.col("run_number").ilike(like) | F.col("batch_number").ilike(like) | F.col("product_name").ilike(like)
     out = runs.filter(F.coalesce(hit, F.lit(False)))
     if status != "all":
@@ -168,7 +168,7 @@ def run_stats(runs: DataFrame, users: DataFrame) -> DataFrame:
                       F.count_if(is_user & (F.col("active") == 1)).alias("active_users"))
 
 
-def recent_group_labels(runs: DataFrame, action: str, limit: int | None = 12) -> DataFrame:
+def recent_group_labels(runs: DataFrame, action: str, limit: int | None = None) -> DataFrame:
     """Labels in use: newest update and run count, newest first (O-AGG-2)."""
     c = GROUP_COLUMNS[action]
     g = (runs.filter(F.trim(F.coalesce(F.col(c), F.lit(""))) != "")

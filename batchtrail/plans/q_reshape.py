@@ -74,7 +74,7 @@ def q_extraction_from_form(spark, t, sf_dir):
 
 
 _ROW_NAMES = ["row_time" if f == "time" else f for f in RS.FILTRATION_ROW_FIELDS]
-_PAT = r"^(cycle[1-6])_([1-9][0-9]*)_(.+)$"
+_PAT = r"^(cycle[1-6])_(0|[1-9][0-9]*)_(.+)$"
 
 
 @query("filtration_rows_from_form", f"""WITH {_FORM_MAP},

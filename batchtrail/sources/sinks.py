@@ -8,7 +8,8 @@ high-water mark is written last, only after the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +39,17 @@ def replace_children(children: DataFrame, edited_ids: DataFrame, new_children: D
     return kept.unionByName(new_children.select(*children.columns))
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_cols: list[str]) -> None:
-    """Rewrite only the partitions present in ``df`` (dynamic partition overwrite)."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path)
-
-
 def append_log(df: DataFrame, path: str) -> None:
     """Append-only log sink (O-SNK-3 audit rows, O-SNK-4 field changes)."""
     df.write.mode("append").parquet(path)
 
 
 def write_packets(packets: DataFrame, path: str) -> None:
-    """One JSON document per run under ``export_month=YYYY-MM`` (O-SNK-5)."""
-    packets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("export_month").json(path)
+    """One JSON document per run under ``export_month=YYYY-MM`` (O-SNK-5).
+
+    The whole folder is replaced: months of an earlier export of the same name must not be read back and counted.
+    """
+    packets.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("export_month").json(path)
 
 
 def write_manifest(manifest: DataFrame, summary: DataFrame, path: str) -> None:
@@ -64,16 +63,26 @@ def write_manifest(manifest: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def read_mark(spark: SparkSession, path: str) -> str:
-    """Last successful export time, or '' when no export finished yet (O-SNK-7)."""
-    try:
-        row = spark.read.schema(MARK_SCHEMA).json(path).agg(F.max("last_successful_export_at")).first()
-    except Exception:  # noqa: BLE001 - a missing folder means no export yet
+    """Last successful export time, or '' when no export finished yet (O-SNK-7); any error but a missing folder is raised."""
+    marks = read_if_there(spark.read.schema(MARK_SCHEMA).format("json"), path)
+    if marks is None:
         return ""
+    row = marks.agg(F.max("last_successful_export_at")).first()
     return (row[0] or "") if row else ""
 
 
+def read_if_there(reader: DataFrameReader, path: str) -> DataFrame | None:
+    """The data at ``path``, None only where the path does not exist."""
+    try:
+        return reader.load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_mark(spark: SparkSession, path: str, generated_at: str, scope: str, scope_label: str,
                export_name: str, run_count: int) -> None:
-    """Record a finished export (one row, replaced)."""
+    """Record a finished export: a row is added, so a crash never loses the marks before (``read_mark`` takes the latest)."""
     spark.createDataFrame([(generated_at, scope, scope_label, export_name, int(run_count))], MARK_SCHEMA) \
-        .coalesce(1).write.mode("overwrite").json(path)
+        .coalesce(1).write.mode("append").json(path)

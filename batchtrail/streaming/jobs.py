@@ -4,8 +4,8 @@ The reference re-queries the last N hours on every page view.  Here the
 entry tables are streams of appended files:
 
 * ``activity_stream`` (O-STR-1): the four entry streams unioned, event time
-  from ``created_at``, a 12-hour watermark, duplicate deliveries dropped
-  within the watermark, a stream-static left join to runs, appended to a sink.
+  from ``created_at``, duplicate deliveries of any age dropped against the
+  touched months of the sink, a left join to runs, written idempotently.
 * ``machine_status_stream`` (O-STR-2): latest activity per section; the
   state is one row per section.
 * ``draft_fold_stream`` (O-STR-3): each micro-batch of submits is appended to
@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from batchtrail.functions.time import stamp_to_timestamp
 from batchtrail.operators.lifecycle import fold_drafts
+from batchtrail.sources.sinks import read_if_there
 from batchtrail.sources.tables import SCHEMAS
 
 ENTRY_STREAMS = {
@@ -57,21 +59,39 @@ def activity_events(spark: SparkSession, root: str) -> DataFrame:
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    # event time must be a zoned timestamp for the watermark (not timestamp_ntz)
-    return u.withColumn("event_ts", F.to_timestamp(F.replace(F.col("activity_time"), F.lit("T"), F.lit(" "))))
+    # zoned event time; null for a blank or unreadable stamp
+    return u.withColumn("event_ts", stamp_to_timestamp("activity_time").cast("timestamp"))
 
 
-def activity_stream(spark: SparkSession, root: str, runs: DataFrame, sink: str, checkpoint: str,
-                    delay: str = "12 hours"):
-    """Start O-STR-1; returns the StreamingQuery (``availableNow`` trigger)."""
-    ev = activity_events(spark, root).withWatermark("event_ts", delay)
-    ev = ev.dropDuplicatesWithinWatermark(["entry_table", "record_id"])
+def activity_stream(spark: SparkSession, root: str, runs: DataFrame, sink: str, checkpoint: str):
+    """Start O-STR-1; returns the StreamingQuery (``availableNow`` trigger).
+
+    Entries of any age are delivered, each once: a micro-batch adds the entries
+    that the touched months of the sink don't hold yet, in folders of its own
+    (month, batch), so a repeated batch replaces what it wrote before.  Entries
+    without a stamp go to the month 'undated'.
+    """
     r = runs.select(F.col("id").alias("run_id"), "run_number", "batch_number", "blend_number", "split_batch_number",
                     "status")
-    # stream-static join: the run table is small per micro-batch side; AQE may broadcast it
-    feed = ev.join(r, ev["entry_run_id"] == r["run_id"], "left").drop("entry_run_id")
-    return (feed.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    month = F.coalesce(F.date_format("event_ts", "yyyy-MM"), F.lit("undated"))
+    key = ["entry_table", "record_id"]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        fresh = batch.withColumn("feed_month", month).dropDuplicates(key)
+        # one row per month that the batch touches; their folders are all that is read
+        touched = [m.feed_month for m in fresh.select("feed_month").distinct().collect()]
+        before = read_if_there(spark.read.format("parquet"), sink)
+        if before is not None:
+            held = before.where(F.col("feed_month").cast("string").isin(touched) & (F.col("batch_id") != batch_id)).select(*key)
+            fresh = fresh.join(held, key, "left_anti")
+        feed = fresh.join(r, fresh["entry_run_id"] == r["run_id"], "left").drop("entry_run_id")
+        (feed.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("feed_month", "batch_id").parquet(sink))
+
+    return (activity_events(spark, root).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def machine_status_stream(spark: SparkSession, root: str, checkpoint: str, query_name: str = "machine_status"):

@@ -46,6 +46,70 @@ def test_activity_stream_equals_batch(spark):
     assert got.select(*key).exceptAll(batch.select(*key)).count() == 0
 
 
+def test_activity_stream_takes_late_and_undated_entries_once(spark):
+    root = _scratch()
+    t = _write_tables(spark, root)
+    run = lambda: ST.activity_stream(spark, root, t.runs, f"{root}/_feed", f"{root}/_ckpt_feed").awaitTermination(300)
+    run()
+    before = spark.read.parquet(f"{root}/_feed").count()
+    one = t.extraction.limit(1)
+    late = one.withColumn("id", F.lit(900001).cast("long")).withColumn("created_at", F.lit("1999-01-01T00:00:00"))
+    blank = one.withColumn("id", F.lit(900002).cast("long")).withColumn("created_at", F.lit(""))
+    late.unionByName(blank).unionByName(one).write.mode("append").parquet(f"{root}/extraction_entries")
+    run()
+    rows = spark.read.parquet(f"{root}/_feed")
+    assert rows.count() == before + 2
+    got = {r.record_id: (str(r.feed_month), r.event_ts) for r in rows.where("record_id > 900000").collect()}
+    assert got[900001][0] == "1999-01" and got[900002] == ("undated", None)
+
+
+def test_a_reused_export_name_counts_only_its_own_runs(spark):
+    from batchtrail.sources import sinks
+    root = _scratch()
+    rows = lambda m: spark.createDataFrame([(1, m)], "run_id long, export_month string")
+    sinks.write_packets(rows("2024-01"), f"{root}/p")
+    sinks.write_packets(rows("2024-02"), f"{root}/p")
+    assert spark.read.json(f"{root}/p").count() == 1
+
+
+def test_marks_survive_and_storage_errors_are_raised(spark):
+    import pytest
+    from batchtrail.sources import sinks
+    root = _scratch()
+    assert sinks.read_mark(spark, f"{root}/none") == ""
+    for at in ("2024-01-02T00:00:00", "2024-01-03T00:00:00"):
+        sinks.write_mark(spark, f"{root}/m", at, "all", "All", "x", 1)
+    assert sinks.read_mark(spark, f"{root}/m") == "2024-01-03T00:00:00"
+    with pytest.raises(Exception):
+        sinks.read_mark(spark, "nosuchstore://a/b")
+
+
+def test_search_takes_a_backslash(spark):
+    from batchtrail.operators.runs import runs_search
+    runs = spark.createDataFrame([("a\\b", None, None, "Open"), ("ab", None, None, "Open"), ("c\\", None, None, "Open")],
+                                 "run_number string, batch_number string, product_name string, status string")
+    assert [r.run_number for r in runs_search(runs, "a\\\\b").collect()] == []
+    assert [r.run_number for r in runs_search(runs, "a\\b").collect()] == ["a\\b"]
+    assert [r.run_number for r in runs_search(runs, "c\\").collect()] == ["c\\"]
+
+
+def test_form_rows_start_at_zero_and_refuse_long_numbers(spark):
+    from batchtrail.operators import reshape as RS
+    forms = spark.createDataFrame([(1, {"cycle1_0_time": "08:00", "cycle1_99999999999_time": "09:00"})],
+                                  "form_id long, fields map<string,string>")
+    assert [r.row_no for r in RS.filtration_rows_from_form(forms).collect()] == [0]
+    assert [r.key for r in RS.refused_row_keys(forms).collect()] == ["cycle1_99999999999_time"]
+
+
+def test_newest_entries_are_taken_before_the_run_join(spark):
+    from batchtrail.operators import feeds as FD
+    t = from_fixtures(spark, SMALL)
+    for out in (FD.activity_feed(t, "2024-01-30T23:59:59", 48, 7), FD.change_history(t.field_changes, t.runs, None, 7)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("GlobalLimit")  # the limit lies below the join
+        assert out.count() <= 7
+
+
 def test_machine_status_stream_equals_batch(spark):
     root = _scratch()
     _write_tables(spark, root)
@@ -84,7 +148,7 @@ def test_export_round_trip_and_since_last_is_empty_after(spark):
     assert manifest.count() == first["run_count"]
     second = EX.export_scope(spark, t, voided, "since_last", "2100-01-02T00:00:00", root, "second")
     assert second["run_count"] == 0
-    mark = spark.read.json(f"{root}/_state").first()
+    mark = spark.read.json(f"{root}/_state").orderBy(F.desc("last_successful_export_at")).first()
     assert mark.last_scope == "since_last" and mark.last_run_count == 0
 
 
