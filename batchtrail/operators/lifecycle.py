@@ -122,25 +122,31 @@ def field_changes(forms: DataFrame, sub: str = "submission_id") -> tuple[DataFra
 def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> DataFrame:
     """Close runs from finalize requests (O-STATE-5).
 
-    The review path needs a Complete latest sheet on some run stage; the quick
-    path has no check.  Accepted requests stamp status, time and author; the
-    last accepted request's stamp stays.
+    The review path needs a stage whose latest sheet, of those saved up to the
+    request, is Complete; the quick path has no check.  Accepted requests stamp
+    status, time and author; the last accepted request's stamp stays.  Requests
+    for a run that does not exist are rejected (status NULL).
     """
-    latest = latest_by(sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS)), ["run_id", "stage_key"],
-                       columns=["id", "completion_status"])
-    ok_runs = (latest.filter(F.coalesce(F.nullif(F.col("completion_status"), F.lit("")), F.lit(COMPLETE)) == COMPLETE)
-               .select("run_id").distinct().withColumn("__ok", F.lit(True)))
-    r = requests.join(ok_runs, "run_id", "left")
-    accepted = (F.col("path") == "quick") | F.coalesce(F.col("__ok"), F.lit(False))
+    saved = (sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS) & F.col("run_id").isNotNull())
+             .select(F.col("run_id").alias("__run"), "stage_key", F.col("id").alias("__id"), "completion_status",
+                     F.col("created_at").alias("__saved")))
+    review = requests.filter(F.coalesce(F.col("path"), F.lit("")) != "quick").select("request_id", "run_id", "requested_at")
+    then = (review.join(saved, (review["run_id"] == saved["__run"]) & (saved["__saved"] <= review["requested_at"]))
+            .groupBy("request_id", "stage_key").agg(F.max_by("completion_status", "__id").alias("status")))
+    ok = (then.filter(F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit(COMPLETE)) == COMPLETE)
+          .select("request_id").distinct().withColumn("__ok", F.lit(True)))
+    known = runs.select(F.col("id").alias("__rid"))
+    r = requests.join(ok, "request_id", "left").join(known, requests["run_id"] == known["__rid"], "left")
+    accepted = F.col("__rid").isNotNull() & ((F.col("path") == "quick") | F.coalesce(F.col("__ok"), F.lit(False)))
     r = r.withColumn("accepted", accepted)
     order = F.struct("requested_at", "request_id")
     agg = r.groupBy("run_id").agg(
         F.count_if("accepted").alias("accepted_requests"), F.count_if(~F.col("accepted")).alias("rejected_requests"),
         F.max_by(F.struct(F.col("requested_at").alias("finalized_at"), F.trim(F.col("employee")).alias("finalized_by")),
                  F.when(F.col("accepted"), order)).alias("__f"))
-    j = runs.select("id", "status").join(agg, runs["id"] == agg["run_id"]).drop("run_id")
+    j = agg.join(runs.select("id", "status"), F.col("run_id") == F.col("id"), "left")
     done = F.col("accepted_requests") > 0
-    return j.select(F.col("id").alias("run_id"), F.when(done, F.lit(COMPLETE)).otherwise(F.col("status")).alias("status"),
+    return j.select("run_id", F.when(done, F.lit(COMPLETE)).otherwise(F.col("status")).alias("status"),
                     F.when(done, F.col("__f.finalized_at")).alias("finalized_at"),
                     F.when(done, F.col("__f.finalized_by")).alias("finalized_by"),
                     "accepted_requests", "rejected_requests")
@@ -151,9 +157,11 @@ def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> Da
 def group_label_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
     """Check blend/split requests against the runs snapshot (O-STATE-7).
 
-    Target = the run resolved by the label (Open first, newest).  Rejected when
-    the source run is missing, when the target is the source itself, or when
-    the target is not already a run of that kind carrying that label.
+    Target = the run resolved by the label (Open first, newest).  Rejected, with a
+    reason code, when the label is blank, when the source run is missing, when the
+    target is the source itself, or when the target is not already a run of that
+    kind carrying that label; a label that an earlier accepted request of the log
+    has made a run of the other kind is taken as well.
     """
     req = requests.select("request_id", "action", clean("group_label").alias("group_label"), "source_run_id",
                           "requested_at")
@@ -166,17 +174,19 @@ def group_label_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
     j = req.join(tgt, "group_label", "left")
     same_kind = (F.col("__tbt") == F.col("action")) & (
         F.when(F.col("action") == "blend", F.col("__tb")).otherwise(F.col("__ts")) == F.col("group_label"))
-    reason = (F.when(F.col("__sid").isNull(), F.lit("Choose a source run before creating the new split or blend run."))
-              .when(F.col("target_run_id") == F.col("source_run_id"),
-                    F.concat(F.lit("Run "), F.col("group_label"),
-                             F.lit(" is already one of the selected original runs. Enter a new "), F.col("action"),
-                             F.lit(" run number instead.")))
-              .when(F.col("target_run_id").isNotNull() & ~same_kind,
-                    F.concat(F.lit("Run "), F.col("group_label"), F.lit(" already exists. Enter a different "),
-                             F.col("action"), F.lit(" run number."))))
-    return j.select("request_id", "action", "group_label", "source_run_id", "requested_at", "target_run_id",
-                    F.when(reason.isNull(), "accepted").otherwise("rejected").alias("outcome"),
-                    F.coalesce(reason, F.lit("")).alias("reason"))
+    reason = (F.when(F.col("group_label") == "", F.lit("blank_label"))
+              .when(F.col("__sid").isNull(), F.lit("no_source_run"))
+              .when(F.col("target_run_id") == F.col("source_run_id"), F.lit("label_is_source"))
+              .when(F.col("target_run_id").isNotNull() & ~same_kind, F.lit("label_taken")))
+    seen = j.withColumn("__why", reason)
+    # a label without a run yet: the first accepted request makes the run, later ones of the other kind find it taken
+    first = (seen.filter(F.col("__why").isNull() & F.col("target_run_id").isNull()).groupBy("group_label")
+             .agg(F.min_by("action", F.struct("requested_at", "request_id")).alias("__kind")))
+    seen = seen.join(first, "group_label", "left").withColumn(
+        "__why", F.coalesce("__why", F.when(F.col("target_run_id").isNull() & (F.col("action") != F.col("__kind")), F.lit("label_taken"))))
+    return seen.select("request_id", "action", "group_label", "source_run_id", "requested_at", "target_run_id",
+                       F.when(F.col("__why").isNull(), "accepted").otherwise("rejected").alias("outcome"),
+                       F.coalesce("__why", F.lit("")).alias("reason"))
 
 
 def apply_group_labels(runs: DataFrame, checked: DataFrame) -> DataFrame:

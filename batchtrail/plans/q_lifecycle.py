@@ -117,19 +117,22 @@ _LATEST_SHEET = f"""ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
    FROM fx_sheets WHERE run_id IS NOT NULL AND stage_key IN ({_RUN_STAGES})) WHERE k = 1)"""
 
 
-@query("finalize_runs", f"""WITH {_LATEST_SHEET},
-ok AS (SELECT DISTINCT run_id FROM ls WHERE coalesce(nullif(completion_status, ''), 'Complete') = 'Complete'),
-r AS (SELECT q.*, (q.path = 'quick' OR ok.run_id IS NOT NULL) AS accepted FROM fx_finalize_requests q LEFT JOIN ok ON ok.run_id = q.run_id),
+@query("finalize_runs", f"""WITH upto AS (SELECT * FROM (SELECT q.request_id, s.completion_status,
+    row_number() OVER (PARTITION BY q.request_id, s.stage_key ORDER BY s.id DESC) AS k
+  FROM fx_finalize_requests q JOIN fx_sheets s ON s.run_id = q.run_id AND s.created_at <= q.requested_at AND s.stage_key IN ({_RUN_STAGES})) WHERE k = 1),
+ok AS (SELECT DISTINCT request_id FROM upto WHERE coalesce(nullif(completion_status, ''), 'Complete') = 'Complete'),
+r AS (SELECT q.*, (ru.id IS NOT NULL AND (q.path = 'quick' OR ok.request_id IS NOT NULL)) AS accepted FROM fx_finalize_requests q
+  LEFT JOIN ok ON ok.request_id = q.request_id LEFT JOIN fx_runs ru ON ru.id = q.run_id),
 last AS (SELECT run_id, requested_at, trim(employee) AS employee FROM (SELECT *, row_number() OVER (PARTITION BY run_id
    ORDER BY requested_at DESC, request_id DESC) AS k FROM r WHERE accepted) WHERE k = 1),
 agg AS (SELECT run_id, count(*) FILTER (WHERE accepted) AS accepted_requests, count(*) FILTER (WHERE NOT accepted) AS rejected_requests
    FROM r GROUP BY run_id)
-SELECT ru.id AS run_id, CASE WHEN a.accepted_requests > 0 THEN 'Complete' ELSE ru.status END AS status,
+SELECT a.run_id, CASE WHEN a.accepted_requests > 0 THEN 'Complete' ELSE ru.status END AS status,
   CASE WHEN a.accepted_requests > 0 THEN l.requested_at END AS finalized_at,
   CASE WHEN a.accepted_requests > 0 THEN l.employee END AS finalized_by, a.accepted_requests, a.rejected_requests
-FROM fx_runs ru JOIN agg a ON a.run_id = ru.id LEFT JOIN last l ON l.run_id = ru.id""")
+FROM agg a LEFT JOIN fx_runs ru ON ru.id = a.run_id LEFT JOIN last l ON l.run_id = a.run_id""")
 def q_finalize_runs(spark, t, sf_dir):
-    """O-STATE-5: close runs; the review path needs a Complete sheet."""
+    """O-STATE-5: close runs; the review path needs a sheet Complete at the time of the request."""
     return LC.finalize_runs(t.runs, fixture(spark, sf_dir, "fx_finalize_requests"), t.sheets)
 
 
@@ -141,18 +144,23 @@ tgt AS (SELECT label, id AS target_run_id FROM (SELECT *, row_number() OVER (PAR
 chk AS (SELECT q.*, t.target_run_id, s.id AS sid, tr.batch_type AS tbt, tr.blend_number AS tb, tr.split_batch_number AS ts
    FROM req q LEFT JOIN fx_runs s ON s.id = q.source_run_id LEFT JOIN tgt t ON t.label = q.group_label
    LEFT JOIN fx_runs tr ON tr.id = t.target_run_id),
-checked AS (SELECT request_id, action, group_label, source_run_id, requested_at, target_run_id,
-  CASE WHEN sid IS NULL THEN 'Choose a source run before creating the new split or blend run.'
-       WHEN target_run_id = source_run_id THEN 'Run ' || group_label || ' is already one of the selected original runs. Enter a new ' || action || ' run number instead.'
+seen AS (SELECT request_id, action, group_label, source_run_id, requested_at, target_run_id,
+  CASE WHEN group_label = '' THEN 'blank_label' WHEN sid IS NULL THEN 'no_source_run'
+       WHEN target_run_id = source_run_id THEN 'label_is_source'
        WHEN target_run_id IS NOT NULL AND NOT (coalesce(""" + Q.clean("tbt") + """ = action, FALSE) AND coalesce((CASE WHEN action = 'blend' THEN """ + Q.clean("tb") + """ ELSE """ + Q.clean("ts") + """ END) = group_label, FALSE))
-         THEN 'Run ' || group_label || ' already exists. Enter a different ' || action || ' run number.' END AS why FROM chk)"""
+         THEN 'label_taken' END AS why0 FROM chk),
+kinds AS (SELECT group_label, action AS kind FROM (SELECT *, row_number() OVER (PARTITION BY group_label ORDER BY requested_at, request_id) AS k
+  FROM seen WHERE why0 IS NULL AND target_run_id IS NULL) WHERE k = 1),
+checked AS (SELECT s.request_id, s.action, s.group_label, s.source_run_id, s.requested_at, s.target_run_id,
+  coalesce(s.why0, CASE WHEN s.target_run_id IS NULL AND s.action <> k.kind THEN 'label_taken' END) AS why
+  FROM seen s LEFT JOIN kinds k ON k.group_label = s.group_label)"""
 
 
 @query("group_label_requests", f"""WITH {_CHECKED_SQL}
 SELECT request_id, action, group_label, source_run_id, requested_at, target_run_id,
   CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, coalesce(why, '') AS reason FROM checked""")
 def q_group_label_requests(spark, t, sf_dir):
-    """O-STATE-7: blend/split requests checked against the runs (reasons as in the reference)."""
+    """O-STATE-7: blend/split requests checked against the runs (reason codes)."""
     return LC.group_label_requests(t.runs, fixture(spark, sf_dir, "fx_group_requests"))
 
 

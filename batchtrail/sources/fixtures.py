@@ -113,14 +113,14 @@ SELECT event_id AS request_id,
  user_id AS source_run_id,
  replace(substr(cast(ts as string),1,19),' ','T') AS requested_at,
  concat('E', cast(user_id % 40 as string)) AS employee
-FROM events WHERE event_type = 'signup'""",
+FROM events""",
     # Create-run requests (O-STATE-11): free-text labels, some repeated, some open already.
     "fx_run_requests": """
 SELECT event_id AS request_id,
  CASE WHEN event_id % 3 = 0 THEN concat('r', cast(user_id * 7 as string)) WHEN event_id % 3 = 1 THEN concat(' R', cast(event_id % 500 as string), ' ') ELSE concat('N', cast(user_id as string)) END AS run_label,
  CASE WHEN event_id % 4 = 0 THEN 'P2' ELSE 'P1' END AS product_name,
  replace(substr(cast(ts as string),1,19),' ','T') AS requested_at
-FROM events WHERE event_type = 'click'""",
+FROM events""",
     # Saved field corrections (field_change_log).
     "fx_field_changes": f"""
 SELECT l_orderkey * 100 + {_ROW_ID} AS id,
@@ -140,13 +140,13 @@ SELECT event_id AS edit_id, user_id AS run_id,
  CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(' R', cast(user_id as string), '-', cast(event_id % 3 as string), ' ') END AS run_number,
  CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('P', cast(event_id % 7 as string)) END AS product_name,
  replace(substr(cast(ts as string),1,19),' ','T') AS edited_at
-FROM events WHERE event_type = 'view'""",
+FROM events""",
     "fx_finalize_requests": """
 SELECT event_id AS request_id, user_id AS run_id,
  CASE WHEN event_id % 2 = 0 THEN 'review' ELSE 'quick' END AS path,
  concat('E', cast(user_id % 40 as string)) AS employee,
  replace(substr(cast(ts as string),1,19),' ','T') AS requested_at
-FROM events WHERE event_type = 'purchase'""",
+FROM events""",
     # Submitted forms as JSON text: control keys, header fields, dynamic
     # filtration cycle cells (one of them at a varying cycle/row), cycle
     # summaries and the three evaporation rows.
@@ -164,7 +164,7 @@ SELECT event_id AS form_id, replace(substr(cast(ts as string),1,19),' ','T') AS
   '","cycle1_cycle_number":"1","cycle2_ri_to_sewer":"', CASE WHEN event_id % 3 = 0 THEN '0.5' ELSE '' END,
   '","row1_time":"09:00","row1_feed_rate":"', cast(event_id % 11 as string), '","row2_vacuum":"22","row3_concentrate_ri":"',
   CASE WHEN event_id % 2 = 0 THEN '' ELSE '31' END, '"}') AS form_json
-FROM events WHERE event_type = 'purchase'""",
+FROM events""",
     # Sheets of every run-linked stage with cells of two chartable fields of one
     # of its tables: a timed row, a second row (sometimes past the table's row
     # count, which must be ignored), a payload date on some, and for resistaid /

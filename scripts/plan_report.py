@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from batchtrail.plans.registry import all_queries  # noqa: E402
 from batchtrail.session import build_session  # noqa: E402
 
 PATTERNS = {
@@ -37,7 +37,7 @@ def main(argv: list[str]) -> None:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = build_session("local[8]", 16)
     rows = []
-    for key, fn in entry.queries().items():
+    for key, fn in all_queries().items():
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         counts = [len(re.findall(p, plan)) for p in PATTERNS.values()]
         bad = [f for f in FORBIDDEN if f in plan]

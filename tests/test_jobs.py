@@ -210,3 +210,23 @@ def test_dashboard_shares_one_feed(spark):
         assert d.in_use.count() <= 10
     finally:
         d.release()
+
+
+def test_finalize_sees_only_earlier_sheets_and_group_kinds_are_fixed_by_the_first(spark):
+    runs = spark.createDataFrame([(1, "R1", "Open"), (2, "R2", "Open")], "id long, run_number string, status string")
+    sheets = spark.createDataFrame([(10, 1, "centrifuge", "Complete", "2024-06-01T00:00:00")],
+                                   "id long, run_id long, stage_key string, completion_status string, created_at string")
+    asked = [(1, 1, "review", "E", "2024-01-01T00:00:00"), (2, 99, "quick", "E", "2024-01-01T00:00:00"), (3, 2, "quick", "E", "2024-01-01T00:00:00")]
+    requests = spark.createDataFrame(asked, "request_id long, run_id long, path string, employee string, requested_at string")
+    got = {r.run_id: (r.status, r.accepted_requests) for r in LC.finalize_runs(runs, requests, sheets).collect()}
+    assert got == {1: ("Open", 0), 99: (None, 0), 2: ("Complete", 1)}
+    later = requests.withColumn("requested_at", F.lit("2024-07-01T00:00:00"))
+    assert {r.run_id: r.status for r in LC.finalize_runs(runs, later, sheets).collect()}[1] == "Complete"
+
+    full = runs.select("id", "run_number", F.lit("").alias("batch_number"), "status", F.lit("2024-01-01").alias("updated_at"),
+                       F.lit("standard").alias("batch_type"), F.lit("").alias("blend_number"), F.lit("").alias("split_batch_number"))
+    log = spark.createDataFrame([(1, "blend", "X1", 1, "2024-01-01"), (2, "split", "X1", 2, "2024-01-02"), (3, "blend", "X1", 2, "2024-01-03"),
+                                 (4, "blend", "  ", 1, "2024-01-04")],
+                                "request_id long, action string, group_label string, source_run_id long, requested_at string")
+    got = {r.request_id: (r.outcome, r.reason) for r in LC.group_label_requests(full, log).collect()}
+    assert got == {1: ("accepted", ""), 2: ("rejected", "label_taken"), 3: ("accepted", ""), 4: ("rejected", "blank_label")}

@@ -6,10 +6,10 @@ window that gathers the whole input into a single partition.
 
 import pytest
 
-import __spark_entry__ as entry
+from batchtrail.plans.registry import all_queries
 from tests.conftest import SMALL
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
