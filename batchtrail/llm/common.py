@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Most rows a side may have to be broadcast; above it the plain shuffled join is used.
 BROADCAST_ROWS = 100_000
 #: Text bytes that one numpy pass inside a task works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -39,12 +39,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage is cut, and a
     lost executor costs a re-read, not the work before."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/batchtrail/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

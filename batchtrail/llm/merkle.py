@@ -263,7 +263,7 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held is not None:
             yield batch_of([(part, "last", held[1], held[0], *none)])
 
-    done = stored(ranged.select("doc_id", "text").mapInArrow(run, schema), "fingerprints")
+    done = stored(ranged.select("doc_id", "text").mapInArrow(run, schema), "fingerprints", "zstd")
     # one number per range goes through the driver
     parts = sorted(r["part"] for r in done.where("role = 'first'").select("part").collect())
     if not parts:
