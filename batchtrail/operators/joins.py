@@ -3,8 +3,8 @@
 Standalone entries carry a NULL run id (T16), and entries may lack an
 employee number; hash partitioning sends every NULL key to one reducer.  The
 left joins here widen the key with a salt that is non-zero only on NULL-key
-rows (they can never match anyway), so those rows spread over
-``NULL_KEY_SALTS`` partitions.  The salt is a hash of the row's own id, so a
+rows (they can never match anyway), so those rows spread over all
+partitions, however many there are.  The salt is a hash of the row's own id, so a
 retried task reproduces exactly the same partitioning.  Catalyst/AQE still
 choose a broadcast join when the right side is small at runtime; a hot
 non-NULL key is split by AQE's skew-join rule.
@@ -15,8 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NULL_KEY_SALTS = 64
-
 
 def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                            row_id: str) -> DataFrame:
@@ -24,13 +22,13 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
 
     ``right`` must not have a column named like a left column other than the key.
     """
-    salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(F.col(row_id)), F.lit(NULL_KEY_SALTS))).otherwise(F.lit(0))
-    lhs = left.withColumn("__salt_l", salt.cast("int"))
+    salt = F.when(F.col(left_key).isNull(), F.xxhash64(F.col(row_id))).otherwise(F.lit(0))
+    lhs = left.withColumn("__salt_l", salt.cast("long"))
     # 0 on every right row, written as a hash expression the optimizer cannot
     # evaluate at plan time: a literal 0 (or isnull(key), once the join implies
     # the key is not null) is folded, the salt leaves the join keys and becomes a
     # post-join filter, and every NULL-key row would go to one partition again
-    rhs = right.withColumn("__salt_r", F.pmod(F.xxhash64(F.col(right_key)), F.lit(1)).cast("int"))
+    rhs = right.withColumn("__salt_r", F.pmod(F.xxhash64(F.col(right_key)), F.lit(1)).cast("long"))
     cond = (lhs[left_key] == rhs[right_key]) & (lhs["__salt_l"] == rhs["__salt_r"])
     return lhs.join(rhs, cond, "left").drop("__salt_l", "__salt_r")
 

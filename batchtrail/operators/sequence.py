@@ -60,11 +60,38 @@ def id_bucket(id_col: str, width: int = ID_BUCKET_WIDTH) -> Column:
 
 
 def unique_names(df: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """First holder (lowest id) keeps the name; later ones get ``-2``, ``-3`` ..."""
-    seq = sequence_within(df, [name_col], [F.col(id_col)], id_bucket(id_col), out="__seq")
-    name = F.when(F.col("__seq") == 1, F.col(name_col)).otherwise(
-        F.concat(F.col(name_col), F.lit("-"), F.col("__seq").cast("string")))
-    return seq.withColumn("unique_name", name).drop("__seq")
+    """The first holder of a name (lowest id) keeps it; the others get the free numbers ``-2``, ``-3`` ... in id order.
+
+    A number is free unless some row holds the numbered name already; it goes
+    before the extension (``a.pdf`` -> ``a-2.pdf``).  Numbered names of two
+    different names never meet, so the result is unique after one pass: with
+    the taken numbers of a name sorted, ``free`` numbers lie below each, and the
+    k-th later holder skips those with ``free < k``, a running count along k.
+    NULL names stay NULL.
+    """
+    named = df.filter(F.col(name_col).isNotNull())
+    seq = sequence_within(named, [name_col], [F.col(id_col)], id_bucket(id_col), out="__seq")
+    numbered = r"^(.+)-([2-9]|[1-9][0-9]+)(\.[^.]+)?$"
+    plain = F.concat(F.regexp_extract("__name", numbered, 1), F.regexp_extract("__name", numbered, 3))
+    number = F.regexp_extract("__name", numbered, 2).try_cast("long")
+    held = (named.select(F.col(name_col).alias("__name")).distinct()
+            .select(plain.alias(name_col), number.alias("__n")).filter(F.col("__n").isNotNull()))
+    order = sequence_within(held, [name_col], [F.col("__n")], id_bucket("__n"), out="__i")
+    taken = order.select(name_col, (F.col("__n") - F.col("__i") - 1).alias("__free"))
+    later = seq.filter(F.col("__seq") > 1)
+    # taken numbers count for every later holder k = seq - 1 with free < k
+    line = (later.select(name_col, F.col(id_col).alias("__id"), (F.col("__seq") - 1).cast("long").alias("__k"), F.lit(0).alias("__t"))
+            .unionByName(taken.select(name_col, F.lit(None).cast(df.schema[id_col].dataType).alias("__id"),
+                                      (F.col("__free") + 1).alias("__k"), F.lit(1).alias("__t"))))
+    skipped = running_sum_within(line, [name_col], [F.col("__k"), F.col("__t").desc(), F.col("__id")], id_bucket("__k"),
+                                 F.col("__t"), "__skip")
+    suffix = skipped.filter(F.col("__t") == 0).select("__id", (F.col("__k") + 1 + F.col("__skip")).alias("__number"))
+    joined = df.join(suffix, df[id_col] == suffix["__id"], "left")
+    ext = F.regexp_extract(F.col(name_col), r"^.+(\.[^.]+)$", 1)
+    stem = F.substr(F.col(name_col), F.lit(1), F.char_length(name_col) - F.char_length(ext))
+    name = F.when(F.col("__number").isNull(), F.col(name_col)).otherwise(
+        F.concat(stem, F.lit("-"), F.col("__number").cast("string"), ext))
+    return joined.withColumn("unique_name", name).drop("__id", "__number")
 
 
 def assign_ids(df: DataFrame, order: list[Column | str], bucket: Column, base: int, out: str = "id") -> DataFrame:

@@ -160,15 +160,35 @@ def q_export_names(spark, t, sf_dir):
                     TX.safe_filename(label, "run").alias("safe_label"))
 
 
-@query("unique_name", f"""WITH r AS (SELECT id, {_safe_sql(Q.run_label(), 'run')} AS base FROM fx_runs),
-n AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM r)
-SELECT id, base, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS unique_name FROM n""")
+def _unique_sql(source: str) -> str:
+    """Names of ``source(id, base)``: the k-th later holder takes the k-th number that no row holds."""
+    return f"""WITH r AS ({source}),
+n AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k, regexp_extract(base, '^.+([.][^.]+)$', 1) AS ext FROM r),
+parts AS (SELECT *, substr(base, 1, length(base) - length(ext)) AS stem FROM n),
+c AS (SELECT base, stem, ext, count(*) AS holders FROM parts GROUP BY ALL),
+cand AS (SELECT c.*, unnest(range(2, 2 * holders + 1002)) AS no FROM c WHERE holders > 1),
+free AS (SELECT base, no, row_number() OVER (PARTITION BY base ORDER BY no) AS k FROM cand
+   WHERE stem || '-' || CAST(no AS VARCHAR) || ext NOT IN (SELECT base FROM r WHERE base IS NOT NULL))
+SELECT p.id, p.base, CASE WHEN p.k = 1 THEN p.base ELSE p.stem || '-' || CAST(f.no AS VARCHAR) || p.ext END AS unique_name
+FROM parts p LEFT JOIN free f ON f.base = p.base AND f.k = p.k - 1"""
+
+
+@query("unique_name", _unique_sql(f"SELECT id, {_safe_sql(Q.run_label(), 'run')} AS base FROM fx_runs"))
 def q_unique_name(spark, t, sf_dir):
     """O-SCL-29: numbered ``-2``, ``-3`` suffixes for names already taken (hot names split)."""
     r = t.runs.select("id", TX.safe_filename(LB.run_label(), "run").alias("base"))
     return unique_names(r, "base", "id").select("id", "base", "unique_name")
 
 
+@query("unique_file_name", _unique_sql("""SELECT id, concat('E', employee, CASE WHEN id % 40 < 8 THEN '-' || CAST(id % 40 AS VARCHAR) ELSE '' END,
+   CASE WHEN id % 3 = 0 THEN '.html' ELSE '' END) AS base FROM fx_extraction"""))
+def q_unique_file_name(spark, t, sf_dir):
+    """O-SCL-29 where numbered names are already held and the number goes before the extension."""
+    number = F.when(F.col("id") % 40 < 8, F.concat(F.lit("-"), (F.col("id") % 40).cast("string"))).otherwise("")
+    base = F.concat(F.lit("E"), F.coalesce("employee", F.lit("")), number, F.when(F.col("id") % 3 == 0, ".html").otherwise(""))
+    return unique_names(t.extraction.select("id", base.alias("base")), "base", "id").select("id", "base", "unique_name")
+
+
 @query("scope_label", """SELECT s.scope, coalesce(m.label, 'All Runs') AS label, count(*) AS runs
 FROM (SELECT CASE id % 10 WHEN 0 THEN 'today' WHEN 1 THEN 'last_week' WHEN 2 THEN 'since_last' WHEN 3 THEN 'bogus'
         WHEN 4 THEN ' filtration ' ELSE 'all' END AS scope FROM fx_runs) s

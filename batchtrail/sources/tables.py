@@ -106,19 +106,34 @@ def backfill_completion_status(df: DataFrame, column: str = "completion_status")
 PAYLOAD_TYPE = "map<string,string>"
 
 
+def _last_of_each_key(m: Column) -> Column:
+    """The map with the last value of every key (the JSON reader keeps repeated keys)."""
+    keys, values = F.reverse(F.map_keys(m)), F.reverse(F.map_values(m))
+    distinct = F.array_distinct(keys)
+    once = F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.get(values, (F.array_position(keys, k) - 1).cast("int"))))
+    return F.when(F.size(distinct) < F.size(keys), once).otherwise(m)
+
+
 def parse_payload(c: ColumnOrName = "payload_json") -> Column:
-    """JSON object text -> map; bad, empty or non-object text -> empty map."""
-    parsed = F.from_json(col(c), PAYLOAD_TYPE)
-    return F.coalesce(parsed, F.create_map().cast(PAYLOAD_TYPE))
+    """JSON object text -> map; bad, empty or non-object text -> empty map, the last of a repeated key wins."""
+    parsed = F.coalesce(F.from_json(col(c), PAYLOAD_TYPE), F.create_map().cast(PAYLOAD_TYPE))
+    # a one-element array binds the parsed map, so that the text is parsed once
+    return F.get(F.transform(F.array(parsed), _last_of_each_key), F.lit(0))
 
 
-CONTROL_PREFIXES = ("__session_signature_", "__change__", "__original__", "__corrected__")
+#: Control keys of a form: kept by a submitted sheet up to the signature, never shown as data.
+SIGNATURE_PREFIX, CORRECTION_KEYS = "__session_signature_", ("correction_reason", "save_mode")
 
 
 def form_fields(form: ColumnOrName) -> Column:
     """Keep the submitted data keys: control keys (prefix ``__``), the save mode and the
     correction reason are dropped."""
-    return F.map_filter(col(form), lambda k, _v: ~k.startswith("__") & ~k.isin("correction_reason", "save_mode"))
+    return F.map_filter(col(form), lambda k, _v: ~k.startswith("__") & ~k.isin(*CORRECTION_KEYS))
+
+
+def submitted_fields(form: ColumnOrName) -> Column:
+    """What a saved sheet stores of its form: all but the signature keys and the save mode."""
+    return F.map_filter(col(form), lambda k, _v: ~k.startswith(SIGNATURE_PREFIX) & (k != "save_mode"))
 
 
 def form_events(df: DataFrame, form_col: str = "form_json") -> DataFrame:
@@ -128,4 +143,4 @@ def form_events(df: DataFrame, form_col: str = "form_json") -> DataFrame:
     """
     m = parse_payload(form_col)
     mode = F.when(m.getItem("save_mode") == "Complete", F.lit("Complete")).otherwise(F.lit("Draft"))
-    return df.withColumn("save_mode", mode).withColumn("fields", form_fields(m))
+    return df.withColumn("__form", m).select(*df.columns, mode.alias("save_mode"), form_fields("__form").alias("fields"))

@@ -153,3 +153,30 @@ def test_exact_point_count_equals_listing(spark):
     listed = R.generic_points(s, "centrifuge").count()
     counted = R.generic_point_count(s, "centrifuge").first().point_count
     assert counted == listed
+
+
+def test_the_last_of_a_repeated_key_wins(spark):
+    from batchtrail.sources.tables import form_events, parse_payload, submitted_fields
+    df = spark.createDataFrame([('{"a":"1","b":"2","a":"3"}',), ("[]",), (None,), ('{"a":null,"a":"x"}',)], "form_json string")
+    maps = [r.m for r in df.select(parse_payload("form_json").alias("m")).collect()]
+    assert maps == [{"a": "3", "b": "2"}, {}, {}, {"a": "x"}]
+    form = spark.createDataFrame([('{"a":"1","a":"2","save_mode":"Draft","save_mode":"Complete","__change__a":"OP",'
+                                   '"__session_signature_x":"s","correction_reason":"r"}',)], "form_json string")
+    row = form_events(form).first()
+    assert row.save_mode == "Complete" and row.fields == {"a": "2"}
+    kept = form.select(submitted_fields(parse_payload("form_json")).alias("f")).first().f
+    assert kept == {"a": "2", "__change__a": "OP", "correction_reason": "r"}
+
+
+def test_a_repeated_time_cell_does_not_stop_the_chart(spark):
+    s = sheets_df(spark, [(1, 1, "centrifuge", "2024-05-01", "2024-05-01T09:00:00",
+                           '{"centrifuge_1_time":"08:00","centrifuge_1_time":"08:30","centrifuge_1_back_pressure":"4"}', "Complete")])
+    assert R.generic_point_count(s, "centrifuge").first().point_count == R.generic_points(s, "centrifuge").count()
+
+
+def test_numbered_names_are_unique(spark):
+    from batchtrail.operators.sequence import unique_names
+    names = ["A", "A", "A-2", "A", "A-4", "A-2", "b.pdf", "b.pdf", "b-2.pdf", "b.pdf", ".x", ".x", None, "A-02"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = [r.unique_name for r in unique_names(df, "name", "id").orderBy("id").collect()]
+    assert got == ["A", "A-3", "A-2", "A-5", "A-4", "A-2-2", "b.pdf", "b-3.pdf", "b-2.pdf", "b-4.pdf", ".x", ".x-2", None, "A-02"]
