@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchtrail.functions.labels import completion_status_py
-from batchtrail.sources.stages import RUN_STAGE_KEYS
+from batchtrail.sources.stages import RUN_STAGE_KEYS, stage_titles
+from batchtrail.sources.tables import parse_payload
 
 
 def latest_by(df: DataFrame, keys: list[str], order: str = "id", columns: list[str] | None = None) -> DataFrame:
@@ -96,12 +97,48 @@ def review_flags(packets: DataFrame) -> DataFrame:
 
 
 def row_map(rows: DataFrame, entry_col: str = "filtration_entry_id") -> DataFrame:
-    """Child rows keyed ``{group}_{row_no}`` per entry (O-RSH-14), one map per entry.
-
-    An entry's rows are bounded by the form (6 cycles x 12 rows).
-    """
+    """Child rows under their key ``{group}_{row_no}`` (O-RSH-14), one flat row per entry and key; the highest id wins."""
     key = F.concat(F.coalesce(F.nullif(F.col("row_group"), F.lit("")), F.lit("main")), F.lit("_"), F.col("row_no").cast("string"))
-    keyed = rows.select(entry_col, key.alias("k"), F.struct(*[c for c in rows.columns if c != entry_col]).alias("v"))
-    # later duplicates of a key win, as in a dict built in row order
-    dedup = keyed.groupBy(entry_col, "k").agg(F.max_by("v", F.col("v.id")).alias("v"))
-    return dedup.groupBy(entry_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("rows"))
+    others = [c for c in rows.columns if c != entry_col]
+    keyed = rows.select(entry_col, key.alias("key"), F.struct(*others).alias("v"))
+    return (keyed.groupBy(entry_col, "key").agg(F.max_by("v", F.col("v.id")).alias("v"))
+            .select(entry_col, "key", *[F.col(f"v.{c}").alias(c) for c in others]))
+
+
+# ------------------------------------------------------------ packet content
+
+def _titled(stage: str = "stage_key"):
+    titles = F.create_map(*[x for k, t in stage_titles().items() for x in (F.lit(k), F.lit(t))])
+    return F.coalesce(F.try_element_at(titles, F.col(stage)), F.col(stage)).alias("stage_title")
+
+
+SHEET_CONTENT = ["id", "employee", "operator_initials", "entry_date", "comments", "payload_json", "completion_status",
+                 "version_no", "created_at"]
+
+
+def packet_sheets(sheets: DataFrame, voided: DataFrame) -> DataFrame:
+    """Content of the sheets shown in a packet: the latest per (run, stage), unless voided and not Complete (T17)."""
+    latest = latest_by(sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS)), ["run_id", "stage_key"], columns=SHEET_CONTENT)
+    marks = voided.select("run_id", "stage_key", F.lit(True).alias("__void"))
+    kept = (latest.withColumn("completion_status", completion_status_py()).join(marks, ["run_id", "stage_key"], "left")
+            .filter(F.col("__void").isNull() | (F.col("completion_status") == "Complete")))
+    return kept.select("run_id", "stage_key", _titled(), F.col("id").alias("entry_id"), *SHEET_CONTENT[1:])
+
+
+def packet_cells(packet_sheet_rows: DataFrame) -> DataFrame:
+    """One row per payload field of the packet's sheets: ``(run_id, stage_key, entry_id, key, value)``."""
+    return packet_sheet_rows.select("run_id", "stage_key", "entry_id",
+                                    F.explode(parse_payload("payload_json")).alias("key", "value"))
+
+
+def packet_voided(voided: DataFrame, packet_sheet_rows: DataFrame) -> DataFrame:
+    """Voided stages without a shown sheet, with title, author and time."""
+    return voided_not_saved(voided, packet_sheet_rows.select("run_id", "stage_key")).select(
+        "run_id", "stage_key", _titled(), "voided_by", "voided_at")
+
+
+def packet_rows(filtration: DataFrame, rows: DataFrame) -> DataFrame:
+    """All columns of the child rows of each run's newest filtration entry, one flat row each."""
+    newest = (filtration.filter(F.col("run_id").isNotNull()).groupBy("run_id")
+              .agg(F.max("id").alias("filtration_entry_id")))
+    return rows.join(newest, "filtration_entry_id").select("run_id", *rows.columns)

@@ -18,7 +18,7 @@ from batchtrail.operators.latest import latest_by
 from batchtrail.operators.runs import GROUP_COLUMNS, resolve_labels
 from batchtrail.operators.sequence import assign_ids, running_sum_within, time_bucket
 from batchtrail.sources.stages import RUN_STAGE_KEYS, stage_titles
-from batchtrail.sources.tables import parse_payload
+from batchtrail.sources.tables import parse_payload, submitted_fields
 
 COMPLETE, DRAFT = "Complete", "Draft"
 
@@ -33,13 +33,14 @@ def submit_islands(submits: DataFrame, keys: list[str], ts: str = "submitted_at"
 
 
 def fold_drafts(submits: DataFrame, keys: list[str] | None = None, ts: str = "submitted_at",
-                seq: str = "event_id") -> DataFrame:
+                seq: str = "event_id", content: tuple[str, ...] = ()) -> DataFrame:
     """Sheet entries produced by a submit log (O-STATE-1).
 
     A submit updates the key's latest entry while it is a Draft, else creates a
     new one; a Complete submit closes the entry.  Version = submits folded in.
     ``keys`` = (run_id, stage_key) for run-linked sheets, (stage_key) for
-    standalone sheets, () for the global filtration draft.
+    standalone sheets, () for the global filtration draft.  The ``content``
+    columns are those of the entry's last submit.
     """
     keys = ["run_id", "stage_key"] if keys is None else keys
     tagged = submit_islands(submits, keys, ts, seq)
@@ -49,7 +50,29 @@ def fold_drafts(submits: DataFrame, keys: list[str] | None = None, ts: str = "su
         F.count(F.lit(1)).cast("int").alias("version_no"),
         F.max_by("save_mode", order).alias("completion_status"),
         F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"),
-        F.max_by("employee", order).alias("employee"))
+        F.max_by("employee", order).alias("employee"),
+        *([F.max_by(F.struct(*content), order).alias("__content")] if content else [])
+    ).select("*", *[F.col(f"__content.{c}").alias(c) for c in content]).drop("__content")
+
+
+SHEET_CONTENT = ("stage_title", "operator_initials", "entry_date", "comments", "payload_json")
+
+
+def saved_sheets(submits: DataFrame, form: str = "form_json") -> DataFrame:
+    """Sheet entries with their content from a log of submitted forms (O-STATE-1).
+
+    ``submits`` are the columns of ``fold_drafts`` and the form's JSON text; the
+    stored payload is the form without the signature keys and the save mode.
+    """
+    fields = [c for c in submits.columns if c != form]
+    m = F.col("__m")
+    text = lambda key: F.coalesce(m.getItem(key), F.lit("")).alias(key)
+    titles = F.create_map(*[x for k, t in stage_titles().items() for x in (F.lit(k), F.lit(t))])
+    filled = submits.withColumn("__m", parse_payload(form)).select(
+        *fields, F.coalesce(F.try_element_at(titles, F.col("stage_key")), F.lit("")).alias("stage_title"),
+        F.upper(F.trim(F.coalesce(m.getItem("operator_initials"), F.lit("")))).alias("operator_initials"),
+        text("entry_date"), text("comments"), F.to_json(submitted_fields(m)).alias("payload_json"))
+    return fold_drafts(filled, content=SHEET_CONTENT)
 
 
 def audit_entries(submits: DataFrame, keys: list[str] | None = None, ts: str = "submitted_at",
@@ -163,8 +186,9 @@ def group_label_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
     kind carrying that label; a label that an earlier accepted request of the log
     has made a run of the other kind is taken as well.
     """
+    actor = F.col("employee") if "employee" in requests.columns else F.lit("")
     req = requests.select("request_id", "action", clean("group_label").alias("group_label"), "source_run_id",
-                          "requested_at")
+                          "requested_at", clean(actor).alias("actor"))
     src = runs.select(F.col("id").alias("__sid"))
     req = req.join(src, req["source_run_id"] == src["__sid"], "left")
     tgt = resolve_labels(runs, req.select(F.col("group_label").alias("label")), "label")
@@ -184,7 +208,7 @@ def group_label_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
              .agg(F.min_by("action", F.struct("requested_at", "request_id")).alias("__kind")))
     seen = seen.join(first, "group_label", "left").withColumn(
         "__why", F.coalesce("__why", F.when(F.col("target_run_id").isNull() & (F.col("action") != F.col("__kind")), F.lit("label_taken"))))
-    return seen.select("request_id", "action", "group_label", "source_run_id", "requested_at", "target_run_id",
+    return seen.select("request_id", "action", "group_label", "source_run_id", "requested_at", "actor", "target_run_id",
                        F.when(F.col("__why").isNull(), "accepted").otherwise("rejected").alias("outcome"),
                        F.coalesce("__why", F.lit("")).alias("reason"))
 
@@ -220,8 +244,8 @@ def derived_runs(runs: DataFrame, checked: DataFrame, base_id: int) -> DataFrame
     new = checked.filter((F.col("outcome") == "accepted") & F.col("target_run_id").isNull())
     order = F.struct("requested_at", "request_id")
     first = new.groupBy("action", "group_label").agg(
-        F.min_by(F.struct("request_id", "source_run_id", "requested_at"), order).alias("f"))
-    src = runs.select(F.col("id").alias("__sid"), "product_name", "shift_name", "notes")
+        F.min_by(F.struct("request_id", "source_run_id", "requested_at", "actor"), order).alias("f"))
+    src = runs.select(F.col("id").alias("__sid"), "product_name", "shift_name", "operator_id", "notes")
     heads = first.join(src, F.col("f.source_run_id") == src["__sid"], "left")
     heads = assign_ids(heads, [F.col("f.requested_at"), F.col("f.request_id")],
                        time_bucket("f.requested_at"), base_id, "id")
@@ -230,8 +254,10 @@ def derived_runs(runs: DataFrame, checked: DataFrame, base_id: int) -> DataFrame
         "id", lab.alias("batch_number"), F.when(F.col("action") == "split", lab).otherwise(F.lit("")).alias("split_batch_number"),
         F.when(F.col("action") == "blend", lab).otherwise(F.lit("")).alias("blend_number"), lab.alias("run_number"),
         F.col("action").alias("batch_type"), F.lit(1).alias("reused_batch"), clean("product_name").alias("product_name"),
-        F.lit("Open").alias("status"), F.col("f.source_run_id").alias("source_run_id"),
-        F.col("f.requested_at").alias("created_at"))
+        clean("shift_name").alias("shift_name"),
+        F.coalesce(F.nullif(F.col("f.actor"), F.lit("")), clean("operator_id")).alias("operator_id"),
+        clean("notes").alias("notes"), F.lit("Open").alias("status"), F.col("f.source_run_id").alias("source_run_id"),
+        F.col("f.requested_at").alias("created_at"), F.col("f.requested_at").alias("updated_at"))
 
 
 PAYLOAD_RUN_FIELDS = ["run_number", "production_number", "run_blend_number"]
@@ -246,17 +272,35 @@ def rewrite_payload(payload_json: Column, label: Column, blend: Column) -> Colum
     return F.to_json(repl)
 
 
-def derived_sheet_copies(sheets: DataFrame, heads: DataFrame) -> DataFrame:
-    """Latest sheet per stage of each source run, copied onto its derived run, version 1."""
-    latest = latest_by(sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS)), ["run_id", "stage_key"],
-                       columns=["id", "payload_json", "completion_status", "employee"])
+def _copied(latest: DataFrame, heads: DataFrame) -> DataFrame:
+    """Latest entries of the source runs under the derived runs, as first versions.
+
+    Copies get their ids where they are appended; ``source_entry_id`` names the original.
+    """
     h = heads.select(F.col("id").alias("target_run_id"), F.col("source_run_id").alias("run_id"),
                      run_label("run_number", "batch_number", "id").alias("__label"), F.col("blend_number").alias("__blend"))
-    j = latest.join(h, "run_id")
-    return j.select("target_run_id", F.col("id").alias("source_entry_id"), "stage_key",
-                    rewrite_payload(F.col("payload_json"), F.col("__label"), F.col("__blend")).alias("payload_json"),
-                    "completion_status", "employee", F.lit(1).alias("version_no"),
-                    F.lit(None).cast("long").alias("previous_entry_id"))
+    first = {"version_no": F.lit(1), "previous_entry_id": F.lit(None).cast("long")}
+    j = latest.drop(*first).join(h, "run_id").drop("run_id").withColumnRenamed("id", "source_entry_id")
+    return j.withColumns(first)
+
+
+def derived_sheet_copies(sheets: DataFrame, heads: DataFrame) -> DataFrame:
+    """Latest sheet per stage of each source run, copied onto its derived run, version 1, payload repointed."""
+    latest = latest_by(sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS)), ["run_id", "stage_key"])
+    j = _copied(latest, heads)
+    return j.withColumn("payload_json", rewrite_payload(F.col("payload_json"), F.col("__label"), F.col("__blend"))) \
+        .drop("__label", "__blend")
+
+
+def derived_entry_copies(entries: DataFrame, heads: DataFrame) -> DataFrame:
+    """Latest extraction (or filtration) entry of each source run, copied onto its derived run, version 1."""
+    return _copied(latest_by(entries, ["run_id"]), heads).drop("__label", "__blend")
+
+
+def derived_child_rows(copies: DataFrame, rows: DataFrame, parent: str = "filtration_entry_id") -> DataFrame:
+    """Child rows of the copied entries, once per derived run."""
+    c = copies.select("target_run_id", F.col("source_entry_id").alias(parent))
+    return rows.join(c, parent).withColumnRenamed(parent, "source_entry_id")
 
 
 # ------------------------------------------------------------ O-STATE-9/10/11

@@ -130,27 +130,27 @@ def cycle_view(entries: DataFrame, rows: DataFrame) -> DataFrame:
     return j.filter((n > 0) | F.col("has_summary")).select("entry_id", "cycle", n.alias("n_rows"), "has_summary")
 
 
-def filtration_render_rows(rows: DataFrame) -> DataFrame:
+def filtration_render_rows(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """Visible rows per entry and cycle: highest row with a value, default 1 (O-AGG-11).
 
     Rows are first keyed ``{group}_{row}`` like the row map (a later id replaces
-    an earlier one), then the highest populated row per cycle is taken.
+    an earlier one), then the highest populated row per cycle is taken; an entry
+    without child rows shows one row in every cycle.
     """
     key_cols = ["filtration_entry_id", "row_group", "row_no"]
-    names = ["row_time"] + [f for f in FILTRATION_ROW_FIELDS if f not in ("time",) and f in rows.columns
-                            and f not in ("feed_ri",)]
+    names = ["row_time"] + [f for f in FILTRATION_ROW_FIELDS if f != "time" and f in rows.columns]
     filled = F.lit(False)
     for n in names:
         filled = filled | ~is_blank(n)
     # only the flag of the row that wins its key travels through the shuffle
-    pop = rows.groupBy(*key_cols).agg(F.max_by(filled, F.col("id")).alias("populated"))
-    grid = pop.select("filtration_entry_id").distinct().select(
-        "filtration_entry_id", F.explode(F.sequence(F.lit(1), F.lit(CYCLES))).alias("cycle"))
-    per = (pop.filter("populated").groupBy("filtration_entry_id", "row_group")
-           .agg(F.max(F.coalesce(F.nullif(F.col("row_no"), F.lit(0)), F.lit(1))).alias("top")))
-    g = grid.withColumn("row_group", F.concat(F.lit("cycle"), F.col("cycle").cast("string")))
-    return g.join(per, ["filtration_entry_id", "row_group"], "left").select(
-        "filtration_entry_id", "cycle", F.coalesce(F.col("top"), F.lit(1)).cast("int").alias("render_rows"))
+    pop = rows.groupBy(*key_cols).agg(F.max_by(filled, F.col("id")).alias("populated")).filter("populated")
+    shown = F.coalesce(F.nullif(F.col("row_no"), F.lit(0)), F.lit(1))
+    cycles = range(1, CYCLES + 1)
+    per = pop.groupBy("filtration_entry_id").agg(
+        *[F.max(F.when(F.col("row_group") == f"cycle{c}", shown)).alias(f"__c{c}") for c in cycles])
+    grid = entries.select(F.col("id").alias("filtration_entry_id")).join(per, "filtration_entry_id", "left")
+    return grid.select("filtration_entry_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("cycle"), F.coalesce(f"__c{c}", F.lit(1)).cast("int").alias("render_rows")) for c in cycles])))
 
 
 # ------------------------------------------------------------ generic sheets
@@ -174,6 +174,12 @@ def sheet_detail_rows(cells: DataFrame) -> DataFrame:
             .groupBy("entry_id", "stage_key", "table_prefix", "row_no").agg(F.count(F.lit(1)).alias("filled_cells")))
 
 
+def sheet_detail_cells(cells: DataFrame) -> DataFrame:
+    """The non-empty cells of the rows that a sheet's detail page shows, with table title and label (O-RSH-10)."""
+    return cells.filter(F.coalesce(F.col("text"), F.lit("")) != "").select(
+        "entry_id", "stage_key", "table_prefix", "table_title", "row_no", "field", "label", "text")
+
+
 def sheet_header_values(spark: SparkSession, sheets: DataFrame, runs: DataFrame) -> DataFrame:
     """Header fields of each sheet with the saved value, else the field default (O-RSH-10, O-SCL-26, O-JOIN-12).
 

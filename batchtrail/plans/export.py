@@ -1,8 +1,8 @@
 """Export job (O-STATE-12): run set for a scope -> packets -> manifest -> mark.
 
 One batch job instead of one document per run in a thread pool.  Packets are
-nested per run (arrays bounded by the form: stages per run, rows per entry);
-PDF rendering is not part of this library (see README).
+nested per run (arrays of at most one element per configured stage), filtration
+child rows are a flat table beside them; PDF rendering is not part of this library (see README).
 """
 
 from __future__ import annotations
@@ -40,25 +40,36 @@ def manifest_rows(runs: DataFrame) -> DataFrame:
                        month_folder(prefix).alias("export_month"))
 
 
+def scoped_tables(t: ProcessTables, runs: DataFrame, voided: DataFrame) -> dict[str, DataFrame]:
+    """The inputs of the packets, reduced to the runs of the scope before anything else is done with them."""
+    ids = runs.select(F.col("id").alias("run_id"))
+    own = lambda df: df.join(ids, "run_id", "left_semi")
+    return {"extraction": own(t.extraction), "filtration": own(t.filtration), "sheets": own(t.sheets), "voided": own(voided)}
+
+
 def packet_documents(t: ProcessTables, runs: DataFrame, voided: DataFrame) -> DataFrame:
-    """Nested packet per run: header, latest extraction, latest filtration with rows, sheets, voided stages."""
-    ext = LT.latest_by(t.extraction, ["run_id"]).select("run_id", F.struct(F.col("id"), F.col("entry_date"),
-                                                                            F.col("created_at")).alias("extraction"))
-    fil_head = LT.latest_by(t.filtration, ["run_id"], columns=["id", "entry_date", "completion_status", "payload_json"])
-    rows = t.filtration_rows.join(fil_head.select(F.col("id").alias("filtration_entry_id")), "filtration_entry_id", "left_semi")
-    row_arr = rows.groupBy("filtration_entry_id").agg(F.array_sort(F.collect_list(
-        F.struct("row_group", "row_no", "id", "row_time", "fic1_gpm", "perm_total", "retentate_ri"))).alias("rows"))
-    fil = (fil_head.join(row_arr, fil_head["id"] == row_arr["filtration_entry_id"], "left")
-           .select("run_id", F.struct("id", "entry_date", "completion_status", "payload_json", "rows").alias("filtration")))
-    parts = LT.run_packets(t.runs, t.extraction, t.filtration, t.sheets, voided)
-    sheets = (parts.filter(F.col("part") == "sheet").groupBy("run_id")
-              .agg(F.array_sort(F.collect_list(F.struct("stage_key", "entry_id", "completion_status"))).alias("sheets")))
-    void = (parts.filter(F.col("part") == "voided").groupBy("run_id")
-            .agg(F.array_sort(F.collect_list(F.struct("stage_key", "voided_by"))).alias("voided")))
-    head = manifest_rows(runs)
-    doc = (head.join(ext, "run_id", "left").join(fil, "run_id", "left").join(sheets, "run_id", "left")
-           .join(void, "run_id", "left"))
-    return doc
+    """One document per run: header, latest extraction and filtration entry, shown sheets, voided stages, all columns.
+
+    The two arrays hold at most one element per configured stage.  Filtration
+    child rows have no such bound; they are written flat (``packet_child_rows``).
+    """
+    part = scoped_tables(t, runs, voided)
+    entry = lambda df, name: LT.latest_by(df, ["run_id"]).select(
+        "run_id", F.struct(*[c for c in df.columns if c != "run_id"]).alias(name))
+    shown = LT.packet_sheets(part["sheets"], part["voided"])
+    listed = lambda df, name: df.groupBy("run_id").agg(F.array_sort(F.collect_list(
+        F.struct(*[c for c in df.columns if c != "run_id"]))).alias(name))
+    return (manifest_rows(runs).join(entry(part["extraction"], "extraction"), "run_id", "left")
+            .join(entry(part["filtration"], "filtration"), "run_id", "left")
+            .join(listed(shown, "sheets"), "run_id", "left")
+            .join(listed(LT.packet_voided(part["voided"], shown), "voided"), "run_id", "left"))
+
+
+def packet_child_rows(t: ProcessTables, runs: DataFrame) -> DataFrame:
+    """Filtration rows of the scope's packets with the month folder of their run."""
+    ids = runs.select(F.col("id").alias("run_id"))
+    rows = LT.packet_rows(t.filtration.join(ids, "run_id", "left_semi"), t.filtration_rows)
+    return rows.join(manifest_rows(runs).select("run_id", "export_month"), "run_id")
 
 
 def export_scope(spark: SparkSession, t: ProcessTables, voided: DataFrame, scope: str, as_of: str, root: str,
@@ -70,6 +81,7 @@ def export_scope(spark: SparkSession, t: ProcessTables, voided: DataFrame, scope
     docs = packet_documents(t, runs, voided)
     out = f"{root}/{safe_export_name(export_name)}"
     sinks.write_packets(docs, f"{out}/packets")
+    sinks.write_packets(packet_child_rows(t, runs), f"{out}/packet_rows")
     # the written documents are the checkpoint: later steps read them, not the lineage
     written = spark.read.schema(docs.schema).json(f"{out}/packets")
     count = written.count()

@@ -11,6 +11,7 @@ from batchtrail.plans import sqltext as Q
 from batchtrail.plans.registry import query
 from batchtrail.sources.fixtures import fixture
 from batchtrail.sources.stages import RUN_LINKED_STAGES, RUN_STAGE_KEYS, stage_titles
+from batchtrail.sources.tables import parse_payload
 
 _RUN_STAGES = ", ".join(f"'{k}'" for k in RUN_STAGE_KEYS)
 
@@ -136,7 +137,7 @@ def q_finalize_runs(spark, t, sf_dir):
     return LC.finalize_runs(t.runs, fixture(spark, sf_dir, "fx_finalize_requests"), t.sheets)
 
 
-_CHECKED_SQL = """req AS (SELECT request_id, action, """ + Q.clean("group_label") + """ AS group_label, source_run_id, requested_at FROM fx_group_requests),
+_CHECKED_SQL = """req AS (SELECT request_id, action, """ + Q.clean("group_label") + """ AS group_label, source_run_id, requested_at, """ + Q.clean("employee") + """ AS actor FROM fx_group_requests),
 lbl AS (SELECT DISTINCT group_label AS label FROM req WHERE group_label <> ''),
 cand AS (SELECT l.label, r.id, r.status, r.updated_at FROM lbl l JOIN fx_runs r ON r.run_number = l.label OR r.batch_number = l.label),
 tgt AS (SELECT label, id AS target_run_id FROM (SELECT *, row_number() OVER (PARTITION BY label
@@ -144,20 +145,20 @@ tgt AS (SELECT label, id AS target_run_id FROM (SELECT *, row_number() OVER (PAR
 chk AS (SELECT q.*, t.target_run_id, s.id AS sid, tr.batch_type AS tbt, tr.blend_number AS tb, tr.split_batch_number AS ts
    FROM req q LEFT JOIN fx_runs s ON s.id = q.source_run_id LEFT JOIN tgt t ON t.label = q.group_label
    LEFT JOIN fx_runs tr ON tr.id = t.target_run_id),
-seen AS (SELECT request_id, action, group_label, source_run_id, requested_at, target_run_id,
+seen AS (SELECT request_id, action, group_label, source_run_id, requested_at, actor, target_run_id,
   CASE WHEN group_label = '' THEN 'blank_label' WHEN sid IS NULL THEN 'no_source_run'
        WHEN target_run_id = source_run_id THEN 'label_is_source'
        WHEN target_run_id IS NOT NULL AND NOT (coalesce(""" + Q.clean("tbt") + """ = action, FALSE) AND coalesce((CASE WHEN action = 'blend' THEN """ + Q.clean("tb") + """ ELSE """ + Q.clean("ts") + """ END) = group_label, FALSE))
          THEN 'label_taken' END AS why0 FROM chk),
 kinds AS (SELECT group_label, action AS kind FROM (SELECT *, row_number() OVER (PARTITION BY group_label ORDER BY requested_at, request_id) AS k
   FROM seen WHERE why0 IS NULL AND target_run_id IS NULL) WHERE k = 1),
-checked AS (SELECT s.request_id, s.action, s.group_label, s.source_run_id, s.requested_at, s.target_run_id,
+checked AS (SELECT s.request_id, s.action, s.group_label, s.source_run_id, s.requested_at, s.actor, s.target_run_id,
   coalesce(s.why0, CASE WHEN s.target_run_id IS NULL AND s.action <> k.kind THEN 'label_taken' END) AS why
   FROM seen s LEFT JOIN kinds k ON k.group_label = s.group_label)"""
 
 
 @query("group_label_requests", f"""WITH {_CHECKED_SQL}
-SELECT request_id, action, group_label, source_run_id, requested_at, target_run_id,
+SELECT request_id, action, group_label, source_run_id, requested_at, actor, target_run_id,
   CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, coalesce(why, '') AS reason FROM checked""")
 def q_group_label_requests(spark, t, sf_dir):
     """O-STATE-7: blend/split requests checked against the runs (reason codes)."""
@@ -185,8 +186,9 @@ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY action, grou
 heads AS (SELECT CAST((SELECT max(id) FROM fx_runs) + row_number() OVER (ORDER BY f.requested_at, f.request_id) AS BIGINT) AS id,
   f.group_label AS batch_number, CASE WHEN f.action = 'split' THEN f.group_label ELSE '' END AS split_batch_number,
   CASE WHEN f.action = 'blend' THEN f.group_label ELSE '' END AS blend_number, f.group_label AS run_number,
-  f.action AS batch_type, 1 AS reused_batch, {Q.clean('s.product_name')} AS product_name, 'Open' AS status,
-  f.source_run_id, f.requested_at AS created_at
+  f.action AS batch_type, 1 AS reused_batch, {Q.clean('s.product_name')} AS product_name, '' AS shift_name,
+  f.actor AS operator_id, '' AS notes, 'Open' AS status, f.source_run_id, f.requested_at AS created_at,
+  f.requested_at AS updated_at
   FROM firsts f LEFT JOIN fx_runs s ON s.id = f.source_run_id)"""
 
 
@@ -197,21 +199,81 @@ def q_derived_runs(spark, t, sf_dir):
     return LC.derived_runs(t.runs, checked, LC.max_id(t.runs))
 
 
+def _heads(spark, t, sf_dir):
+    checked = LC.group_label_requests(t.runs, fixture(spark, sf_dir, "fx_group_requests"))
+    return LC.derived_runs(t.runs, checked, LC.max_id(t.runs))
+
+
 @query("derived_sheet_copies", _DERIVED_SQL + f""",
 {_LATEST_SHEET}
-SELECT h.id AS target_run_id, ls.id AS source_entry_id, ls.stage_key, ls.payload_json AS original_payload,
-  ls.completion_status, ls.employee, 1 AS version_no, CAST(NULL AS BIGINT) AS previous_entry_id
+SELECT h.id AS target_run_id, ls.id AS source_entry_id, ls.stage_key, ls.stage_title, ls.operator_initials, ls.entry_date,
+  ls.comments, ls.completion_status, ls.employee, 1 AS version_no, CAST(NULL AS BIGINT) AS previous_entry_id
 FROM ls JOIN heads h ON h.source_run_id = ls.run_id""")
 def q_derived_sheet_copies(spark, t, sf_dir):
-    """O-STATE-8 + O-RSH-11: latest sheets of each source copied to its derived run.
+    """O-STATE-8: latest sheets of each source copied to its derived run (payloads: ``derived_sheet_cells``)."""
+    return LC.derived_sheet_copies(t.sheets, _heads(spark, t, sf_dir)).select(
+        "target_run_id", "source_entry_id", "stage_key", "stage_title", "operator_initials", "entry_date", "comments",
+        "completion_status", "employee", "version_no", "previous_entry_id")
 
-    The rewritten payload is checked in the tests; the oracle compares the other columns.
-    """
-    checked = LC.group_label_requests(t.runs, fixture(spark, sf_dir, "fx_group_requests"))
-    heads = LC.derived_runs(t.runs, checked, LC.max_id(t.runs))
-    copies = LC.derived_sheet_copies(t.sheets, heads)
-    src = t.sheets.select(F.col("id").alias("source_entry_id"), F.col("payload_json").alias("original_payload"))
-    return copies.join(src, "source_entry_id").drop("payload_json")
+
+@query("derived_sheet_cells", _DERIVED_SQL + f""",
+{_LATEST_SHEET},
+c AS (SELECT h.id AS target_run_id, ls.stage_key, h.run_number, h.blend_number,
+   unnest(map_entries({Q.payload_map('ls.payload_json')})) AS e FROM ls JOIN heads h ON h.source_run_id = ls.run_id)
+SELECT target_run_id, stage_key, e.key AS key, CASE WHEN e.key IN ('run_number', 'production_number') THEN run_number
+  WHEN e.key = 'run_blend_number' THEN coalesce(nullif(blend_number, ''), run_number) ELSE e.value END AS value FROM c""")
+def q_derived_sheet_cells(spark, t, sf_dir):
+    """O-RSH-11: the rewritten payloads of the copied sheets, one row per field."""
+    copies = LC.derived_sheet_copies(t.sheets, _heads(spark, t, sf_dir))
+    return copies.select("target_run_id", "stage_key", F.explode(parse_payload("payload_json")).alias("key", "value"))
+
+
+_EXT_COPY = ["employee", "operator_initials", "entry_date", "entry_time", "location", "psf1_speed", "psf1_load", "press_blowback",
+             "chip_bin_steam", "comments", "photo_path"]
+
+
+def _latest_entry_sql(view: str) -> str:
+    return f"""le AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id DESC) AS k
+  FROM {view} WHERE run_id IS NOT NULL) WHERE k = 1)"""
+
+
+@query("derived_extraction_copies", _DERIVED_SQL + f""",
+{_latest_entry_sql('fx_extraction')}
+SELECT h.id AS target_run_id, le.id AS source_entry_id, {', '.join('le.' + c for c in _EXT_COPY)}, 1 AS version_no
+FROM le JOIN heads h ON h.source_run_id = le.run_id""")
+def q_derived_extraction_copies(spark, t, sf_dir):
+    """O-STATE-8: latest extraction entry of each source copied to its derived run."""
+    return LC.derived_entry_copies(t.extraction, _heads(spark, t, sf_dir)).select(
+        "target_run_id", "source_entry_id", *_EXT_COPY, "version_no")
+
+
+@query("derived_filtration_rows", _DERIVED_SQL + f""",
+{_latest_entry_sql('fx_filtration')}
+SELECT h.id AS target_run_id, le.id AS source_entry_id, x.row_group, CAST(x.row_no AS INTEGER) AS row_no, x.row_time, x.fic1_gpm,
+  x.perm_total, x.retentate_ri FROM le JOIN heads h ON h.source_run_id = le.run_id JOIN fx_filtration_rows x ON x.filtration_entry_id = le.id""")
+def q_derived_filtration_rows(spark, t, sf_dir):
+    """O-STATE-8: child rows of the latest filtration entry of each source, copied to its derived run."""
+    copies = LC.derived_entry_copies(t.filtration, _heads(spark, t, sf_dir))
+    return LC.derived_child_rows(copies, t.filtration_rows).select(
+        "target_run_id", "source_entry_id", "row_group", "row_no", "row_time", "fic1_gpm", "perm_total", "retentate_ri")
+
+
+@query("fold_sheet_content", f"""WITH m AS (SELECT *, {Q.payload_map('form_json')} AS raw FROM fx_submit_forms),
+n AS (SELECT *, CAST(coalesce(sum(CASE WHEN save_mode = 'Complete' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, stage_key
+   ORDER BY submitted_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS entry_no FROM m),
+l AS (SELECT *, row_number() OVER (PARTITION BY run_id, stage_key, entry_no ORDER BY submitted_at DESC, event_id DESC) AS z,
+   first_value(event_id) OVER (PARTITION BY run_id, stage_key, entry_no ORDER BY submitted_at, event_id) AS entry_id FROM n),
+e AS (SELECT run_id, stage_key, entry_id, unnest(map_entries(raw)) AS e FROM l WHERE z = 1)
+SELECT run_id, stage_key, entry_id, e.key AS key, e.value AS value FROM e
+WHERE NOT starts_with(e.key, '__session_signature_') AND e.key <> 'save_mode'
+UNION ALL SELECT run_id, stage_key, entry_id, '=comments', coalesce(raw['comments'], '') FROM l WHERE z = 1
+UNION ALL SELECT run_id, stage_key, entry_id, '=entry_date', coalesce(raw['entry_date'], '') FROM l WHERE z = 1""")
+def q_fold_sheet_content(spark, t, sf_dir):
+    """O-STATE-1: content of the folded sheets: payload fields, comments and entry date of the last submit."""
+    s = LC.saved_sheets(fixture(spark, sf_dir, "fx_submit_forms"))
+    extra = F.map_from_arrays(F.array(F.lit("=comments"), F.lit("=entry_date")), F.array("comments", "entry_date"))
+    return s.select("run_id", "stage_key", "entry_id",
+                    F.explode(F.map_concat(parse_payload("payload_json"), extra)).alias("key", "value"))
 
 
 @query("touch_runs", """WITH s AS (SELECT run_id, created_at FROM fx_extraction UNION ALL SELECT run_id, created_at FROM fx_filtration
@@ -317,6 +379,54 @@ def q_run_packets(spark, t, sf_dir):
     return _packets(spark, t, sf_dir)
 
 
+_SHOWN_SQL = f"""WITH {VOID_CTE},
+{_LATEST_SHEET},
+shown AS (SELECT ls.*, coalesce(nullif(ls.completion_status, ''), 'Complete') AS st FROM ls
+   LEFT JOIN vs ON vs.run_id = ls.run_id AND vs.stage_key = ls.stage_key
+   WHERE vs.run_id IS NULL OR coalesce(nullif(ls.completion_status, ''), 'Complete') = 'Complete')"""
+
+
+def _shown(spark, t, sf_dir):
+    return LT.packet_sheets(t.sheets, LC.void_state(fixture(spark, sf_dir, "fx_void_log"), True))
+
+
+_TITLES_SQL = "CASE stage_key " + " ".join(
+    "WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in stage_titles().items()) + " ELSE stage_key END"
+
+
+@query("packet_sheets", f"""{_SHOWN_SQL}
+SELECT run_id, stage_key, {_TITLES_SQL} AS stage_title, id AS entry_id, employee, operator_initials, entry_date, comments,
+  st AS completion_status, created_at FROM shown""")
+def q_packet_sheets(spark, t, sf_dir):
+    """O-JOIN-8: the sheets of every packet with their header content."""
+    return _shown(spark, t, sf_dir).drop("payload_json", "version_no")
+
+
+@query("packet_cells", f"""{_SHOWN_SQL},
+e AS (SELECT run_id, stage_key, id AS entry_id, unnest(map_entries({Q.payload_map()})) AS e FROM shown)
+SELECT run_id, stage_key, entry_id, e.key AS key, e.value AS value FROM e""")
+def q_packet_cells(spark, t, sf_dir):
+    """O-JOIN-8 + O-SNK-5: every payload field of the packets' sheets, one row each."""
+    return LT.packet_cells(_shown(spark, t, sf_dir))
+
+
+@query("packet_voided", f"""{_SHOWN_SQL}
+SELECT run_id, stage_key, {_TITLES_SQL} AS stage_title, voided_by, voided_at FROM vs
+WHERE stage_key IN ({_RUN_STAGES}) AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.run_id = vs.run_id AND s.stage_key = vs.stage_key)""")
+def q_packet_voided(spark, t, sf_dir):
+    """O-JOIN-10: the voided stages of every packet with title, author and time."""
+    return LT.packet_voided(LC.void_state(fixture(spark, sf_dir, "fx_void_log"), True), _shown(spark, t, sf_dir))
+
+
+@query("packet_rows", f"""WITH {_latest_entry_sql('fx_filtration')}
+SELECT le.run_id, x.filtration_entry_id, x.id, x.row_group, CAST(x.row_no AS INTEGER) AS row_no, x.row_time, x.fic1_gpm, x.perm_total,
+  x.retentate_ri FROM fx_filtration_rows x JOIN le ON le.id = x.filtration_entry_id""")
+def q_packet_rows(spark, t, sf_dir):
+    """O-JOIN-8 + O-SNK-5: filtration rows of every packet, one flat row each."""
+    return LT.packet_rows(t.filtration, t.filtration_rows).select(
+        "run_id", "filtration_entry_id", "id", "row_group", "row_no", "row_time", "fic1_gpm", "perm_total", "retentate_ri")
+
+
 @query("review_flags", f"""WITH pk AS ({_PACKET_SQL})
 SELECT run_id, TRUE AS has_entries, bool_or(part = 'sheet' AND completion_status = 'Complete') AS has_complete_entries
 FROM pk GROUP BY run_id""")

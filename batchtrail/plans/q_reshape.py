@@ -130,21 +130,19 @@ pop AS (SELECT filtration_entry_id, row_group, row_no FROM l WHERE {Q.clean('row
    OR {Q.clean('perm_total')} <> '' OR {Q.clean('retentate_ri')} <> ''),
 per AS (SELECT filtration_entry_id, row_group, max(CASE WHEN row_no = 0 THEN 1 ELSE row_no END) AS top FROM pop GROUP BY 1, 2),
 g AS (SELECT e.filtration_entry_id, c.cycle, 'cycle' || CAST(c.cycle AS VARCHAR) AS row_group FROM
-   (SELECT DISTINCT filtration_entry_id FROM fx_filtration_rows) e, (SELECT unnest(range(1, 7)) AS cycle) c)
+   (SELECT id AS filtration_entry_id FROM fx_filtration) e, (SELECT unnest(range(1, 7)) AS cycle) c)
 SELECT g.filtration_entry_id, CAST(g.cycle AS INTEGER) AS cycle, CAST(coalesce(per.top, 1) AS INTEGER) AS render_rows
 FROM g LEFT JOIN per ON per.filtration_entry_id = g.filtration_entry_id AND per.row_group = g.row_group""")
 def q_filtration_render_rows(spark, t, sf_dir):
     """O-AGG-11 (filtration): visible rows per cycle, default 1."""
-    return RS.filtration_render_rows(t.filtration_rows)
+    return RS.filtration_render_rows(t.filtration, t.filtration_rows)
 
 
 @query("row_map", """SELECT filtration_entry_id, coalesce(nullif(row_group, ''), 'main') || '_' || CAST(row_no AS VARCHAR) AS key,
  max(id) AS row_id FROM fx_filtration_rows GROUP BY 1, 2""")
 def q_row_map(spark, t, sf_dir):
     """O-RSH-14: child rows keyed ``group_row`` per entry (later row wins), shown flat."""
-    m = LT.row_map(t.filtration_rows)
-    return m.select("filtration_entry_id", F.explode("rows").alias("key", "v")).select(
-        "filtration_entry_id", "key", F.col("v.id").alias("row_id"))
+    return LT.row_map(t.filtration_rows).select("filtration_entry_id", "key", F.col("id").alias("row_id"))
 
 
 _CELLS_CTE = f"""s AS (SELECT id AS entry_id, stage_key, {Q.payload_map()} AS m FROM fx_sheets),
@@ -177,6 +175,13 @@ def q_sheet_detail_rows(spark, t, sf_dir):
     return RS.sheet_detail_rows(R.cells_long(t.sheets, stage_columns(spark)))
 
 
+@query("sheet_detail_cells", f"""WITH {_CELLS_CTE}
+SELECT entry_id, stage_key, table_prefix, row_no, field, label, text FROM cells WHERE coalesce(text, '') <> ''""")
+def q_sheet_detail_cells(spark, t, sf_dir):
+    """O-RSH-10: the cell values of each sheet's non-empty rows."""
+    return RS.sheet_detail_cells(R.cells_long(t.sheets, stage_columns(spark))).drop("table_title")
+
+
 def _headers_values() -> str:
     rows = []
     for key, no, field, label, _type, _opts, default in stage_header_rows():

@@ -165,6 +165,9 @@ SELECT event_id AS form_id, replace(substr(cast(ts as string),1,19),' ','T') AS
   '","row1_time":"09:00","row1_feed_rate":"', cast(event_id % 11 as string), '","row2_vacuum":"22","row3_concentrate_ri":"',
   CASE WHEN event_id % 2 = 0 THEN '' ELSE '31' END, '"}') AS form_json
 FROM events""",
+    # The submit log with the form that each submit sent.
+    "fx_submit_forms": """
+SELECT s.*, f.form_json FROM fx_submits s JOIN fx_forms f ON f.form_id = s.event_id""",
     # Sheets of every run-linked stage with cells of two chartable fields of one
     # of its tables: a timed row, a second row (sometimes past the table's row
     # count, which must be ignored), a payload date on some, and for resistaid /
@@ -210,7 +213,9 @@ SELECT record_id AS id, run_id, employee, operator_initials, entry_date, evapora
 FROM fx_entries_wide WHERE entry_table = 'evaporation_entries'""",
     "fx_sheets": """
 SELECT record_id AS id, run_id, stage_key, stage_title, employee, operator_initials, entry_date, comments,
- payload_json, coalesce(nullif(completion_status, ''), 'Complete') AS completion_status, created_at
+ CASE record_id % 4 WHEN 1 THEN replace(payload_json, '{"entry_date"', concat('{"run_number":"R', cast(record_id as string), '","production_number":"","entry_date"'))
+  WHEN 2 THEN replace(payload_json, '{"entry_date"', '{"run_blend_number":"BL0","entry_date"') ELSE payload_json END AS payload_json,
+ coalesce(nullif(completion_status, ''), 'Complete') AS completion_status, created_at
 FROM fx_entries_wide WHERE entry_table = 'sheet_entries'""",
 }
 

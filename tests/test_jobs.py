@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from batchtrail.operators import latest as LT
 from batchtrail.operators import lifecycle as LC
 from batchtrail.operators.feeds import entry_union
 from batchtrail.operators.readings import stage_metric_catalog, stage_metric_fields
@@ -144,6 +145,18 @@ def test_export_round_trip_and_since_last_is_empty_after(spark):
     assert first["run_count"] == t.runs.count()
     packets = spark.read.json(f"{first['path']}/packets")
     assert packets.select("run_id").distinct().count() == first["run_count"]
+    # the documents hold the content of the entries and sheets, the child rows lie beside them
+    newest = LT.latest_by(t.extraction, ["run_id"]).join(t.runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    want = {(r.run_id, r.psf1_speed, r.chip_bin_steam, r.comments) for r in newest.collect()}
+    got = {(r.run_id, r.extraction.psf1_speed, r.extraction.chip_bin_steam, r.extraction.comments)
+           for r in packets.filter("extraction IS NOT NULL").collect()}
+    assert {tuple(v or "" for v in g) for g in got} == {tuple(v or "" for v in w) for w in want}
+    cells = LT.packet_cells(packets.select("run_id", F.inline("sheets")))
+    shown = LT.packet_sheets(t.sheets, voided).join(t.runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    assert cells.exceptAll(LT.packet_cells(shown)).count() == 0 and cells.count() == LT.packet_cells(shown).count()
+    rows = spark.read.json(f"{first['path']}/packet_rows")
+    known = LT.packet_rows(t.filtration, t.filtration_rows).join(t.runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    assert rows.count() == known.count()
     manifest = spark.read.option("header", True).csv(f"{first['path']}/manifest/rows")
     assert manifest.count() == first["run_count"]
     second = EX.export_scope(spark, t, voided, "since_last", "2100-01-02T00:00:00", root, "second")
@@ -230,3 +243,24 @@ def test_finalize_sees_only_earlier_sheets_and_group_kinds_are_fixed_by_the_firs
                                 "request_id long, action string, group_label string, source_run_id long, requested_at string")
     got = {r.request_id: (r.outcome, r.reason) for r in LC.group_label_requests(full, log).collect()}
     assert got == {1: ("accepted", ""), 2: ("rejected", "label_taken"), 3: ("accepted", ""), 4: ("rejected", "blank_label")}
+
+
+def test_derived_heads_take_the_actor_else_the_sources_operator(spark):
+    from batchtrail.sources.tables import SCHEMAS, reconcile_schema
+    runs = reconcile_schema(spark.createDataFrame([(1, "R1", "Open", " day ", "E9", "n1"), (2, "R2", "Open", None, "E8", None)],
+                                                  "id long, run_number string, status string, shift_name string, operator_id string, notes string"),
+                            SCHEMAS["production_runs"])
+    req = spark.createDataFrame([(1, "blend", "B7", 1, "2024-01-01T00:00:00", " E1 "), (2, "split", "S7", 2, "2024-01-01T00:00:00", "")],
+                                "request_id long, action string, group_label string, source_run_id long, requested_at string, employee string")
+    heads = LC.derived_runs(runs, LC.group_label_requests(runs, req), 2)
+    got = [(r.id, r.run_number, r.shift_name, r.operator_id, r.notes, r.updated_at) for r in heads.orderBy("id").collect()]
+    assert got == [(3, "B7", "day", "E1", "n1", "2024-01-01T00:00:00"), (4, "S7", "", "E8", "", "2024-01-01T00:00:00")]
+
+
+def test_an_entry_without_child_rows_shows_one_row_per_cycle(spark):
+    from batchtrail.operators import reshape as RS
+    entries = spark.createDataFrame([(1,), (2,)], "id long")
+    rows = spark.createDataFrame([(10, 1, "cycle2", 4, "08:00"), (11, 1, "cycle2", 7, " "), (12, 1, "cycle3", 5, "x"), (13, 1, "cycle3", 5, "")],
+                                 "id long, filtration_entry_id long, row_group string, row_no int, row_time string")
+    got = {(r.filtration_entry_id, r.cycle): r.render_rows for r in RS.filtration_render_rows(entries, rows).collect()}
+    assert len(got) == 12 and got[(1, 2)] == 4 and sum(got.values()) == 15
