@@ -33,7 +33,7 @@ def latest_filtration(filtration: DataFrame, rows: DataFrame) -> DataFrame:
     """Latest filtration entry per run with its child rows in (row_group, row_no) order."""
     head = latest_by(filtration, ["run_id"], columns=["id", "completion_status", "created_at"])
     kids = rows.join(head.select(F.col("id").alias("filtration_entry_id")), "filtration_entry_id", "left_semi")
-    return head, kids.orderBy("filtration_entry_id", "row_group", "row_no", "id")
+    return head, kids.repartition("filtration_entry_id").sortWithinPartitions("filtration_entry_id", "row_group", "row_no", "id")
 
 
 def latest_sheet_per_stage(sheets: DataFrame) -> DataFrame:

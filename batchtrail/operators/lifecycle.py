@@ -2,7 +2,7 @@
 
 The reference mutates rows one request at a time.  Here each rule is a
 deterministic function of an ordered log, computed with partitioned windows
-and aggregations; hot keys are split by minute buckets (``running_sum_within``).
+and aggregations; hot keys are split by minute, stamp and id range (``running_sum_within``).
 Checks that the reference makes against the live database are made against
 the snapshot given to the job.
 """
@@ -28,7 +28,7 @@ COMPLETE, DRAFT = "Complete", "Draft"
 def submit_islands(submits: DataFrame, keys: list[str], ts: str = "submitted_at", seq: str = "event_id") -> DataFrame:
     """Tag each submit with its entry number: Completes strictly before it in the key (gaps and islands)."""
     is_complete = (F.col("save_mode") == COMPLETE).cast("int")
-    return running_sum_within(submits, keys, [F.col(ts), F.col(seq)], time_bucket(ts), is_complete, "entry_no",
+    return running_sum_within(submits, keys, [F.col(ts), F.col(seq)], time_bucket(ts, seq), is_complete, "entry_no",
                               inclusive=False)
 
 
@@ -140,6 +140,55 @@ def field_changes(forms: DataFrame, sub: str = "submission_id") -> tuple[DataFra
     return accepted, missing.select(sub, "field_name")
 
 
+def saved_values(sheets: DataFrame) -> DataFrame:
+    """What a sheet's correction form is compared with: its payload, header columns first (``old_values``)."""
+    header = ["comments", "entry_date", "operator_initials"]
+    payload = F.map_filter(parse_payload("payload_json"), lambda k, _v: ~k.isin(*header))
+    columns = F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.array(*header))
+    return sheets.select(F.lit("sheet_entries").alias("entry_table"), F.col("id").alias("record_id"), "run_id",
+                         F.map_concat(payload, columns).alias("old_values"))
+
+
+def corrections_from_forms(forms: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Correction log rows of raw correction forms, and the changed fields that lack initials (O-STATE-4, O-SNK-4).
+
+    ``forms``: submission_id, entry_table, record_id, form_json, employee,
+    submitted_at; ``saved``: entry_table, record_id, run_id, old_values.  A form
+    is compared inside its own row, so only changed fields are exploded and a
+    form with a field that lacks initials is refused without a further join.
+    Forms of unknown entries give nothing.
+    """
+    m = F.col("__m")
+    control = ("__change__", "__original__", "__corrected__", "__session_signature_")
+
+    def is_data(key: Column) -> Column:
+        keep = key != "correction_reason"
+        for prefix in control:
+            keep = keep & ~key.startswith(prefix)
+        return keep
+
+    def side(prefix: str, key: Column) -> Column:
+        return clean(F.try_element_at(m, F.concat(F.lit(prefix), key)))
+
+    def change(e: Column) -> Column:
+        new, old = clean(e["value"]), clean(F.try_element_at(F.col("old_values"), e["key"]))
+        return F.struct(e["key"].alias("field_name"), new.alias("field_value"), old.alias("old_value"),
+                        F.coalesce(F.nullif(side("__original__", e["key"]), F.lit("")), old).alias("original_value"),
+                        F.coalesce(F.nullif(side("__corrected__", e["key"]), F.lit("")), new).alias("corrected_value"),
+                        F.upper(side("__change__", e["key"])).alias("change_initials"))
+
+    j = forms.join(saved, ["entry_table", "record_id"]).withColumn("__m", parse_payload("form_json"))
+    cells = F.filter(F.map_entries(m), lambda e: is_data(e["key"]))
+    changes = F.filter(F.transform(cells, change), lambda c: c["field_value"] != c["old_value"])
+    diff = j.select("submission_id", "run_id", "entry_table", "record_id", clean(F.try_element_at(m, F.lit("correction_reason"))).alias("correction_reason"),
+                    F.col("employee").alias("changed_by_employee"), F.col("submitted_at").alias("created_at"), changes.alias("__c"))
+    lacking = F.filter("__c", lambda c: c["change_initials"] == "")
+    diff = diff.withColumn("__lacking", lacking)
+    accepted = (diff.filter(F.size("__lacking") == 0).select("*", F.inline("__c"))
+                .drop("__c", "__lacking", "old_value"))
+    return accepted, diff.select("submission_id", F.explode(F.transform("__lacking", lambda c: c["field_name"])).alias("field_name"))
+
+
 # --------------------------------------------------------------- O-STATE-5
 
 def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -248,7 +297,7 @@ def derived_runs(runs: DataFrame, checked: DataFrame, base_id: int) -> DataFrame
     src = runs.select(F.col("id").alias("__sid"), "product_name", "shift_name", "operator_id", "notes")
     heads = first.join(src, F.col("f.source_run_id") == src["__sid"], "left")
     heads = assign_ids(heads, [F.col("f.requested_at"), F.col("f.request_id")],
-                       time_bucket("f.requested_at"), base_id, "id")
+                       time_bucket("f.requested_at", "f.request_id"), base_id, "id")
     lab = F.col("group_label")
     return heads.select(
         "id", lab.alias("batch_number"), F.when(F.col("action") == "split", lab).otherwise(F.lit("")).alias("split_batch_number"),
@@ -349,7 +398,7 @@ def create_or_reuse_runs(runs: DataFrame, requests: DataFrame, base_id: int) ->
     order = F.struct("requested_at", "request_id")
     fresh = (r.filter(F.col("existing_id").isNull()).groupBy("key")
              .agg(F.min_by(F.struct("request_id", "requested_at"), order).alias("f")))
-    fresh = assign_ids(fresh, [F.col("f.requested_at"), F.col("f.request_id")], time_bucket("f.requested_at"),
+    fresh = assign_ids(fresh, [F.col("f.requested_at"), F.col("f.request_id")], time_bucket("f.requested_at", "f.request_id"),
                        base_id, "new_id").select("key", "new_id", F.col("f.request_id").alias("creating_request"))
     out = r.join(fresh, "key", "left")
     action = (F.when(F.col("existing_id").isNotNull(), "reuse")
@@ -358,6 +407,20 @@ def create_or_reuse_runs(runs: DataFrame, requests: DataFrame, base_id: int) ->
                       F.coalesce(F.col("existing_id"), F.col("new_id")).alias("run_id"))
 
 
+def created_runs(requests: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Header rows of the runs that ``create_or_reuse_runs`` created (O-STATE-11)."""
+    new = resolved.filter(F.col("action") == "create").select("request_id", F.col("label").alias("run_number"),
+                                                              F.col("run_id").alias("id"))
+    text = lambda name: clean(name) if name in requests.columns else F.lit("")
+    asked = requests.select("request_id", text("product_name").alias("product_name"), text("employee").alias("operator_id"),
+                            F.col("requested_at").alias("created_at"))
+    empty = [F.lit("").alias(c) for c in ("split_batch_number", "blend_number", "shift_name", "notes")]
+    return new.join(asked, "request_id").select(
+        "id", F.col("run_number").alias("batch_number"), "run_number", F.lit("standard").alias("batch_type"),
+        F.lit(0).alias("reused_batch"), "product_name", "operator_id", *empty, F.lit("Open").alias("status"),
+        "created_at", F.col("created_at").alias("updated_at"))
+
+
 def max_id(df: DataFrame, column: str = "id") -> int:
     """Largest id of a table (one scalar to the driver) for id assignment."""
     value = df.agg(F.max(column)).first()[0]

@@ -57,23 +57,39 @@ def point_merge(values: DataFrame, key_cols: list[str], order_col: str = "ord")
             .agg(F.max_by("value", order_col).alias("value")))
 
 
-def metric_counts(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Non-NULL count per metric; metrics without a value do not appear."""
-    by = by or []
-    return (values.filter(F.col("value").isNotNull()).groupBy(*by, "field")
-            .agg(F.count("value").alias("value_count")))
+def point_keys(rows: DataFrame) -> list[str]:
+    """Columns that tell a typed machine's points apart."""
+    return [c for c in ("entry_id", "table_prefix", "row_no", "point_time", "who") if c in rows.columns]
 
 
-def metric_range(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """min / max over finite values, widened by 1 when equal (chart axis)."""
-    by = by or []
-    finite = values.filter(F.col("value").isNotNull() & ~F.isnan("value")
-                           & (F.abs("value") != F.lit(float("inf"))))
-    agg = finite.groupBy(*by, "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    same = F.col("lo") == F.col("hi")
-    return agg.select(*by, "field",
-                      F.when(same, F.col("lo") - 1).otherwise(F.col("lo")).alias("axis_min"),
-                      F.when(same, F.col("hi") + 1).otherwise(F.col("hi")).alias("axis_max"))
+def merge_wide(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The merged numbers of each point, still one column per field: the rows of a point meet once, before the unpivot.
+
+    Rows without ``ord`` are one per point already and are only parsed.
+    """
+    keys = point_keys(rows)
+    present = [f for f in fields if f in rows.columns]
+    numbers = [parse_numeric(f).alias(f) for f in present]
+    if "ord" not in rows.columns:
+        return rows.select(*keys, *numbers)
+    parsed = rows.select(*keys, "ord", *numbers)
+    return parsed.groupBy(*keys).agg(*[
+        F.max_by(f, F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f) for f in present])
+
+
+def typed_points(points: DataFrame, machine: str) -> DataFrame:
+    """Point columns of a typed machine with the label, which is a function of the point's key."""
+    at = _label_time(F.col("point_time"))
+    if machine == "filtration":
+        label = F.rtrim(F.concat(at, F.lit(" | "), _title_of_group("table_prefix"), F.lit(" row "), _row_no_text(F.col("row_no"))))
+    elif machine == "evaporation":
+        label = F.concat(at, F.lit(" | "), F.col("who"), F.lit(" row "), _row_no_text(F.col("row_no")))
+    else:
+        label = F.concat(at, F.lit(" | "), F.col("who"))
+    absent = {"table_prefix": "string", "row_no": "int"}
+    filled = points.select("*", *[F.lit(None).cast(t).alias(c) for c, t in absent.items() if c not in points.columns])
+    others = [c for c in filled.columns if c not in (*POINT_COLUMNS, "who")]
+    return filled.withColumns({"machine": F.lit(machine), "point_label": label}).select(*POINT_COLUMNS, *others)
 
 
 def metric_summary(values: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -113,6 +129,8 @@ def filtration_readings(entries: DataFrame, rows: DataFrame, fields: list[str],
                         end: str = "") -> DataFrame:
     """Filtration entry INNER JOIN child rows (O-JOIN-2) as point-tagged wide rows.
 
+    Within a point all but the row's time text and id is the same, so these two order its rows (``ord``).
+
     The reference also left-joins the run only to project a column the chart
     never reads; that join cannot change the points, so it is not planned.
     """
@@ -121,13 +139,8 @@ def filtration_readings(entries: DataFrame, rows: DataFrame, fields: list[str],
     r = rows.select(F.col("filtration_entry_id").alias("entry_id"), F.col("id").alias("row_id"),
                     "row_group", "row_no", "row_time", *fields)
     j = with_point_time(e.join(r, "entry_id"), "entry_date", "row_time", "created_at")
-    label = F.rtrim(F.concat(_label_time(F.col("point_time")), F.lit(" | "), _title_of_group("row_group"),
-                             F.lit(" row "), _row_no_text(F.col("row_no"))))
-    order = F.struct(effective_date(), F.col("row_time"), F.col("created_at"), F.col("row_group"),
-                     F.col("row_no"), F.col("entry_id"), F.col("row_id"))
-    return j.select(F.lit("filtration").alias("machine"), "point_time", label.alias("point_label"),
-                    "entry_id", F.col("row_group").alias("table_prefix"), F.col("row_no").cast("int").alias("row_no"),
-                    order.alias("ord"), *fields)
+    return j.select("point_time", "entry_id", F.col("row_group").alias("table_prefix"), F.col("row_no").cast("int").alias("row_no"),
+                    F.struct("row_time", "row_id").alias("ord"), *fields)
 
 
 def evaporation_readings(entries: DataFrame, rows: DataFrame, runs: DataFrame, fields: list[str],
@@ -141,12 +154,8 @@ def evaporation_readings(entries: DataFrame, rows: DataFrame, runs: DataFrame, f
                     "row_no", "row_time", *fields)
     j = with_point_time(e.join(r, "entry_id"), "entry_date", "row_time", "created_at")
     who = F.coalesce(nonblank("run_number"), F.concat(F.lit("Entry "), F.col("entry_id").cast("string")))
-    label = F.concat(_label_time(F.col("point_time")), F.lit(" | "), who, F.lit(" row "), _row_no_text(F.col("row_no")))
-    order = F.struct(effective_date(), F.col("row_time"), F.col("created_at"), F.col("row_no"),
-                     F.col("entry_id"), F.col("row_id"))
-    return j.select(F.lit("evaporation").alias("machine"), "point_time", label.alias("point_label"),
-                    "entry_id", F.lit(None).cast("string").alias("table_prefix"),
-                    F.col("row_no").cast("int").alias("row_no"), order.alias("ord"), *fields)
+    return j.select("point_time", "entry_id", who.alias("who"), F.col("row_no").cast("int").alias("row_no"),
+                    F.struct("row_time", "row_id").alias("ord"), *fields)
 
 
 def extraction_readings(entries: DataFrame, runs: DataFrame, fields: list[str], start: str = "",
@@ -158,11 +167,7 @@ def extraction_readings(entries: DataFrame, runs: DataFrame, fields: list[str],
     e = join_runs(e, runs, ["run_number"]).withColumnRenamed("id", "entry_id")
     e = with_point_time(e, "entry_date", "entry_time", "created_at")
     who = F.coalesce(nonblank("run_number"), F.concat(F.lit("Entry "), F.col("entry_id").cast("string")))
-    label = F.concat(_label_time(F.col("point_time")), F.lit(" | "), who)
-    order = F.struct(effective_date(), F.col("entry_time"), F.col("created_at"), F.col("entry_id"))
-    return e.select(F.lit("extraction").alias("machine"), "point_time", label.alias("point_label"),
-                    "entry_id", F.lit(None).cast("string").alias("table_prefix"),
-                    F.lit(None).cast("int").alias("row_no"), order.alias("ord"), *fields)
+    return e.select("point_time", "entry_id", who.alias("who"), *fields)
 
 
 # ---------------------------------------------------------------------------

@@ -16,6 +16,11 @@ from batchtrail.functions.text import clean, is_blank
 from batchtrail.sources.stages import STAGES, stage_columns, stage_headers
 from batchtrail.sources.tables import parse_payload
 
+# Column names of the forms and tables.
+FILTRATION_FORM_FIELDS = ["entry_date", "cycle_volume_set_point", "clarification_sequential_no", "retentate_flow_set_point",
+                          "zero_refract", "startup_time", "shutdown_time", "start_time", "stop_time", "photo_path"]
+EVAPORATION_FORM_FIELDS = ["entry_date", "evaporator_no", "startup_time", "shutdown_time", "feed_ri", "concentrate_ri",
+                           "steam_pressure", "vacuum", "sump_level", "product_temp", "photo_path"]
 FILTRATION_ROW_FIELDS = ["time", "operator_initials", "fic1_gpm", "tit1", "tit2", "dpt", "dpm", "perm_total",
                          "f12_gpm", "permeate_ri", "retentate_ri", "qic1_ntu_turbidity", "pressure_pt1",
                          "pressure_pt2", "pressure_pt3"]
@@ -44,12 +49,32 @@ def extraction_from_form(forms: DataFrame, fields: str = "fields") -> DataFrame:
     """Extraction entry columns from a form, with the reference's fallbacks (O-RSH-6)."""
     m = F.col(fields)
     loc = _get(m, "location")
-    return forms.select("form_id", *[_get(m, f).alias(f) for f in EXTRACTION_FORM_FIELDS],
+    return forms.select("form_id", _initials(m), *[_get(m, f).alias(f) for f in EXTRACTION_FORM_FIELDS],
                         F.when(loc != "", loc).otherwise(F.lit("Pile")).alias("location"),
                         _or(m, "time_on_pile", "time_on_pipe_or_pile").alias("time_on_pile"),
                         _or(m, "comments", "notes").alias("comments"))
 
 
+def _initials(m: Column) -> Column:
+    return F.upper(clean(m.getItem("operator_initials"))).alias("operator_initials")
+
+
+def filtration_from_form(forms: DataFrame, fields: str = "fields") -> DataFrame:
+    """Filtration entry columns from a form, with its cycle summaries as payload and the form's save mode (O-RSH-6)."""
+    m = F.col(fields)
+    summary = cycle_summary_payload(forms, fields, ["form_save_mode", fields])
+    return summary.select("form_id", _initials(m), *[_get(m, f).alias(f) for f in FILTRATION_FORM_FIELDS],
+                          _or(m, "comments", "notes").alias("comments"), "payload_json",
+                          F.col("form_save_mode").alias("completion_status"))
+
+
+def evaporation_from_form(forms: DataFrame, fields: str = "fields") -> DataFrame:
+    """Evaporation entry columns from a form (O-RSH-6)."""
+    m = F.col(fields)
+    return forms.select("form_id", _initials(m), *[_get(m, f).alias(f) for f in EVAPORATION_FORM_FIELDS],
+                        _or(m, "comments", "notes").alias("comments"))
+
+
 def refused_row_keys(forms: DataFrame, fields: str = "fields") -> DataFrame:
     """Keys that look like row cells but whose row number is beyond an int: ``(form_id, key)``."""
     cells = forms.select("form_id", F.explode(F.col(fields)).alias("key", "value"))
@@ -93,12 +118,12 @@ def evaporation_rows_from_form(forms: DataFrame, fields: str = "fields") -> Data
     return forms.select("form_id", F.inline(rows))
 
 
-def cycle_summary_payload(forms: DataFrame, fields: str = "fields") -> DataFrame:
+def cycle_summary_payload(forms: DataFrame, fields: str = "fields", keep: list[str] | None = None) -> DataFrame:
     """The 6 x 4 cycle summary keys as a JSON object text (O-RSH-4), '' for missing keys."""
     m = F.col(fields)
     keys = [f"cycle{c}_{f}" for c in range(1, CYCLES + 1) for f in CYCLE_SUMMARY_FIELDS]
     pairs = [x for k in keys for x in (F.lit(k), _get(m, k))]
-    return forms.select("form_id", F.to_json(F.create_map(*pairs)).alias("payload_json"))
+    return forms.select("form_id", *(keep or []), F.to_json(F.create_map(*pairs)).alias("payload_json"))
 
 
 def cycle_summaries(payloads: DataFrame, id_col: str, payload_col: str = "payload_json") -> DataFrame:

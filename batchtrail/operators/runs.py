@@ -208,7 +208,7 @@ def group_lineage(runs: DataFrame) -> DataFrame:
                .select("action", "group_label", "d.*"))
     sources = members.filter(~role_derived)
     ranked = sequence_within(sources, ["action", "group_label"], [F.col("updated_at"), F.col("id")],
-                             time_bucket("updated_at"), out="asc_pos")
+                             time_bucket("updated_at", "id"), out="asc_pos")
     n = sources.groupBy("action", "group_label").agg(F.count(F.lit(1)).alias("source_count"))
     src_pos = (ranked.join(n, ["action", "group_label"])
                .select("id", "action", "group_label", (F.col("source_count") - F.col("asc_pos") + 1).alias("source_position")))

@@ -14,45 +14,70 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ID_BUCKET_WIDTH = 1 << 16
 
 
-def running_sum_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
+def _null_free(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Each column as a not-null flag and a value without NULLs: NULL sorts first, and equal rows meet in a
+    plain equi-join whose keys are those of the window (so the join needs no further exchange of the rows)."""
+    names = {c: [f"__has_{c}", f"__val_{c}"] for c in columns}
+    for c, expr in columns.items():
+        df = df.withColumn(names[c][1], expr)
+        dtype = df.schema[names[c][1]].dataType
+        df = df.withColumn(names[c][0], F.col(names[c][1]).isNotNull())
+        if isinstance(dtype, T.StructType):  # a struct of columns is never NULL itself
+            continue
+        empty = F.lit("").cast(dtype) if isinstance(dtype, T.StringType) else F.lit(0).cast(dtype)
+        df = df.withColumn(names[c][1], F.coalesce(names[c][1], empty))
+    return df, names
+
+
+def running_sum_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],
                        value: Column, out: str, inclusive: bool = True) -> DataFrame:
     """Running sum of ``value`` inside each ``keys`` group along ``order``.
 
-    ``bucket`` must be non-decreasing along ``order`` within a group.  With
-    ``inclusive=False`` the current row is not counted (sum of the rows before).
-    With no keys the offsets window runs over the bucket totals only (one row
-    per bucket), never over the data.
+    ``bucket`` must be non-decreasing along ``order`` within a group; a list
+    refines it, coarse to fine (see ``time_bucket``).  The rows are summed in
+    their finest bucket, the totals of the earlier buckets are added level by
+    level, so an offsets window holds the buckets of one coarser bucket only.
+    With ``inclusive=False`` the current row is not counted (sum of the rows
+    before).  Keys are strings or numbers, NULL is a key like any other.
     """
-    b = df.withColumn("__bucket", bucket).withColumn("__v", value.cast("long"))
+    levels = bucket if isinstance(bucket, list) else [bucket]
+    b, names = _null_free(df.withColumn("__v", value.cast("long")),
+                          {**{k: F.col(k) for k in keys}, **{f"bucket{n}": c for n, c in enumerate(levels)}})
+    key_cols = [c for k in keys for c in names[k]]
+    bucket_cols = [names[f"bucket{n}"] for n in range(len(levels))]
+    fine = key_cols + [c for cols in bucket_cols for c in cols]
     upto = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    w = Window.partitionBy(*fine).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = b.withColumn("__local", F.coalesce(F.sum("__v").over(w), F.lit(0)))
-    totals = b.groupBy(*keys, "__bucket").agg(F.sum("__v").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__kb"),
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    cond = reduce(lambda a, c: a & c, [local[k].eqNullSafe(offsets[f"__k_{k}"]) for k in keys],
-                  local["__bucket"].eqNullSafe(offsets["__kb"]))
-    joined = local.join(offsets, cond, "inner")
-    return (joined.withColumn(out, F.col("__local") + F.col("__offset"))
-            .drop("__local", "__offset", "__bucket", "__kb", "__v", *[f"__k_{k}" for k in keys]))
-
-
-def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
+    totals = b.groupBy(*fine).agg(F.sum("__v").alias("__n"))
+    offsets = None
+    for n, cols in enumerate(bucket_cols):
+        upper = key_cols + [c for above in bucket_cols[:n] for c in above]
+        level = totals if n == len(levels) - 1 else totals.groupBy(*upper, *cols).agg(F.sum("__n").alias("__n"))
+        before = Window.partitionBy(*upper).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+        step = level.select(*upper, *cols, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__o{n}"))
+        offsets = step if offsets is None else step.join(offsets, upper)
+    total = reduce(lambda a, c: a + c, [F.col(f"__o{n}") for n in range(len(levels))])
+    joined = local.join(offsets.select(*fine, total.alias("__offset")), fine)
+    return joined.select(*df.columns, (F.col("__local") + F.col("__offset")).alias(out))
+
+
+def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],
                     out: str = "seq") -> DataFrame:
     """1-based position of each row inside its ``keys`` group in ``order``."""
     return running_sum_within(df, keys, order, bucket, F.lit(1), out).withColumn(out, F.col(out).cast("int"))
 
 
-def time_bucket(stamp_col: str) -> Column:
-    """Minute of a ``YYYY-MM-DDTHH:MM:SS`` stamp: monotone in the stamp, so it can split
-    a group ordered by time; a hot group spreads over its minutes, and the offset
-    table has one row per (key, minute)."""
-    return F.substring(F.col(stamp_col), 1, 16)
+def time_bucket(stamp_col: str, id_col: str) -> list[Column]:
+    """Buckets of an order by ``YYYY-MM-DDTHH:MM:SS`` stamp, then id: the minute, inside it the full stamp
+    with the id range, so that a bulk import which stamps all its rows alike is split too."""
+    stamp = F.col(stamp_col)
+    return [F.substring(stamp, 1, 16), F.struct(stamp.alias("at"), id_bucket(id_col).alias("ids"))]
 
 
 def id_bucket(id_col: str, width: int = ID_BUCKET_WIDTH) -> Column:
@@ -94,7 +119,7 @@ def unique_names(df: DataFrame, name_col: str, id_col: str) -> DataFrame:
     return joined.withColumn("unique_name", name).drop("__id", "__number")
 
 
-def assign_ids(df: DataFrame, order: list[Column | str], bucket: Column, base: int, out: str = "id") -> DataFrame:
+def assign_ids(df: DataFrame, order: list[Column | str], bucket: Column | list[Column], base: int, out: str = "id") -> DataFrame:
     """Contiguous ids ``base+1, base+2, ...`` in ``order`` (O-STATE-6), computed per bucket."""
     seq = running_sum_within(df, [], order, bucket, F.lit(1), "__seq")
     return seq.withColumn(out, (F.col("__seq") + F.lit(int(base))).cast("long")).drop("__seq")

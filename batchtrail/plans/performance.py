@@ -1,7 +1,7 @@
 """Flagship O-RSH-8 ``machine_performance`` and its summaries (O-AGG-6/7/8).
 
 machine -> source rows -> date range (pushed to the scan) -> point time ->
-wide-to-long -> numeric parse -> point merge.  Output is long: one row per
+numeric parse -> point merge -> label -> wide-to-long.  Output is long: one row per
 (point, metric) with a value; ``performance_points`` lists every point, also
 those without a numeric value (the reference's point count).
 """
@@ -39,7 +39,9 @@ def machine_performance(tables: ProcessTables, machine: str, start: str = "", en
         values = R.generic_values(tables.sheets, key, start, end)
     else:
         rows, fields = _typed_rows(tables, key, start, end)
-        values = R.readings_long(rows, R.POINT_COLUMNS + ["ord"], fields)
+        points = R.typed_points(R.merge_wide(rows, fields), key)
+        present = [f for f in fields if f in points.columns]
+        return points.unpivot(R.POINT_COLUMNS, present, "field", "value").filter(F.col("value").isNotNull())
     return R.point_merge(values, R.POINT_COLUMNS).select(*OUTPUT_COLUMNS)
 
 
@@ -48,10 +50,10 @@ def performance_points(tables: ProcessTables, machine: str, start: str = "", end
     key = machine_key_py(machine)
     start, end = _date_args(start, end)
     if key in stage_titles():
-        pts = R.generic_points(tables.sheets, key, start, end)
-    else:
-        pts, _fields = _typed_rows(tables, key, start, end)
-    return pts.select(*R.POINT_COLUMNS).dropDuplicates(R.POINT_COLUMNS)
+        return R.generic_points(tables.sheets, key, start, end).select(*R.POINT_COLUMNS).dropDuplicates(R.POINT_COLUMNS)
+    rows, _fields = _typed_rows(tables, key, start, end)
+    keys = rows.select(*R.point_keys(rows))
+    return R.typed_points(keys.distinct() if "ord" in rows.columns else keys, key).select(*R.POINT_COLUMNS)
 
 
 def performance_summary(tables: ProcessTables, machine: str, start: str = "", end: str = "") -> DataFrame:

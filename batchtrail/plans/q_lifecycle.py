@@ -114,6 +114,34 @@ def q_rejected_corrections(spark, t, sf_dir):
     return missing
 
 
+_RAW_CHANGES_SQL = f"""f AS (SELECT c.*, {Q.payload_map('c.form_json')} AS m, s.run_id, {Q.payload_map('s.payload_json')} AS p, s.comments, s.entry_date,
+   s.operator_initials FROM fx_correction_forms c JOIN fx_sheets s ON s.id = c.record_id),
+e AS (SELECT *, unnest(map_keys(m)) AS k FROM f),
+v AS (SELECT submission_id, run_id, entry_table, record_id, k AS field_name, {Q.clean('m[k]')} AS field_value,
+   {Q.clean("(CASE k WHEN 'comments' THEN comments WHEN 'entry_date' THEN entry_date WHEN 'operator_initials' THEN operator_initials ELSE p[k] END)")} AS old_value,
+   {Q.clean("m['__original__' || k]")} AS o, {Q.clean("m['__corrected__' || k]")} AS n, upper({Q.clean("m['__change__' || k]")}) AS change_initials,
+   {Q.clean("m['correction_reason']")} AS correction_reason, employee AS changed_by_employee, submitted_at AS created_at FROM e
+   WHERE k <> 'correction_reason' AND NOT regexp_matches(k, '^__(change|original|corrected)__|^__session_signature_')),
+x AS (SELECT * FROM v WHERE field_value <> old_value)"""
+
+
+@query("corrections_from_forms", f"""WITH {_RAW_CHANGES_SQL}
+SELECT submission_id, run_id, entry_table, record_id, field_name, field_value, coalesce(nullif(o, ''), old_value) AS original_value,
+  coalesce(nullif(n, ''), field_value) AS corrected_value, change_initials, correction_reason, changed_by_employee, created_at
+FROM x WHERE submission_id NOT IN (SELECT submission_id FROM x WHERE change_initials = '')""")
+def q_corrections_from_forms(spark, t, sf_dir):
+    """O-STATE-4 + O-SNK-4: correction log rows from raw forms against the saved sheets."""
+    accepted, _lacking = LC.corrections_from_forms(fixture(spark, sf_dir, "fx_correction_forms"), LC.saved_values(t.sheets))
+    return accepted
+
+
+@query("corrections_lacking_initials", f"WITH {_RAW_CHANGES_SQL} SELECT submission_id, field_name FROM x WHERE change_initials = ''")
+def q_corrections_lacking_initials(spark, t, sf_dir):
+    """O-STATE-4: changed fields of raw forms that lack initials; their forms are refused."""
+    _accepted, lacking = LC.corrections_from_forms(fixture(spark, sf_dir, "fx_correction_forms"), LC.saved_values(t.sheets))
+    return lacking
+
+
 _LATEST_SHEET = f"""ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, stage_key ORDER BY id DESC) AS k
    FROM fx_sheets WHERE run_id IS NOT NULL AND stage_key IN ({_RUN_STAGES})) WHERE k = 1)"""
 
@@ -301,7 +329,7 @@ def q_edit_run_headers(spark, t, sf_dir):
     return LC.edit_run_headers(t.runs, fixture(spark, sf_dir, "fx_run_edits"))
 
 
-@query("create_or_reuse_runs", f"""WITH req AS (SELECT request_id, {Q.clean('run_label')} AS label, lower({Q.clean('run_label')}) AS key, requested_at
+_CREATE_SQL = f"""WITH req AS (SELECT request_id, {Q.clean('run_label')} AS label, lower({Q.clean('run_label')}) AS key, requested_at
    FROM fx_run_requests WHERE {Q.clean('run_label')} <> ''),
 o AS (SELECT lower({Q.run_label()}) AS key, id, updated_at FROM fx_runs WHERE status = 'Open'),
 ex AS (SELECT key, id AS existing_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC NULLS LAST, id DESC) AS k
@@ -309,7 +337,10 @@ ex AS (SELECT key, id AS existing_id FROM (SELECT *, row_number() OVER (PARTITIO
 r AS (SELECT q.*, ex.existing_id FROM req q LEFT JOIN ex ON ex.key = q.key),
 fr AS (SELECT key, request_id AS creating_request, requested_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY requested_at, request_id) AS k
    FROM r WHERE existing_id IS NULL) WHERE k = 1),
-fresh AS (SELECT key, creating_request, CAST((SELECT max(id) FROM fx_runs) + row_number() OVER (ORDER BY requested_at, creating_request) AS BIGINT) AS new_id FROM fr)
+fresh AS (SELECT key, creating_request, CAST((SELECT max(id) FROM fx_runs) + row_number() OVER (ORDER BY requested_at, creating_request) AS BIGINT) AS new_id FROM fr)"""
+
+
+@query("create_or_reuse_runs", _CREATE_SQL + """
 SELECT r.request_id, r.label, CASE WHEN r.existing_id IS NOT NULL THEN 'reuse' WHEN r.request_id = f.creating_request THEN 'create' ELSE 'reuse' END AS action,
   coalesce(r.existing_id, f.new_id) AS run_id FROM r LEFT JOIN fresh f ON f.key = r.key""")
 def q_create_or_reuse_runs(spark, t, sf_dir):
@@ -317,6 +348,17 @@ def q_create_or_reuse_runs(spark, t, sf_dir):
     return LC.create_or_reuse_runs(t.runs, fixture(spark, sf_dir, "fx_run_requests"), LC.max_id(t.runs))
 
 
+@query("created_runs", _CREATE_SQL + f"""
+SELECT f.new_id AS id, r.label AS batch_number, r.label AS run_number, 'standard' AS batch_type, 0 AS reused_batch,
+  {Q.clean('q.product_name')} AS product_name, '' AS operator_id, '' AS split_batch_number, '' AS blend_number, '' AS shift_name,
+  '' AS notes, 'Open' AS status, r.requested_at AS created_at, r.requested_at AS updated_at
+FROM fresh f JOIN r ON r.request_id = f.creating_request JOIN fx_run_requests q ON q.request_id = r.request_id""")
+def q_created_runs(spark, t, sf_dir):
+    """O-STATE-11: header rows of the runs that the create requests made."""
+    req = fixture(spark, sf_dir, "fx_run_requests")
+    return LC.created_runs(req, LC.create_or_reuse_runs(t.runs, req, LC.max_id(t.runs)))
+
+
 # ----------------------------------------------------------------- latest
 
 @query("latest_extraction", """SELECT run_id, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id DESC) AS k

@@ -64,7 +64,7 @@ def _g(k: str) -> str:
 
 
 @query("extraction_from_form", f"""WITH {_FORM_MAP}
-SELECT form_id, {', '.join(f"{_g(k)} AS {k}" for k in RS.EXTRACTION_FORM_FIELDS)},
+SELECT form_id, upper({Q.clean("m['operator_initials']")}) AS operator_initials, {', '.join(f"{_g(k)} AS {k}" for k in RS.EXTRACTION_FORM_FIELDS)},
  CASE WHEN {_g('location')} <> '' THEN {_g('location')} ELSE 'Pile' END AS location,
  CASE WHEN {_g('time_on_pile')} <> '' THEN {_g('time_on_pile')} ELSE {_g('time_on_pipe_or_pile')} END AS time_on_pile,
  CASE WHEN {_g('comments')} <> '' THEN {_g('comments')} ELSE {_g('notes')} END AS comments FROM fm""")
@@ -73,6 +73,31 @@ def q_extraction_from_form(spark, t, sf_dir):
     return RS.extraction_from_form(_forms(spark, sf_dir))
 
 
+@query("filtration_from_form", f"""WITH {_FORM_MAP}
+SELECT fm.form_id, upper({Q.clean("m['operator_initials']")}) AS operator_initials, {_g('entry_date')} AS entry_date,
+ {_g('cycle_volume_set_point')} AS cycle_volume_set_point, {_g('clarification_sequential_no')} AS clarification_sequential_no,
+ {_g('retentate_flow_set_point')} AS retentate_flow_set_point, {_g('zero_refract')} AS zero_refract, {_g('startup_time')} AS startup_time,
+ {_g('shutdown_time')} AS shutdown_time, {_g('start_time')} AS start_time, {_g('stop_time')} AS stop_time, {_g('photo_path')} AS photo_path,
+ CASE WHEN {_g('comments')} <> '' THEN {_g('comments')} ELSE {_g('notes')} END AS comments,
+ coalesce(f.raw['save_mode'], 'Complete') AS completion_status, {_g('cycle1_cycle_number')} AS cycle1_cycle_number,
+ {_g('cycle2_ri_to_sewer')} AS cycle2_ri_to_sewer FROM fm JOIN f ON f.form_id = fm.form_id""")
+def q_filtration_from_form(spark, t, sf_dir):
+    """O-RSH-6: typed filtration entry from a form, two of its summary keys read back from the payload."""
+    e = RS.filtration_from_form(_forms(spark, sf_dir))
+    m = parse_payload("payload_json")
+    return e.select("*", *[m.getItem(k).alias(k) for k in ("cycle1_cycle_number", "cycle2_ri_to_sewer")]).drop("payload_json")
+
+
+@query("evaporation_from_form", f"""WITH {_FORM_MAP}
+SELECT form_id, upper({Q.clean("m['operator_initials']")}) AS operator_initials, {_g('entry_date')} AS entry_date, {_g('evaporator_no')} AS evaporator_no,
+ {_g('startup_time')} AS startup_time, {_g('shutdown_time')} AS shutdown_time, {_g('feed_ri')} AS feed_ri, {_g('concentrate_ri')} AS concentrate_ri,
+ {_g('steam_pressure')} AS steam_pressure, {_g('vacuum')} AS vacuum, {_g('sump_level')} AS sump_level, {_g('product_temp')} AS product_temp,
+ {_g('photo_path')} AS photo_path, CASE WHEN {_g('comments')} <> '' THEN {_g('comments')} ELSE {_g('notes')} END AS comments FROM fm""")
+def q_evaporation_from_form(spark, t, sf_dir):
+    """O-RSH-6: typed evaporation entry from a form."""
+    return RS.evaporation_from_form(_forms(spark, sf_dir))
+
+
 _ROW_NAMES = ["row_time" if f == "time" else f for f in RS.FILTRATION_ROW_FIELDS]
 _PAT = r"^(cycle[1-6])_(0|[1-9][0-9]*)_(.+)$"
 
@@ -236,5 +261,5 @@ def q_ordered_distinct(spark, t, sf_dir):
     flat = firsts.select("group_label", "source_run_id", F.col("f.requested_at").alias("first_at"),
                          F.col("f.request_id").alias("first_req"))
     seq = sequence_within(flat, ["group_label"], [F.col("first_at"), F.col("first_req")],
-                          time_bucket("first_at"), out="first_seen")
+                          time_bucket("first_at", "first_req"), out="first_seen")
     return seq.select("group_label", "source_run_id", "first_seen")

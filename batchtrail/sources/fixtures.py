@@ -158,6 +158,9 @@ SELECT event_id AS form_id, replace(substr(cast(ts as string),1,19),' ','T') AS
   '","location":"', CASE WHEN event_id % 4 = 0 THEN '' ELSE 'Pile 2' END,
   '","time_on_pipe_or_pile":"', cast(event_id % 30 as string), '","notes":"n', cast(event_id as string),
   '","comments":"', CASE WHEN event_id % 5 = 0 THEN 'c' ELSE '' END,
+  '","operator_initials":" ab', cast(user_id % 9 as string), ' ","cycle_volume_set_point":"', cast(user_id % 5 as string),
+  '","zero_refract":"0.1","shutdown_time":"17:00","evaporator_no":"', CASE WHEN event_id % 7 = 0 THEN '' ELSE '2' END,
+  '","steam_pressure":"', cast(event_id % 13 as string), '","photo_path":"',
   '","psf1_speed":"', cast(cast(floor(value) as int) as string), ' rpm","cycle1_1_time":"', substr(cast(ts as string),12,5),
   '","cycle1_1_fic1_gpm":"', cast(event_id % 40 as string), '","cycle1_2_tit1":"', CASE WHEN event_id % 2 = 0 THEN '' ELSE '41' END,
   '","cycle', cast(event_id % 6 + 1 as string), '_', cast(user_id % 12 + 1 as string), '_dpt":"', cast(user_id % 7 as string),
@@ -168,6 +171,14 @@ FROM events""",
     # The submit log with the form that each submit sent.
     "fx_submit_forms": """
 SELECT s.*, f.form_json FROM fx_submits s JOIN fx_forms f ON f.form_id = s.event_id""",
+    # Correction forms of saved sheets, as submitted: new values, initials, overrides and the reason.
+    "fx_correction_forms": """
+SELECT record_id AS submission_id, 'sheet_entries' AS entry_table, record_id, employee, created_at AS submitted_at,
+ concat('{"entry_date":" ', coalesce(entry_date, ''), '","comments":"', CASE WHEN record_id % 3 = 0 THEN 'fixed' ELSE coalesce(comments, '') END,
+  '","__change__comments":"', CASE WHEN record_id % 15 = 0 THEN ' ' ELSE 'ab' END, '","__original__comments":"', CASE WHEN record_id % 9 = 0 THEN ' was' ELSE '' END,
+  '","rinse_comments":"', CASE WHEN record_id % 2 = 0 THEN 'none' ELSE '' END, '","__change__rinse_comments":"cd","__corrected__rinse_comments":"',
+  CASE WHEN record_id % 8 = 0 THEN 'now ' ELSE '' END, '","__session_signature_pad":"x","correction_reason":" typo "}') AS form_json
+FROM fx_entries_wide WHERE entry_table = 'sheet_entries'""",
     # Sheets of every run-linked stage with cells of two chartable fields of one
     # of its tables: a timed row, a second row (sometimes past the table's row
     # count, which must be ignored), a payload date on some, and for resistaid /

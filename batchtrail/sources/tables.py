@@ -139,8 +139,11 @@ def submitted_fields(form: ColumnOrName) -> Column:
 def form_events(df: DataFrame, form_col: str = "form_json") -> DataFrame:
     """Submitted forms as input records: JSON text -> map of fields (last duplicate wins).
 
-    ``save_mode`` is Complete only when the form says so, else Draft.
+    ``save_mode`` is Complete only when the form says so, else Draft; ``form_save_mode`` is what
+    the form says, Complete where it says nothing (filtration entries store that).
     """
     m = parse_payload(form_col)
-    mode = F.when(m.getItem("save_mode") == "Complete", F.lit("Complete")).otherwise(F.lit("Draft"))
-    return df.withColumn("__form", m).select(*df.columns, mode.alias("save_mode"), form_fields("__form").alias("fields"))
+    mode = F.when(F.col("__form").getItem("save_mode") == "Complete", F.lit("Complete")).otherwise(F.lit("Draft"))
+    return df.withColumn("__form", m).select(*df.columns, mode.alias("save_mode"),
+                                                 F.coalesce(F.col("__form").getItem("save_mode"), F.lit("Complete")).alias("form_save_mode"),
+                                                 form_fields("__form").alias("fields"))

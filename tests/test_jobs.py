@@ -264,3 +264,25 @@ def test_an_entry_without_child_rows_shows_one_row_per_cycle(spark):
                                  "id long, filtration_entry_id long, row_group string, row_no int, row_time string")
     got = {(r.filtration_entry_id, r.cycle): r.render_rows for r in RS.filtration_render_rows(entries, rows).collect()}
     assert len(got) == 12 and got[(1, 2)] == 4 and sum(got.values()) == 15
+
+
+def test_a_key_with_one_stamp_is_numbered_like_row_number(spark):
+    from batchtrail.operators.sequence import running_sum_within, time_bucket
+    rows = [(None if i % 2 else "k", i * 9000, "2024-01-01T08:00:00" if i % 5 else None, i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, id long, at string, v int")
+    order = [F.col("at"), F.col("id")]
+    for keys in (["k"], []):
+        got = running_sum_within(df, keys, order, time_bucket("at", "id"), F.col("v"), "s")
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        want = df.withColumn("s", F.sum("v").over(w))
+        assert got.count() == 600 and got.exceptAll(want).count() == 0
+
+
+def test_chart_points_are_merged_before_the_unpivot(spark):
+    from batchtrail.plans.performance import machine_performance
+    t = from_fixtures(spark, SMALL)
+    tree = lambda m: machine_performance(t, m)._jdf.queryExecution().optimizedPlan().toString()
+    for machine in ("filtration", "evaporation"):
+        plan = tree(machine)
+        assert plan.index("Expand") < plan.index("Aggregate")  # printed from the root: the merge lies below
+    assert "Aggregate" not in tree("extraction")
