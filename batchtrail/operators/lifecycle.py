@@ -16,8 +16,9 @@ from batchtrail.functions.labels import run_label
 from batchtrail.functions.text import clean, nonblank
 from batchtrail.operators.latest import latest_by
 from batchtrail.operators.runs import GROUP_COLUMNS, resolve_labels
-from batchtrail.operators.sequence import assign_ids, running_sum_within, time_bucket
-from batchtrail.sources.stages import RUN_STAGE_KEYS, stage_titles
+from batchtrail.operators.sequence import assign_ids, id_bucket, running_max_within, running_sum_within, time_bucket
+from batchtrail.sources.stages import (CLOSED_BY_REVIEW, CLOSED_QUICKLY, COPIED_FROM, LINKED_TO, RUN_STAGE_KEYS,
+                                        stage_titles)
 from batchtrail.sources.tables import parse_payload, submitted_fields
 
 COMPLETE, DRAFT = "Complete", "Draft"
@@ -191,6 +192,30 @@ def corrections_from_forms(forms: DataFrame, saved: DataFrame) -> tuple[DataFram
 
 # --------------------------------------------------------------- O-STATE-5
 
+def _reviewable(requests: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Requests at whose time some stage of the run had a Complete latest sheet (highest id saved until then).
+
+    Requests and sheets never meet in pairs: each stage's latest sheet is a
+    running maximum along the save time, a change of its completeness is +1 or
+    -1 on the run's number of complete stages, and a request reads the running
+    sum of these changes at its own time.
+    """
+    done = F.coalesce(F.nullif(F.col("completion_status"), F.lit("")), F.lit(COMPLETE)) == COMPLETE
+    saved = sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS) & F.col("run_id").isNotNull() & F.col("created_at").isNotNull()) \
+        .select("run_id", "stage_key", "id", F.col("created_at").alias("at"), done.cast("int").alias("done"))
+    state = running_max_within(saved, ["run_id", "stage_key"], [F.col("at"), F.col("id")], time_bucket("at", "id"),
+                               F.struct("id", "done"), "__before", inclusive=False)
+    newest = state.filter(F.col("__before").isNull() | (F.col("id") > F.col("__before.id")))
+    changes = newest.select("run_id", "at", F.lit(0).alias("kind"), "id",
+                            (F.col("done") - F.coalesce("__before.done", F.lit(0))).alias("change")).filter("change != 0")
+    asked = requests.filter(F.col("requested_at").isNotNull()).select(
+        "run_id", F.col("requested_at").alias("at"), F.lit(1).alias("kind"), F.col("request_id").alias("id"), F.lit(0).alias("change"))
+    bucket = [F.substring("at", 1, 16), F.struct("at", "kind", id_bucket("id").alias("ids"))]
+    line = running_sum_within(changes.unionByName(asked), ["run_id"], [F.col("at"), F.col("kind"), F.col("id")], bucket,
+                              F.col("change"), "__complete")
+    return line.filter((F.col("kind") == 1) & (F.col("__complete") > 0)).select(F.col("id").alias("request_id"))
+
+
 def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> DataFrame:
     """Close runs from finalize requests (O-STATE-5).
 
@@ -199,14 +224,7 @@ def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> Da
     status, time and author; the last accepted request's stamp stays.  Requests
     for a run that does not exist are rejected (status NULL).
     """
-    saved = (sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS) & F.col("run_id").isNotNull())
-             .select(F.col("run_id").alias("__run"), "stage_key", F.col("id").alias("__id"), "completion_status",
-                     F.col("created_at").alias("__saved")))
-    review = requests.filter(F.coalesce(F.col("path"), F.lit("")) != "quick").select("request_id", "run_id", "requested_at")
-    then = (review.join(saved, (review["run_id"] == saved["__run"]) & (saved["__saved"] <= review["requested_at"]))
-            .groupBy("request_id", "stage_key").agg(F.max_by("completion_status", "__id").alias("status")))
-    ok = (then.filter(F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit(COMPLETE)) == COMPLETE)
-          .select("request_id").distinct().withColumn("__ok", F.lit(True)))
+    ok = _reviewable(requests.filter(F.coalesce(F.col("path"), F.lit("")) != "quick"), sheets).withColumn("__ok", F.lit(True))
     known = runs.select(F.col("id").alias("__rid"))
     r = requests.join(ok, "request_id", "left").join(known, requests["run_id"] == known["__rid"], "left")
     accepted = F.col("__rid").isNotNull() & ((F.col("path") == "quick") | F.coalesce(F.col("__ok"), F.lit(False)))
@@ -352,6 +370,35 @@ def derived_child_rows(copies: DataFrame, rows: DataFrame, parent: str = "filtra
     return rows.join(c, parent).withColumnRenamed(parent, "source_entry_id")
 
 
+def group_audits(checked: DataFrame, heads: DataFrame, runs: DataFrame) -> DataFrame:
+    """Audit rows of accepted blend / split requests: the copy of a new run, and every link to a source run (O-STATE-2)."""
+    labels = runs.select(F.col("id").alias("source_run_id"), run_label().alias("__source"))
+    ok = checked.filter(F.col("outcome") == "accepted").join(labels, "source_run_id")
+    new = heads.select(F.col("batch_type").alias("action"), F.col("run_number").alias("group_label"), F.col("id").alias("__new"))
+    linked = ok.join(new, ["action", "group_label"], "left")
+    named = F.concat(F.col("action"), F.lit(" run "), F.col("group_label"))
+    first = heads.select("id", "source_run_id", F.col("batch_type").alias("action"), F.col("run_number").alias("group_label"),
+                         F.col("operator_id").alias("actor"), "created_at").join(labels, "source_run_id")
+    return _audit(first, F.col("id"), F.lit("create"), F.concat(named, F.lit(COPIED_FROM), F.col("__source")), F.col("created_at")).unionByName(
+        _audit(linked, F.coalesce("target_run_id", "__new"), F.col("action"), F.concat(named, F.lit(LINKED_TO), F.col("__source")),
+               F.col("requested_at")))
+
+
+def finalize_audits(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Audit rows of the finalize requests that closed a run."""
+    quick = F.coalesce(F.col("path"), F.lit("")) == "quick"
+    ok = requests.filter(quick).unionByName(
+        requests.join(_reviewable(requests.filter(~quick), sheets), "request_id", "left_semi"))
+    known = ok.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi").withColumn("actor", clean("employee"))
+    return _audit(known, F.col("run_id"), F.lit("finalize"),
+                  F.when(quick, F.lit(CLOSED_QUICKLY)).otherwise(F.lit(CLOSED_BY_REVIEW)), F.col("requested_at"))
+
+
+def _audit(df: DataFrame, record: Column, action: Column, text: Column, at: Column) -> DataFrame:
+    return df.select(F.lit("production_runs").alias("table_name"), record.cast("long").alias("record_id"), action.alias("action_type"),
+                     F.col("actor").alias("changed_by"), F.lit("").alias("old_data"), text.alias("new_data"), at.alias("created_at"))
+
+
 # ------------------------------------------------------------ O-STATE-9/10/11
 
 def touch_runs(runs: DataFrame, *entry_tables: DataFrame) -> DataFrame:
@@ -370,17 +417,21 @@ def edit_run_headers(runs: DataFrame, edits: DataFrame) -> DataFrame:
 
     A blank run number keeps the current label, so the result is the last
     non-blank run number of the log, else the run's label; product name is the
-    latest edit's (trimmed).  Batch number follows the run number.
+    latest edit's (trimmed), like notes and the final-edit columns where the log
+    has them.  Batch number follows the run number.
     """
+    texts = [c for c in ("notes", "final_edit_initials", "final_edit_notes") if c in edits.columns]
     order = F.struct("edited_at", "edit_id")
     agg = edits.groupBy("run_id").agg(
         F.max_by(clean("run_number"), F.when(clean("run_number") != "", order)).alias("__rn"),
         F.max_by(clean("product_name"), order).alias("__pn"), F.max("edited_at").alias("__at"),
+        *[F.max_by(clean(c), order).alias(f"__{c}") for c in texts],
         F.count(F.lit(1)).alias("edits"))
     j = runs.join(agg, runs["id"] == agg["run_id"])
     number = F.coalesce(F.col("__rn"), run_label())
     return j.select(F.col("id").alias("run_id"), number.alias("run_number"), number.alias("batch_number"),
-                    F.col("__pn").alias("product_name"), F.col("__at").alias("updated_at"), "edits")
+                    F.col("__pn").alias("product_name"), *[F.col(f"__{c}").alias(c) for c in texts],
+                    F.col("__at").alias("updated_at"), "edits")
 
 
 def create_or_reuse_runs(runs: DataFrame, requests: DataFrame, base_id: int) -> DataFrame:

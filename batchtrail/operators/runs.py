@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from batchtrail.functions.labels import normalize_batch_type, run_label
 from batchtrail.functions.text import clean, contains_pattern, nonblank
 from batchtrail.operators.sequence import sequence_within, time_bucket
+from batchtrail.sources.stages import LINEAGE_NO_SOURCES, LINEAGE_SOURCES
 
 GROUP_COLUMNS = {"blend": "blend_number", "split": "split_batch_number"}
 
@@ -180,6 +181,30 @@ def recent_group_labels(runs: DataFrame, action: str, limit: int | None = None)
 
 # ------------------------------------------------------------------ lineage
 
+def _members(runs: DataFrame) -> DataFrame:
+    """Runs per group: those whose column for the action equals the label exactly."""
+    return (runs.select("id", "updated_at", clean("batch_type").alias("bt"), run_label().alias("run_label"),
+                        F.explode(F.array(
+                            F.struct(F.lit("blend").alias("action"), F.col("blend_number").alias("group_label")),
+                            F.struct(F.lit("split").alias("action"), F.col("split_batch_number").alias("group_label"))
+                        )).alias("g"))
+            .select("id", "updated_at", "bt", "run_label", "g.action", "g.group_label")
+            .filter(F.trim(F.coalesce(F.col("group_label"), F.lit(""))) != ""))
+
+
+def group_members(runs: DataFrame) -> DataFrame:
+    """Every member of every blend / split group, one row per (group, run), sources numbered newest first.
+
+    A run that carries both labels is in both groups.
+    """
+    members = _members(runs).withColumn("role", F.when(F.col("bt") == F.col("action"), "derived").otherwise("source"))
+    keys = ["action", "group_label", "role"]
+    ranked = sequence_within(members, keys, [F.col("updated_at"), F.col("id")], time_bucket("updated_at", "id"), out="asc_pos")
+    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return ranked.join(n, keys).select("action", "group_label", "id", "run_label", "role",
+                                       (F.col("__n") - F.col("asc_pos") + 1).cast("long").alias("position"))
+
+
 def group_lineage(runs: DataFrame) -> DataFrame:
     """Blend/split lineage per labelled run (O-JOIN-7, O-SRT-9, O-WIN-8).
 
@@ -193,14 +218,7 @@ def group_lineage(runs: DataFrame) -> DataFrame:
         "id", "updated_at", clean("batch_type").alias("bt"), run_label().alias("run_label"),
         F.when(blend.isNotNull(), F.lit("blend")).when(split.isNotNull(), F.lit("split")).alias("action"),
         F.coalesce(blend, split).alias("group_label")).filter(F.col("action").isNotNull())
-    # members of a group: runs whose column for that action equals the label exactly
-    members = (runs.select("id", "updated_at", clean("batch_type").alias("bt"), run_label().alias("run_label"),
-                           F.explode(F.array(
-                               F.struct(F.lit("blend").alias("action"), F.col("blend_number").alias("group_label")),
-                               F.struct(F.lit("split").alias("action"), F.col("split_batch_number").alias("group_label"))
-                           )).alias("g"))
-               .select("id", "updated_at", "bt", "run_label", "g.action", "g.group_label")
-               .filter(F.trim(F.coalesce(F.col("group_label"), F.lit(""))) != ""))
+    members = _members(runs)
     role_derived = F.col("bt") == F.col("action")
     derived = (members.filter(role_derived).groupBy("action", "group_label")
                .agg(F.max_by(F.struct(F.col("id").alias("derived_run_id"), F.col("run_label").alias("derived_run_label")),
@@ -218,7 +236,7 @@ def group_lineage(runs: DataFrame) -> DataFrame:
     title = F.initcap(F.col("action"))
     count = F.coalesce(F.col("source_count"), F.lit(0))
     summary = (F.when(F.col("bt") == F.col("action"),
-                      F.when(count > 0, F.lit("Sources")).otherwise(F.lit("No source runs linked")))
+                      F.when(count > 0, F.lit(LINEAGE_SOURCES)).otherwise(F.lit(LINEAGE_NO_SOURCES)))
                .when(F.col("derived_run_id").isNotNull(), F.concat(title, F.lit(" run: "), F.col("derived_run_label")))
                .otherwise(F.concat(title, F.lit(" label: "), F.col("group_label"))))
     return out.select("id", "run_label", "action", "group_label",

@@ -34,37 +34,49 @@ def _null_free(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, di
     return df, names
 
 
-def running_sum_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],
-                       value: Column, out: str, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value`` inside each ``keys`` group along ``order``.
+def _running_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],
+                    value: Column, out: str, inclusive: bool, agg, combine) -> DataFrame:
+    """Running ``agg`` of ``value`` inside each ``keys`` group along ``order``.
 
     ``bucket`` must be non-decreasing along ``order`` within a group; a list
-    refines it, coarse to fine (see ``time_bucket``).  The rows are summed in
-    their finest bucket, the totals of the earlier buckets are added level by
+    refines it, coarse to fine (see ``time_bucket``).  The rows are aggregated in
+    their finest bucket, the totals of the earlier buckets are combined level by
     level, so an offsets window holds the buckets of one coarser bucket only.
-    With ``inclusive=False`` the current row is not counted (sum of the rows
-    before).  Keys are strings or numbers, NULL is a key like any other.
+    With ``inclusive=False`` the current row is not counted.  Keys are strings or numbers, NULL is a key like any other.
     """
     levels = bucket if isinstance(bucket, list) else [bucket]
-    b, names = _null_free(df.withColumn("__v", value.cast("long")),
+    b, names = _null_free(df.withColumn("__v", value),
                           {**{k: F.col(k) for k in keys}, **{f"bucket{n}": c for n, c in enumerate(levels)}})
     key_cols = [c for k in keys for c in names[k]]
     bucket_cols = [names[f"bucket{n}"] for n in range(len(levels))]
     fine = key_cols + [c for cols in bucket_cols for c in cols]
     upto = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*fine).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    local = b.withColumn("__local", F.coalesce(F.sum("__v").over(w), F.lit(0)))
-    totals = b.groupBy(*fine).agg(F.sum("__v").alias("__n"))
+    local = b.withColumn("__local", agg("__v").over(w))
+    totals = b.groupBy(*fine).agg(agg("__v").alias("__n"))
     offsets = None
     for n, cols in enumerate(bucket_cols):
         upper = key_cols + [c for above in bucket_cols[:n] for c in above]
-        level = totals if n == len(levels) - 1 else totals.groupBy(*upper, *cols).agg(F.sum("__n").alias("__n"))
+        level = totals if n == len(levels) - 1 else totals.groupBy(*upper, *cols).agg(agg("__n").alias("__n"))
         before = Window.partitionBy(*upper).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-        step = level.select(*upper, *cols, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__o{n}"))
+        step = level.select(*upper, *cols, agg("__n").over(before).alias(f"__o{n}"))
         offsets = step if offsets is None else step.join(offsets, upper)
-    total = reduce(lambda a, c: a + c, [F.col(f"__o{n}") for n in range(len(levels))])
-    joined = local.join(offsets.select(*fine, total.alias("__offset")), fine)
-    return joined.select(*df.columns, (F.col("__local") + F.col("__offset")).alias(out))
+    parts = [f"__o{n}" for n in range(len(levels))]
+    joined = local.join(offsets.select(*fine, *parts), fine)
+    return joined.select(*df.columns, combine(["__local", *parts]).alias(out))
+
+
+def running_sum_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],
+                       value: Column, out: str, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` (0 where no row counts), see ``_running_within``."""
+    add = lambda parts: reduce(lambda a, c: a + c, [F.coalesce(p, F.lit(0)) for p in parts])
+    return _running_within(df, keys, order, bucket, value.cast("long"), out, inclusive, F.sum, add)
+
+
+def running_max_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],
+                       value: Column, out: str, inclusive: bool = True) -> DataFrame:
+    """Running maximum of ``value`` (NULL where no row counts), see ``_running_within``."""
+    return _running_within(df, keys, order, bucket, value, out, inclusive, F.max, lambda parts: F.greatest(*parts))
 
 
 def sequence_within(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column | list[Column],

@@ -64,6 +64,16 @@ def q_run_groups(spark, t, sf_dir):
     return FD.run_groups(FD.activity_feed(t, AS_OF, 48, None))
 
 
+@query("run_group_entries", f"""WITH {_feed_sql(CUTOFF_48H)},
+k AS (SELECT *, coalesce({Q.nonblank('run_number')}, {Q.nonblank('batch_number')}, CAST(run_id AS VARCHAR)) AS run_key
+      FROM feed WHERE run_id IS NOT NULL AND run_id <> 0)
+SELECT run_key, entry_table, record_id, activity_time, max(activity_time) OVER (PARTITION BY run_key) AS group_latest_time FROM k""")
+def q_run_group_entries(spark, t, sf_dir):
+    """O-AGG-5: the entries of every run group of the 48-hour activity."""
+    return FD.run_group_entries(FD.activity_feed(t, AS_OF, 48, None)).select(
+        "run_key", "entry_table", "record_id", "activity_time", "group_latest_time")
+
+
 @query("machine_status", f"""WITH {_feed_sql(CUTOFF_12H)},
 f2 AS (SELECT *, {_ACTIVE} AS is_active, row_number() OVER (PARTITION BY section
         ORDER BY activity_time DESC, entry_table DESC, record_id DESC) AS rn FROM feed),

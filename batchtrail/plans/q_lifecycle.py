@@ -146,12 +146,15 @@ _LATEST_SHEET = f"""ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
    FROM fx_sheets WHERE run_id IS NOT NULL AND stage_key IN ({_RUN_STAGES})) WHERE k = 1)"""
 
 
-@query("finalize_runs", f"""WITH upto AS (SELECT * FROM (SELECT q.request_id, s.completion_status,
+_FINALIZE_CTE = f"""upto AS (SELECT * FROM (SELECT q.request_id, s.completion_status,
     row_number() OVER (PARTITION BY q.request_id, s.stage_key ORDER BY s.id DESC) AS k
   FROM fx_finalize_requests q JOIN fx_sheets s ON s.run_id = q.run_id AND s.created_at <= q.requested_at AND s.stage_key IN ({_RUN_STAGES})) WHERE k = 1),
 ok AS (SELECT DISTINCT request_id FROM upto WHERE coalesce(nullif(completion_status, ''), 'Complete') = 'Complete'),
 r AS (SELECT q.*, (ru.id IS NOT NULL AND (q.path = 'quick' OR ok.request_id IS NOT NULL)) AS accepted FROM fx_finalize_requests q
-  LEFT JOIN ok ON ok.request_id = q.request_id LEFT JOIN fx_runs ru ON ru.id = q.run_id),
+  LEFT JOIN ok ON ok.request_id = q.request_id LEFT JOIN fx_runs ru ON ru.id = q.run_id)"""
+
+
+@query("finalize_runs", f"""WITH {_FINALIZE_CTE},
 last AS (SELECT run_id, requested_at, trim(employee) AS employee FROM (SELECT *, row_number() OVER (PARTITION BY run_id
    ORDER BY requested_at DESC, request_id DESC) AS k FROM r WHERE accepted) WHERE k = 1),
 agg AS (SELECT run_id, count(*) FILTER (WHERE accepted) AS accepted_requests, count(*) FILTER (WHERE NOT accepted) AS rejected_requests
@@ -304,6 +307,24 @@ def q_fold_sheet_content(spark, t, sf_dir):
                     F.explode(F.map_concat(parse_payload("payload_json"), extra)).alias("key", "value"))
 
 
+@query("audit_all", f"""{_DERIVED_SQL},
+{_FINALIZE_CTE.replace("r AS (", "fr AS (")}
+SELECT 'production_runs' AS table_name, h.id AS record_id, 'create' AS action_type, h.operator_id AS changed_by, '' AS old_data,
+  h.batch_type || ' run ' || h.run_number || ' copied from run ' || {Q.run_label('s.run_number', 's.batch_number', 's.id')} AS new_data, h.created_at
+FROM heads h JOIN fx_runs s ON s.id = h.source_run_id
+UNION ALL SELECT 'production_runs', coalesce(c.target_run_id, h.id), c.action, c.actor, '',
+  c.action || ' run ' || c.group_label || ' linked to source run(s): ' || {Q.run_label('s.run_number', 's.batch_number', 's.id')}, c.requested_at
+FROM checked c JOIN fx_runs s ON s.id = c.source_run_id LEFT JOIN heads h ON h.batch_type = c.action AND h.run_number = c.group_label WHERE c.why IS NULL
+UNION ALL SELECT 'production_runs', run_id, 'finalize', {Q.clean('employee')}, '',
+  CASE WHEN path = 'quick' THEN 'run closed from quick action' ELSE 'run review completed and run closed' END, requested_at FROM fr WHERE accepted""")
+def q_audit_all(spark, t, sf_dir):
+    """O-STATE-2 + O-SNK-3: audit rows of copies, blend / split links and closed runs."""
+    checked = LC.group_label_requests(t.runs, fixture(spark, sf_dir, "fx_group_requests"))
+    heads = LC.derived_runs(t.runs, checked, LC.max_id(t.runs))
+    closed = LC.finalize_audits(t.runs, fixture(spark, sf_dir, "fx_finalize_requests"), t.sheets)
+    return LC.group_audits(checked, heads, t.runs).unionByName(closed)
+
+
 @query("touch_runs", """WITH s AS (SELECT run_id, created_at FROM fx_extraction UNION ALL SELECT run_id, created_at FROM fx_filtration
   UNION ALL SELECT run_id, created_at FROM fx_evaporation UNION ALL SELECT run_id, created_at FROM fx_sheets),
 m AS (SELECT run_id, max(created_at) AS touched FROM s WHERE run_id IS NOT NULL GROUP BY run_id)
@@ -317,11 +338,12 @@ def q_touch_runs(spark, t, sf_dir):
 @query("edit_run_headers", f"""WITH e AS (SELECT *, {Q.clean('run_number')} AS rn, {Q.clean('product_name')} AS pn FROM fx_run_edits),
 lastrn AS (SELECT run_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY edited_at DESC, edit_id DESC) AS k
    FROM e WHERE rn <> '') WHERE k = 1),
-lastpn AS (SELECT run_id, pn, edited_at FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY edited_at DESC, edit_id DESC) AS k
+lastpn AS (SELECT run_id, pn, edited_at, notes, final_edit_initials, final_edit_notes FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY edited_at DESC, edit_id DESC) AS k
    FROM e) WHERE k = 1),
 cnt AS (SELECT run_id, count(*) AS edits FROM e GROUP BY run_id)
 SELECT r.id AS run_id, coalesce(a.rn, {Q.run_label('r.run_number', 'r.batch_number', 'r.id')}) AS run_number,
   coalesce(a.rn, {Q.run_label('r.run_number', 'r.batch_number', 'r.id')}) AS batch_number, b.pn AS product_name,
+  {Q.clean('b.notes')} AS notes, {Q.clean('b.final_edit_initials')} AS final_edit_initials, {Q.clean('b.final_edit_notes')} AS final_edit_notes,
   b.edited_at AS updated_at, c.edits
 FROM fx_runs r JOIN cnt c ON c.run_id = r.id LEFT JOIN lastrn a ON a.run_id = r.id LEFT JOIN lastpn b ON b.run_id = r.id""")
 def q_edit_run_headers(spark, t, sf_dir):

@@ -165,6 +165,16 @@ def q_group_lineage(spark, t, sf_dir):
     return RU.group_lineage(t.runs)
 
 
+@query("group_members", f"""WITH m AS (SELECT id, updated_at, {Q.clean('batch_type')} AS bt, {Q.run_label()} AS run_label, 'blend' AS action, blend_number AS group_label
+   FROM fx_runs WHERE trim(coalesce(blend_number, '')) <> ''
+  UNION ALL SELECT id, updated_at, {Q.clean('batch_type')}, {Q.run_label()}, 'split', split_batch_number FROM fx_runs WHERE trim(coalesce(split_batch_number, '')) <> ''),
+r AS (SELECT *, CASE WHEN bt = action THEN 'derived' ELSE 'source' END AS role FROM m)
+SELECT action, group_label, id, run_label, role, row_number() OVER (PARTITION BY action, group_label, role ORDER BY updated_at DESC NULLS LAST, id DESC) AS position FROM r""")
+def q_group_members(spark, t, sf_dir):
+    """O-JOIN-7 + O-SRT-9: labels of the derived and source runs of every group, in order."""
+    return RU.group_members(t.runs)
+
+
 def _scope_sql(where: str) -> str:
     return f"SELECT id, created_at, updated_at FROM fx_runs WHERE {where}"
 
@@ -220,8 +230,8 @@ UNION ALL SELECT id, employee_number, full_name, active, 'active' FROM fx_users
 def q_users_by_state(spark, t, sf_dir):
     """O-FLT-20 + O-SRT-7: pending (by age) and active (by name) user listings."""
     u = t.users
-    pending = u.filter(F.col("active") == 0).orderBy(F.col("active"), F.col("created_at").desc(), "id")
-    active = u.filter(F.col("active") == 1).orderBy("full_name", "id")
-    cols = ["id", "employee_number", "full_name", "active"]
-    return (pending.select(*cols, F.lit("pending").alias("listing"))
-            .unionByName(active.select(*cols, F.lit("active").alias("listing"))))
+    pending = F.col("active") == 0
+    listed = u.filter(F.col("active").isin(0, 1))
+    # pending users newest first, then active users by name: one sort of the result
+    ordered = listed.orderBy("active", F.when(pending, F.col("created_at")).desc(), F.when(~pending, F.col("full_name")), "id")
+    return ordered.select("id", "employee_number", "full_name", "active", F.when(pending, "pending").otherwise("active").alias("listing"))

@@ -8,6 +8,7 @@ fixture views (prefixed with their ``WITH`` clauses when served).
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,14 +19,14 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Builder] = {}
 _ORACLE: dict[str, str] = {}
-_TABLES: dict[tuple[int, str], ProcessTables] = {}
+_TABLES: WeakKeyDictionary[SparkSession, dict[str, ProcessTables]] = WeakKeyDictionary()
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> ProcessTables:
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = from_fixtures(spark, sf_dir)
-    return _TABLES[key]
+    known = _TABLES.setdefault(spark, {})
+    if sf_dir not in known:
+        known[sf_dir] = from_fixtures(spark, sf_dir)
+    return known[sf_dir]
 
 
 def query(key: str, sql: str | None = None):

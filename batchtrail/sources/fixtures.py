@@ -12,6 +12,7 @@ the fixture views it mentions (DuckDB has the base tables registered).
 from __future__ import annotations
 
 import re
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -139,6 +140,8 @@ FROM lineitem""",
 SELECT event_id AS edit_id, user_id AS run_id,
  CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(' R', cast(user_id as string), '-', cast(event_id % 3 as string), ' ') END AS run_number,
  CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('P', cast(event_id % 7 as string)) END AS product_name,
+ concat(' n', cast(event_id % 3 as string)) AS notes, CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'fe' END AS final_edit_initials,
+ concat('why', cast(event_id % 2 as string)) AS final_edit_notes,
  replace(substr(cast(ts as string),1,19),' ','T') AS edited_at
 FROM events""",
     "fx_finalize_requests": """
@@ -262,7 +265,7 @@ def with_fixtures(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-_REGISTERED: dict[int, str] = {}
+_REGISTERED: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
 
 
 def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
@@ -271,15 +274,14 @@ def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
     Spark analyses a DataFrame when it is created, so frames built earlier keep
     the folder they were built from even if another folder is registered later.
     """
-    key = id(spark._jsparkSession)
-    if _REGISTERED.get(key) == sf_dir:
+    if _REGISTERED.get(spark) == sf_dir:
         return
     for name in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    _REGISTERED[key] = sf_dir
+    _REGISTERED[spark] = sf_dir
 
 
-_MATERIALIZED: dict[tuple[int, str], str] = {}
+_MATERIALIZED: WeakKeyDictionary[SparkSession, dict[str, str]] = WeakKeyDictionary()
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -288,7 +290,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     When the views of ``sf_dir`` were materialised (``materialize_fixtures``),
     the stored table is read instead of deriving it again.
     """
-    stored = _MATERIALIZED.get((id(spark._jsparkSession), sf_dir))
+    stored = _MATERIALIZED.get(spark, {}).get(sf_dir)
     if stored:
         return spark.read.parquet(f"{stored}/{name}")
     sql = with_fixtures(f"SELECT * FROM {name}")
@@ -302,8 +304,7 @@ def materialize_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> None
     Later ``fixture`` calls read the stored tables, the way deployed process
     tables are read; the derivation cost is paid once.
     """
-    key = (id(spark._jsparkSession), sf_dir)
-    _MATERIALIZED.pop(key, None)
+    _MATERIALIZED.setdefault(spark, {}).pop(sf_dir, None)
     for name in FIXTURE_SQL:
         fixture(spark, sf_dir, name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
-    _MATERIALIZED[key] = out_dir
+    _MATERIALIZED[spark][sf_dir] = out_dir

@@ -90,3 +90,27 @@ def test_exact_point_count_equals_listing(spark, raw):
     listed = R.generic_points(df, "clarifier").count()
     counted = R.generic_point_count(df, "clarifier").collect()
     assert (counted[0].point_count if counted else 0) == listed
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(1, 2), st.sampled_from(["centrifuge", "clarifier"]), st.integers(0, 6),
+                          st.sampled_from(["Draft", "Complete", "", None])), max_size=14),
+       st.lists(st.tuples(st.integers(1, 3), st.integers(0, 6), st.sampled_from(["review", "quick"])), min_size=1, max_size=8))
+def test_finalize_equals_replay(spark, saves, asks):
+    """Ids and save times are independent, so a later save may carry a lower id."""
+    at = lambda h: f"2024-01-01T{h:02d}:00:00"
+    sheets = [(i, r, s, at(h), c) for i, (r, s, h, c) in enumerate(saves, 1)]
+    requests = [(i, r, p, "E1", at(h)) for i, (r, h, p) in enumerate(asks, 1)]
+    runs = spark.createDataFrame([(1, "Open"), (2, "Open")], "id long, status string")
+    got = {r.run_id: r.accepted_requests for r in LC.finalize_runs(
+        runs, spark.createDataFrame(requests, "request_id long, run_id long, path string, employee string, requested_at string"),
+        spark.createDataFrame(sheets, "id long, run_id long, stage_key string, created_at string, completion_status string")).collect()}
+    want = {}
+    for _i, run, path, _e, when in requests:
+        latest = {}
+        for sheet in sheets:  # ids ascend
+            if sheet[1] == run and sheet[3] <= when:
+                latest[sheet[2]] = sheet[4] or "Complete"
+        fine = run in (1, 2) and (path == "quick" or "Complete" in latest.values())
+        want[run] = want.get(run, 0) + fine
+    assert got == want
