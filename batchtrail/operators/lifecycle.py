@@ -183,11 +183,12 @@ def corrections_from_forms(forms: DataFrame, saved: DataFrame) -> tuple[DataFram
     changes = F.filter(F.transform(cells, change), lambda c: c["field_value"] != c["old_value"])
     diff = j.select("submission_id", "run_id", "entry_table", "record_id", clean(F.try_element_at(m, F.lit("correction_reason"))).alias("correction_reason"),
                     F.col("employee").alias("changed_by_employee"), F.col("submitted_at").alias("created_at"), changes.alias("__c"))
-    lacking = F.filter("__c", lambda c: c["change_initials"] == "")
-    diff = diff.withColumn("__lacking", lacking)
-    accepted = (diff.filter(F.size("__lacking") == 0).select("*", F.inline("__c"))
-                .drop("__c", "__lacking", "old_value"))
-    return accepted, diff.select("submission_id", F.explode(F.transform("__lacking", lambda c: c["field_name"])).alias("field_name"))
+    # the outer generators keep the optimizer from evaluating the comparison again in a filter below them
+    lacking = lambda c: c["change_initials"] == ""
+    complete = F.when(~F.exists("__c", lacking), F.col("__c"))
+    accepted = diff.select("*", F.inline_outer(complete)).filter(F.col("field_name").isNotNull()).drop("__c", "old_value")
+    names = F.transform(F.filter("__c", lacking), lambda c: c["field_name"])
+    return accepted, diff.select("submission_id", F.explode_outer(names).alias("field_name")).filter(F.col("field_name").isNotNull())
 
 
 # --------------------------------------------------------------- O-STATE-5
