@@ -134,9 +134,9 @@ def draft_fold_stream(spark: SparkSession, submits_dir: str, log_path: str, entr
         # idempotent log append: a replayed batch rewrites only its own (bucket, batch) folders
         b.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("key_bucket", "batch_id").parquet(log_path)
-        touched = b.select("key_bucket").distinct()
-        # the log is partitioned by key bucket, so the semi join prunes to the touched folders
-        log = spark.read.parquet(log_path).join(touched, "key_bucket", "left_semi")
+        # at most FOLD_BUCKETS numbers; as literals they prune the log, partitioned by bucket, to the touched folders
+        touched = [row.key_bucket for row in b.select("key_bucket").distinct().collect()]
+        log = spark.read.parquet(log_path).filter(F.col("key_bucket").isin(touched))
         folded = fold_drafts(log.drop("key_bucket", "batch_id"), ["run_id", "stage_key"])
         _bucket(folded).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("key_bucket").parquet(entries_path)
