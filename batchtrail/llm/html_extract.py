@@ -4,10 +4,11 @@ The standard-library parser streams its events; every block element ends a
 line.  A line knows its text, the tags seen in it, the containers it stands in
 and whether it lies inside boilerplate markup.  The ratio of text to tags per
 line is smoothed with a Gaussian over the neighbouring lines; lines above the
-spread of the smoothed ratios are content lines, neighbouring ones of one
-container form a cluster, and the container whose clusters weigh most is the
-content region: its lines (not only those above the threshold, since an article
-also has short paragraphs) are the main text.
+spread of the smoothed ratios are content lines, and neighbouring ones of one
+container form a cluster.  The articles are the content region if they hold most
+of the cluster weight, else the main elements if they do, else the innermost
+container around the clusters: its lines (not only those above the threshold,
+since an article also has short paragraphs) are the main text.
 """
 
 from __future__ import annotations
@@ -162,6 +163,19 @@ def smoothed(values: list[float], sigma: float = SIGMA, radius: int = RADIUS) ->
     return out
 
 
+def clusters(lines: list[Line], ratios: list[float], cut: float) -> list[list[int]]:
+    """Runs of neighbouring lines of one innermost container whose smoothed ratio reaches ``cut``; side lines end a run."""
+    out: list[list[int]] = []
+    for i, line in enumerate(lines):
+        if line.side or ratios[i] < cut:
+            continue
+        if out and out[-1][-1] == i - 1 and lines[i - 1].path == line.path:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> str:
     """The main text, blocks joined by a newline; empty for null or empty pages and for pages without text."""
     if not html:
@@ -175,18 +189,22 @@ def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> s
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     cut = min(spread, max(ratios[i] for i in body))
-    # clusters: neighbouring content lines of one innermost container; their weight counts for every container around them
     weight: dict[int, float] = defaultdict(float)
-    for i in body:
-        if ratios[i] >= cut:
-            for number in lines[i].path:
-                weight[number] += len(lines[i].text)
-    total = weight and max(weight.values()) or 0.0
-    regions = {n for n in weight if page.kinds[n] in ("article", "main")}
-    if any(page.kinds[n] == "article" for n in regions):
-        regions = {n for n in regions if page.kinds[n] == "article"}
+    total = 0.0
+    found = clusters(lines, ratios, cut)
+    for cluster in found:
+        size = sum(len(lines[i].text) for i in cluster)
+        total += size
+        for number in lines[cluster[0]].path:
+            weight[number] += size
+    regions: set[int] = set()
+    for kind in ("article", "main"):
+        named = {n for n in weight if page.kinds[n] == kind}
+        if 2 * sum(len(lines[i].text) for c in found if named.intersection(lines[c[0]].path) for i in c) > total:
+            regions = named
+            break
     if not regions and weight:
-        # without a named article: the innermost container that holds nearly all of the content weight
+        # without a named region: the innermost container that holds nearly all of the content weight
         regions = {max((n for n, w in weight.items() if w >= 0.8 * total), default=0)}
     chosen = [i for i in body if regions.intersection(lines[i].path)] if regions else body
     return "\n".join(lines[i].text for i in chosen)

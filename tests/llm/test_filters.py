@@ -168,6 +168,26 @@ def test_main_text_is_the_article(html):
     assert html_extract.main_text(html) == WANT
 
 
+LONG_TEXT = "The long text of this page goes on for many words without any markup in between them, line after line of it. " * 6
+
+
+@pytest.mark.parametrize("kind", ["main", "div", "section"])
+def test_teaser_articles_do_not_displace_the_text(kind):
+    teaser = "<article><h3>Related</h3><p>One line of a teaser that is as dense as the text itself is</p></article>"
+    long_text = LONG_TEXT.strip()
+    text = html_extract.main_text(f"<body><nav>Menu</nav><{kind}><div><h1>Head</h1><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div>{teaser * 2}</{kind}></body>")
+    assert text.startswith(f"Head\n{long_text}\n{long_text}")
+    # an article that holds most of the text is still the region
+    assert html_extract.main_text(f"<body><{kind}><article><p>{LONG_TEXT}</p></article><div>by line</div></{kind}></body>") == long_text
+
+
+def test_clusters_are_runs_of_one_container():
+    page = html_extract.parse_lines("<div><p>a<p>b<nav>n</nav><p>c<section><p>d<p>e</section></div>")
+    lines = page.lines
+    assert html_extract.clusters(lines, [1.0] * 6, 1.0) == [[0, 1], [3], [4, 5]]
+    assert html_extract.clusters(lines, [1.0, 0.0, 1.0, 1.0, 0.0, 1.0], 1.0) == [[0], [3], [5]]
+
+
 def test_html_takes_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (2, "u", "", "old"), (2, "u", "", "old"), (None, None, "plain words", "old"), (5, "u", "<p>", "old"),
                                    (6, "u", "<![if x]><p>kept</p>", "old"), (7, "u", "<b>a<i>b</b>c</i> &#x41;&nbsp;&bogus;", "old"),
