@@ -7,8 +7,9 @@ line is smoothed with a Gaussian over the neighbouring lines; lines above the
 spread of the smoothed ratios are content lines, and neighbouring ones of one
 container form a cluster.  The articles are the content region if they hold most
 of the cluster weight, else the main elements if they do, else the innermost
-container around the clusters: its lines (not only those above the threshold,
-since an article also has short paragraphs) are the main text.
+container around all clusters: its lines (not only those above the threshold,
+since an article also has short paragraphs) are the main text, together with
+the clusters outside it that are dense without their neighbours' help.
 """
 
 from __future__ import annotations
@@ -182,7 +183,8 @@ def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> s
         return ""
     page = parse_lines(html)
     lines = page.lines
-    ratios = smoothed([0.0 if x.side else len(x.text) / max(1, x.tags) for x in lines], sigma, radius)
+    own = [0.0 if x.side else len(x.text) / max(1, x.tags) for x in lines]
+    ratios = smoothed(own, sigma, radius)
     body = [i for i, x in enumerate(lines) if not x.side]
     if not body:
         return ""
@@ -203,10 +205,15 @@ def main_text(html: str | None, sigma: float = SIGMA, radius: int = RADIUS) -> s
         if 2 * sum(len(lines[i].text) for c in found if named.intersection(lines[c[0]].path) for i in c) > total:
             regions = named
             break
-    if not regions and weight:
-        # without a named region: the innermost container that holds nearly all of the content weight
-        regions = {max((n for n, w in weight.items() if w >= 0.8 * total), default=0)}
-    chosen = [i for i in body if regions.intersection(lines[i].path)] if regions else body
+    if not regions:
+        # without a named region: the innermost container that no cluster lies outside of
+        around = set(lines[found[0][0]].path).intersection(*(lines[c[0]].path for c in found)) if found else set()
+        regions = {max(around)} if around else set()
+    if not regions:
+        return "\n".join(lines[i].text for i in body)
+    # a cluster that only the smoothing lifts over the threshold is a neighbour of content, no content of its own
+    dense = {i for c in found if any(own[i] >= cut for i in c) for i in c}
+    chosen = [i for i in body if i in dense or regions.intersection(lines[i].path)]
     return "\n".join(lines[i].text for i in chosen)
 
 

@@ -181,6 +181,23 @@ def test_teaser_articles_do_not_displace_the_text(kind):
     assert html_extract.main_text(f"<body><{kind}><article><p>{LONG_TEXT}</p></article><div>by line</div></{kind}></body>") == long_text
 
 
+@pytest.mark.parametrize("page", [
+    "<body><nav>Menu</nav><div id=post><div><p>{intro}</p></div><div><p>{body}</p><p>{body}</p></div></div></body>",
+    "<body><section><p>{intro}</p></section><section><p>{body}</p><p>{body}</p></section></body>",
+    "<body><table><tr><td>{intro}</td><td><p>{body}</p><p>{body}</p></td></tr></table></body>",
+    "<body><main><div><p>{intro}</p></div><article><p>{body}</p><p>{body}</p></article></main></body>",
+    "<body><div><p>{intro}</p></div><main><p>{body}</p><p>{body}</p></main></body>",
+    "<div><p>{intro}</p></div><div><p>{body}</p><p>{body}</p></div>"])
+def test_no_content_cluster_is_dropped(page):
+    intro, body = LONG_TEXT[:len(LONG_TEXT) // 3].strip(), LONG_TEXT.strip()
+    assert html_extract.main_text(page.format(intro=intro, body=body)) == f"{intro}\n{body}\n{body}"
+
+
+def test_short_neighbours_outside_the_region_are_no_content():
+    assert html_extract.main_text(f"<body><div>by line</div><article><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></article><div>links</div></body>") \
+        == f"{LONG_TEXT.strip()}\n{LONG_TEXT.strip()}"
+
+
 def test_clusters_are_runs_of_one_container():
     page = html_extract.parse_lines("<div><p>a<p>b<nav>n</nav><p>c<section><p>d<p>e</section></div>")
     lines = page.lines
