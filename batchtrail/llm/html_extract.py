@@ -106,6 +106,17 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         self._parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A malformed or open "<![" section is a comment up to the next ">", as browsers read it."""
+        try:
+            after = super().parse_marked_section(i, report)
+        except AssertionError:
+            after = -1
+        if after < 0:
+            end = self.rawdata.find(">", i + 3)
+            after = end + 1 if end >= 0 else len(self.rawdata)
+        return after
+
     # -- lines
 
     def _leave(self) -> None:
@@ -144,11 +155,7 @@ class LineParser(HTMLParser):
 
 def parse_lines(html: str) -> LineParser:
     parser = LineParser()
-    try:
-        parser.feed(html)
-    except AssertionError:  # a malformed "<![" section: its rest is read as text
-        parser.handle_data(parser.rawdata[2:].replace("<", " "))
-        parser.rawdata = ""
+    parser.feed(html)
     parser.finish()
     return parser
 

@@ -205,6 +205,15 @@ def test_clusters_are_runs_of_one_container():
     assert html_extract.clusters(lines, [1.0, 0.0, 1.0, 1.0, 0.0, 1.0], 1.0) == [[0], [3], [5]]
 
 
+@pytest.mark.parametrize("odd", ["<![ foo ]>", "<![foo x]>", "<![>", "<![ foo", "<![", "<![!]>", "<![if x]>"])
+def test_malformed_sections_are_comments(odd):
+    text = html_extract.main_text(f"<nav>Menu</nav><article><p>One</p>{odd}<p>Two</p><script>x()</script><p>Three</p></article>")
+    assert text.split("\n")[0] == "One" and text.split("\n")[-1] == "Three" and text.count("One") == 1
+    assert "<" not in text and "x()" not in text and "Menu" not in text
+    assert text == "One\nTwo\nThree" or ">" not in odd  # an open one ends with the next tag
+    assert html_extract.main_text(f"<article><p>One</p>{odd}").startswith("One")
+
+
 def test_html_takes_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (2, "u", "", "old"), (2, "u", "", "old"), (None, None, "plain words", "old"), (5, "u", "<p>", "old"),
                                    (6, "u", "<![if x]><p>kept</p>", "old"), (7, "u", "<b>a<i>b</b>c</i> &#x41;&nbsp;&bogus;", "old"),
