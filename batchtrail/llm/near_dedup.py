@@ -5,7 +5,9 @@ the weight of a shingle is its share of the text's shingles.  Each shingle is
 a Poisson process whose rate is its weight: every arrival falls on a random
 register, a register keeps its earliest arrival, and a shingle stops as soon as
 its next arrival is later than all registers.  Two registers agree with the
-probability Jaccard similarity of the texts.
+probability Jaccard similarity of the texts.  A text whose shingles differ in
+weight has a second signature with equal weights, whose registers agree with the
+set Jaccard similarity; for all other texts the two are the same.
 
 Work on copies is avoided by construction: equal texts become one node first;
 nodes that share a band bucket are compared with the bucket's most central
@@ -114,18 +116,36 @@ def _blocks(sizes: np.ndarray, most: int = 100_000, texts: int = 512) -> Iterato
         start = stop
 
 
-def text_registers(texts: pa.Array, m: int, words: int = WORDS, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(registers, whether the text has any shingle); another ``salt`` gives independent registers."""
-    group, shingle, weight = weighted_shingles(texts, words)
-    shingle = mix64(shingle ^ _U(salt)) if salt else shingle
-    sizes = np.bincount(group, minlength=len(texts))
+def _registers(group: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Registers (n x m) of ``n`` texts, block by block; 0 for a text without shingles."""
+    sizes = np.bincount(group, minlength=n)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    out = np.zeros((len(texts), m), dtype=_U)
+    out = np.zeros((n, m), dtype=_U)
     for block in _blocks(sizes):
         pick = ranges(starts[block], sizes[block])
         local = np.repeat(np.arange(len(block)), sizes[block])
         out[block] = prob_minhash(local, shingle[pick], weight[pick], len(block), m)
-    return out, sizes > 0
+    return out
+
+
+def text_registers(texts: pa.Array, m: int, words: int = WORDS, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, whether the text has any shingle); another ``salt`` gives independent registers."""
+    group, shingle, weight = weighted_shingles(texts, words)
+    shingle = mix64(shingle ^ _U(salt)) if salt else shingle
+    return _registers(group, shingle, weight, len(texts), m), np.bincount(group, minlength=len(texts)) > 0
+
+
+def both_registers(texts: pa.Array, m: int, words: int = WORDS, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """(registers, whether the text has any shingle, texts of unequal weights, registers of those with equal weights)."""
+    group, shingle, weight = weighted_shingles(texts, words)
+    shingle = mix64(shingle ^ _U(salt)) if salt else shingle
+    n = len(texts)
+    sizes = np.bincount(group, minlength=n)
+    equal = 1 / sizes[group]
+    uneven = np.bincount(group, weight != equal, minlength=n) > 0
+    pick = uneven[group]
+    plain = _registers((np.cumsum(uneven) - 1)[group[pick]], shingle[pick], equal[pick], int(uneven.sum()), m)
+    return _registers(group, shingle, weight, n, m), sizes > 0, np.flatnonzero(uneven), plain
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -138,7 +158,11 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """``docs(id, sha, text)`` -> ``(id, sha, sig, keys)``: a byte per register and the band keys (none without words)."""
+    """``docs(id, sha, text)`` -> ``(id, sha, sig, keys)``: a byte per register and the band keys (none without words).
+
+    A text of unequal weights has the bytes and keys of its equal weights too.  Keys of both kinds are one space, so that
+    it meets by set Jaccard also the texts whose two signatures are the same.
+    """
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,26 +173,32 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
                 coded = part.column("sha").dictionary_encode()
                 index = coded.indices.to_numpy(zero_copy_only=False)
                 _, first = np.unique(index, return_index=True)  # equal texts of the slice once
-                regs, has = text_registers(part.column("text").take(pa.array(first)), m, words)
-                sigs = (regs >> _U(56)).astype(np.uint8)
-                keys = band_keys(regs, bands, rows)
+                regs, has, uneven, plain = both_registers(part.column("text").take(pa.array(first)), m, words)
+                sigs = [s.tobytes() for s in (regs >> _U(56)).astype(np.uint8)]
+                keys = list(band_keys(regs, bands, rows))
+                for i, s, k in zip(uneven.tolist(), (plain >> _U(56)).astype(np.uint8), band_keys(plain, bands, rows)):
+                    sigs[i] += s.tobytes()
+                    keys[i] = np.union1d(keys[i], k)
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("sha"),
-                    pa.array([sigs[i].tobytes() if has[i] else None for i in index], pa.binary()),
+                    pa.array([sigs[i] if has[i] else None for i in index], pa.binary()),
                     pa.array([keys[i] if has[i] else [] for i in index], pa.list_(pa.int64())),
                 ], names=["id", "sha", "sig", "keys"])
 
     return docs.select("id", "sha", "text").mapInArrow(run, "id long, sha binary, sig binary, keys array<long>")
 
 
-def refined(rows: DataFrame, words: int = WORDS, more: int = REFINED) -> DataFrame:
-    """``rows(node, text, sig)`` with ``more`` registers added to ``sig``."""
+def refined(rows: DataFrame, words: int = WORDS, more: int = REFINED, m: int = BANDS * ROWS) -> DataFrame:
+    """``rows(node, text, sig)`` with ``more`` registers added to the ``m`` of each signature in ``sig``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
-                regs = (text_registers(part.column("text"), more, words, salt=1)[0] >> _U(56)).astype(np.uint8)
-                sigs = [s + r.tobytes() for s, r in zip(part.column("sig").to_pylist(), regs)]
+                regs, _, uneven, plain = both_registers(part.column("text"), more, words, salt=1)
+                old = part.column("sig").to_pylist()
+                sigs = [s[:m] + r.tobytes() for s, r in zip(old, (regs >> _U(56)).astype(np.uint8))]
+                for i, r in zip(uneven.tolist(), (plain >> _U(56)).astype(np.uint8)):
+                    sigs[i] += old[i][m:] + r.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), pa.array(sigs, pa.binary())],
                                                  names=["node", "text", "sig"])
 
@@ -208,16 +238,25 @@ def similarity(a: Counter, b: Counter) -> float:
     return max(plain, weighted)
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are similar; signatures that differ by far are dropped first."""
+def _bytes(sigs, size: int, plain: bool) -> np.ndarray:
+    """Register bytes (n x ``size``) of the weighted signatures or, if ``plain``, of those with equal weights."""
+    return np.frombuffer(b"".join([s[-size:] if plain else s[:size] for s in sigs]), np.uint8).reshape(-1, size)
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float, words: int, size: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts are similar; those whose signatures of ``size`` registers differ by far, both the
+    weighted ones and those with equal weights, are dropped first."""
 
     @pandas_udf("double")
     def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=float)
-        left = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
-        right = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
-        return pd.Series(_agreement((left == right).mean(axis=1)))
+        share = (_bytes(x, size, False) == _bytes(y, size, False)).mean(axis=1)
+        uneven = np.flatnonzero((x.str.len() > size) | (y.str.len() > size))
+        if len(uneven):
+            x, y = x.iloc[uneven], y.iloc[uneven]
+            share[uneven] = np.maximum(share[uneven], (_bytes(x, size, True) == _bytes(y, size, True)).mean(axis=1))
+        return pd.Series(_agreement(share))
 
     @pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -261,12 +300,13 @@ def _central_pairs(shared: DataFrame) -> DataFrame:
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
-def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, m: int, every: bool) -> DataFrame:
+def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, m: int, size: int, every: bool) -> DataFrame:
     """Pairs of one bucket in different components whose signatures agree.
 
     A bucket is cut into blocks of about ``TILE`` members, and two blocks meet in
-    one tile; the ``m`` band registers of all pairs are compared, all registers of those that pass.  ``every=False`` gives each component its best pair of the tile
-    (linear output), ``every=True`` all pairs.
+    one tile; the ``m`` band registers of all pairs are compared, all ``size`` registers of those that pass.  The larger
+    agreement of the weighted signatures and of those with equal weights counts.  ``every=False`` gives each component
+    its best pair of the tile (linear output), ``every=True`` all pairs.
     """
     now = (shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
@@ -279,8 +319,16 @@ def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: fl
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                     "block", "node", "label")
             .join(sigs.select("node", "sig"), "node"))
+
+    def matched(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        agree = np.zeros((len(x), len(y)), dtype=np.int32)
+        for k in range(0, m, 36):
+            agree += (x[:, None, k:min(m, k + 36)] == y[None, :, k:min(m, k + 36)]).sum(axis=2, dtype=np.int32)
+        return agree
+
     def tile(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
+        sig, plain = _bytes(part["sig"], size, False), _bytes(part["sig"], size, True)
+        uneven = (part["sig"].str.len() > size).to_numpy()
         node, label, block = part["node"].to_numpy(), part["label"].to_numpy(), part["block"].to_numpy()
         if (label == label[0]).all():
             return
@@ -289,16 +337,21 @@ def _tile_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, least: fl
         right = np.flatnonzero(block == part["j"].iat[0])
         for start in range(0, len(left), 64):
             rows_ = left[start:start + 64]
-            agree = np.zeros((len(rows_), len(right)), dtype=np.int32)
-            for k in range(0, m, 36):
-                agree += (sig[rows_][:, None, k:min(m, k + 36)] == sig[right][None, :, k:min(m, k + 36)]).sum(axis=2, dtype=np.int32)
+            agree = matched(sig[rows_], sig[right])
+            # where neither text is uneven, the signatures with equal weights are the same
+            for p, q in ((uneven[rows_], np.ones(len(right), dtype=bool)), (~uneven[rows_], uneven[right])):
+                if p.any() and q.any():
+                    agree[np.ix_(p, q)] = np.maximum(agree[np.ix_(p, q)], matched(plain[rows_[p]], plain[right[q]]))
             ok = (_agreement(agree / m) >= least - MARGIN) & (label[rows_][:, None] != label[right][None, :])
             if not split:
                 ok &= node[rows_][:, None] < node[right][None, :]
             x, y = np.nonzero(ok)
             near = np.zeros(len(x))
             for k in range(0, len(x), 4096):
-                near[k:k + 4096] = _agreement((sig[rows_[x[k:k + 4096]]] == sig[right[y[k:k + 4096]]]).mean(axis=1))
+                p, q = rows_[x[k:k + 4096]], right[y[k:k + 4096]]
+                share, odd = (sig[p] == sig[q]).mean(axis=1), uneven[p] | uneven[q]
+                share[odd] = np.maximum(share[odd], (plain[p[odd]] == plain[q[odd]]).mean(axis=1))
+                near[k:k + 4096] = _agreement(share)
             fine = near >= least - REFINED_MARGIN
             x, y, near = x[fine], y[fine], near[fine]
             if not len(x):
@@ -368,21 +421,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shared = stored(members.join(sizes, "key"), "shared")
     wanted = (nodes.join(shared.select("node").distinct(), "node", "left_semi")
               .select("node", "sig", _row_key("sha", "id")))
-    full = stored(refined(base.select("text", _row_key("sha", "id")).join(wanted, "row").dropDuplicates(["row"]), words),
+    m, size = bands * rows, bands * rows + REFINED
+    full = stored(refined(base.select("text", _row_key("sha", "id")).join(wanted, "row").dropDuplicates(["row"]), words, REFINED, m),
                   "full")
     sigs, texts = full.select("node", "sig"), full.select("node", "text")
 
     pairs = stored(_central_pairs(shared), "pairs")
-    links = stored(_verified(pairs, sigs, texts, least, words), "links")
+    links = stored(_verified(pairs, sigs, texts, least, words, size), "links")
     labels = components(links)
     tried = pairs
     for every in (False, True):
-        more = stored(_tile_pairs(shared, labels, sigs, least, bands * rows, every).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = stored(_tile_pairs(shared, labels, sigs, least, m, size, every).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             if every:
                 break
             continue
-        found = stored(_verified(more, sigs, texts, least, words), "links")
+        found = stored(_verified(more, sigs, texts, least, words, size), "links")
         tried = tried.unionByName(more)
         if not found.isEmpty():
             links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")) \

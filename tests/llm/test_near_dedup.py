@@ -68,6 +68,35 @@ def test_classes_equal_brute_force(spark):
     assert got == set(brute_classes({i: t for t, i in first.items()}).items())
 
 
+def repeated_lines(n, seed):
+    """Texts of about the same shingles, which differ in how often their last words repeat."""
+    rng = np.random.default_rng(seed)
+    words = [f"r{seed}x{i}" for i in range(200)]
+    return [" ".join(words[rng.integers(3):] + words[-10:] * int(k)) for k in range(0, 20 * n, 20)]
+
+
+def test_links_by_set_jaccard_alone_are_found(spark, monkeypatch):
+    a, b = (N.shingle_counts(t) for t in repeated_lines(4, 1)[::3])
+    both, shares = a.keys() & b.keys(), [{k: v / c.total() for k, v in c.items()} for c in (a, b)]
+    weighted = sum(min(s[k] for s in shares) for k in both)  # probability Jaccard is at most the shared weight
+    assert weighted < 0.5 and len(both) / len(a.keys() | b.keys()) > 0.9
+    texts = [t for s in range(6) for t in repeated_lines(4, s)] + near_copies(10)
+    want = set(brute_classes(dict(enumerate(texts))).items())
+    assert len({c for n, c in want if n < 24}) == 6
+    for tile in (N.TILE, 2):
+        monkeypatch.setattr(N, "TILE", tile)
+        assert {(r.node, r.class_id) for r in N.near_duplicate_classes(cases.docs(spark, list(enumerate(texts)))).collect()} == want
+
+
+def test_equal_weights_estimate_set_jaccard():
+    texts = [*repeated_lines(4, 1)[::3], " ".join(f"r1x{i}" for i in range(200)), "", "a b " * 50]
+    regs, has, uneven, plain = N.both_registers(pa.array(texts), 4096)
+    assert has.tolist() == [True, True, True, False, True] and uneven.tolist() == [1]
+    a, b = set(N.shingle_counts(texts[1])), set(N.shingle_counts(texts[2]))
+    assert abs((plain[0] == regs[2]).mean() - len(a & b) / len(a | b)) < 0.03
+    assert (regs == N.text_registers(pa.array(texts), 4096)[0]).all()
+
+
 def test_small_tiles_give_the_same_classes(spark, monkeypatch):
     rows = list(enumerate(near_copies(80, seed=3)))
     whole = {(r.doc_id, r.class_id) for r in N.near_duplicate_classes(cases.docs(spark, rows)).collect()}
