@@ -5,9 +5,10 @@ error is kept.  A tile multiplies a block of queries with a block of candidates
 in int8 values (products and sums stay below 2^24, so single precision holds
 them exactly), which bounds each distance from both sides:
 ``|x - y|`` differs from the distance of the rounded vectors by at most the sum
-of the two error lengths.  A pair whose lower bound exceeds the query's k-th
-smallest upper bound cannot be among the k nearest; the others are recomputed
-in double precision and each tile passes k rows per query to the merge.
+of the two error lengths.  An id's upper bound is the smallest of its vectors'.
+A pair whose lower bound exceeds the query's k-th smallest upper bound of an id
+cannot be among the k nearest; the others are recomputed in double precision and
+each tile passes k ids per query id to the merge.
 """
 
 from __future__ import annotations
@@ -59,24 +60,33 @@ def exact_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query id, candidate id, distance), the ``k`` nearest candidates of each query in this tile, itself excluded."""
+    """(query id, candidate id, distance), the ``k`` nearest candidate ids of each query id in this tile, itself excluded.
+
+    The distance of two ids is the smallest of their vectors'.
+    """
+    order = np.argsort(cid, kind="stable")  # vectors of an id side by side
+    cid, c = cid[order], c[order]
     lower, upper = tile_bounds(quantized(q), quantized(c))
     own = qid[:, None] == cid[None, :]
     upper[own] = np.inf
-    lower[own] = np.inf
-    if len(cid) > k:
-        bar = np.partition(upper, k - 1, axis=1)[:, k - 1]
-        near = lower <= bar[:, None]
-    else:
-        near = np.ones_like(own)
-    row, col = np.nonzero(near & ~own)
+    first = np.flatnonzero(np.concatenate(([True], cid[1:] != cid[:-1])))
+    near = ~own
+    if len(first) > k:
+        by_id = upper if len(first) == len(cid) else np.minimum.reduceat(upper, first, axis=1)
+        near &= lower <= np.partition(by_id, k - 1, axis=1)[:, k - 1][:, None]
+    row, col = np.nonzero(near)
     dist = np.concatenate([exact_distance(q[row[i:i + 65536]], c[col[i:i + 65536]]) for i in range(0, len(row), 65536)]
                           or [np.zeros(0)])
-    order = np.lexsort((cid[col], dist, row))
-    row, col, dist = row[order], col[order], dist[order]
-    first = np.searchsorted(row, row, side="left")
-    best = np.arange(len(row)) - first < k
-    return qid[row[best]], cid[col[best]], dist[best]
+    query, found = qid[row], cid[col]
+    order = np.lexsort((dist, found, query))
+    query, found, dist = query[order], found[order], dist[order]
+    once = np.ones(len(query), dtype=bool)  # each id once per query id, at its smallest distance
+    once[1:] = (query[1:] != query[:-1]) | (found[1:] != found[:-1])
+    query, found, dist = query[once], found[once], dist[once]
+    order = np.lexsort((found, dist, query))
+    query, found, dist = query[order], found[order], dist[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+    return query[best], found[best], dist[best]
 
 
 def usable(vector: Column) -> Column:
@@ -102,10 +112,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     n, queries = base.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     parts, chunks = max(1, -(-n // candidate_block)), max(1, -(-(queries or 0) // query_block))
     salted = base.withColumn("dim", F.size("v"))
-    # the grid: every candidate block meets every query block
-    right = (salted.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    # the grid: every candidate block meets every query block; the vectors of an id are spread over the blocks
+    right = (salted.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts)))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
-    left = (salted.where("is_query").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)))
+    left = (salted.where("is_query").withColumn("chunk", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(chunks)))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
     left = left.select(*[F.col(c).cast("long").alias(f"q_{c}") for c in ("dim", "part", "chunk", "id")], F.col("v").alias("q_v"))
     right = right.select(*[F.col(c).cast("long").alias(f"c_{c}") for c in ("dim", "part", "chunk", "id")], F.col("v").alias("c_v"))

@@ -264,6 +264,22 @@ def test_nearest_equal_brute_force(spark, block):
     assert block_ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_an_id_with_several_vectors_takes_one_place(spark):
+    rng = np.random.default_rng(6)
+    at = rng.normal(size=8)
+    # ten near vectors of one id before all others, a candidate and a query that hold many of the rows
+    rows = [(0, at.tolist())] + [(1, (at + rng.normal(size=8) * 1e-3).tolist()) for _ in range(10)]
+    rows += [(i, (at + rng.normal(size=8) * 0.1).tolist()) for i in range(2, 90)]
+    rows += [(95, (at + rng.normal(size=8) * 0.2).tolist()) for _ in range(60)] + [(100, (at + rng.normal(size=8) * 0.3).tolist()) for _ in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (16, 4096):
+        got = sorted(tuple(r) for r in block_ann.nearest(df, F.col("vec_id") % 100 == 0, candidate_block=block, query_block=8).collect())
+        assert got == brute_nearest(rows, 10)
+    qid, q = np.zeros(1, dtype=np.int64), at[None, :]
+    found = block_ann.nearest_in_tile(qid, q, np.array([i for i, _ in rows[1:]]), np.array([v for _, v in rows[1:]]), 10)
+    assert len(set(found[1])) == len(found[1]) == 10
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(40, 64)) * 10.0 ** rng.integers(-3, 3, (40, 1)), rng.normal(size=(50, 64))
