@@ -134,6 +134,39 @@ def test_edges_equal_brute_force():
             assert cost(packing.optimal_edges(edges, counts, k)) == best
 
 
+def test_padding_is_minimal_over_exact_lengths(spark):
+    def packed(lengths, **more):
+        rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+        return packing.pack(rows, F.col("n"), **more).collect()
+
+    alike = packed([1000] * 130)
+    assert {r.edge for r in alike} == {1000} and not any(r.padding for r in alike)
+    assert sorted(r.place for r in alike if r.batch == 0) == list(range(65))
+    rng = np.random.default_rng(3)
+    lengths = rng.choice([0, 7, 40, 33, 1000, 1001, 1023, 1025, 5000, 5003, 70_000], 200).tolist()
+    for buckets in (1, 3, 4):
+        def cost(chosen):
+            return sum(min(e for e in chosen if e >= x) for x in lengths) - sum(lengths)
+        apart = sorted(set(lengths))
+        best = min(cost((*some, apart[-1])) for some in combinations(apart[:-1], buckets - 1))
+        assert sum(r.padding for r in packed(lengths, buckets=buckets)) == best
+
+
+def test_edges_of_many_lengths_equal_a_plain_program():
+    rng = np.random.default_rng(5)
+    for n, top in ((150, 400), (150, 10**12), (150, 2**62)):
+        edges = np.unique(rng.integers(1, top, n))
+        counts = rng.integers(1, 1000, len(edges))
+        for buckets in (1, 2, 5, 12):
+            e, c = edges.tolist(), counts.tolist()
+            least = {0: 0}
+            for _ in range(buckets):
+                least = {j: min(v + sum(c[i:j]) * e[j - 1] for i, v in least.items() if i < j) for j in range(1, len(e) + 1)
+                         if any(i < j for i in least)}
+            chosen = packing.optimal_edges(edges, counts, buckets)
+            assert len(chosen) == buckets and sum(k * min(x for x in chosen if x >= v) for v, k in zip(e, c)) == least[len(e)]
+
+
 @pytest.mark.parametrize("slice_rows", [3, packing.SLICE_ROWS])
 def test_batches_keep_the_budget_and_every_row(spark, small_docs, monkeypatch, slice_rows):
     monkeypatch.setattr(packing, "SLICE_ROWS", slice_rows)
