@@ -14,10 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Domain levels and path segments of a URL that can carry a list entry.
-DOMAIN_LEVELS = 5
-PATH_LEVELS = 4
-
 
 def url_host(url: Column) -> Column:
     """Lower-case host without scheme, user, port and final dot; null for null or a URL without a host."""
@@ -32,14 +28,24 @@ def url_path(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: F.length(s) > 0)
 
 
-def candidate_patterns(host: Column, path: Column) -> Column:
-    """Array of ``(pattern, specificity)``: domains from the top level down, then host/segment, host/segment/segment..."""
+def deepest(entries: DataFrame) -> tuple[int, int]:
+    """Most domain levels and most path segments of a pattern; no deeper part of a URL can match."""
+    parts = F.split("pattern", "/")
+    row = entries.agg(F.max(F.size(F.split(parts[0], r"\."))).alias("levels"), F.max(F.size(parts) - 1).alias("segments")).first()
+    return row["levels"] or 0, row["segments"] or 0
+
+
+def candidate_patterns(host: Column, path: Column, domain_levels: int, path_levels: int) -> Column:
+    """Array of ``(pattern, specificity)``: domains from the top level down, then host/segment, host/segment/segment...
+
+    Domains of at most ``domain_levels`` levels and the whole host, paths of at most ``path_levels`` segments.
+    """
     labels = F.split(host, r"\.")
-    depth = F.least(F.size(labels), F.lit(DOMAIN_LEVELS))
+    depth = F.least(F.size(labels), F.lit(max(1, domain_levels)))
     domains = F.transform(F.sequence(F.lit(1), depth), lambda k: F.struct(
         F.concat_ws(".", F.slice(labels, F.size(labels) - k + 1, k)).alias("pattern"), k.alias("specificity")))
     whole = F.array(F.struct(host.alias("pattern"), (F.size(labels)).alias("specificity")))
-    levels = F.least(F.size(path), F.lit(PATH_LEVELS))
+    levels = F.least(F.size(path), F.lit(path_levels))
     prefixes = F.when(levels >= 1, F.transform(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), lambda k: F.struct(
         F.concat(host, F.lit("/"), F.concat_ws("/", F.slice(path, 1, k))).alias("pattern"), (k + 1000).alias("specificity"))))
     return F.array_distinct(F.concat(domains, whole, F.coalesce(prefixes, F.slice(whole, 1, 0))))
@@ -63,10 +69,11 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def matches(captures: DataFrame, entries: DataFrame, key: str, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Every list entry active at each capture: ``(key, list, pattern, specificity, valid_from)``."""
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
+    levels, segments = deepest(entries)
     asked = (captures.where(F.col(time_col).isNotNull())
              .select(F.col(key).alias("__key"), F.col(time_col).alias("__t"), host.alias("__host"), path.alias("__path"))
              .where("__host is not null")
-             .withColumn("__c", F.explode(candidate_patterns(F.col("__host"), F.transform("__path", F.lower))))
+             .withColumn("__c", F.explode(candidate_patterns(F.col("__host"), F.transform("__path", F.lower), levels, segments)))
              .select("__key", "__t", F.to_date("__t").alias("__day"), F.col("__c.pattern").alias("pattern"),
                      F.col("__c.specificity").alias("specificity")))
     span = captures.agg(F.min(F.to_date(time_col)).alias("lo"), F.max(F.to_date(time_col)).alias("hi")).first()

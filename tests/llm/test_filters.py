@@ -140,6 +140,17 @@ def test_entries_active_at_fetch_time_decide(spark):
     assert {r.verdict for r in url_filter.judge(captures, entries.limit(0)).collect()} == {"unlisted", "unknown"}
 
 
+def test_entries_match_at_any_depth(spark):
+    deep = "a.b.c.d.e.example.com"
+    entries = spark.createDataFrame([("spam", deep[2:], at("2024-01-01 00:00"), "add"), ("spam", "x.org/1/2/3/4/5/6", at("2024-01-01 00:00"), "add")],
+                                    "list string, pattern string, at timestamp, action string")
+    asked = [(1, f"http://{deep}/", "blocked"), (2, "http://z.d.e.example.com/", "unlisted"), (3, "http://x.org/1/2/3/4/5/6/7", "blocked"),
+             (4, "http://x.org/1/2/3/4/5", "unlisted")]
+    captures = spark.createDataFrame([(i, u, at("2024-05-05 05:05"), w) for i, u, w in asked], "page_id long, url string, fetched_at timestamp, want string")
+    rows = url_filter.judge(captures, entries).collect()
+    assert [(r.page_id, r.verdict) for r in rows if r.verdict != r.want] == [] and len(rows) == 4
+
+
 @pytest.mark.parametrize("key", sorted(k for k, v in queries.ORACLE_SQL.items() if v))
 def test_queries_equal_their_sql(spark, duck, key):
     assert queries.ORACLE_SQL[key] == entry.oracle_sql()[key]
