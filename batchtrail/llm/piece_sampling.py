@@ -1,7 +1,7 @@
 """Sampled segmentations into sentence pieces, and lossless decoding.
 
-Forward filtering: over the lattice of all pieces that fit a unit (a run of text
-from one space to before the next), the summed weight of all paths up to every
+Forward filtering: over the lattice of all pieces that fit a unit (a run of
+spaces and the text up to the next space), the summed weight of all paths up to every
 position.  Backward sampling: from the end, one incoming piece is drawn in
 proportion to weight times what was filtered before it.  The draws are hashes
 of the row key, the unit's number and the step, so a row is always cut the same
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from sentencepiece import SentencePieceProcessor
 
-from batchtrail.llm.common import mix64, slices, text_of, unit_floats
+from batchtrail.llm.common import mix64, ranges, slices, text_of, unit_floats
 
 MARK = "▁"
 #: Exponent of the piece weights: 0 draws all segmentations alike, large values tend to the best one.
@@ -51,7 +51,7 @@ class Pieces:
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes[i] = bytes([int(piece[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in piece[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in piece.lstrip(MARK):
                 plain.append((piece, i, max(sp.get_score(i), -float(size))))
                 self.bytes[i] = piece.replace(MARK, " ").encode()
         if (self.byte_id < 0).any() or MARK not in {p for p, _, _ in plain}:
@@ -98,7 +98,7 @@ class Pieces:
         return out
 
     def symbols(self, units: list[str], marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of all units, number of symbols of each): a marker first where ``marked``, bytes where there is no piece."""
+        """(symbols of all units, number of symbols of each): ``marked`` markers first, bytes where there is no piece."""
         text = "".join(units)
         chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
@@ -109,7 +109,7 @@ class Pieces:
         total = np.bincount(unit, width, minlength=len(units)).astype(np.int64) + marked
         starts = np.concatenate(([0], np.cumsum(total)[:-1]))
         out = np.empty(int(total.sum()), dtype=np.int64)
-        out[starts[marked]] = ord(MARK)
+        out[ranges(starts, marked)] = ord(MARK)
         before = np.cumsum(width) - width + np.cumsum(marked)[unit]
         out[before[~odd]] = chars[~odd]
         c, at, w = chars[odd], before[odd], width[odd]
@@ -230,13 +230,18 @@ def sampled_ids(pieces: Pieces, texts: pa.Array, keys: np.ndarray) -> tuple[np.n
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     marked = np.ones(len(code), dtype=bool)
     marked[offsets[:-1][np.diff(offsets) > 0]] = False
-    unit, code = np.unique(code * 2 + marked, return_inverse=True)
+    sizes = np.diff(offsets)
+    ends = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # a run of spaces goes with the word after it
+    ends[offsets[1:][sizes > 0] - 1] = True
+    ends = np.flatnonzero(ends)
+    marks = np.diff(np.concatenate(([0], np.cumsum(marked)[ends])))
+    most = int(marks.max(initial=0)) + 1
+    unit, code = np.unique(code[ends] * most + marks, return_inverse=True)
     words = coded.dictionary.to_pylist()
-    symbols, lengths = pieces.symbols([words[u >> 1] for u in unit], (unit & 1).astype(bool))
+    symbols, lengths = pieces.symbols([words[u // most] for u in unit], unit % most)
     lattice = Lattice(pieces, symbols, lengths)
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    nth = np.arange(len(code)) - offsets[:-1][row]
+    row = np.repeat(np.arange(len(sizes)), sizes)[ends]
+    nth = ends - offsets[:-1][row]
     seeds = mix64(keys[row] + (nth.astype(_U) + _U(1)) * _U(0xD1342543DE82EF95))
     ids, count = lattice.sample(code, seeds)
     return ids, np.bincount(row, count, minlength=len(sizes)).astype(np.int64)

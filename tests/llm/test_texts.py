@@ -120,6 +120,15 @@ def test_segmentations_are_drawn_by_weight(model):
         assert abs(seen[parts] / n - w / total) < 0.01
 
 
+def test_runs_of_spaces_are_cut_into_all_their_pieces(model):
+    pieces = piece_sampling.Pieces(model)
+    texts = ["a    b", "    x", "  ", "", " y z ", "a b", "   ", "\n        def f"] * 500
+    ids, sizes = piece_sampling.sampled_ids(pieces, pa.array(texts), np.arange(len(texts), dtype=np.uint64) * np.uint64(7919))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    assert [piece_sampling.spelled(pieces, ids[a:b]) for a, b in zip(at[:-1], at[1:])] == texts
+    assert {b"  ", b"   ", b"    "} <= {pieces.bytes[i] for i in ids.tolist()}
+
+
 # ---- packing
 
 def test_edges_equal_brute_force():
