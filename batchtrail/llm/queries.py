@@ -13,8 +13,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchtrail.llm import (block_ann, html_extract, merkle, near_dedup, packing, piece_sampling, quality, token_count, toxicity,
-                            url_filter)
+from batchtrail.llm import (block_ann, html_extract, lexical_rank, merkle, near_dedup, packing, piece_sampling, quality, token_count,
+                            toxicity, url_filter)
 
 _SHIPPED: set[str] = set()
 
@@ -176,6 +176,32 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_rank.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(len(t))::BIGINT AS big_l FROM words WHERE len(t) > 0),
+tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weight AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term, big_n),
+scored AS (
+  SELECT a.item_id, d.doc_id, d.doc, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.t) * big_n) // big_l))))::BIGINT AS score
+  FROM asked a JOIN tf USING (term) JOIN weight USING (term) JOIN words d USING (doc), totals GROUP BY 1, 2, 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over ``documents``."""
     ship(spark)
@@ -184,7 +210,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_near_dedup, op2_url_filter, op3_quality, op4_html_extract, op5_token_counts, op6_merkle, op7_packing, op8_toxicity,
-    op9_piece_sampling, op10_block_ann, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op10_block_ann": OP10_SQL}
+    op9_piece_sampling, op10_block_ann, op13_lexical_rank, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op10_block_ann": OP10_SQL, "op13_lexical_rank": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
