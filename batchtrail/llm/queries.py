@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchtrail.llm import (block_ann, html_extract, lexical_rank, merkle, near_dedup, packing, piece_sampling, quality, token_count,
-                            toxicity, url_filter)
+                            toxicity, url_filter, whitening)
 
 _SHIPPED: set[str] = set()
 
@@ -176,6 +176,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen leading whitened components of every vector."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical_rank.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -210,7 +215,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_near_dedup, op2_url_filter, op3_quality, op4_html_extract, op5_token_counts, op6_merkle, op7_packing, op8_toxicity,
-    op9_piece_sampling, op10_block_ann, op13_lexical_rank, pipeline)}
+    op9_piece_sampling, op10_block_ann, op12_whitening, op13_lexical_rank, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op10_block_ann": OP10_SQL, "op13_lexical_rank": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
