@@ -13,8 +13,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchtrail.llm import (block_ann, html_extract, lexical_rank, merkle, near_dedup, packing, piece_sampling, quality, token_count,
-                            toxicity, url_filter, whitening)
+from batchtrail.llm import (block_ann, html_extract, lexical_rank, merkle, near_dedup, packing, pii, piece_sampling, quality,
+                            token_count, toxicity, url_filter, whitening)
 
 _SHIPPED: set[str] = set()
 
@@ -176,6 +176,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: fixed forms, and identifiers that their context gives away."""
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen leading whitened components of every vector."""
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
@@ -215,7 +220,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_near_dedup, op2_url_filter, op3_quality, op4_html_extract, op5_token_counts, op6_merkle, op7_packing, op8_toxicity,
-    op9_piece_sampling, op10_block_ann, op12_whitening, op13_lexical_rank, pipeline)}
+    op9_piece_sampling, op10_block_ann, op11_pii, op12_whitening, op13_lexical_rank, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op10_block_ann": OP10_SQL, "op13_lexical_rank": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
