@@ -111,32 +111,6 @@ def test_newest_entries_are_taken_before_the_run_join(spark):
         assert out.count() <= 7
 
 
-def test_machine_status_stream_equals_batch(spark):
-    root = _scratch()
-    _write_tables(spark, root)
-    q = ST.machine_status_stream(spark, root, f"{root}/_ckpt_status", "status_test")
-    q.awaitTermination(300)
-    got = {r.section: r.latest.record_id for r in spark.sql("SELECT * FROM status_test").collect()}
-    u = entry_union(from_parquet(spark, root))
-    want = {r.section: r.rid for r in u.groupBy("section").agg(
-        F.max_by("record_id", F.struct("activity_time", "entry_table", "record_id")).alias("rid")).collect()}
-    assert got == want
-
-
-def test_draft_fold_stream_equals_batch(spark):
-    root = _scratch()
-    submits = fixture(spark, SMALL, "fx_submits")
-    submits.repartition(3).write.parquet(f"{root}/submits")
-    q = ST.draft_fold_stream(spark, f"{root}/submits", f"{root}/_log", f"{root}/_entries", f"{root}/_ckpt_fold",
-                             max_files_per_trigger=1)
-    q.awaitTermination(300)
-    assert len(q.recentProgress) >= 3  # one micro-batch per file: the merge is incremental
-    got = spark.read.parquet(f"{root}/_entries").drop("key_bucket")
-    want = LC.fold_drafts(submits)
-    assert got.count() == want.count()
-    assert got.select(*want.columns).exceptAll(want).count() == 0
-
-
 def test_export_round_trip_and_since_last_is_empty_after(spark):
     root = _scratch()
     t = from_fixtures(spark, SMALL)
