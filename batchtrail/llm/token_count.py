@@ -1,14 +1,13 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token.
 
-1. Each text is cut at ASCII white space (which the tokenizer drops), distinct
-   words of a slice go once through the tokenizer's own normalizer and
-   pre-tokenizer, and the text becomes pre-token frequencies.
-2. Frequencies are summed over the corpus; each distinct pre-token is encoded
-   once, and its number of pieces is kept in a table.
-3. Per-document frequencies meet that table and are summed.  The ``HEAD`` most
-   frequent pre-tokens (a fixed number, whatever the corpus) are resolved where
-   the text is read, so the join neither carries the bulk of the rows nor has
-   hot keys; all other pre-tokens go through the shuffled join.
+1. One pass over the texts.  Each is cut at ASCII white space (which the tokenizer
+   drops); the distinct words of a slice of texts go once through the tokenizer's
+   own normalizer and pre-tokenizer.  A slice leaves the list of its distinct
+   pre-tokens, and for each document their numbers in that list and frequencies.
+2. The lists meet by pre-token: each distinct pre-token of the corpus is encoded
+   once, and its number of pieces goes back to every slice that has it.
+3. Per slice, frequencies meet the numbers of pieces and are summed by document.
+   A pre-token is one row per slice, however frequent it is.
 """
 
 from __future__ import annotations
@@ -19,16 +18,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from batchtrail.llm.common import ranges, slices, stored, text_of
 
-#: Pre-tokens whose piece counts are sent to every task (about 5 MB).
-HEAD = 200_000
 LIMIT = 2048
-_SLICE = 6 << 20
+#: Text bytes of one slice.
+SLICE = 6 << 20
 
 
 @lru_cache(maxsize=2)
@@ -103,78 +102,75 @@ class _PreTokens:
         self.offsets = per_word[offsets]
 
 
-def corpus_frequencies(docs: DataFrame, spec: str) -> DataFrame:
-    """``docs(text)`` -> ``(pre_token, n)`` over the whole corpus, summed per task before the shuffle."""
+_DOC = ["slice", "doc_id", "n_bytes", "codes", "times"]
+
+
+def frequencies(docs: DataFrame, spec: str, slice_bytes: int = SLICE) -> DataFrame:
+    """``docs(doc_id, n_bytes, text)`` -> rows of documents (``codes``, ``times``) and one row per slice (``names``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            texts = batch.column("text")
-            for start, stop in slices(texts, _SLICE):
-                got = _PreTokens(spec, texts.slice(start, stop - start))
-                n = np.bincount(got.code, minlength=len(got.names))
-                yield pa.RecordBatch.from_arrays([got.names, pa.array(n, pa.int64())],
-                                                 names=["pre_token", "n"])
-
-    return (docs.select("text").mapInArrow(run, "pre_token string, n long")
-            .groupBy("pre_token").agg(F.sum("n").alias("n")))
+            for start, stop in slices(batch.column("text"), slice_bytes):
+                part = batch.slice(start, stop - start)
+                got = _PreTokens(spec, part.column("text"))
+                size = max(len(got.names), 1)
+                row = np.repeat(np.arange(len(part)), np.diff(got.offsets))
+                key, times = np.unique(row * size + got.code, return_counts=True)
+                of, code = np.divmod(key, size)
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part))))), pa.int32())
+                number = pa.array(np.full(len(part), task + done), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [number, part.column("doc_id"), part.column("n_bytes"), pa.ListArray.from_arrays(ends, pa.array(code, pa.int32())),
+                     pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())), pa.nulls(len(part), pa.list_(pa.string()))],
+                    names=[*_DOC, "names"])
+                one = [pa.nulls(1, batch.schema.field(c).type) for c in ("doc_id", "n_bytes")]
+                yield pa.RecordBatch.from_arrays(
+                    [number[:1], *one, pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())),
+                     pa.ListArray.from_arrays(pa.array([0, len(got.names)], pa.int32()), got.names)], names=[*_DOC, "names"])
+                done += 1
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"slice long, doc_id {kind}, n_bytes long, codes array<int>, times array<int>, names array<string>")
 
 
 def piece_counts(pre_tokens: DataFrame, spec: str) -> DataFrame:
-    """Adds ``pieces``, the number of tokens of each ``pre_token``: every row is encoded once, by the BPE model alone."""
+    """``(slice, code, pre_token)`` -> ``(slice, code, pieces)``: each distinct pre-token is encoded once, by the BPE model alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokenizer(spec).model
         special = set(_special(_tokenizer(spec)))
         for batch in batches:
-            pieces = [1 if p in special else len(model.tokenize(p)) for p in batch.column("pre_token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())],
-                                             names=[*batch.schema.names, "pieces"])
+            coded = batch.column("pre_token").dictionary_encode()
+            pieces = pa.array([1 if p in special else len(model.tokenize(p)) for p in coded.dictionary.to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("code"), pieces.take(coded.indices)],
+                                             names=["slice", "code", "pieces"])
 
-    return pre_tokens.mapInArrow(run, "pre_token string, n long, pieces long")
+    # sorted, so that the rows of a pre-token lie side by side
+    return pre_tokens.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(run, "slice long, code int, pieces int")
 
 
-def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str = "doc_id", head: int = HEAD) -> DataFrame:
+def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str = "doc_id",
+                 slice_bytes: int = SLICE) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` for every row of ``docs``.
 
     ``spec`` is the text of a tokenizers JSON file.  Null text is empty: 0 bytes,
     0 tokens.  Repeated rows and null ids keep their rows.  An empty table gives
     no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    counted = stored(piece_counts(corpus_frequencies(base, spec), spec), "piece_counts")
-    top = counted.orderBy(F.desc("n"), "pre_token").limit(head).select("pre_token", "pieces").toArrow()
-    known = spark.sparkContext.broadcast((top.column("pre_token").combine_chunks() if len(top) else pa.array([], pa.string()),
-                                          top.column("pieces").to_numpy() if len(top) else np.zeros(0, np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, pieces = known.value
-        pieces = np.concatenate((pieces, [0])).astype(np.int64)
-        for batch in batches:
-            for start, stop in slices(batch.column("text"), _SLICE):
-                part = batch.slice(start, stop - start)
-                got = _PreTokens(spec, part.column("text"))
-                place = pc.index_in(got.names, names)
-                place = place.fill_null(len(pieces) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(len(part)), np.diff(got.offsets))
-                where = place[got.code] if len(got.code) else np.zeros(0, np.int64)
-                resolved = np.bincount(row, pieces[where], minlength=len(part)).astype(np.int64)
-                other = where == len(pieces) - 1
-                key, times = np.unique(row[other] * max(len(got.names), 1) + got.code[other], return_counts=True)
-                of, code = np.divmod(key, max(len(got.names), 1))
-                ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part))))).astype(np.int32)
-                rare = pa.StructArray.from_arrays(
-                    [got.names.take(pa.array(code)), pa.array(times, pa.int64())], ["pre_token", "times"])
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("n_bytes"), pa.array(resolved, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), rare),
-                ], names=["doc_id", "n_bytes", "resolved", "rare"])
-
+    base = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"),
+                       text_of(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    read = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, resolved long, rare array<struct<pre_token:string,times:bigint>>")
-    # the row numbers are written with the rows, so no recomputation can change them
-    numbered = stored(read.withColumn("row", F.monotonically_increasing_id()), "frequencies")
-    rare = (numbered.select("row", F.explode("rare").alias("r")).select("row", "r.pre_token", "r.times")
-            .join(counted.select("pre_token", "pieces"), "pre_token")
-            .groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("joined")))
-    return (numbered.select("row", "doc_id", "n_bytes", "resolved").join(rare, "row", "left")
-            .select("doc_id", "n_bytes", (F.col("resolved") + F.coalesce("joined", F.lit(0))).alias("n_tokens")))
+    # written once: the numbers of the slices hold for both readers
+    written = stored(frequencies(base, spec, slice_bytes), "frequencies")
+    counted = piece_counts(written.where("names IS NOT NULL").select("slice", F.posexplode("names").alias("code", "pre_token")), spec)
+
+    def summed(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        pieces = np.zeros(len(counts) + 1, dtype=np.int64)
+        pieces[counts["code"].to_numpy()] = counts["pieces"].to_numpy()
+        codes, times = rows["codes"].combine_chunks(), rows["times"].combine_chunks()
+        row = np.repeat(np.arange(len(rows)), np.diff(codes.offsets.to_numpy()))
+        amount = pieces[codes.flatten().to_numpy(zero_copy_only=False)] * times.flatten().to_numpy(zero_copy_only=False)
+        tokens = np.bincount(row, amount, minlength=len(rows)).astype(np.int64)
+        return pa.table({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": pa.array(tokens)})
+
+    return (written.where("names IS NULL").select(*_DOC).groupBy("slice").cogroup(counted.groupBy("slice"))
+            .applyInArrow(summed, f"doc_id {kind}, n_bytes long, n_tokens long"))

@@ -25,13 +25,13 @@ def model():
     return open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 
 
-@pytest.mark.parametrize("head", [0, 50, token_count.HEAD])
-def test_counts_equal_the_library(spark, small_docs, spec, head):
+@pytest.mark.parametrize("size", [500, token_count.SLICE])
+def test_counts_equal_the_library(spark, small_docs, spec, size):
     tokenizer = Tokenizer.from_str(spec)
     for docs in (cases.docs(spark), small_docs):
         want = sorted((repr(r.doc_id), len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids))
                       for r in docs.collect())
-        assert sorted((repr(r.doc_id), r.n_bytes, r.n_tokens) for r in token_count.token_counts(docs, spec, head=head).collect()) == want
+        assert sorted((repr(r.doc_id), r.n_bytes, r.n_tokens) for r in token_count.token_counts(docs, spec, slice_bytes=size).collect()) == want
     assert token_count.token_counts(cases.empty(spark), spec).count() == 0
 
 
