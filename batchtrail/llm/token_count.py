@@ -2,12 +2,13 @@
 
 1. One pass over the texts.  Each is cut at ASCII white space (which the tokenizer
    drops); the distinct words of a slice of texts go once through the tokenizer's
-   own normalizer and pre-tokenizer.  A slice leaves the list of its distinct
-   pre-tokens, and for each document their numbers in that list and frequencies.
+   own normalizer and pre-tokenizer.  A part (a few slices) leaves the list of its
+   distinct pre-tokens, and for each document their places in that list and
+   frequencies.
 2. The lists meet by pre-token: each distinct pre-token of the corpus is encoded
-   once, and its number of pieces goes back to every slice that has it.
-3. Per slice, frequencies meet the numbers of pieces and are summed by document.
-   A pre-token is one row per slice, however frequent it is.
+   once, and its number of pieces goes back to every part that has it.
+3. Per part, frequencies meet the numbers of pieces and are summed by document.
+   A pre-token is one row per part, however frequent it is.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from batchtrail.llm.common import ranges, slices, stored, text_of
 LIMIT = 2048
 #: Text bytes of one slice.
 SLICE = 6 << 20
+#: Slices of a task that share one list of pre-tokens.
+PART_SLICES = 4
 
 
 @lru_cache(maxsize=2)
@@ -102,50 +105,73 @@ class _PreTokens:
         self.offsets = per_word[offsets]
 
 
-_DOC = ["slice", "doc_id", "n_bytes", "codes", "times"]
+def _packed(code: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes, bool]:
+    """Rising codes as their steps and the frequencies: two bytes and one byte each, four and four where these don't do."""
+    step = np.diff(code, prepend=0)
+    wide = bool(len(step)) and (int(step.max()) > 0xFFFF or int(times.max()) > 0xFF)
+    return step.astype("<u4" if wide else "<u2").tobytes(), times.astype("<u4" if wide else "u1").tobytes(), wide
+
+
+def _unpacked(codes: bytes, times: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(codes, "<u4" if wide else "<u2"), dtype=np.int64), np.frombuffer(times, "<u4" if wide else "u1").astype(np.int64)
+
+
+_DOC = ["part", "doc_id", "n_bytes", "codes", "times", "wide"]
 
 
 def frequencies(docs: DataFrame, spec: str, slice_bytes: int = SLICE) -> DataFrame:
-    """``docs(doc_id, n_bytes, text)`` -> rows of documents (``codes``, ``times``) and one row per slice (``names``)."""
+    """``docs(doc_id, n_bytes, text)`` -> rows of documents (``codes``, ``times``) and one row per part with its pre-tokens (``names``).
+
+    A part is a few slices of texts of one task; its codes are places in ``names``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = TaskContext.get().partitionId() << 32, 0
+        task, done, size, known, types = TaskContext.get().partitionId() << 32, 0, 0, {}, None
+
+        def names_row() -> pa.RecordBatch:
+            names = pa.array(list(known), pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task + done], pa.int64()), pa.nulls(1, types["doc_id"]), *[pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.bool_())],
+                 pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)], names=[*_DOC, "names"])
+
         for batch in batches:
+            types = {f.name: f.type for f in batch.schema}
             for start, stop in slices(batch.column("text"), slice_bytes):
                 part = batch.slice(start, stop - start)
                 got = _PreTokens(spec, part.column("text"))
-                size = max(len(got.names), 1)
+                own = np.fromiter((known.setdefault(name, len(known)) for name in got.names.to_pylist()), dtype=np.int64, count=len(got.names))
                 row = np.repeat(np.arange(len(part)), np.diff(got.offsets))
-                key, times = np.unique(row * size + got.code, return_counts=True)
-                of, code = np.divmod(key, size)
-                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part))))), pa.int32())
-                number = pa.array(np.full(len(part), task + done), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [number, part.column("doc_id"), part.column("n_bytes"), pa.ListArray.from_arrays(ends, pa.array(code, pa.int32())),
-                     pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())), pa.nulls(len(part), pa.list_(pa.string()))],
-                    names=[*_DOC, "names"])
-                one = [pa.nulls(1, batch.schema.field(c).type) for c in ("doc_id", "n_bytes")]
+                key, times = np.unique(row * max(len(known), 1) + own[got.code], return_counts=True)
+                of, code = np.divmod(key, max(len(known), 1))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part))))).tolist()
+                packed = [_packed(code[a:b], times[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [number[:1], *one, pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())),
-                     pa.ListArray.from_arrays(pa.array([0, len(got.names)], pa.int32()), got.names)], names=[*_DOC, "names"])
-                done += 1
+                    [pa.array(np.full(len(part), task + done), pa.int64()), part.column("doc_id"), part.column("n_bytes"),
+                     *[pa.array(column, kind) for column, kind in zip(zip(*packed), (pa.binary(), pa.binary(), pa.bool_()))],
+                     pa.nulls(len(part), pa.list_(pa.string()))], names=[*_DOC, "names"])
+                size += int(pc.sum(part.column("n_bytes")).as_py())
+                if size >= PART_SLICES * slice_bytes:
+                    yield names_row()
+                    done, size, known = done + 1, 0, {}
+        if known:
+            yield names_row()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"slice long, doc_id {kind}, n_bytes long, codes array<int>, times array<int>, names array<string>")
+    return docs.mapInArrow(run, f"part long, doc_id {kind}, n_bytes long, codes binary, times binary, wide boolean, names array<string>")
 
 
 def piece_counts(pre_tokens: DataFrame, spec: str) -> DataFrame:
-    """``(slice, code, pre_token)`` -> ``(slice, code, pieces)``: each distinct pre-token is encoded once, by the BPE model alone."""
+    """``(part, code, pre_token)`` -> ``(part, code, pieces)``: each distinct pre-token is encoded once, by the BPE model alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokenizer(spec).model
         special = set(_special(_tokenizer(spec)))
         for batch in batches:
             coded = batch.column("pre_token").dictionary_encode()
             pieces = pa.array([1 if p in special else len(model.tokenize(p)) for p in coded.dictionary.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("code"), pieces.take(coded.indices)],
-                                             names=["slice", "code", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("code"), pieces.take(coded.indices)],
+                                             names=["part", "code", "pieces"])
 
     # sorted, so that the rows of a pre-token lie side by side
-    return pre_tokens.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(run, "slice long, code int, pieces int")
+    return pre_tokens.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(run, "part long, code int, pieces int")
 
 
 def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str = "doc_id",
@@ -159,18 +185,18 @@ def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str
     base = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"),
                        text_of(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    # written once: the numbers of the slices hold for both readers
-    written = stored(frequencies(base, spec, slice_bytes), "frequencies")
-    counted = piece_counts(written.where("names IS NOT NULL").select("slice", F.posexplode("names").alias("code", "pre_token")), spec)
+    # written once: the numbers of the parts hold for both readers
+    written = stored(frequencies(base, spec, slice_bytes), "frequencies", "zstd")
+    counted = piece_counts(written.where("names IS NOT NULL").select("part", F.posexplode("names").alias("code", "pre_token")), spec)
 
     def summed(rows: pa.Table, counts: pa.Table) -> pa.Table:
         pieces = np.zeros(len(counts) + 1, dtype=np.int64)
         pieces[counts["code"].to_numpy()] = counts["pieces"].to_numpy()
-        codes, times = rows["codes"].combine_chunks(), rows["times"].combine_chunks()
-        row = np.repeat(np.arange(len(rows)), np.diff(codes.offsets.to_numpy()))
-        amount = pieces[codes.flatten().to_numpy(zero_copy_only=False)] * times.flatten().to_numpy(zero_copy_only=False)
-        tokens = np.bincount(row, amount, minlength=len(rows)).astype(np.int64)
-        return pa.table({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": pa.array(tokens)})
+        tokens = []
+        for packed in zip(rows["codes"].to_pylist(), rows["times"].to_pylist(), rows["wide"].to_pylist()):
+            code, times = _unpacked(*packed)
+            tokens.append(int(pieces[code] @ times))
+        return pa.table({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": pa.array(tokens, pa.int64())})
 
-    return (written.where("names IS NULL").select(*_DOC).groupBy("slice").cogroup(counted.groupBy("slice"))
+    return (written.where("names IS NULL").select(*_DOC).groupBy("part").cogroup(counted.groupBy("part"))
             .applyInArrow(summed, f"doc_id {kind}, n_bytes long, n_tokens long"))
