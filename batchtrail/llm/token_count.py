@@ -160,18 +160,22 @@ def frequencies(docs: DataFrame, spec: str, slice_bytes: int = SLICE) -> DataFra
 
 
 def piece_counts(pre_tokens: DataFrame, spec: str) -> DataFrame:
-    """``(part, code, pre_token)`` -> ``(part, code, pieces)``: each distinct pre-token is encoded once, by the BPE model alone."""
+    """``(part, code, pre_token)`` -> ``(part, code, pieces)`` as lists: each distinct pre-token is encoded once, by the BPE model alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokenizer(spec).model
         special = set(_special(_tokenizer(spec)))
         for batch in batches:
             coded = batch.column("pre_token").dictionary_encode()
-            pieces = pa.array([1 if p in special else len(model.tokenize(p)) for p in coded.dictionary.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("code"), pieces.take(coded.indices)],
+            pieces = pa.array([1 if p in special else len(model.tokenize(p)) for p in coded.dictionary.to_pylist()], pa.int32()).take(coded.indices)
+            part = batch.column("part").to_numpy()
+            order = np.argsort(part, kind="stable")
+            parts, first = np.unique(part[order], return_index=True)
+            ends = pa.array(np.append(first, len(part)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(parts), *[pa.ListArray.from_arrays(ends, c.take(pa.array(order))) for c in (batch.column("code"), pieces)]],
                                              names=["part", "code", "pieces"])
 
     # sorted, so that the rows of a pre-token lie side by side
-    return pre_tokens.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(run, "part long, code int, pieces int")
+    return pre_tokens.repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(run, "part long, code array<int>, pieces array<int>")
 
 
 def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str = "doc_id",
@@ -190,8 +194,9 @@ def token_counts(docs: DataFrame, spec: str, text_col: str = "text", id_col: str
     counted = piece_counts(written.where("names IS NOT NULL").select("part", F.posexplode("names").alias("code", "pre_token")), spec)
 
     def summed(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        pieces = np.zeros(len(counts) + 1, dtype=np.int64)
-        pieces[counts["code"].to_numpy()] = counts["pieces"].to_numpy()
+        code = counts["code"].combine_chunks().flatten().to_numpy()
+        pieces = np.zeros(len(code) + 1, dtype=np.int64)
+        pieces[code] = counts["pieces"].combine_chunks().flatten().to_numpy()
         tokens = []
         for packed in zip(rows["codes"].to_pylist(), rows["times"].to_pylist(), rows["wide"].to_pylist()):
             code, times = _unpacked(*packed)
