@@ -2,21 +2,23 @@
 
 The reference mutates rows one request at a time.  Here each rule is a
 deterministic function of an ordered log, computed with partitioned windows
-and aggregations; hot keys are split by minute, stamp and id range (``running_sum_within``).
+and aggregations; a hot key is spread over partitions by its order (``running_sum_within``).
 Checks that the reference makes against the live database are made against
 the snapshot given to the job.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchtrail.functions.labels import run_label
 from batchtrail.functions.text import clean, nonblank
 from batchtrail.operators.latest import latest_by
-from batchtrail.operators.runs import GROUP_COLUMNS, resolve_labels
-from batchtrail.operators.sequence import assign_ids, id_bucket, running_max_within, running_sum_within, time_bucket
+from batchtrail.operators.sequence import assign_ids, running_max_within, running_sum_within
+from batchtrail.session import stored
 from batchtrail.sources.stages import (CLOSED_BY_REVIEW, CLOSED_QUICKLY, COPIED_FROM, LINKED_TO, RUN_STAGE_KEYS,
                                         stage_titles)
 from batchtrail.sources.tables import parse_payload, submitted_fields
@@ -29,8 +31,7 @@ COMPLETE, DRAFT = "Complete", "Draft"
 def submit_islands(submits: DataFrame, keys: list[str], ts: str = "submitted_at", seq: str = "event_id") -> DataFrame:
     """Tag each submit with its entry number: Completes strictly before it in the key (gaps and islands)."""
     is_complete = (F.col("save_mode") == COMPLETE).cast("int")
-    return running_sum_within(submits, keys, [F.col(ts), F.col(seq)], time_bucket(ts, seq), is_complete, "entry_no",
-                              inclusive=False)
+    return running_sum_within(submits, keys, [F.col(ts), F.col(seq)], is_complete, "entry_no", inclusive=False)
 
 
 def fold_drafts(submits: DataFrame, keys: list[str] | None = None, ts: str = "submitted_at",
@@ -204,16 +205,14 @@ def _reviewable(requests: DataFrame, sheets: DataFrame) -> DataFrame:
     done = F.coalesce(F.nullif(F.col("completion_status"), F.lit("")), F.lit(COMPLETE)) == COMPLETE
     saved = sheets.filter(F.col("stage_key").isin(RUN_STAGE_KEYS) & F.col("run_id").isNotNull() & F.col("created_at").isNotNull()) \
         .select("run_id", "stage_key", "id", F.col("created_at").alias("at"), done.cast("int").alias("done"))
-    state = running_max_within(saved, ["run_id", "stage_key"], [F.col("at"), F.col("id")], time_bucket("at", "id"),
-                               F.struct("id", "done"), "__before", inclusive=False)
+    state = running_max_within(saved, ["run_id", "stage_key"], [F.col("at"), F.col("id")], F.struct("id", "done"), "__before",
+                               inclusive=False)
     newest = state.filter(F.col("__before").isNull() | (F.col("id") > F.col("__before.id")))
     changes = newest.select("run_id", "at", F.lit(0).alias("kind"), "id",
                             (F.col("done") - F.coalesce("__before.done", F.lit(0))).alias("change")).filter("change != 0")
     asked = requests.filter(F.col("requested_at").isNotNull()).select(
         "run_id", F.col("requested_at").alias("at"), F.lit(1).alias("kind"), F.col("request_id").alias("id"), F.lit(0).alias("change"))
-    bucket = [F.substring("at", 1, 16), F.struct("at", "kind", id_bucket("id").alias("ids"))]
-    line = running_sum_within(changes.unionByName(asked), ["run_id"], [F.col("at"), F.col("kind"), F.col("id")], bucket,
-                              F.col("change"), "__complete")
+    line = running_sum_within(changes.unionByName(asked), ["run_id"], [F.col("at"), F.col("kind"), F.col("id")], F.col("change"), "__complete")
     return line.filter((F.col("kind") == 1) & (F.col("__complete") > 0)).select(F.col("id").alias("request_id"))
 
 
@@ -245,40 +244,177 @@ def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> Da
 
 # ------------------------------------------------------------- O-STATE-7/8
 
-def group_label_requests(runs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Check blend/split requests against the runs snapshot (O-STATE-7).
+def _asked(requests: DataFrame) -> DataFrame:
+    """Group requests with cleaned texts, all their source runs, and the one whose sheets seed a new run.
 
-    Target = the run resolved by the label (Open first, newest).  Rejected, with a
-    reason code, when the label is blank, when the source run is missing, when the
-    target is the source itself, or when the target is not already a run of that
-    kind carrying that label; a label that an earlier accepted request of the log
-    has made a run of the other kind is taken as well.
+    ``source_run_ids`` are the selected runs (positive ids, each once, in the
+    order given); the seed is ``source_run_id`` where it is one of them, else the
+    first.  Logs with ``source_run_id`` alone have one source per request.
     """
     actor = F.col("employee") if "employee" in requests.columns else F.lit("")
-    req = requests.select("request_id", "action", clean("group_label").alias("group_label"), "source_run_id",
-                          "requested_at", clean(actor).alias("actor"))
-    src = runs.select(F.col("id").alias("__sid"))
-    req = req.join(src, req["source_run_id"] == src["__sid"], "left")
-    tgt = resolve_labels(runs, req.select(F.col("group_label").alias("label")), "label")
-    full = runs.select(F.col("id").alias("target_run_id"), clean("batch_type").alias("__tbt"),
-                       clean("blend_number").alias("__tb"), clean("split_batch_number").alias("__ts"))
-    tgt = tgt.select(F.col("label").alias("group_label"), F.col("id").alias("target_run_id")).join(full, "target_run_id")
-    j = req.join(tgt, "group_label", "left")
-    same_kind = (F.col("__tbt") == F.col("action")) & (
-        F.when(F.col("action") == "blend", F.col("__tb")).otherwise(F.col("__ts")) == F.col("group_label"))
-    reason = (F.when(F.col("group_label") == "", F.lit("blank_label"))
-              .when(F.col("__sid").isNull(), F.lit("no_source_run"))
-              .when(F.col("target_run_id") == F.col("source_run_id"), F.lit("label_is_source"))
-              .when(F.col("target_run_id").isNotNull() & ~same_kind, F.lit("label_taken")))
-    seen = j.withColumn("__why", reason)
+    given = F.col("source_run_id") if "source_run_id" in requests.columns else F.lit(None).cast("long")
+    if "source_run_ids" in requests.columns:
+        listed = F.array_distinct(F.filter(F.coalesce("source_run_ids", F.array().cast("array<bigint>")), lambda i: i > 0))
+        seed = F.when(F.array_contains("__all", given), given).otherwise(F.get("__all", F.lit(0)))
+    else:
+        listed, seed = F.array(given), given
+    return requests.withColumn("__all", listed).select(
+        "request_id", "action", clean("group_label").alias("group_label"), seed.alias("source_run_id"), F.col("__all").alias("source_run_ids"),
+        "requested_at", clean(actor).alias("actor"))
+
+
+#: Requests that one replay task decides in order.
+REPLAY_ROWS = 200_000
+_RUN = ["id", "open", "updated_at", "batch_type", "blend_number", "split_batch_number", "labels"]
+
+
+def _newest(r) -> tuple:
+    """Order of a label's runs: Open first, newest, highest id."""
+    return bool(r["open"]), r["updated_at"] is not None, r["updated_at"] or "", r["id"]
+
+
+def _refusal(request, run, was_source: bool) -> str | None:
+    own = run["blend_number"] if request["action"] == "blend" else run["split_batch_number"]
+    if run["id"] in request["source_run_ids"]:
+        return "label_is_source"
+    fits = not was_source and run["batch_type"] == request["action"] and own == request["group_label"]
+    return None if fits else "label_taken"
+
+
+def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The rule applied to one slice of requests in order; a row brings its label's best run before the slice."""
+    rows = rows.sort_values("n").to_dict("records")
+    best = {r["group_label"]: dict(r["best"]) for r in rows if r["best"] is not None}
+    used = {r["best"]["id"] for r in rows if r["best"] is not None and r["best_was_source"]}
+    out = []
+    for r in rows:
+        target = best.get(r["group_label"])
+        why = (None if r["taken_free"] else "label_taken") if target is None else _refusal(r, target, target["id"] in used)
+        out.append((r["request_id"], None if target is None else target["id"], why))
+        if why is not None:
+            continue
+        for run in [*r["from_runs"], *([] if target is None else [target])]:
+            run = {**run, "updated_at": max(run["updated_at"] or "", r["requested_at"] or "") or None}
+            for label in run["labels"]:
+                if label in best and _newest(run) >= _newest(best[label]):
+                    best[label] = run
+        used.update(run["id"] for run in r["from_runs"])
+    return pd.DataFrame(out, columns=["request_id", "target_run_id", "why"]).astype({"target_run_id": "Int64"})
+
+
+def _contested(asked: DataFrame, candidates: DataFrame, free: DataFrame, slice_rows: int) -> DataFrame:
+    """Decisions of the requests whose label names existing runs: ``(request_id, target_run_id, why)``.
+
+    Whether such a request is taken depends on which run of the label is the
+    newest at its time and whether that run was a source before.  Only the
+    requests that have a label's run among their sources change that, or whose
+    target is a run of two labels.  These are replayed in order, in slices of
+    ``slice_rows`` by time that hand the best run of every label on, so that no
+    task holds more, however many hang together.  All others are decided at once
+    from the touches of the replay by one prefix scan over the labels.
+    """
+    runs = candidates.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"), *[F.first(c).alias(c) for c in _RUN[1:-1]])
+    runs = stored(runs.select(*_RUN), "group_runs")
+    twice = runs.where(F.size("labels") > 1).select(F.explode("labels").alias("group_label")).distinct().withColumn("__twice", F.lit(True))
+    source = asked.select("request_id", F.explode("source_run_ids").alias("id")).join(runs, "id")
+    source = source.groupBy("request_id").agg(F.collect_list(F.struct(*_RUN)).alias("from_runs"))
+    critical = (asked.join(source, "request_id", "left").join(twice, "group_label", "left")
+                .where(F.col("from_runs").isNotNull() | (F.col("__twice") & F.col("first_best").isNotNull()))
+                .join(free.withColumn("taken_free", F.lit(True)), "request_id", "left")
+                .select("request_id", "action", "group_label", "source_run_ids", "requested_at", "first_best",
+                        F.coalesce("from_runs", F.array().cast(source.schema["from_runs"].dataType)).alias("from_runs"),
+                        F.coalesce("taken_free", F.lit(False)).alias("taken_free")))
+    critical = running_sum_within(critical, [], [F.col("requested_at"), F.col("request_id")], F.lit(1), "n")
+    best = candidates.groupBy("label").agg(F.max(F.struct("open", "updated_at", "id")).alias("b")).select("label", "b")
+    touches = used = None
+    kind = T.StructType([critical.schema["request_id"], T.StructField("target_run_id", T.LongType()), T.StructField("why", T.StringType())])
+    for k in range(-(-critical.count() // slice_rows)):
+        part = critical.where(F.floor((F.col("n") - 1) / slice_rows) == k).drop("first_best")
+        before = best.join(runs, F.col("b.id") == F.col("id")).select(
+            F.col("label").alias("group_label"), F.struct(F.col("id"), F.col("open"), F.col("b.updated_at").alias("updated_at"), *_RUN[3:]).alias("best"))
+        # the best runs that an earlier slice used as sources
+        was = F.lit(False)
+        if used is not None:
+            before = before.join(used.withColumn("__used", F.lit(True)), F.col("best.id") == F.col("run_id"), "left")
+            was = F.coalesce("__used", F.lit(False))
+        part = part.join(before.withColumn("best_was_source", was).select("group_label", "best", "best_was_source"), "group_label", "left")
+        decided = stored(part.groupBy(F.lit(0).alias("slice")).applyInPandas(_replay, kind), "group_replay")
+        taken = critical.join(decided.where("why IS NULL"), "request_id")
+        hit = (taken.select("requested_at", "request_id", F.inline("from_runs"), F.lit(True).alias("is_source"))
+               .unionByName(taken.join(runs, F.col("target_run_id") == F.col("id")).where(F.size("labels") > 1)
+                            .select("requested_at", "request_id", *_RUN, F.lit(False).alias("is_source"))))
+        hit = stored(hit.select("requested_at", "request_id", F.explode("labels").alias("label"), "is_source", F.struct(
+            F.col("open"), F.greatest("updated_at", "requested_at").alias("updated_at"), F.col("id")).alias("b")), "group_hits")
+        touches = hit if touches is None else touches.unionByName(hit)
+        used = touches.where("is_source").select(F.col("b.id").alias("run_id")).distinct()
+        best = stored(best.unionByName(hit.select("label", "b")).groupBy("label").agg(F.max("b").alias("b")), "group_best")
+
+    contested = asked.where("first_best IS NOT NULL")
+    j = contested.withColumn("target", F.col("first_best"))
+    first = None
+    if touches is not None:
+        ask = contested.select(F.col("group_label").alias("label"), "requested_at", "request_id", F.lit(0).alias("kind"))
+        line = touches.select("label", "requested_at", "request_id", F.lit(1).alias("kind"), "b").unionByName(ask, allowMissingColumns=True)
+        newest = running_max_within(line, ["label"], [F.col("requested_at"), F.col("request_id"), F.col("kind"), F.col("b.id")], F.col("b"), "newest")
+        j = contested.join(newest.where("kind = 0").select("request_id", "newest"), "request_id").withColumn("target", F.greatest("first_best", "newest"))
+        first = touches.where("is_source").groupBy(F.col("b.id").alias("id")).agg(F.min(F.struct("requested_at", "request_id")).alias("first_source"))
+    own = j.join(runs.drop("open", "updated_at"), F.col("target.id") == F.col("id"))
+    was_source = F.lit(False)
+    if first is not None:
+        own = own.join(first, "id", "left")
+        was_source = F.coalesce(F.col("first_source") < F.struct("requested_at", "request_id"), F.lit(False))
+    label = F.when(F.col("action") == "blend", F.col("blend_number")).otherwise(F.col("split_batch_number"))
+    fits = ~was_source & (F.col("batch_type") == F.col("action")) & (label == F.col("group_label"))
+    why = F.when(F.array_contains("source_run_ids", F.col("id")), F.lit("label_is_source")).when(~fits, F.lit("label_taken"))
+    return own.select("request_id", F.col("id").alias("target_run_id"), why.alias("why"))
+
+
+def group_label_requests(runs: DataFrame, requests: DataFrame, slice_rows: int = REPLAY_ROWS) -> DataFrame:
+    """Blend/split requests decided in order (O-STATE-7): one decision per request, whatever the number of its source runs.
+
+    Target = the run resolved by the label (Open first, newest).  Rejected, with a
+    reason code, when the label is blank, when the seeding source run is missing,
+    when the target is one of the sources, or when the target is not already a run
+    of that kind carrying that label.  A request sees what the accepted ones
+    before it did: their sources are standard runs with the new label, their
+    target carries it, and all of them are as new as the request; the first of a
+    label without a run fixes the kind of that label's new run.  Sources are runs
+    of the snapshot; ids that are not in it are kept but stand for no run.
+    """
+    asked = _asked(requests)
+    known = runs.select(F.col("id").alias("__sid"))
+    asked = asked.join(known, F.col("source_run_id") == F.col("__sid"), "left")
+    why = F.when(F.col("group_label") == "", F.lit("blank_label")).when(F.col("__sid").isNull(), F.lit("no_source_run"))
+    asked = stored(asked.select("*", why.alias("__why")).drop("__sid"), "group_requests")
+
+    labels = asked.where("group_label <> ''").select(F.col("group_label").alias("label")).distinct()
+    header = runs.select("id", (F.col("status") == "Open").alias("open"), "updated_at", clean("batch_type").alias("batch_type"),
+                         clean("blend_number").alias("blend_number"), clean("split_batch_number").alias("split_batch_number"),
+                         F.col("run_number").alias("__n"), F.col("batch_number").alias("__b"))
+    found = (labels.join(header, F.col("label") == F.col("__n")).unionByName(labels.join(header, F.col("label") == F.col("__b")))
+             .drop("__n", "__b").dropDuplicates(["label", "id"]))
+    candidates = stored(found.withColumn("open", F.coalesce("open", F.lit(False))), "group_candidates")
+    best = candidates.groupBy("label").agg(F.max(F.struct("open", "updated_at", "id")).alias("first_best"))
+    asked = asked.join(best.withColumnRenamed("label", "group_label"), "group_label", "left")
+
     # a label without a run yet: the first accepted request makes the run, later ones of the other kind find it taken
-    first = (seen.filter(F.col("__why").isNull() & F.col("target_run_id").isNull()).groupBy("group_label")
-             .agg(F.min_by("action", F.struct("requested_at", "request_id")).alias("__kind")))
-    seen = seen.join(first, "group_label", "left").withColumn(
-        "__why", F.coalesce("__why", F.when(F.col("target_run_id").isNull() & (F.col("action") != F.col("__kind")), F.lit("label_taken"))))
-    return seen.select("request_id", "action", "group_label", "source_run_id", "requested_at", "actor", "target_run_id",
-                       F.when(F.col("__why").isNull(), "accepted").otherwise("rejected").alias("outcome"),
-                       F.coalesce("__why", F.lit("")).alias("reason"))
+    open_label = asked.where("__why IS NULL AND first_best IS NULL")
+    first = open_label.groupBy("group_label").agg(F.min_by("action", F.struct("requested_at", "request_id")).alias("__kind"))
+    free = open_label.join(first, "group_label").where("action = __kind").select("request_id")
+    decided = None
+    if not asked.where("__why IS NULL AND first_best IS NOT NULL").isEmpty():
+        decided = _contested(asked.where("__why IS NULL").drop("__why"), candidates, stored(free, "group_free"), slice_rows)
+    out = asked.join(first, "group_label", "left")
+    if decided is None:
+        out = out.withColumns({"__target": F.lit(None).cast("long"), "__taken": F.lit(None).cast("string")})
+    else:
+        out = out.join(decided.withColumnsRenamed({"target_run_id": "__target", "why": "__taken"}), "request_id", "left")
+    later = F.when(F.col("first_best").isNull() & (F.col("action") != F.col("__kind")), F.lit("label_taken"))
+    out = out.withColumn("__reason", F.coalesce("__why", "__taken", later))
+    return stored(out.select("request_id", "action", "group_label", "source_run_id", "source_run_ids", "requested_at", "actor",
+                             F.coalesce("__target", F.col("first_best.id")).alias("target_run_id"),
+                             F.when(F.col("__reason").isNull(), "accepted").otherwise("rejected").alias("outcome"),
+                             F.coalesce("__reason", F.lit("")).alias("reason")), "group_checked")
 
 
 def apply_group_labels(runs: DataFrame, checked: DataFrame) -> DataFrame:
@@ -289,7 +425,7 @@ def apply_group_labels(runs: DataFrame, checked: DataFrame) -> DataFrame:
     """
     ok = checked.filter(F.col("outcome") == "accepted")
     order = F.struct("requested_at", "request_id")
-    touched = (ok.select(F.col("source_run_id").alias("run_id"), "action", "group_label", "requested_at", "request_id",
+    touched = (ok.select(F.explode("source_run_ids").alias("run_id"), "action", "group_label", "requested_at", "request_id",
                          F.lit(True).alias("is_source"))
                .unionByName(ok.filter(F.col("target_run_id").isNotNull())
                             .select(F.col("target_run_id").alias("run_id"), "action", "group_label", "requested_at",
@@ -315,8 +451,7 @@ def derived_runs(runs: DataFrame, checked: DataFrame, base_id: int) -> DataFrame
         F.min_by(F.struct("request_id", "source_run_id", "requested_at", "actor"), order).alias("f"))
     src = runs.select(F.col("id").alias("__sid"), "product_name", "shift_name", "operator_id", "notes")
     heads = first.join(src, F.col("f.source_run_id") == src["__sid"], "left")
-    heads = assign_ids(heads, [F.col("f.requested_at"), F.col("f.request_id")],
-                       time_bucket("f.requested_at", "f.request_id"), base_id, "id")
+    heads = assign_ids(heads, [F.col("f.requested_at"), F.col("f.request_id")], base_id, "id")
     lab = F.col("group_label")
     return heads.select(
         "id", lab.alias("batch_number"), F.when(F.col("action") == "split", lab).otherwise(F.lit("")).alias("split_batch_number"),
@@ -374,7 +509,12 @@ def derived_child_rows(copies: DataFrame, rows: DataFrame, parent: str = "filtra
 def group_audits(checked: DataFrame, heads: DataFrame, runs: DataFrame) -> DataFrame:
     """Audit rows of accepted blend / split requests: the copy of a new run, and every link to a source run (O-STATE-2)."""
     labels = runs.select(F.col("id").alias("source_run_id"), run_label().alias("__source"))
-    ok = checked.filter(F.col("outcome") == "accepted").join(labels, "source_run_id")
+    accepted = checked.filter(F.col("outcome") == "accepted")
+    # all source labels of a request in one text, by run id
+    named = accepted.select("request_id", F.explode("source_run_ids").alias("source_run_id")).join(labels, "source_run_id")
+    texts = named.groupBy("request_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("source_run_id", "__source"))), lambda x: x["__source"]), ", ").alias("__source"))
+    ok = accepted.join(texts, "request_id")
     new = heads.select(F.col("batch_type").alias("action"), F.col("run_number").alias("group_label"), F.col("id").alias("__new"))
     linked = ok.join(new, ["action", "group_label"], "left")
     named = F.concat(F.col("action"), F.lit(" run "), F.col("group_label"))
@@ -450,8 +590,7 @@ def create_or_reuse_runs(runs: DataFrame, requests: DataFrame, base_id: int) ->
     order = F.struct("requested_at", "request_id")
     fresh = (r.filter(F.col("existing_id").isNull()).groupBy("key")
              .agg(F.min_by(F.struct("request_id", "requested_at"), order).alias("f")))
-    fresh = assign_ids(fresh, [F.col("f.requested_at"), F.col("f.request_id")], time_bucket("f.requested_at", "f.request_id"),
-                       base_id, "new_id").select("key", "new_id", F.col("f.request_id").alias("creating_request"))
+    fresh = assign_ids(fresh, [F.col("f.requested_at"), F.col("f.request_id")], base_id, "new_id").select("key", "new_id", F.col("f.request_id").alias("creating_request"))
     out = r.join(fresh, "key", "left")
     action = (F.when(F.col("existing_id").isNotNull(), "reuse")
               .when(F.col("request_id") == F.col("creating_request"), "create").otherwise("reuse"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from batchtrail.functions.labels import normalize_batch_type, run_label
 from batchtrail.functions.text import clean, contains_pattern, nonblank
-from batchtrail.operators.sequence import sequence_within, time_bucket
+from batchtrail.operators.sequence import sequence_within
 from batchtrail.sources.stages import LINEAGE_NO_SOURCES, LINEAGE_SOURCES
 
 GROUP_COLUMNS = {"blend": "blend_number", "split": "split_batch_number"}
@@ -199,7 +199,7 @@ def group_members(runs: DataFrame) -> DataFrame:
     """
     members = _members(runs).withColumn("role", F.when(F.col("bt") == F.col("action"), "derived").otherwise("source"))
     keys = ["action", "group_label", "role"]
-    ranked = sequence_within(members, keys, [F.col("updated_at"), F.col("id")], time_bucket("updated_at", "id"), out="asc_pos")
+    ranked = sequence_within(members, keys, [F.col("updated_at"), F.col("id")], out="asc_pos")
     n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return ranked.join(n, keys).select("action", "group_label", "id", "run_label", "role",
                                        (F.col("__n") - F.col("asc_pos") + 1).cast("long").alias("position"))
@@ -225,8 +225,7 @@ def group_lineage(runs: DataFrame) -> DataFrame:
                              F.struct("updated_at", "id")).alias("d"))
                .select("action", "group_label", "d.*"))
     sources = members.filter(~role_derived)
-    ranked = sequence_within(sources, ["action", "group_label"], [F.col("updated_at"), F.col("id")],
-                             time_bucket("updated_at", "id"), out="asc_pos")
+    ranked = sequence_within(sources, ["action", "group_label"], [F.col("updated_at"), F.col("id")], out="asc_pos")
     n = sources.groupBy("action", "group_label").agg(F.count(F.lit(1)).alias("source_count"))
     src_pos = (ranked.join(n, ["action", "group_label"])
                .select("id", "action", "group_label", (F.col("source_count") - F.col("asc_pos") + 1).alias("source_position")))

@@ -11,7 +11,7 @@ from batchtrail.plans import sqltext as Q
 from batchtrail.plans.registry import query
 from batchtrail.sources.fixtures import fixture
 from batchtrail.sources.stages import RUN_LINKED_STAGES, RUN_STAGE_KEYS, stage_titles
-from batchtrail.sources.tables import parse_payload
+from batchtrail.sources.tables import SCHEMAS, parse_payload, reconcile_schema
 
 _RUN_STAGES = ", ".join(f"'{k}'" for k in RUN_STAGE_KEYS)
 
@@ -193,7 +193,7 @@ SELECT request_id, action, group_label, source_run_id, requested_at, actor, targ
   CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, coalesce(why, '') AS reason FROM checked""")
 def q_group_label_requests(spark, t, sf_dir):
     """O-STATE-7: blend/split requests checked against the runs (reason codes)."""
-    return LC.group_label_requests(t.runs, fixture(spark, sf_dir, "fx_group_requests"))
+    return LC.group_label_requests(t.runs, fixture(spark, sf_dir, "fx_group_requests")).drop("source_run_ids")
 
 
 @query("apply_group_labels", f"""WITH {_CHECKED_SQL},
@@ -325,6 +325,97 @@ def q_audit_all(spark, t, sf_dir):
     return LC.group_audits(checked, heads, t.runs).unionByName(closed)
 
 
+# the replay of requests with several sources, as rounds of as-of joins (28 rounds settle every request at sf0.01)
+_ROUNDS = 40
+
+
+def _round_sql(k: int) -> str:
+    return f"""hit{k} AS (SELECT run_id, n, action, label, 1 AS src FROM src WHERE request_id IN (SELECT request_id FROM free UNION ALL SELECT request_id FROM d{k - 1} WHERE why IS NULL)
+  UNION ALL SELECT d.target_run_id, q.n, q.action, q.group_label, 0 FROM d{k - 1} d JOIN contested q USING (request_id) WHERE d.why IS NULL),
+firstsrc{k} AS (SELECT run_id, min(n) AS n FROM hit{k} WHERE src = 1 GROUP BY run_id),
+at{k} AS (SELECT q.request_id, q.n, q.action, q.group_label, q.sources, c.id, c.open, greatest(c.updated_at, p.requested_at) AS u, c.batch_type, c.blend_number, c.split_batch_number,
+    h.n AS hn, h.action AS ha, h.label AS hl
+  FROM contested q JOIN cands c ON c.label = q.group_label ASOF LEFT JOIN hit{k} h ON h.run_id = c.id AND q.n > h.n LEFT JOIN asked p ON p.n = h.n),
+tgt{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY open DESC, u DESC NULLS LAST, id DESC) AS k FROM at{k}) WHERE k = 1),
+d{k} AS (SELECT t.request_id, t.id AS target_run_id, CASE WHEN list_contains(t.sources, t.id) THEN 'label_is_source'
+    WHEN (f.n IS NOT NULL AND f.n < t.n) OR t.batch_type <> t.action
+      OR (CASE WHEN t.hn IS NULL THEN CASE WHEN t.action = 'blend' THEN t.blend_number ELSE t.split_batch_number END
+               WHEN t.ha = t.action THEN t.hl ELSE '' END) <> t.group_label THEN 'label_taken' END AS why
+  FROM tgt{k} t LEFT JOIN firstsrc{k} f ON f.run_id = t.id)"""
+
+
+_MULTI_SQL = f"""asked AS (SELECT *, row_number() OVER (ORDER BY requested_at, request_id) AS n, CASE WHEN list_contains(sources, given) THEN given ELSE sources[1] END AS source_run_id FROM (
+  SELECT request_id, action, {Q.clean('group_label')} AS group_label, requested_at, {Q.clean('employee')} AS actor, source_run_id AS given,
+    list_filter(list_transform(string_split(source_ids, ','), lambda x: CAST(x AS BIGINT)), lambda x, i: x > 0
+      AND NOT list_contains(string_split(source_ids, ',')[1:i - 1], CAST(x AS VARCHAR))) AS sources FROM fx_multi_requests)),
+cands AS (SELECT DISTINCT l.label, r.id, coalesce(r.status = 'Open', FALSE) AS open, r.updated_at, {Q.clean('r.batch_type')} AS batch_type, {Q.clean('r.blend_number')} AS blend_number,
+  {Q.clean('r.split_batch_number')} AS split_batch_number
+  FROM (SELECT DISTINCT group_label AS label FROM asked WHERE group_label <> '') l JOIN fx_group_runs r ON r.run_number = l.label OR r.batch_number = l.label),
+best AS (SELECT label, id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY open DESC, updated_at DESC NULLS LAST, id DESC) AS k FROM cands) WHERE k = 1),
+chk AS (SELECT a.*, b.id AS best_id, CASE WHEN a.group_label = '' THEN 'blank_label' WHEN r.id IS NULL THEN 'no_source_run' END AS why0
+  FROM asked a LEFT JOIN fx_group_runs r ON r.id = a.source_run_id LEFT JOIN best b ON b.label = a.group_label),
+kinds AS (SELECT group_label, arg_min(action, n) AS kind FROM chk WHERE why0 IS NULL AND best_id IS NULL GROUP BY group_label),
+free AS (SELECT c.request_id FROM chk c JOIN kinds k ON k.group_label = c.group_label AND k.kind = c.action WHERE c.why0 IS NULL AND c.best_id IS NULL),
+contested AS (SELECT * FROM chk WHERE why0 IS NULL AND best_id IS NOT NULL),
+src AS (SELECT request_id, n, action, group_label AS label, unnest(sources) AS run_id FROM chk WHERE why0 IS NULL),
+d0 AS (SELECT request_id, best_id AS target_run_id, CAST(NULL AS VARCHAR) AS why FROM contested),
+{", ".join(_round_sql(k) for k in range(1, _ROUNDS + 1))},
+checked AS (SELECT c.request_id, c.action, c.group_label, c.source_run_id, c.sources, c.requested_at, c.actor, coalesce(d.target_run_id, c.best_id) AS target_run_id,
+  coalesce(c.why0, d.why, CASE WHEN c.best_id IS NULL AND c.action <> k.kind THEN 'label_taken' END) AS why
+  FROM chk c LEFT JOIN d{_ROUNDS} d USING (request_id) LEFT JOIN kinds k ON k.group_label = c.group_label)"""
+
+
+def _multi_requests(spark, sf_dir):
+    ids = F.transform(F.split("source_ids", ","), lambda x: x.cast("bigint"))
+    return fixture(spark, sf_dir, "fx_multi_requests").withColumn("source_run_ids", ids)
+
+
+def _group_runs(spark, sf_dir):
+    return reconcile_schema(fixture(spark, sf_dir, "fx_group_runs"), SCHEMAS["production_runs"])
+
+
+@query("group_requests_of_several", f"""WITH {_MULTI_SQL}
+SELECT request_id, action, group_label, source_run_id, array_to_string(sources, ',') AS sources, requested_at, actor, target_run_id,
+  CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, coalesce(why, '') AS reason FROM checked""")
+def q_group_requests_of_several(spark, t, sf_dir):
+    """O-STATE-7: requests of several source runs, one decision each, later ones see what earlier ones did."""
+    checked = LC.group_label_requests(_group_runs(spark, sf_dir), _multi_requests(spark, sf_dir))
+    return checked.withColumn("sources", F.array_join("source_run_ids", ",")).drop("source_run_ids")
+
+
+@query("group_labels_of_several", f"""WITH {_MULTI_SQL},
+ok AS (SELECT * FROM checked WHERE why IS NULL),
+touched AS (SELECT unnest(sources) AS run_id, action, group_label, requested_at, request_id, TRUE AS is_source FROM ok
+  UNION ALL SELECT target_run_id, action, group_label, requested_at, request_id, FALSE FROM ok WHERE target_run_id IS NOT NULL),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY requested_at DESC, request_id DESC) AS k FROM touched) WHERE k = 1)
+SELECT r.id AS run_id, CASE WHEN l.action = 'blend' THEN l.group_label ELSE '' END AS blend_number,
+  CASE WHEN l.action = 'split' THEN l.group_label ELSE '' END AS split_batch_number,
+  CASE WHEN l.is_source THEN 'standard' ELSE r.batch_type END AS batch_type FROM fx_group_runs r JOIN last l ON l.run_id = r.id""")
+def q_group_labels_of_several(spark, t, sf_dir):
+    """O-STATE-7 + T24: label columns of every run after the requests of several sources."""
+    runs = _group_runs(spark, sf_dir)
+    return LC.apply_group_labels(runs, LC.group_label_requests(runs, _multi_requests(spark, sf_dir)))
+
+
+@query("group_audits_of_several", f"""WITH {_MULTI_SQL},
+new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_label ORDER BY n) AS k FROM (SELECT c.*, a.n FROM checked c JOIN asked a USING (request_id)
+   WHERE c.why IS NULL AND c.target_run_id IS NULL)) WHERE k = 1),
+heads AS (SELECT *, CAST((SELECT max(id) FROM fx_group_runs) + row_number() OVER (ORDER BY n) AS BIGINT) AS id FROM new),
+named AS (SELECT c.request_id, string_agg({Q.run_label('r.run_number', 'r.batch_number', 'r.id')}, ', ' ORDER BY r.id) AS labels
+  FROM (SELECT request_id, unnest(sources) AS s FROM checked WHERE why IS NULL) c JOIN fx_group_runs r ON r.id = c.s GROUP BY c.request_id)
+SELECT 'production_runs' AS table_name, h.id AS record_id, 'create' AS action_type, h.actor AS changed_by, '' AS old_data,
+  h.action || ' run ' || h.group_label || ' copied from run ' || {Q.run_label('s.run_number', 's.batch_number', 's.id')} AS new_data, h.requested_at AS created_at
+FROM heads h JOIN fx_group_runs s ON s.id = h.source_run_id
+UNION ALL SELECT 'production_runs', coalesce(c.target_run_id, h.id), c.action, c.actor, '',
+  c.action || ' run ' || c.group_label || ' linked to source run(s): ' || n.labels, c.requested_at
+FROM checked c JOIN named n USING (request_id) LEFT JOIN heads h ON h.group_label = c.group_label WHERE c.why IS NULL""")
+def q_group_audits_of_several(spark, t, sf_dir):
+    """O-STATE-2 + O-SNK-3: audit rows of the requests of several sources: one link row with all source labels."""
+    runs = _group_runs(spark, sf_dir)
+    checked = LC.group_label_requests(runs, _multi_requests(spark, sf_dir))
+    return LC.group_audits(checked, LC.derived_runs(runs, checked, LC.max_id(runs)), runs)
+
+
 @query("touch_runs", """WITH s AS (SELECT run_id, created_at FROM fx_extraction UNION ALL SELECT run_id, created_at FROM fx_filtration
   UNION ALL SELECT run_id, created_at FROM fx_evaporation UNION ALL SELECT run_id, created_at FROM fx_sheets),
 m AS (SELECT run_id, max(created_at) AS touched FROM s WHERE run_id IS NOT NULL GROUP BY run_id)

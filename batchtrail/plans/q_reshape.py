@@ -254,12 +254,11 @@ FROM (SELECT group_label, source_run_id, min(requested_at) AS first_at, arg_min(
             FROM fx_group_requests) WHERE k = 1 GROUP BY group_label, source_run_id)""")
 def q_ordered_distinct(spark, t, sf_dir):
     """O-SET-4: first-seen distinct source runs per label, numbered in first-seen order."""
-    from batchtrail.operators.sequence import sequence_within, time_bucket
+    from batchtrail.operators.sequence import sequence_within
     req = fixture(spark, sf_dir, "fx_group_requests")
     firsts = req.groupBy("group_label", "source_run_id").agg(
         F.min_by(F.struct("requested_at", "request_id"), F.struct("requested_at", "request_id")).alias("f"))
     flat = firsts.select("group_label", "source_run_id", F.col("f.requested_at").alias("first_at"),
                          F.col("f.request_id").alias("first_req"))
-    seq = sequence_within(flat, ["group_label"], [F.col("first_at"), F.col("first_req")],
-                          time_bucket("first_at", "first_req"), out="first_seen")
+    seq = sequence_within(flat, ["group_label"], [F.col("first_at"), F.col("first_req")], out="first_seen")
     return seq.select("group_label", "source_run_id", "first_seen")

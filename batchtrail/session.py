@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: AQE for runtime re-planning (partition
 # coalescing, skew-join splitting, broadcast switch) and a fixed session zone
@@ -49,17 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only when nothing is configured (local tests) a fresh scratch folder is
-    taken.
+    is.  When nothing is configured a local master (tests) gets a fresh scratch
+    folder, a cluster a folder of the warehouse, which all its members see.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    if not configured and sc.master.startswith("local"):
         configured = tempfile.mkdtemp(prefix="batchtrail-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    elif not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -68,3 +70,11 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, whoever reads it and however often, and
+    a lost executor costs a re-read, not the work before."""
+    path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

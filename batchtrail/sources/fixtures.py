@@ -114,6 +114,31 @@ SELECT event_id AS request_id,
  user_id AS source_run_id,
  replace(substr(cast(ts as string),1,19),' ','T') AS requested_at,
  concat('E', cast(user_id % 40 as string)) AS employee
+FROM events""",
+    # Runs whose numbers are labels of groups: per label a blend or split run of that label, and a second run of that batch number.
+    "fx_group_runs": """
+SELECT o_orderkey AS id,
+ CASE WHEN o_orderkey % 5 = 0 THEN concat('G', cast(cast(floor(o_orderkey / 5.0) as int) as string)) ELSE concat('R', cast(o_orderkey as string)) END AS run_number,
+ CASE WHEN o_orderkey % 5 < 2 THEN concat('G', cast(cast(floor(o_orderkey / 5.0) as int) as string)) ELSE concat('B', cast(o_custkey as string)) END AS batch_number,
+ CASE WHEN o_orderkey % 10 IN (0, 1) THEN concat('G', cast(cast(floor(o_orderkey / 5.0) as int) as string)) ELSE '' END AS blend_number,
+ CASE WHEN o_orderkey % 10 IN (5, 6) THEN concat('G', cast(cast(floor(o_orderkey / 5.0) as int) as string)) ELSE '' END AS split_batch_number,
+ CASE WHEN o_orderkey % 10 IN (0, 1) THEN 'blend' WHEN o_orderkey % 10 IN (5, 6) THEN 'split' WHEN o_orderkey % 9 = 1 THEN NULL ELSE 'standard' END AS batch_type,
+ o_orderpriority AS product_name, CASE WHEN o_orderstatus = 'O' THEN 'Open' ELSE 'Complete' END AS status,
+ concat(substr(cast(o_orderdate as string),1,10),'T08:00:00') AS created_at,
+ concat(substr(cast(o_orderdate as string),1,10),'T09:00:00') AS updated_at
+FROM orders""",
+    # Blend / split requests of several source runs (comma-joined ids, some repeated, unknown or not positive), some of them group runs.
+    "fx_multi_requests": """
+SELECT event_id AS request_id,
+ CASE WHEN (event_id % 11 = 0) = ((event_id + user_id) % 2 = 0) THEN 'split' ELSE 'blend' END AS action,
+ CASE WHEN event_id % 50 = 7 THEN ' ' WHEN event_id % 4 = 3 THEN concat(' N', cast((event_id + user_id) % 300 as string)) ELSE concat('G', cast((event_id + user_id) % 300 as string)) END AS group_label,
+ concat(cast(CASE WHEN event_id % 41 = 0 THEN 5 * (event_id * 7 % 300) ELSE 5 * (event_id * 13 % 290) + 2 + event_id % 3 END as string),
+  CASE WHEN event_id % 3 = 0 THEN concat(',', cast(5 * (event_id * 29 % 290) + 2 as string)) ELSE '' END,
+  CASE WHEN event_id % 29 = 0 THEN ',999999999,-3,0' ELSE '' END,
+  CASE WHEN event_id % 37 = 0 THEN concat(',', cast(5 * (event_id * 11 % 300) + 1 as string)) ELSE '' END) AS source_ids,
+ CASE WHEN event_id % 6 = 0 THEN 5 * (event_id * 29 % 290) + 2 ELSE NULL END AS source_run_id,
+ replace(substr(cast(ts as string),1,19),' ','T') AS requested_at,
+ concat('E', cast(user_id % 40 as string)) AS employee
 FROM events""",
     # Create-run requests (O-STATE-11): free-text labels, some repeated, some open already.
     "fx_run_requests": """

@@ -34,7 +34,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from batchtrail.functions.labels import activity_is_active, run_label
 from batchtrail.functions.time import stamp_to_timestamp
 from batchtrail.operators.lifecycle import COMPLETE, fold_drafts
-from batchtrail.operators.sequence import sequence_within, time_bucket
+from batchtrail.operators.sequence import sequence_within
 from batchtrail.sources.sinks import read_if_there
 from batchtrail.sources.stages import STATUS_MACHINES, UNUSED_MACHINE
 from batchtrail.sources.tables import SCHEMAS
@@ -384,6 +384,6 @@ def folded_entries(spark: SparkSession, entries_path: str, submits_dir: str) ->
     # a submit delivered twice has one id; submits without an id are all kept
     submits = spark.read.schema(SUBMIT_SCHEMA).parquet(submits_dir).join(late, same, "left_semi")
     once = submits.where("event_id IS NOT NULL").dropDuplicates(["event_id"]).unionByName(submits.where("event_id IS NULL"))
-    numbered = sequence_within(kept, _KEYS, [F.col("created_at"), F.col("entry_id")], time_bucket("created_at", "entry_id"), "entry_no")
+    numbered = sequence_within(kept, _KEYS, [F.col("created_at"), F.col("entry_id")], "entry_no")
     again = fold_drafts(once, _KEYS)
     return numbered.withColumn("entry_no", (F.col("entry_no") - 1).cast("long")).select(*again.columns).unionByName(again)

@@ -142,10 +142,10 @@ def test_export_round_trip_and_since_last_is_empty_after(spark):
 def test_sequence_within_hot_key_equals_row_number(spark):
     rows = [(0 if i % 3 == 0 else i % 17, i, f"2024-01-{i % 28 + 1:02d}") for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, id long, day string")
-    got = sequence_within(df, ["k"], [F.col("id")], F.floor(F.col("id") / 100), out="seq")
+    got = sequence_within(df, ["k"], [F.col("id")], out="seq")
     want = df.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     assert got.select("k", "id", "seq").exceptAll(want.select("k", "id", "seq")).count() == 0
-    ids = assign_ids(df, [F.col("id")], F.floor(F.col("id") / 100), 1000, "new_id")
+    ids = assign_ids(df, [F.col("id")], 1000, "new_id")
     assert sorted(r.new_id for r in ids.collect()) == list(range(1001, 4001))
 
 
@@ -241,12 +241,12 @@ def test_an_entry_without_child_rows_shows_one_row_per_cycle(spark):
 
 
 def test_a_key_with_one_stamp_is_numbered_like_row_number(spark):
-    from batchtrail.operators.sequence import running_sum_within, time_bucket
+    from batchtrail.operators.sequence import running_sum_within
     rows = [(None if i % 2 else "k", i * 9000, "2024-01-01T08:00:00" if i % 5 else None, i % 3) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, id long, at string, v int")
     order = [F.col("at"), F.col("id")]
     for keys in (["k"], []):
-        got = running_sum_within(df, keys, order, time_bucket("at", "id"), F.col("v"), "s")
+        got = running_sum_within(df, keys, order, F.col("v"), "s")
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         want = df.withColumn("s", F.sum("v").over(w))
         assert got.count() == 600 and got.exceptAll(want).count() == 0

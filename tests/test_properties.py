@@ -1,5 +1,8 @@
 """Property tests: lifecycle folds equal a row-by-row replay of the rules, under any partitioning."""
 
+import random
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -92,6 +95,77 @@ def test_exact_point_count_equals_listing(spark, raw):
     assert (counted[0].point_count if counted else 0) == listed
 
 
+def replay_groups(runs, requests):
+    """The rule applied one request at a time: (outcomes by request, runs afterwards).  Runs: id -> header; ids are given in request order."""
+    runs = {i: dict(r) for i, r in runs.items()}
+    known, out = set(runs), {}
+    for rid, action, label, sources, given, at in sorted(requests, key=lambda r: (r[5], r[0])):
+        label = label.strip()
+        sources = list(dict.fromkeys(s for s in sources if s > 0))
+        seed = given if given in sources else sources[0] if sources else None
+        field = "blend" if action == "blend" else "split"
+        found = sorted((i for i, r in runs.items() if label and label in (r["number"], r["batch"])),
+                       key=lambda i: (runs[i]["open"], runs[i]["at"], i))
+        target = found[-1] if found else None
+        shown = target if target in known else None
+        if not label:
+            why = "blank_label"
+        elif seed not in known:
+            why = "no_source_run"
+        elif target in sources:
+            why = "label_is_source"
+        elif target is not None and (runs[target]["type"] != action or runs[target][field] != label):
+            why = "label_taken"
+        else:
+            why = ""
+        out[rid] = (why, seed, shown)
+        if why:
+            continue
+        if target is None:
+            target = -rid
+            runs[target] = {"number": label, "batch": label, "open": True, "at": at, "type": action, "blend": "", "split": ""}
+        for i in [s for s in sources if s in known]:
+            runs[i]["type"] = "standard"
+        for i in {*(s for s in sources if s in known), target}:
+            runs[i].update(blend="", split="", at=max(at, runs[i]["at"]))
+            runs[i][field] = label
+    return out, {i: r for i, r in runs.items() if i in known}
+
+
+def _groups(seed, n):
+    rng = random.Random(seed)
+    runs = {}
+    for i in range(1, 13):
+        kind = rng.choice(["blend", "split", "standard"])
+        label = rng.choice("ABCDE")
+        runs[i] = {"number": label if i % 2 else f"R{i}", "batch": rng.choice(["", "", label]), "open": rng.random() < 0.6, "at": _stamp(rng.randrange(5)),
+                   "type": kind, "blend": label if kind == "blend" else "", "split": label if kind == "split" else ""}
+    requests = [(100 + k, rng.choice(["blend", "split"]), rng.choice(["A", "B", "C", " D ", "E", "N1", "N2", " "]),
+                 [rng.choice([*range(1, 15), 0, -2]) for _ in range(rng.randrange(4))], rng.choice([None, 3, 5]), _stamp(10 + rng.randrange(n)))
+                for k in range(n)]
+    return runs, requests
+
+
+@pytest.mark.parametrize("seed, n, slice_rows", [(1, 40, LC.REPLAY_ROWS), (2, 120, 25)])
+def test_group_requests_equal_a_replay_in_order(spark, seed, n, slice_rows):
+    """Several sources, chains of requests that undo each other's targets, labels of several runs, unknown and repeated ids."""
+    runs, requests = _groups(seed, n)
+    table = spark.createDataFrame([(i, r["number"], r["batch"], "Open" if r["open"] else "Complete", r["at"], r["type"], r["blend"], r["split"])
+                                   for i, r in runs.items()], "id long, run_number string, batch_number string, status string, updated_at string, "
+                                                              "batch_type string, blend_number string, split_batch_number string")
+    log = spark.createDataFrame(requests, "request_id long, action string, group_label string, source_run_ids array<long>, source_run_id long, "
+                                          "requested_at string").repartition(3)
+    checked = LC.group_label_requests(table, log, slice_rows)
+    want, after = replay_groups(runs, requests)
+    rows = checked.collect()
+    assert {r.request_id: (r.reason, r.source_run_id) for r in rows} == {i: (why, s) for i, (why, s, _) in want.items()}
+    assert {r.request_id: r.target_run_id for r in rows if r.reason in ("", "label_is_source", "label_taken")} == {
+        i: t for i, (why, _, t) in want.items() if why in ("", "label_is_source", "label_taken")}
+    got = {r.run_id: (r.blend_number, r.split_batch_number, r.batch_type) for r in LC.apply_group_labels(table, checked).collect()}
+    assert got == {i: (r["blend"], r["split"], r["type"]) for i, r in after.items() if i in got}
+    assert all(runs[i] == r for i, r in after.items() if i not in got)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(1, 2), st.sampled_from(["centrifuge", "clarifier"]), st.integers(0, 6),
                           st.sampled_from(["Draft", "Complete", "", None])), max_size=14),
