@@ -78,20 +78,24 @@ def saved_sheets(submits: DataFrame, form: str = "form_json") -> DataFrame:
 
 
 def audit_entries(submits: DataFrame, keys: list[str] | None = None, ts: str = "submitted_at",
-                  seq: str = "event_id") -> DataFrame:
-    """Audit rows of a submit log: create / update with the reference's wording (O-STATE-2, O-SNK-3)."""
+                  seq: str = "event_id", table: str = "sheet_entries", title: str | None = None) -> DataFrame:
+    """Audit rows of a submit log: create / update with the reference's wording (O-STATE-2, O-SNK-3).
+
+    ``table`` and ``title`` name what is saved where it is no stage sheet: filtration
+    saves are audited under their own table and by the word 'filtration'.
+    """
     keys = ["run_id", "stage_key"] if keys is None else keys
     tagged = submit_islands(submits, keys, ts, seq)
     order = F.struct(F.col(ts), F.col(seq))
     first = tagged.groupBy(*keys, "entry_no").agg(F.min_by(F.col(seq), order).alias("record_id"))
     j = tagged.join(first, [*keys, "entry_no"])
     titles = F.create_map(*[x for k, t in stage_titles().items() for x in (F.lit(k), F.lit(t))])
-    title = F.coalesce(F.try_element_at(titles, F.col("stage_key")), F.col("stage_key"))
+    title = F.lit(title) if title else F.coalesce(F.try_element_at(titles, F.col("stage_key")), F.col("stage_key"))
     created = F.col(seq) == F.col("record_id")
     mode = F.lower(F.col("save_mode"))
     text = F.when(created, F.concat(title, F.lit(" entry created as "), mode)) \
         .otherwise(F.concat(title, F.lit(" entry saved as "), mode))
-    return j.select(F.lit("sheet_entries").alias("table_name"), "record_id",
+    return j.select(F.lit(table).alias("table_name"), "record_id",
                     F.when(created, "create").otherwise("update").alias("action_type"),
                     F.col("employee").alias("changed_by"), F.lit("").alias("old_data"), text.alias("new_data"),
                     F.col(ts).alias("created_at"), F.col(seq).alias("event_id"))
@@ -222,7 +226,8 @@ def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> Da
     The review path needs a stage whose latest sheet, of those saved up to the
     request, is Complete; the quick path has no check.  Accepted requests stamp
     status, time and author; the last accepted request's stamp stays.  Requests
-    for a run that does not exist are rejected (status NULL).
+    for a run that does not exist are rejected (status NULL).  Where the log has a
+    ``product_name``, the last accepted review that gives one names the run's product.
     """
     ok = _reviewable(requests.filter(F.coalesce(F.col("path"), F.lit("")) != "quick"), sheets).withColumn("__ok", F.lit(True))
     known = runs.select(F.col("id").alias("__rid"))
@@ -236,10 +241,19 @@ def finalize_runs(runs: DataFrame, requests: DataFrame, sheets: DataFrame) -> Da
                  F.when(F.col("accepted"), order)).alias("__f"))
     j = agg.join(runs.select("id", "status"), F.col("run_id") == F.col("id"), "left")
     done = F.col("accepted_requests") > 0
+    if "product_name" in requests.columns:
+        given = clean("product_name")
+        named = r.filter(F.col("accepted") & (F.coalesce(F.col("path"), F.lit("")) != "quick") & (given != "")) \
+            .groupBy("run_id").agg(F.max_by(given, order).alias("__product"))
+        own = runs.select(F.col("id").alias("run_id"), F.col("product_name").alias("__own"))
+        j = j.join(named, "run_id", "left").join(own, "run_id", "left")
+        product = [F.coalesce("__product", "__own").alias("product_name")]
+    else:
+        product = []
     return j.select("run_id", F.when(done, F.lit(COMPLETE)).otherwise(F.col("status")).alias("status"),
                     F.when(done, F.col("__f.finalized_at")).alias("finalized_at"),
                     F.when(done, F.col("__f.finalized_by")).alias("finalized_by"),
-                    "accepted_requests", "rejected_requests")
+                    "accepted_requests", "rejected_requests", *product)
 
 
 # ------------------------------------------------------------- O-STATE-7/8

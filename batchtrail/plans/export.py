@@ -7,6 +7,8 @@ child rows are a flat table beside them; PDF rendering is not part of this libra
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from batchtrail.operators import latest as LT
 from batchtrail.operators.runs import runs_in_scope
 from batchtrail.sources import sinks
 from batchtrail.sources.process_tables import ProcessTables
-from batchtrail.sources.stages import EXPORT_SCOPES
+from batchtrail.sources.stages import EXPORT_BUILT, EXPORT_SCOPES
 
 SCOPE_KEYS = {k for k, _ in EXPORT_SCOPES}
 
@@ -72,14 +74,33 @@ def packet_child_rows(t: ProcessTables, runs: DataFrame) -> DataFrame:
     return rows.join(manifest_rows(runs).select("run_id", "export_month"), "run_id")
 
 
+def export_audits(exports: DataFrame) -> DataFrame:
+    """Audit rows of finished exports (O-STATE-2, O-SNK-3): they follow from the rows that publish them."""
+    text = F.concat(F.col("last_export_name"), F.lit(EXPORT_BUILT), F.col("last_run_count").cast("string"), F.lit(" runs"))
+    return exports.select(F.lit("production_runs").alias("table_name"), F.lit(0).cast("long").alias("record_id"), F.lit("export").alias("action_type"),
+                          F.col("exported_by").alias("changed_by"), F.lit("").alias("old_data"), text.alias("new_data"),
+                          F.col("last_successful_export_at").alias("created_at"))
+
+
+def published_export(spark: SparkSession, root: str, export_name: str) -> str | None:
+    """Folder of the newest finished export of that name, None where none has finished."""
+    done = sinks.finished_exports(spark, f"{root}/_state").where(F.col("last_export_name") == export_name)
+    return done.agg(F.max_by("export_path", F.struct("last_successful_export_at", "export_path"))).first()[0]
+
+
 def export_scope(spark: SparkSession, t: ProcessTables, voided: DataFrame, scope: str, as_of: str, root: str,
-                 export_name: str) -> dict:
-    """Run the whole export; the mark is written last and only after the data is written."""
+                 export_name: str, exported_by: str = "") -> dict:
+    """Run the whole export into a folder of its own and publish it by one row, written last.
+
+    That row is the mark, the audit and the pointer to the folder at once, so a
+    failure at any step leaves the exports before as they were: no mark, no
+    audit, and readers (``published_export``) still see the earlier one.
+    """
     mark_path = f"{root}/_state"
     mark = sinks.read_mark(spark, mark_path)
     runs = scoped_runs(t, scope, as_of, mark)
     docs = packet_documents(t, runs, voided)
-    out = f"{root}/{safe_export_name(export_name)}"
+    out = f"{root}/{safe_export_name(export_name)}/attempt-{uuid.uuid4().hex}"
     sinks.write_packets(docs, f"{out}/packets")
     sinks.write_packets(packet_child_rows(t, runs), f"{out}/packet_rows")
     # the written documents are the checkpoint: later steps read them, not the lineage
@@ -90,7 +111,7 @@ def export_scope(spark: SparkSession, t: ProcessTables, voided: DataFrame, scope
         .select(scope_label(F.col("scope")).alias("scope"), "generated", "run_count")
     sinks.write_manifest(written.select("entry_date", "run_label", "product_name", "status", "file", "run_id"),
                          summary, f"{out}/manifest")
-    sinks.write_mark(spark, mark_path, as_of, label, dict(EXPORT_SCOPES)[label], export_name, count)
+    sinks.write_mark(spark, mark_path, as_of, label, dict(EXPORT_SCOPES)[label], export_name, count, out, exported_by)
     return {"export_name": export_name, "run_count": count, "path": out}
 
 

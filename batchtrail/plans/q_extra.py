@@ -66,6 +66,26 @@ _MONTH = f"CASE WHEN length({_PREFIX}) >= 7 THEN substr({_PREFIX}, 1, 7) ELSE 'u
 _UA, _CA = Q.clean("updated_at"), Q.clean("created_at")
 
 
+def _export_audit_sql(scope: str, where: str) -> str:
+    return f"""SELECT 'production_runs' AS table_name, CAST(0 AS BIGINT) AS record_id, 'export' AS action_type, 'E7' AS changed_by, '' AS old_data,
+  '{scope}_export built with ' || CAST(count(*) AS VARCHAR) || ' runs' AS new_data, '{RUNS_AS_OF}' AS created_at FROM fx_runs WHERE {where}"""
+
+
+@query("export_audits", " UNION ALL ".join(_export_audit_sql(scope, where) for scope, where in (
+    ("all", "TRUE"), ("current_month", f"starts_with({_CA}, '{RUNS_AS_OF[:7]}') OR starts_with({_UA}, '{RUNS_AS_OF[:7]}')"),
+    ("since_last", f"({_UA} <> '' AND {_UA} > '{EXPORT_MARK}') OR ({_CA} <> '' AND {_CA} > '{EXPORT_MARK}')"),
+    ("filtration", "id <> 0 AND id IN (SELECT run_id FROM fx_filtration)"))))
+def q_export_audits(spark, t, sf_dir):
+    """O-STATE-2 + O-SNK-3: audit rows of finished exports of four scopes."""
+    rows = None
+    for scope in ("all", "current_month", "since_last", "filtration"):
+        count = EX.scoped_runs(t, scope, RUNS_AS_OF, EXPORT_MARK).agg(F.count(F.lit(1)).alias("last_run_count"))
+        one = count.select(F.lit(RUNS_AS_OF).alias("last_successful_export_at"), F.lit(f"{scope}_export").alias("last_export_name"),
+                           "last_run_count", F.lit("E7").alias("exported_by"))
+        rows = one if rows is None else rows.unionByName(one)
+    return EX.export_audits(rows)
+
+
 @query("export_manifest", f"""SELECT id AS run_id, {_PREFIX} AS entry_date, {Q.run_label()} AS run_label,
  coalesce(product_name, '') AS product_name, coalesce(status, '') AS status,
  {_MONTH} || '/' || {_PREFIX} || '_Run_' || {_safe(Q.run_label())} || '_id-' || CAST(id AS VARCHAR) || '.json' AS file,

@@ -65,6 +65,17 @@ def q_audit_entries(spark, t, sf_dir):
     return LC.audit_entries(fixture(spark, sf_dir, "fx_submits"))
 
 
+@query("audit_filtration", """WITH s AS (SELECT *, CASE WHEN save_mode = 'Complete' THEN 1 ELSE 0 END AS c FROM fx_submits),
+n AS (SELECT *, coalesce(sum(c) OVER (ORDER BY submitted_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entry_no FROM s),
+f AS (SELECT *, first_value(event_id) OVER (PARTITION BY entry_no ORDER BY submitted_at, event_id) AS record_id FROM n)
+SELECT 'filtration_entries' AS table_name, record_id, CASE WHEN event_id = record_id THEN 'create' ELSE 'update' END AS action_type,
+  employee AS changed_by, '' AS old_data, CASE WHEN event_id = record_id THEN 'filtration entry created as ' ELSE 'filtration entry saved as ' END
+  || lower(save_mode) AS new_data, submitted_at AS created_at, event_id FROM f""")
+def q_audit_filtration(spark, t, sf_dir):
+    """O-STATE-2 + O-SNK-3: audit rows of filtration saves (one global draft, their own wording)."""
+    return LC.audit_entries(fixture(spark, sf_dir, "fx_submits"), [], table="filtration_entries", title="filtration")
+
+
 def _void_sql(auto: bool) -> str:
     reset = """lastcs AS (SELECT run_id, stage_key, logged_at AS rt, event_id AS re FROM (
    SELECT *, row_number() OVER (PARTITION BY run_id, stage_key ORDER BY logged_at DESC, event_id DESC) AS k
@@ -168,6 +179,19 @@ def q_finalize_runs(spark, t, sf_dir):
     return LC.finalize_runs(t.runs, fixture(spark, sf_dir, "fx_finalize_requests"), t.sheets)
 
 
+@query("finalize_products", f"""WITH {_FINALIZE_CTE},
+p AS (SELECT run_id, product FROM (SELECT r.run_id, {Q.clean("(CASE WHEN event_id % 3 = 0 THEN concat(' P', event_id % 7, ' ') ELSE '' END)")} AS product,
+    row_number() OVER (PARTITION BY r.run_id ORDER BY requested_at DESC, request_id DESC) AS k
+  FROM r JOIN events e ON e.event_id = r.request_id WHERE accepted AND path <> 'quick' AND event_id % 3 = 0) WHERE k = 1)
+SELECT DISTINCT r.run_id, coalesce(p.product, ru.product_name) AS product_name
+FROM r LEFT JOIN p ON p.run_id = r.run_id LEFT JOIN fx_runs ru ON ru.id = r.run_id""")
+def q_finalize_products(spark, t, sf_dir):
+    """O-STATE-5: the product name given on closing a run after review (last one given wins)."""
+    log = fixture(spark, sf_dir, "fx_finalize_requests").withColumn("product_name", F.when(
+        F.col("request_id") % 3 == 0, F.concat(F.lit(" P"), (F.col("request_id") % 7).cast("string"), F.lit(" "))).otherwise(F.lit("")))
+    return LC.finalize_runs(t.runs, log, t.sheets).select("run_id", "product_name")
+
+
 _CHECKED_SQL = """req AS (SELECT request_id, action, """ + Q.clean("group_label") + """ AS group_label, source_run_id, requested_at, """ + Q.clean("employee") + """ AS actor FROM fx_group_requests),
 lbl AS (SELECT DISTINCT group_label AS label FROM req WHERE group_label <> ''),
 cand AS (SELECT l.label, r.id, r.status, r.updated_at FROM lbl l JOIN fx_runs r ON r.run_number = l.label OR r.batch_number = l.label),

@@ -21,6 +21,9 @@ MARK_SCHEMA = T.StructType([
     T.StructField("last_scope_label", T.StringType()),
     T.StructField("last_export_name", T.StringType()),
     T.StructField("last_run_count", T.LongType()),
+    # where the export lies and who made it: the same row publishes, marks and audits it
+    T.StructField("export_path", T.StringType()),
+    T.StructField("exported_by", T.StringType()),
 ])
 
 
@@ -82,7 +85,13 @@ def read_if_there(reader: DataFrameReader, path: str) -> DataFrame | None:
 
 
 def write_mark(spark: SparkSession, path: str, generated_at: str, scope: str, scope_label: str,
-               export_name: str, run_count: int) -> None:
+               export_name: str, run_count: int, export_path: str = "", exported_by: str = "") -> None:
     """Record a finished export: a row is added, so a crash never loses the marks before (``read_mark`` takes the latest)."""
-    spark.createDataFrame([(generated_at, scope, scope_label, export_name, int(run_count))], MARK_SCHEMA) \
+    spark.createDataFrame([(generated_at, scope, scope_label, export_name, int(run_count), export_path, exported_by)], MARK_SCHEMA) \
         .coalesce(1).write.mode("append").json(path)
+
+
+def finished_exports(spark: SparkSession, path: str) -> DataFrame:
+    """One row per finished export (``MARK_SCHEMA``); exports that failed on their way have none."""
+    there = read_if_there(spark.read.schema(MARK_SCHEMA).format("json"), path)
+    return there if there is not None else spark.createDataFrame([], MARK_SCHEMA)
