@@ -1,5 +1,6 @@
 """Toxicity, quality, URL lists, HTML text, nearest neighbours, pipeline."""
 
+import time
 import zlib
 from collections import Counter
 from datetime import datetime
@@ -225,6 +226,36 @@ def test_malformed_sections_are_comments(odd):
     assert html_extract.main_text(f"<article><p>One</p>{odd}").startswith("One")
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div class="layout no-sidebar"', 'div class="post comments-open"', 'div class="with-ads"',
+                                     'form id="aspnetForm"', 'div class="widget"', 'section class="modal-free page"'])
+def test_a_wrapper_of_the_page_is_no_furniture(wrapper):
+    page = f"<body><{wrapper}><nav>Menu</nav><div class=sidebar><p>Side text of some length, and more of it.</p></div>" \
+           f"<div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><div class='comments'><p>{LONG_TEXT}</p></div><footer>Foot</footer></{wrapper.split()[0]}></body>"
+    want = " ".join(LONG_TEXT.split())
+    assert html_extract.main_text(page) == f"{want}\n{want}"
+
+
+def test_a_form_around_the_article_and_the_main_element():
+    want = " ".join(LONG_TEXT.split())
+    assert html_extract.main_text(f"<p>top</p><form><article><p>{LONG_TEXT}</p></article><aside>x</aside></form>").endswith(want)
+    assert html_extract.main_text(f"<div class=modal><main><p>{LONG_TEXT}</p></main></div><p>z</p>").startswith(want)
+    assert LONG_TEXT not in html_extract.main_text(f"<article><p>{LONG_TEXT[:200]}</p></article><form><p>{LONG_TEXT}</p><input></form>")
+
+
+def test_furniture_inside_a_line_does_not_part_it():
+    line = "<p>See <label>this</label> and <button>that</button> <span class=share>Share</span>word<script>x()</script>s, <b>all</b>.</p>"
+    assert html_extract.main_text(f"<article>{line}<p>Next</p></article>") == "See and words, all.\nNext"
+    assert html_extract.main_text("<article><p>a <button><div>b</div></button> c</p><p>d</p></article>").replace("\n", " ") == "a c d"
+    assert html_extract.main_text("<head><title>T</title><body><p>text without a closed head</p>") == "text without a closed head"
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    start = time.time()
+    for part in ("<div>x ", "<div class=a><p>some text of a line", "<ul><li>y", "<form><b>z", "<span>", "</p><td>q", "<main><article>t "):
+        html_extract.main_text(part * (1_000_000 // len(part)))
+    assert time.time() - start < 90
+
+
 def test_html_takes_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (2, "u", "", "old"), (2, "u", "", "old"), (None, None, "plain words", "old"), (5, "u", "<p>", "old"),
                                    (6, "u", "<![if x]><p>kept</p>", "old"), (7, "u", "<b>a<i>b</b>c</i> &#x41;&nbsp;&bogus;", "old"),
