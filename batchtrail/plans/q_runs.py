@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchtrail.functions.labels import run_label
+from batchtrail.operators import paging as PG
+from batchtrail.operators import postings as PO
 from batchtrail.operators import runs as RU
 from batchtrail.plans import sqltext as Q
 from batchtrail.plans.registry import query
+from batchtrail.session import scratch_table_path
 from batchtrail.sources.fixtures import fixture
 
 RUNS_AS_OF = "1998-03-15T12:00:00"
@@ -52,6 +59,31 @@ def q_runs_page(spark, t, sf_dir):
     return RU.with_stage_count(page, counts).select("id", "run_number", "updated_at", "stage_count")
 
 
+@query("runs_deep_pages", f"""WITH m AS (SELECT id, run_number, updated_at, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id DESC) AS position FROM fx_runs WHERE {_SEARCH_WHERE})
+SELECT id, run_number, updated_at, position FROM m
+WHERE (position - 1) // 25 IN (0, 6, (SELECT (max(position) - 1) // 25 FROM m))""")
+def q_runs_deep_pages(spark, t, sf_dir):
+    """O-SRT-3: first, seventh and last page of the search, read from the numbered listing."""
+    numbered = PG.positions(RU.runs_search(t.runs, SEARCH, "all", "standard").select("id", "run_number", "updated_at"), RU.newest_first())
+    pages = sorted({1, 7, PG.last_page(numbered, 25)})
+    return reduce(DataFrame.unionByName, [PG.page_of(numbered, p, 25) for p in pages])
+
+
+_INDEXED = ["run_number", "batch_number", "product_name"]
+
+
+@query("runs_search_indexed", " UNION ALL ".join(
+    f"SELECT '{name}' AS search, id, run_number, batch_number, product_name FROM fx_runs "
+    f"WHERE coalesce(run_number ILIKE '%{text}%' OR batch_number ILIKE '%{text}%' OR product_name ILIKE '%{text}%', FALSE)"
+    for name, text in (("digits", "r12"), ("word", "URGent"), ("wildcard", "b1_5"), ("two", "99"), ("none", "no such text"))))
+def q_runs_search_indexed(spark, t, sf_dir):
+    """O-FLT-2: searches over the trigram index of the runs' texts: equal to the scan, also for short texts and wildcards."""
+    path = scratch_table_path(spark, f"run-postings-{uuid.uuid4().hex}")
+    PO.build(t.runs, "id", _INDEXED, path)
+    return reduce(DataFrame.unionByName, [PO.find(spark, path, _INDEXED, text).withColumn("search", F.lit(name)) for name, text in (
+        ("digits", "r12"), ("word", "URGent"), ("wildcard", "b1_5"), ("two", "99"), ("none", "no such text"))])
+
+
 @query("search_total", f"""SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS BIGINT) AS pages
 FROM fx_runs WHERE {_SEARCH_WHERE}""")
 def q_search_total(spark, t, sf_dir):
