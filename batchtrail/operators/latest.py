@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from batchtrail.functions.labels import completion_status_py
 from batchtrail.sources.stages import RUN_STAGE_KEYS, stage_titles
-from batchtrail.sources.tables import parse_payload
+from batchtrail.sources.tables import parse_payload, payload_cells
 
 
 def latest_by(df: DataFrame, keys: list[str], order: str = "id", columns: list[str] | None = None) -> DataFrame:
@@ -127,8 +127,7 @@ def packet_sheets(sheets: DataFrame, voided: DataFrame) -> DataFrame:
 
 def packet_cells(packet_sheet_rows: DataFrame) -> DataFrame:
     """One row per payload field of the packet's sheets: ``(run_id, stage_key, entry_id, key, value)``."""
-    return packet_sheet_rows.select("run_id", "stage_key", "entry_id",
-                                    F.explode(parse_payload("payload_json")).alias("key", "value"))
+    return payload_cells(packet_sheet_rows, parse_payload("payload_json"), "run_id", "stage_key", "entry_id")
 
 
 def packet_voided(voided: DataFrame, packet_sheet_rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from batchtrail.functions.text import clean, nonblank, parse_numeric, title_case
 from batchtrail.functions.time import effective_date, has_point_time, with_point_time
 from batchtrail.sources.stages import NON_METRIC_FIELDS, STAGES, stage_columns
-from batchtrail.sources.tables import parse_payload
+from batchtrail.sources.tables import parse_payload, payload_cells
 
 # Cell keys ``{prefix}_{row}_{field}``: the lazy prefix splits every configured
 # key correctly; rows are canonical integers (the form never writes ``01``).
@@ -272,7 +272,7 @@ def generic_point_count(sheets: DataFrame, stage_key: str, start: str = "", end:
     e = _sheet_entries(sheets, stage_key, start, end).filter(has_point_time("date_src", "created_at"))
     e = with_point_time(e.withColumn("__no_time", F.lit("")), "date_src", "__no_time", "created_at", out="fallback")
     pat = r"^(.+)_([1-9][0-9]*)_time$"
-    timed = (e.select("entry_id", "date_src", "created_at", "fallback", F.explode("payload").alias("key", "t"))
+    timed = (payload_cells(e, F.col("payload"), "entry_id", "date_src", "created_at", "fallback", names=("key", "t"))
              .filter(F.col("key").rlike(pat))
              .select("entry_id", "date_src", "created_at", "fallback", "t",
                      F.regexp_extract("key", pat, 1).alias("table_prefix"),
@@ -314,7 +314,7 @@ def generic_values(sheets: DataFrame, stage_key: str, start: str = "", end: str
     spark = sheets.sparkSession
     e = (_sheet_entries(sheets, stage_key, start, end).filter(has_point_time("date_src", "created_at"))
          .withColumn("times", _row_times(F.col("payload"))))
-    cells = e.select("created_at", "date_src", "ord", "times", F.explode("payload").alias("key", "text"))
+    cells = payload_cells(e, F.col("payload"), "created_at", "date_src", "ord", "times", names=("key", "text"))
     keys = F.broadcast(stage_cell_keys(spark)
                        .filter((F.col("stage_key") == stage_key) & ~F.col("field").isin(NON_METRIC_FIELDS))
                        .select("key", "table_prefix", F.col("row_no").cast("int").alias("row_no"),
@@ -337,8 +337,7 @@ def cells_long(sheets: DataFrame, catalogue: DataFrame | None = None) -> DataFra
     """
     from batchtrail.sources.stages import stage_cell_keys
     spark = sheets.sparkSession
-    cells = sheets.select(F.col("id").alias("entry_id"), "stage_key",
-                          F.explode(parse_payload("payload_json")).alias("key", "text"))
+    cells = payload_cells(sheets, parse_payload("payload_json"), F.col("id").alias("entry_id"), "stage_key", names=("key", "text"))
     keys = F.broadcast(stage_cell_keys(spark).select("stage_key", "key", "table_prefix", "table_title", "row_no",
                                                      "field", "label"))
     return cells.join(keys, ["stage_key", "key"]).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from batchtrail.functions.labels import run_label
 from batchtrail.functions.text import clean, is_blank
 from batchtrail.sources.stages import STAGES, stage_columns, stage_headers
-from batchtrail.sources.tables import parse_payload
+from batchtrail.sources.tables import parse_payload, payload_cells
 
 # Column names of the forms and tables.
 FILTRATION_FORM_FIELDS = ["entry_date", "cycle_volume_set_point", "clarification_sequential_no", "retentate_flow_set_point",
@@ -77,7 +77,7 @@ def evaporation_from_form(forms: DataFrame, fields: str = "fields") -> DataFrame
 
 def refused_row_keys(forms: DataFrame, fields: str = "fields") -> DataFrame:
     """Keys that look like row cells but whose row number is beyond an int: ``(form_id, key)``."""
-    cells = forms.select("form_id", F.explode(F.col(fields)).alias("key", "value"))
+    cells = payload_cells(forms, F.col(fields), "form_id")
     number = F.regexp_extract("key", rf"^cycle[1-{CYCLES}]_(0|[1-9][0-9]*)_.+$", 1)
     return cells.filter((number != "") & number.try_cast("int").isNull()).select("form_id", "key")
 
@@ -89,7 +89,7 @@ def filtration_rows_from_form(forms: DataFrame, fields: str = "fields") -> DataF
     are ``cycleN_R_*``); a number beyond an int is not a row (see
     ``refused_row_keys``).  ``feed_ri`` and the perm flows are always empty.
     """
-    cells = forms.select("form_id", F.explode(F.col(fields)).alias("key", "value"))
+    cells = payload_cells(forms, F.col(fields), "form_id")
     pat = rf"^(cycle[1-{CYCLES}])_(0|[1-9][0-9]*)_(.+)$"
     parsed = cells.select("form_id", F.regexp_extract("key", pat, 1).alias("row_group"),
                           F.regexp_extract("key", pat, 2).alias("row_text"),
@@ -133,7 +133,7 @@ def cycle_summaries(payloads: DataFrame, id_col: str, payload_col: str = "payloa
     is carried along the exploded rows.
     """
     pat = rf"^cycle([1-{CYCLES}])_({'|'.join(CYCLE_SUMMARY_FIELDS)})$"
-    cells = payloads.select(id_col, F.explode(parse_payload(payload_col)).alias("key", "value"))
+    cells = payload_cells(payloads, parse_payload(payload_col), id_col)
     hits = cells.filter(F.col("key").rlike(pat) & F.col("value").isNotNull())
     return hits.select(id_col, F.regexp_extract("key", pat, 1).cast("int").alias("cycle"),
                        F.regexp_extract("key", pat, 2).alias("field"), "value")

@@ -11,7 +11,7 @@ from batchtrail.plans import sqltext as Q
 from batchtrail.plans.registry import query
 from batchtrail.sources.fixtures import fixture
 from batchtrail.sources.stages import RUN_LINKED_STAGES, RUN_STAGE_KEYS, stage_titles
-from batchtrail.sources.tables import SCHEMAS, parse_payload, reconcile_schema
+from batchtrail.sources.tables import SCHEMAS, parse_payload, payload_cells, reconcile_schema
 
 _RUN_STAGES = ", ".join(f"'{k}'" for k in RUN_STAGE_KEYS)
 
@@ -280,7 +280,7 @@ SELECT target_run_id, stage_key, e.key AS key, CASE WHEN e.key IN ('run_number',
 def q_derived_sheet_cells(spark, t, sf_dir):
     """O-RSH-11: the rewritten payloads of the copied sheets, one row per field."""
     copies = LC.derived_sheet_copies(t.sheets, _heads(spark, t, sf_dir))
-    return copies.select("target_run_id", "stage_key", F.explode(parse_payload("payload_json")).alias("key", "value"))
+    return payload_cells(copies, parse_payload("payload_json"), "target_run_id", "stage_key")
 
 
 _EXT_COPY = ["employee", "operator_initials", "entry_date", "entry_time", "location", "psf1_speed", "psf1_load", "press_blowback",
@@ -327,8 +327,7 @@ def q_fold_sheet_content(spark, t, sf_dir):
     """O-STATE-1: content of the folded sheets: payload fields, comments and entry date of the last submit."""
     s = LC.saved_sheets(fixture(spark, sf_dir, "fx_submit_forms"))
     extra = F.map_from_arrays(F.array(F.lit("=comments"), F.lit("=entry_date")), F.array("comments", "entry_date"))
-    return s.select("run_id", "stage_key", "entry_id",
-                    F.explode(F.map_concat(parse_payload("payload_json"), extra)).alias("key", "value"))
+    return payload_cells(s, F.map_concat(parse_payload("payload_json"), extra), "run_id", "stage_key", "entry_id")
 
 
 @query("audit_all", f"""{_DERIVED_SQL},

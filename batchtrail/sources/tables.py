@@ -121,6 +121,20 @@ def parse_payload(c: ColumnOrName = "payload_json") -> Column:
     return F.get(F.transform(F.array(parsed), _last_of_each_key), F.lit(0))
 
 
+def parsed_once(df: DataFrame, payload: Column, out: str) -> DataFrame:
+    """``df`` with a parsed payload as a column that is evaluated once per row, however many filters and columns use it.
+
+    The outer generator is what keeps the optimizer from copying the parse into each of them.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(payload.alias(out)))))
+
+
+def payload_cells(df: DataFrame, payload: Column, *keep: str | Column, names: tuple[str, str] = ("key", "value")) -> DataFrame:
+    """One row per entry of a payload, which is parsed once: an inner generator would have it evaluated again in a filter
+    on its size.  Rows with an empty payload give none."""
+    return df.select(*keep, F.explode_outer(payload).alias(*names)).where(F.col(names[0]).isNotNull())
+
+
 #: Control keys of a form: kept by a submitted sheet up to the signature, never shown as data.
 SIGNATURE_PREFIX, CORRECTION_KEYS = "__session_signature_", ("correction_reason", "save_mode")
 

@@ -70,3 +70,27 @@ def test_null_run_keys_are_spread_in_sort_merge_joins(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("key, parses", [("media_counts", 2), ("populated_rows", 1), ("cells_long", 1), ("packet_cells", 1)])
+def test_a_payload_is_parsed_once(spark, key, parses):
+    """Filtration and sheet payloads of the media feed are two columns; all filters and columns share their parse."""
+    plan = QUERIES[key](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == parses
+
+
+@pytest.mark.parametrize("key, most", [("fold_drafts", 3), ("fold_sheet_content", 3), ("finalize_runs", 8), ("derived_runs", 12), ("audit_all", 20),
+                                       ("unique_name", 8), ("create_or_reuse_runs", 10)])
+def test_shuffles_with_broadcast_off(spark, key, most):
+    """Running values are written scans and checked requests a written table: what is left are joins and one aggregation."""
+    import re
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = _plan(QUERIES[key](spark, SMALL))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan)) <= most
