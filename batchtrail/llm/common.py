@@ -58,6 +58,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def kept_columns(columns: list[str], *results: str) -> list[Column]:
+    """The columns of a row kept in the struct ``__all``, without those that a result replaces."""
+    return [F.col("__all").getField(c).alias(c) for c in columns if c not in results]
+
+
 # ------------------------------------------------------------------ arrays
 
 def mix64(x: np.ndarray) -> np.ndarray:

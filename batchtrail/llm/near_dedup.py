@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from batchtrail.llm.common import mix64, ranges, slices, split_words, stored, text_of, unit_floats
+from batchtrail.llm.common import kept_columns, mix64, ranges, slices, split_words, stored, text_of, unit_floats
 from batchtrail.llm.components import components
 
 WORDS = 5
@@ -456,5 +456,6 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = (classes.where("representative").groupBy("class_id", "sha").agg(F.min("doc_id").alias("id"))
             .select(_row_key(F.unhex("sha"), "id").alias("__row")))
     sha = F.unhex(F.sha2(text_of(text_col), 256))
-    keyed = docs.withColumn("__row", _row_key(sha, F.col(id_col).cast("long")))
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row").select(*docs.columns)
+    # the columns of a document travel in one struct, so that none can clash with the key
+    keyed = docs.select(F.struct("*").alias("__all"), _row_key(sha, F.col(id_col).cast("long")).alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*kept_columns(docs.columns))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchtrail.llm.common import small_side, stored, text_of
+from batchtrail.llm.common import kept_columns, small_side, stored, text_of
 
 #: Most labelled rows that the document classifier is fitted on, taken in hash order of their id.
 SAMPLE = 20_000
@@ -64,14 +64,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> tupl
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample: int = SAMPLE) -> tuple:
-    """Document classifier from at most ``sample`` labelled rows; an id with several labels takes the lowest, null is none."""
+    """Document classifier from at most ``sample`` labelled rows; an id with several labels takes the lowest, null is none.
+
+    An id with several texts takes the first of them in text order, so that the fit does not depend on the order of the rows.
+    """
     marked = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(F.col(label_col).cast("double")).alias("__y")))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     # at most ``sample`` rows, whatever the size of the tables
     rows = (docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text"))
-            .join(F.broadcast(chosen), "__id").select("__y", F.array(*measures(F.col("__text"))).alias("x"))
-            .limit(4 * sample).toArrow())
+            .join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y"))
+            .orderBy("__id").select("__y", F.array(*measures(F.col("__text"))).alias("x")).toArrow())
     if not rows.num_rows:
         return fit_logistic(np.zeros((0, len(measures(F.lit(""))))), np.zeros(0))
     x = np.array(rows.column("x").to_pylist(), dtype=np.float64)
@@ -111,7 +114,17 @@ def _logit(p: Column) -> Column:
 
 def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text",
                  out: str = "quality_score", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with the posterior probability of good quality, ``out``; all columns and rows are kept.
+    """``docs`` with the posterior probability of good quality, ``out``, and ``evidence``, that of the text alone.
+
+    All rows are kept, and all columns but those of these two names, which are
+    replaced; see ``_posteriors``.
+    """
+    return _posteriors(docs, labels, host, path, text_col, sample).select(
+        *kept_columns(docs.columns, out, "evidence"), F.col("__quality").alias(out), F.col("__p").alias("evidence"))
+
+
+def _posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str, sample: int) -> DataFrame:
+    """Rows of ``docs`` (``__all``) with the posterior probability of good quality and the evidence of the text (``__quality, __p``).
 
     The log odds of the text alone are moved by the log odds of the site's rate
     against the global rate.  Null text is empty, null host or path is a site of
@@ -120,8 +133,8 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     """
     model = train(docs, labels, text_col=text_col, sample=sample)
     host, path = F.coalesce(host.cast("string"), F.lit("\0")), F.coalesce(path.cast("string"), F.lit("\0"))
-    judged = (docs.withColumn("__p", evidence(text_of(text_col), model)).withColumn("__host", host)
-              .withColumn("__path", path))
+    # the columns of a document travel in one struct, so that none can clash with those of the work
+    judged = docs.select(F.struct("*").alias("__all"), evidence(text_of(text_col), model).alias("__p"), host.alias("__host"), path.alias("__path"))
     paths = judged.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s"),
                                                    F.sum(F.col("__p") * F.col("__p")).alias("ss"))
     paths = stored(paths, "sites")
@@ -140,11 +153,11 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     host_rate = (F.col("__hs") - F.col("__p") + k_host * rate) / (F.col("__hn") - 1 + k_host)
     path_rate = (F.col("__s") - F.col("__p") + k_path * host_rate) / (F.col("__n") - 1 + k_path)
     odds = _logit(F.col("__p")) + _logit(path_rate) - _logit(F.lit(rate))
-    return placed.withColumn(out, 1.0 / (1.0 + F.exp(-odds))).select(*docs.columns, out, F.col("__p").alias("evidence"))
+    return placed.select("__all", (1.0 / (1.0 + F.exp(-odds))).alias("__quality"), "__p")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD,
                    sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose posterior is at least ``threshold``, with all their columns."""
-    scored = with_quality(docs, labels, host, path, out="__quality", sample=sample)
-    return scored.where(F.col("__quality") >= threshold).select(*docs.columns)
+    scored = _posteriors(docs, labels, host, path, "text", sample)
+    return scored.where(F.col("__quality") >= threshold).select(*kept_columns(docs.columns))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchtrail.llm.common import kept_columns
+
 
 def url_host(url: Column) -> Column:
     """Lower-case host without scheme, user, port and final dot; null for null or a URL without a host."""
@@ -90,7 +92,7 @@ def matches(captures: DataFrame, entries: DataFrame, key: str, url_col: str = "u
 
 def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow", key: str = "page_id", url_col: str = "url",
           time_col: str = "fetched_at") -> DataFrame:
-    """``captures`` with ``verdict, list, pattern, active``; rows and columns are kept.
+    """``captures`` with ``verdict, list, pattern, active``; rows and columns are kept, columns of these names replaced.
 
     The most specific active entry decides (a longer path before a shorter one,
     paths before hosts, hosts before domains); of equally specific ones the list
@@ -100,14 +102,16 @@ def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow", key: st
     Rows that share a key are judged each; a null key is kept.  Empty lists leave
     all unlisted; empty captures give no rows.
     """
-    numbered = captures.withColumn("__row", F.struct(F.col(key), F.col(url_col), F.col(time_col)))
-    distinct = numbered.select("__row", F.col(url_col).alias("__url"), F.col(time_col).alias("__time")).distinct()
+    # the columns of a capture travel in one struct, so that none can clash with those of the work
+    numbered = captures.select(F.struct("*").alias("__all"), F.struct(F.col(key), F.col(url_col), F.col(time_col)).alias("__row"),
+                               F.col(url_col).alias("__url"), F.col(time_col).alias("__time"))
+    distinct = numbered.select("__row", "__url", "__time").distinct()
     rank = F.struct("specificity", (F.col("list") == allow).alias("allowed"), "valid_from", "list", "pattern")
     best = (matches(distinct, entries, "__row", "__url", "__time").groupBy("__row")
             .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("active")))
     joined = numbered.join(best.withColumnRenamed("__row", "__of"), numbered["__row"].eqNullSafe(F.col("__of")), "left")
-    usable = url_host(F.col(url_col)).isNotNull() & F.col(time_col).isNotNull()
+    usable = url_host(F.col("__url")).isNotNull() & F.col("__time").isNotNull()
     verdict = (F.when(~usable, "unknown").when(F.col("best").isNull(), "unlisted")
                .when(F.col("best.allowed"), "allowed").otherwise("blocked"))
-    return joined.select(*captures.columns, verdict.alias("verdict"), F.col("best.list").alias("list"),
+    return joined.select(*kept_columns(captures.columns, "verdict", "list", "pattern", "active"), verdict.alias("verdict"), F.col("best.list").alias("list"),
                          F.col("best.pattern").alias("pattern"), F.coalesce("active", F.lit(0)).alias("active"))
