@@ -143,6 +143,16 @@ def filtration_readings(entries: DataFrame, rows: DataFrame, fields: list[str],
                     F.struct("row_time", "row_id").alias("ord"), *fields)
 
 
+def readings_order(entries: DataFrame, rows: DataFrame, start: str = "", end: str = "", limit: int | None = None) -> DataFrame:
+    """Filtration readings with their place in the order of the readings table (O-SRT-5): effective date, row time,
+    save time, cycle, row number, then row id; NULL first.  Uncapped unless a ``limit`` is given."""
+    from batchtrail.operators.sequence import assign_ids
+    e = readings_date_range(entries, start, end).select(F.col("id").alias("filtration_entry_id"), effective_date().alias("reading_date"), "created_at")
+    j = e.join(rows.select("filtration_entry_id", F.col("id").alias("row_id"), "row_group", "row_no", "row_time"), "filtration_entry_id")
+    placed = assign_ids(j, [F.col(c) for c in ("reading_date", "row_time", "created_at", "row_group", "row_no", "row_id")], 0, "position")
+    return placed.where(F.col("position") <= limit) if limit else placed
+
+
 def evaporation_readings(entries: DataFrame, rows: DataFrame, runs: DataFrame, fields: list[str],
                          start: str = "", end: str = "") -> DataFrame:
     """Evaporation entry INNER JOIN rows LEFT JOIN run (O-JOIN-3)."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchtrail.operators import readings as R
 from batchtrail.operators import reshape as RS
 from batchtrail.plans import export as EX
 from batchtrail.plans import performance as P
@@ -66,6 +67,15 @@ _MONTH = f"CASE WHEN length({_PREFIX}) >= 7 THEN substr({_PREFIX}, 1, 7) ELSE 'u
 _UA, _CA = Q.clean("updated_at"), Q.clean("created_at")
 
 
+@query("readings_order", """SELECT e.id AS filtration_entry_id, coalesce(e.entry_date, substr(e.created_at, 1, 10)) AS reading_date, e.created_at,
+  x.id AS row_id, x.row_group, CAST(x.row_no AS INTEGER) AS row_no, x.row_time, row_number() OVER (ORDER BY coalesce(e.entry_date, substr(e.created_at, 1, 10)) NULLS FIRST,
+    x.row_time NULLS FIRST, e.created_at NULLS FIRST, x.row_group NULLS FIRST, x.row_no NULLS FIRST, x.id) AS position
+FROM fx_filtration e JOIN fx_filtration_rows x ON x.filtration_entry_id = e.id""")
+def q_readings_order(spark, t, sf_dir):
+    """O-SRT-5: every filtration reading with its place in the five-key order (no cap)."""
+    return R.readings_order(t.filtration, t.filtration_rows)
+
+
 def _export_audit_sql(scope: str, where: str) -> str:
     return f"""SELECT 'production_runs' AS table_name, CAST(0 AS BIGINT) AS record_id, 'export' AS action_type, 'E7' AS changed_by, '' AS old_data,
   '{scope}_export built with ' || CAST(count(*) AS VARCHAR) || ' runs' AS new_data, '{RUNS_AS_OF}' AS created_at FROM fx_runs WHERE {where}"""

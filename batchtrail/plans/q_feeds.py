@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from batchtrail.functions.time import minus_hours
 from batchtrail.operators import feeds as FD
+from batchtrail.operators import paging as PG
 from batchtrail.plans import sqltext as Q
 from batchtrail.plans.registry import query
 from batchtrail.sources.fixtures import AS_OF
@@ -271,3 +272,26 @@ def q_entries_with_user(spark, t, sf_dir):
     """O-JOIN-5: entries LEFT JOIN users on employee number."""
     from batchtrail.operators.joins import join_users
     return join_users(t.extraction.select("id", "employee"), t.users, "employee")
+
+
+# ------------------------------------------- whole listings in order, compared by position
+
+@query("activity_feed_all", f"""WITH {_feed_sql(CUTOFF_12H)} SELECT *, row_number() OVER (ORDER BY activity_time DESC, entry_table DESC, record_id DESC) AS position FROM feed""")
+def q_activity_feed_all(spark, t, sf_dir):
+    """O-SET-1 + O-FLT-9: last 12 hours across the four tables without a cap, with each row's place."""
+    return PG.positions(FD.activity_feed(t, AS_OF, 12, None), FD.feed_order())
+
+
+@query("extraction_listing_all", _listing_sql("fx_extraction", ", ".join("e." + c for c in _EXT_COLS), "e1").replace(
+    "r.run_number FROM", "r.run_number, row_number() OVER (ORDER BY e.created_at DESC, e.id DESC) AS position FROM").replace("LIMIT 300", ""))
+def q_extraction_listing_all(spark, t, sf_dir):
+    """O-FLT-6 + O-SRT-4: every extraction entry matching 'e1', with its place in the newest-first order."""
+    return PG.positions(FD.entry_listing(t.extraction, t.runs, _EXT_COLS, "e1"), [F.col("created_at").desc(), F.col("id").desc()])
+
+
+@query("change_history_all", """SELECT f.id, f.run_id, f.created_at, r.run_number, row_number() OVER (ORDER BY f.created_at DESC, f.id DESC) AS position
+FROM fx_field_changes f LEFT JOIN fx_runs r ON r.id = f.run_id""")
+def q_change_history_all(spark, t, sf_dir):
+    """O-SRT-8: every correction with its place in the newest-first order."""
+    rows = FD.change_history(t.field_changes, t.runs).select("id", "run_id", "created_at", "run_number")
+    return PG.positions(rows, [F.col("created_at").desc(), F.col("id").desc()])
