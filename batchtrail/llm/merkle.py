@@ -31,6 +31,7 @@ from batchtrail.llm.common import mix64, slices, stored, text_of
 SECTION = 8
 SKETCH = 32
 _U = np.uint64
+_HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 _SEEDS = mix64(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
@@ -45,12 +46,12 @@ def sketch(paragraph: str) -> str:
     grams = chars[:n].copy()
     for j in range(1, min(4, len(chars))):
         grams = grams * _U(0x100000001B3) + chars[j:j + n]
-    grams = np.unique(mix64(grams))
+    grams = mix64(grams)  # a repeated gram changes no minimum
     least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=_U)
     for start in range(0, len(grams), 4096):
         part = grams[start:start + 4096, None] * _SEEDS[None, :]
         least = np.minimum(least, (part ^ (part >> _U(29))).min(axis=0))
-    return "".join(f"{int(x) & 15:x}" for x in mix64(least))
+    return _HEX[(mix64(least) & _U(15)).astype(np.intp)].tobytes().decode()
 
 
 class Fingerprinter:
@@ -131,6 +132,11 @@ def differing(a: str, b: str) -> tuple[list[str], list[str]]:
     return rest(one), rest(two)
 
 
+def _digits(leaves: list[str]) -> np.ndarray:
+    """The sketches of leaves, a row each."""
+    return np.frombuffer("".join(leaf.split(".")[1] for leaf in leaves).encode(), dtype=np.uint8).reshape(-1, SKETCH)
+
+
 def likeness(a: str, b: str) -> float:
     """0 to 1: the share of the larger text that equal paragraphs cover, plus what sketches find in the differing ones.
 
@@ -149,12 +155,11 @@ def likeness(a: str, b: str) -> float:
     equal = size_a - sum(map(_weight, one))
     partly = 0.0
     if one and two:
-        x = np.array([[int(c, 16) for c in leaf.split(".")[1]] for leaf in one], dtype=np.int8)
-        y = np.array([[int(c, 16) for c in leaf.split(".")[1]] for leaf in two], dtype=np.int8)
+        x, y = _digits(one), _digits(two)
         wx, wy = np.array(list(map(_weight, one))), np.array(list(map(_weight, two)))
         best_x, best_y = np.zeros(len(x)), np.zeros(len(y))
         for start in range(0, len(x), 256):
-            same = (x[start:start + 256, None, :] == y[None, :, :]).mean(axis=2)
+            same = np.count_nonzero(x[start:start + 256, None, :] == y[None, :, :], axis=2) / SKETCH
             best_x[start:start + 256] = same.max(axis=1)
             best_y = np.maximum(best_y, same.max(axis=0))
         # fewer than seven of the 32 digits agreeing is taken for chance
