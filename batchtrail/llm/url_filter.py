@@ -3,10 +3,10 @@
 Dated entries (pattern added or removed on a list) become validity intervals.
 Captures become the patterns that could match them: the host, its parent
 domains and the leading path segments under the host.  Both sides meet by
-pattern *and* day: an interval is written once per day it touches, which is
-bounded by the number of changes plus the number of days, since the intervals
-of one list and pattern don't overlap.  So the join is a plain equi-join whose
-hot hosts are spread over days, and the as-of condition is a filter inside it.
+pattern *and* day: an interval is written once for each day that it touches and
+on which some capture asks for its pattern, however long it is active.  So the
+join is a plain equi-join whose hot hosts are spread over days, and the as-of
+condition is a filter inside it.
 """
 
 from __future__ import annotations
@@ -78,13 +78,10 @@ def matches(captures: DataFrame, entries: DataFrame, key: str, url_col: str = "u
              .withColumn("__c", F.explode(candidate_patterns(F.col("__host"), F.transform("__path", F.lower), levels, segments)))
              .select("__key", "__t", F.to_date("__t").alias("__day"), F.col("__c.pattern").alias("pattern"),
                      F.col("__c.specificity").alias("specificity")))
-    span = captures.agg(F.min(F.to_date(time_col)).alias("lo"), F.max(F.to_date(time_col)).alias("hi")).first()
-    lo, hi = F.lit(span["lo"]).cast("date"), F.lit(span["hi"]).cast("date")
-    # only days on which something was fetched matter
-    spans = (validity_intervals(entries)
-             .withColumn("__a", F.greatest(F.to_date("valid_from"), lo))
-             .withColumn("__b", F.least(F.coalesce(F.to_date("valid_to"), hi), hi)).where("__a <= __b")
-             .withColumn("__day", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b"))
+    # an entry is written for those days alone on which some capture asks for its pattern, however long it is active
+    days = asked.select("pattern", "__day").distinct()
+    spans = (validity_intervals(entries).join(days, "pattern")
+             .where((F.to_date("valid_from") <= F.col("__day")) & (F.col("valid_to").isNull() | (F.col("__day") <= F.to_date("valid_to")))))
     return (asked.join(spans, ["pattern", "__day"])
             .where((F.col("valid_from") <= F.col("__t")) & (F.col("valid_to").isNull() | (F.col("__t") < F.col("valid_to"))))
             .select(F.col("__key").alias(key), "list", "pattern", "specificity", "valid_from"))

@@ -36,6 +36,16 @@ def test_url_filter_keeps_the_columns_of_its_captures(spark, tmp_path):
     judged.write.parquet(str(tmp_path / "judged"))
 
 
+def test_a_long_active_entry_is_written_for_asked_days_only(spark):
+    captures = spark.createDataFrame([(1, "http://a.com/", datetime(2001, 1, 1)), (2, "http://a.com/", datetime(2023, 1, 1)), (3, "http://a.com/", datetime(1999, 1, 1))],
+                                     "page_id long, url string, fetched_at timestamp")
+    entries = spark.createDataFrame([("spam", "a.com", datetime(2000, 1, 1), "add")], "list string, pattern string, at timestamp, action string")
+    found = url_filter.matches(captures, entries, "page_id")
+    assert {r.page_id for r in found.collect()} == {1, 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+
+
 def test_quality_keeps_the_columns_of_its_documents(spark, tmp_path):
     docs = crowded(cases.docs(spark).drop("score", "node", "sha", "row", "key"))
     labels = cases.labels(spark, [(1, 1, 0), (6, 1, 0), (9, 0, 0), (5, 0, 0)])
