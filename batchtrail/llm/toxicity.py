@@ -28,7 +28,7 @@ BITS = 20
 #: Least number of sample texts that hold an n-gram for it to be a feature.
 LEAST_TEXTS = 3
 #: Features kept: the n-grams whose log-count ratio, weighted by the root of their number of texts, is largest.
-FEATURES = 1 << 12
+FEATURES = 1 << 13
 #: Text bytes whose n-grams are held at once.
 _SLICE = 1 << 19
 PENALTY = 1e-4
@@ -99,8 +99,10 @@ def fit(texts: list[str], toxic: np.ndarray, sizes: tuple[int, ...] = SIZES, bit
     # a text's features have unit length, so that long texts don't outweigh short ones
     size = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, minlength=len(texts)))
     value /= np.maximum(size, 1e-9)[row].astype(np.float32)
-    kept, column = np.unique(bucket, return_inverse=True)
-    found, intercept = _logistic(row, column.astype(np.int32), value, toxic, len(kept))
+    kept = np.flatnonzero(np.bincount(bucket, minlength=1 << bits))
+    place = np.zeros(1 << bits, dtype=np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    found, intercept = _logistic(row, place[bucket], value, toxic, len(kept))
     weight = np.zeros(1 << bits)
     weight[kept] = found
     return {"weight": (weight * ratio).astype(np.float32), "ratio": ratio.astype(np.float32),
@@ -153,14 +155,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample`` labelled rows that are not held out.
 
     An id labelled more than once counts as toxic if any of its labels is 1;
-    null labels are no labels.  Without labelled rows the score is a constant.
+    null labels are no labels; of several texts of an id the first in text order
+    counts, so that the fit does not depend on the order of the rows.  Without labelled rows the score is a constant.
     """
     marked = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
               .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y")))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text"))
     # the chosen ids are at most ``sample`` rows, whatever the size of the tables
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__y").dropDuplicates(["__id"])
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__y").alias("__y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
