@@ -13,6 +13,17 @@ from batchtrail.sources.fixtures import fixture
 from batchtrail.sources.stages import stage_columns, stage_columns_sql, stage_header_rows
 from batchtrail.sources.tables import backfill_completion_status, form_events, parse_payload, reconcile_schema
 
+# Fixed values of the form and sheet layout, stated for the oracles apart from the engine's lists.
+_SQL_EXTRACTION_FIELDS = """entry_date entry_time start_time stop_time psf1_speed psf1_load psf1_blowback psf2_speed psf2_load psf2_blowback
+press_speed press_load press_blowback pressate_ri chip_bin_steam chip_chute_temp photo_path""".split()
+_SQL_FILTRATION_ROW_FIELDS = """time operator_initials fic1_gpm tit1 tit2 dpt dpm perm_total f12_gpm permeate_ri retentate_ri qic1_ntu_turbidity
+pressure_pt1 pressure_pt2 pressure_pt3""".split()
+_SQL_SUMMARY_FIELDS = """cycle_number ri_to_sewer total_filtrate_volume cleaning_method""".split()
+_SQL_CELL_KEY = "^(.+?)_([1-9][0-9]*)_(.+)$"
+_SQL_NOT_NUMERIC = "(initial|operator|comment|note|photo|path|method|status|bed|vessel|name|lot|location|flavor|odor)"
+_SQL_NUMERIC = ("(number|no\\.|#|ri|temp|pressure|rate|speed|load|volume|total|weight|density|target|gallon|gal|lb|ppm|ntu|gpm|rpm|psi|vac|level|color|"
+                "turbidity|scale|inch|effect|condenser|condensor)")
+
 _FORM_MAP = f"""f AS (SELECT form_id, submitted_at, {Q.payload_map('form_json')} AS raw FROM fx_forms),
 fm AS (SELECT form_id, submitted_at, CASE WHEN raw['save_mode'] = 'Complete' THEN 'Complete' ELSE 'Draft' END AS save_mode,
   map_from_entries(list_filter(map_entries(raw), lambda e: NOT starts_with(e.key, '__') AND e.key NOT IN ('correction_reason', 'save_mode'))) AS m
@@ -64,7 +75,7 @@ def _g(k: str) -> str:
 
 
 @query("extraction_from_form", f"""WITH {_FORM_MAP}
-SELECT form_id, upper({Q.clean("m['operator_initials']")}) AS operator_initials, {', '.join(f"{_g(k)} AS {k}" for k in RS.EXTRACTION_FORM_FIELDS)},
+SELECT form_id, upper({Q.clean("m['operator_initials']")}) AS operator_initials, {', '.join(f"{_g(k)} AS {k}" for k in _SQL_EXTRACTION_FIELDS)},
  CASE WHEN {_g('location')} <> '' THEN {_g('location')} ELSE 'Pile' END AS location,
  CASE WHEN {_g('time_on_pile')} <> '' THEN {_g('time_on_pile')} ELSE {_g('time_on_pipe_or_pile')} END AS time_on_pile,
  CASE WHEN {_g('comments')} <> '' THEN {_g('comments')} ELSE {_g('notes')} END AS comments FROM fm""")
@@ -98,7 +109,7 @@ def q_evaporation_from_form(spark, t, sf_dir):
     return RS.evaporation_from_form(_forms(spark, sf_dir))
 
 
-_ROW_NAMES = ["row_time" if f == "time" else f for f in RS.FILTRATION_ROW_FIELDS]
+_ROW_NAMES = ["row_time" if f == "time" else f for f in _SQL_FILTRATION_ROW_FIELDS]
 _PAT = r"^(cycle[1-6])_(0|[1-9][0-9]*)_(.+)$"
 
 
@@ -107,8 +118,8 @@ c AS (SELECT form_id, unnest(map_keys(m)) AS k, unnest(map_values(m)) AS v FROM
 p AS (SELECT form_id, regexp_extract(k, '{_PAT}', 1) AS row_group, regexp_extract(k, '{_PAT}', 2) AS row_text,
    regexp_extract(k, '{_PAT}', 3) AS field, v FROM c),
 g AS (SELECT form_id, row_group, CAST(row_text AS INTEGER) AS row_no,
-   {', '.join(f"coalesce(max(CASE WHEN field = '{f}' THEN v END), '') AS {n}" for f, n in zip(RS.FILTRATION_ROW_FIELDS, _ROW_NAMES))}
-   FROM p WHERE row_group <> '' AND field IN ({', '.join(f"'{f}'" for f in RS.FILTRATION_ROW_FIELDS)})
+   {', '.join(f"coalesce(max(CASE WHEN field = '{f}' THEN v END), '') AS {n}" for f, n in zip(_SQL_FILTRATION_ROW_FIELDS, _ROW_NAMES))}
+   FROM p WHERE row_group <> '' AND field IN ({', '.join(f"'{f}'" for f in _SQL_FILTRATION_ROW_FIELDS)})
    GROUP BY form_id, row_group, row_text)
 SELECT *, '' AS feed_ri, '' AS perm_flow_c, '' AS perm_flow_d FROM g
 WHERE {' OR '.join(f"{Q.clean(n)} <> ''" for n in _ROW_NAMES)}""")
@@ -124,7 +135,7 @@ def q_evaporation_rows_from_form(spark, t, sf_dir):
     return RS.evaporation_rows_from_form(_forms(spark, sf_dir))
 
 
-_SUMMARY_KEYS = [(c, f) for c in range(1, 7) for f in RS.CYCLE_SUMMARY_FIELDS]
+_SUMMARY_KEYS = [(c, f) for c in range(1, 7) for f in _SQL_SUMMARY_FIELDS]
 
 
 @query("cycle_summaries", f"""WITH {_FORM_MAP},
@@ -141,7 +152,7 @@ def q_cycle_summaries(spark, t, sf_dir):
    (SELECT unnest(range(1, 7)) AS cycle) c),
 n AS (SELECT filtration_entry_id AS entry_id, row_group, count(*) AS n_rows FROM fx_filtration_rows GROUP BY 1, 2),
 h AS (SELECT g.*, 'cycle' || CAST(g.cycle AS VARCHAR) AS row_group, {Q.payload_map('g.payload_json')} AS m FROM g),
-s AS (SELECT h.*, ({' OR '.join(f"coalesce(m[row_group || '_{f}'], '') <> ''" for f in RS.CYCLE_SUMMARY_FIELDS)}) AS has_summary FROM h)
+s AS (SELECT h.*, ({' OR '.join(f"coalesce(m[row_group || '_{f}'], '') <> ''" for f in _SQL_SUMMARY_FIELDS)}) AS has_summary FROM h)
 SELECT s.entry_id, CAST(s.cycle AS INTEGER) AS cycle, coalesce(n.n_rows, 0) AS n_rows, s.has_summary FROM s
 LEFT JOIN n ON n.entry_id = s.entry_id AND n.row_group = s.row_group WHERE coalesce(n.n_rows, 0) > 0 OR s.has_summary""")
 def q_cycle_view(spark, t, sf_dir):
@@ -172,8 +183,8 @@ def q_row_map(spark, t, sf_dir):
 
 _CELLS_CTE = f"""s AS (SELECT id AS entry_id, stage_key, {Q.payload_map()} AS m FROM fx_sheets),
 kv AS (SELECT entry_id, stage_key, unnest(map_keys(m)) AS k, unnest(map_values(m)) AS text FROM s),
-pc AS (SELECT *, regexp_extract(k, '{R.CELL_KEY}', 1) AS table_prefix, regexp_extract(k, '{R.CELL_KEY}', 2) AS row_text,
-   regexp_extract(k, '{R.CELL_KEY}', 3) AS field FROM kv),
+pc AS (SELECT *, regexp_extract(k, '{_SQL_CELL_KEY}', 1) AS table_prefix, regexp_extract(k, '{_SQL_CELL_KEY}', 2) AS row_text,
+   regexp_extract(k, '{_SQL_CELL_KEY}', 3) AS field FROM kv),
 cat AS {stage_columns_sql()},
 cells AS (SELECT pc.entry_id, pc.stage_key, pc.table_prefix, CAST(pc.row_text AS INTEGER) AS row_no, pc.field, pc.text, cat.label, cat.type
    FROM pc JOIN cat ON cat.stage_key = pc.stage_key AND cat.table_prefix = pc.table_prefix AND cat.field = pc.field
@@ -230,8 +241,8 @@ def q_sheet_header_values(spark, t, sf_dir):
 @query("sheet_field_profile", f"""WITH {_CELLS_CTE}
 SELECT stage_key, table_prefix, field, count(*) AS cells, round(avg(CASE WHEN {Q.clean('text')} = '' THEN 1.0 ELSE 0.0 END), 6) AS blank_rate,
   round(avg(CASE WHEN {Q.parse_num('text')} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS numeric_rate,
-  (max(type) IN ('text', 'numeric') AND NOT regexp_matches(lower(field || ' ' || max(label)), '{RS.NUMERIC_EXCLUDE}')
-   AND regexp_matches(lower(field || ' ' || max(label)), '{RS.NUMERIC_INCLUDE}')) AS numeric_guess
+  (max(type) IN ('text', 'numeric') AND NOT regexp_matches(lower(field || ' ' || max(label)), '{_SQL_NOT_NUMERIC}')
+   AND regexp_matches(lower(field || ' ' || max(label)), '{_SQL_NUMERIC}')) AS numeric_guess
 FROM cells GROUP BY stage_key, table_prefix, field""")
 def q_sheet_field_profile(spark, t, sf_dir):
     """O-SCL-27/28: per sheet field: blank share, numeric share, numeric-keyboard guess."""
