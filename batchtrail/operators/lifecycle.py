@@ -18,7 +18,7 @@ from batchtrail.functions.labels import run_label
 from batchtrail.functions.text import clean, nonblank
 from batchtrail.operators.latest import latest_by
 from batchtrail.operators.sequence import assign_ids, running_max_within, running_sum_within
-from batchtrail.session import stored
+from batchtrail.session import ship_package, stored
 from batchtrail.sources.stages import (CLOSED_BY_REVIEW, CLOSED_QUICKLY, COPIED_FROM, LINKED_TO, RUN_STAGE_KEYS,
                                         stage_titles)
 from batchtrail.sources.tables import parse_payload, submitted_fields
@@ -327,6 +327,7 @@ def _contested(asked: DataFrame, candidates: DataFrame, free: DataFrame, slice_r
     task holds more, however many hang together.  All others are decided at once
     from the touches of the replay by one prefix scan over the labels.
     """
+    ship_package(asked.sparkSession)
     runs = candidates.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"), *[F.first(c).alias(c) for c in _RUN[1:-1]])
     runs = stored(runs.select(*_RUN), "group_runs")
     twice = runs.where(F.size("labels") > 1).select(F.explode("labels").alias("group_label")).distinct().withColumn("__twice", F.lit(True))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchtrail.session import stored
+from batchtrail.session import ship_package, stored
 
 
 def _ordered(value):
@@ -59,6 +59,7 @@ def _scan(df: DataFrame, keys: list[str], order: list[Column | str], value: Colu
     With ``inclusive=False`` the current row is not counted.  NULL is a key like any other.
     """
     spark = df.sparkSession
+    ship_package(spark)
     key = F.to_json(F.struct(*keys)) if keys else F.lit("")
     by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
     ranged = df.withColumn("__v", value).withColumn("__key", key).repartitionByRange(*by).sortWithinPartitions(*by)

@@ -8,6 +8,7 @@ the cluster has not already provided.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -72,6 +73,21 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, as ``--py-files`` would: they need not have it installed
+    or share the driver's folders."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="batchtrail-ship-"), f"batchtrail-{uuid.uuid4().hex[:8]}")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "batchtrail"))
+    _SHIPPED.add(app)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, whoever reads it and however often, and
     a lost executor costs a re-read, not the work before."""

@@ -35,6 +35,7 @@ from batchtrail.functions.labels import activity_is_active, run_label
 from batchtrail.functions.time import stamp_to_timestamp
 from batchtrail.operators.lifecycle import COMPLETE, fold_drafts
 from batchtrail.operators.sequence import sequence_within
+from batchtrail.session import ship_package
 from batchtrail.sources.sinks import read_if_there
 from batchtrail.sources.stages import STATUS_MACHINES, UNUSED_MACHINE
 from batchtrail.sources.tables import SCHEMAS
@@ -53,7 +54,8 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    """A query takes its state store from the settings at its start."""
+    """A query takes its state store from the settings at its start; its Python workers get this package."""
+    ship_package(spark)
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
