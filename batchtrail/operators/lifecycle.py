@@ -432,6 +432,11 @@ def group_label_requests(runs: DataFrame, requests: DataFrame, slice_rows: int =
                              F.coalesce("__reason", F.lit("")).alias("reason")), "group_checked")
 
 
+def _sources(checked: DataFrame) -> Column:
+    """Source runs of decided requests; logs of requests with one source may have that alone."""
+    return F.col("source_run_ids") if "source_run_ids" in checked.columns else F.array("source_run_id")
+
+
 def apply_group_labels(runs: DataFrame, checked: DataFrame) -> DataFrame:
     """New label columns of every run touched by accepted requests (T24: one group per run).
 
@@ -440,7 +445,7 @@ def apply_group_labels(runs: DataFrame, checked: DataFrame) -> DataFrame:
     """
     ok = checked.filter(F.col("outcome") == "accepted")
     order = F.struct("requested_at", "request_id")
-    touched = (ok.select(F.explode("source_run_ids").alias("run_id"), "action", "group_label", "requested_at", "request_id",
+    touched = (ok.select(F.explode(_sources(ok)).alias("run_id"), "action", "group_label", "requested_at", "request_id",
                          F.lit(True).alias("is_source"))
                .unionByName(ok.filter(F.col("target_run_id").isNotNull())
                             .select(F.col("target_run_id").alias("run_id"), "action", "group_label", "requested_at",
@@ -526,7 +531,7 @@ def group_audits(checked: DataFrame, heads: DataFrame, runs: DataFrame) -> DataF
     labels = runs.select(F.col("id").alias("source_run_id"), run_label().alias("__source"))
     accepted = checked.filter(F.col("outcome") == "accepted")
     # all source labels of a request in one text, by run id
-    named = accepted.select("request_id", F.explode("source_run_ids").alias("source_run_id")).join(labels, "source_run_id")
+    named = accepted.select("request_id", F.explode(_sources(accepted)).alias("source_run_id")).join(labels, "source_run_id")
     texts = named.groupBy("request_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("source_run_id", "__source"))), lambda x: x["__source"]), ", ").alias("__source"))
     ok = accepted.join(texts, "request_id")

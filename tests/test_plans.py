@@ -35,7 +35,7 @@ _SINGLE_ROW_OK = {
     "recent_runs", "recent_open_runs", "runs_page", "recent_blend_labels", "recent_split_labels", "activity_feed",
     "in_use_items", "extraction_listing", "filtration_listing", "clarifier_listing", "change_history",
     "change_history_run", "open_draft_sheets", "derived_sheet_copies", "derived_sheet_cells", "derived_extraction_copies",
-    "derived_filtration_rows", "created_runs", "audit_all",
+    "derived_filtration_rows", "created_runs", "audit_all", "export_audits",
 }
 
 
