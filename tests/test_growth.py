@@ -4,6 +4,8 @@ import pyarrow as pa
 import pytest
 
 from batchtrail.operators import lifecycle as LC
+from batchtrail.plans.registry import all_queries
+from tests.conftest import SMALL
 
 _RUN = pa.struct([("id", pa.int64()), ("open", pa.bool_()), ("updated_at", pa.string()), ("batch_type", pa.string()), ("blend_number", pa.string()),
                   ("split_batch_number", pa.string()), ("labels", pa.list_(pa.string()))])
@@ -12,6 +14,18 @@ _SLICE = pa.schema([("request_id", pa.int64()), ("action", pa.string()), ("group
                     ("best_was_source", pa.bool_())])
 
 
+def _plan_without_broadcast(spark, key):
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        return all_queries()[key](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _run(i, label, at):
     return {"id": i, "open": True, "updated_at": at, "batch_type": "blend", "blend_number": label, "split_batch_number": "", "labels": [label]}
 
@@ -36,3 +50,11 @@ def test_replay_decides_while_requests_come(monkeypatch, step):
         assert len(read) == len(got)
     # run 2, a source of request 10, is the newest of B when 11 asks; run 3, a source of 12, is it for 13
     assert got == [(10, 1, None), (11, 2, "label_taken"), (12, 1, None), (13, 3, "label_taken")]
+
+
+@pytest.mark.parametrize("key", ["run_packets", "review_flags"])
+def test_packets_meet_the_runs_once(spark, key):
+    """All parts of a run are kept or dropped by one join: no task sorts the run ids once for every part."""
+    plan = _plan_without_broadcast(spark, key)
+    assert plan.count("SortMergeJoin") == 1 and "LeftSemi" in plan
+    assert "payload_json" not in plan
