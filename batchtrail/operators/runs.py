@@ -249,16 +249,20 @@ def group_lineage(runs: DataFrame) -> DataFrame:
 def stage_checklist(runs: DataFrame, sheets: DataFrame, voided: DataFrame, stage_keys: list[str]) -> DataFrame:
     """Per run x linked stage: done, voided-and-not-done, can_finish (O-JOIN-9).
 
-    The 8 stage keys are a literal array exploded per run (a bounded fan-out,
-    no join), then two left joins with the per-run sets.
+    What is known of a run's stages is one row of bits, a hash aggregate, and
+    meets the run before the literal stage keys are exploded (a bounded fan-out),
+    so that neither the grid nor the marks are sorted or shuffled per stage.
     """
-    grid = runs.select(F.col("id").alias("run_id"), F.explode(F.array(*[F.lit(k) for k in stage_keys])).alias("stage_key"))
-    done = completed_stages(sheets).withColumn("done", F.lit(True))
-    void = voided.select("run_id", "stage_key").distinct().withColumn("is_void", F.lit(True))
-    any_done = completed_stages(sheets).select("run_id").distinct().withColumn("can_finish", F.lit(True))
-    j = (grid.join(done, ["run_id", "stage_key"], "left").join(void, ["run_id", "stage_key"], "left")
-         .join(any_done, "run_id", "left"))
-    d = F.coalesce(F.col("done"), F.lit(False))
-    return j.select("run_id", "stage_key", d.alias("done"),
-                    (F.coalesce(F.col("is_void"), F.lit(False)) & ~d).alias("voided"),
-                    F.coalesce(F.col("can_finish"), F.lit(False)).alias("can_finish"))
+    keys = list(dict.fromkeys(stage_keys))
+    bit = F.coalesce(*[F.when(F.col("stage_key") == k, F.lit(1 << i)) for i, k in enumerate(keys)], F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
+    done = F.coalesce(F.col("completion_status"), F.lit("Complete")) == "Complete"
+    marks = (sheets.filter(done & F.col("run_id").isNotNull()).select("run_id", bit.alias("__done"), none.alias("__void"), F.lit(True).alias("__any"))
+             .unionByName(voided.filter(F.col("run_id").isNotNull()).select("run_id", none.alias("__done"), bit.alias("__void"), F.lit(False).alias("__any"))))
+    known = marks.groupBy("run_id").agg(F.bit_or("__done").alias("__done"), F.bit_or("__void").alias("__void"), F.bool_or("__any").alias("__any"))
+    j = runs.select(F.col("id").alias("run_id")).join(known, "run_id", "left")
+    stages = F.array(*[F.struct(F.lit(k).alias("stage_key"), F.lit(1 << keys.index(k)).cast("long").alias("__bit")) for k in stage_keys])
+    grid = j.select("run_id", F.coalesce("__done", none).alias("__done"), F.coalesce("__void", none).alias("__void"),
+                    F.coalesce("__any", F.lit(False)).alias("can_finish"), F.inline(stages))
+    d = F.col("__done").bitwiseAND(F.col("__bit")) != 0
+    return grid.select("run_id", "stage_key", d.alias("done"), ((F.col("__void").bitwiseAND(F.col("__bit")) != 0) & ~d).alias("voided"), "can_finish")

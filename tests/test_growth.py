@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from batchtrail.operators import lifecycle as LC
+from batchtrail.operators.runs import stage_checklist
 from batchtrail.plans.registry import all_queries
 from tests.conftest import SMALL
 
@@ -58,3 +59,20 @@ def test_packets_meet_the_runs_once(spark, key):
     plan = _plan_without_broadcast(spark, key)
     assert plan.count("SortMergeJoin") == 1 and "LeftSemi" in plan
     assert "payload_json" not in plan
+
+
+def test_checklist_neither_sorts_nor_shuffles_the_grid(spark):
+    plan = _plan_without_broadcast(spark, "stage_checklist")
+    assert plan.index("Generate inline") < plan.index("Exchange")
+    assert all("stage_key" not in line for line in plan.splitlines() if "Join [" in line and "run_id" in line and "__done" in line)
+
+
+def test_checklist_of_odd_rows(spark):
+    """Unlinked stages let a run finish, marks of no run count nowhere, runs with nothing keep their rows, twice given runs theirs."""
+    runs = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "id long")
+    sheets = spark.createDataFrame([(1, "a", None), (1, "a", "Complete"), (1, "b", "Draft"), (2, "other", "Complete"), (3, "b", ""), (None, "a", "Complete")],
+                                   "run_id long, stage_key string, completion_status string")
+    voided = spark.createDataFrame([(1, "a"), (1, "b"), (3, "b"), (3, "other"), (None, "b"), (9, "a"), (2, None)], "run_id long, stage_key string")
+    got = sorted((r.run_id or 0, r.stage_key, r.done, r.voided, r.can_finish) for r in stage_checklist(runs, sheets, voided, ["a", "b"]).collect())
+    assert got == sorted([(1, "a", True, False, True), (1, "b", False, True, True), (2, "a", False, False, True), (2, "b", False, False, True),
+                          *[(3, "a", False, False, False), (3, "b", False, True, False)] * 2, (0, "a", False, False, False), (0, "b", False, False, False)])
