@@ -12,7 +12,7 @@ non-NULL key is split by AQE's skew-join rule.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,29 @@ def join_users(df: DataFrame, users: DataFrame, employee_col: str = "employee",
                      F.col("initials").alias("user_initials"))
     rid = row_id if row_id in df.columns else "id"
     return left_join_spread_nulls(df, u, employee_col, "__emp", rid).drop("__emp")
+
+
+#: Rows of 64 bits that ``sifted`` broadcasts at most.
+SIFT_WORDS = 1 << 17
+
+
+def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is none of the ``keys``, so that an exact join after it shuffles less.
+
+    Every key sets one bit by its hash, 64 to a row, and these rows are
+    broadcast: their number is bounded however many keys there are.  Rows of a
+    key always pass, some others pass by chance and are left to the join.  The
+    hash is that of a type, so columns of different types are not sifted.
+    """
+    if rows.schema[column].dataType != keys.schema[key].dataType:
+        return rows
+
+    def place(c: str) -> tuple[Column, Column]:
+        h = F.xxhash64(c)
+        return F.pmod(h, F.lit(SIFT_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+    word, bit = place(key)
+    words = (keys.where(F.col(key).isNotNull()).select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__set"))
+             .groupBy("__word").agg(F.bit_or("__set").alias("__bits")))
+    word, bit = place(column)
+    return rows.join(F.broadcast(words), (word == F.col("__word")) & (F.getbit("__bits", bit) == 1), "left_semi")

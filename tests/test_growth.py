@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from batchtrail.operators import joins as J
 from batchtrail.operators import lifecycle as LC
 from batchtrail.operators.runs import stage_checklist
 from batchtrail.plans.registry import all_queries
@@ -76,3 +77,32 @@ def test_checklist_of_odd_rows(spark):
     got = sorted((r.run_id or 0, r.stage_key, r.done, r.voided, r.can_finish) for r in stage_checklist(runs, sheets, voided, ["a", "b"]).collect())
     assert got == sorted([(1, "a", True, False, True), (1, "b", False, True, True), (2, "a", False, False, True), (2, "b", False, False, True),
                           *[(3, "a", False, False, False), (3, "b", False, True, False)] * 2, (0, "a", False, False, False), (0, "b", False, False, False)])
+
+
+@pytest.mark.parametrize("words", [1, 7, J.SIFT_WORDS])
+def test_sifted_keeps_every_row_of_a_key(spark, monkeypatch, words):
+    """However full the words are, rows of keys pass; NULL keys stand for no row, types that hash differently are left alone."""
+    monkeypatch.setattr(J, "SIFT_WORDS", words)
+    rows = spark.range(-500, 1500).selectExpr("id", "IF(id % 3 = 0, NULL, concat('k', id)) AS name")
+    keys = spark.range(0, 1000, 10).selectExpr("id AS k", "concat('k', id) AS n", "IF(id = 0, NULL, id) AS some", "cast(id AS int) AS i")
+    for column, key in (("id", "k"), ("name", "n"), ("id", "some")):
+        kept = J.sifted(rows, column, keys, key)
+        assert sorted(kept.join(keys, kept[column] == keys[key]).select("id").collect()) == sorted(
+            rows.join(keys, rows[column] == keys[key]).select("id").collect())
+    assert J.sifted(rows, "id", keys.where("false"), "k").isEmpty()
+    assert J.sifted(rows, "id", keys, "i").count() == 2000
+
+
+def test_sifted_drops_most_other_rows(spark):
+    keys = spark.range(0, 100_000, 100)
+    assert J.sifted(spark.range(100_000), "id", keys, "id").count() < 1_100
+
+
+def test_only_child_rows_of_copied_entries_are_shuffled(spark):
+    """The bits of the copied entries meet the child rows before their exchange, and no entry's content is aggregated."""
+    plan = _plan_without_broadcast(spark, "derived_filtration_rows")
+    scan = plan.splitlines()
+    at = next(k for k, line in enumerate(scan) if "FileScan" in line and "l_orderkey" in line)
+    above = next(k for k in range(at, 0, -1) if "Exchange hashpartitioning" in scan[k])
+    assert any("LeftSemi" in line and "getbit" in line for line in scan[above:at])
+    assert "payload_json" not in plan
